@@ -203,7 +203,7 @@ def _author_regularity(pieces: list[str]) -> float:
     good = 0.0
     for p in pieces:
         if is_collective(p):
-            good += 1.0
+            good += 0.3 if re.search(r"[;|\t\r\n]", p) else 1.0
         elif person_pair(p):
             a, _, b = p.partition(",")
             # a given name of one word (and initials) is surer than one of two words
