@@ -90,11 +90,11 @@ _PARTICLE = r"(?:van|der|den|de|del|della|di|da|dos|du|el|al|la|le|von|zu|bin|ib
 _INITIALS = r"(?:(?:[^\W\d_]\.[\s\-]?){1,4}|[^\W\d_]{1,3}\.?)"
 _GIVEN = re.compile(
     rf"^(?:{_WORD}\.?(?:[ \-]{_WORD})?(?:\s+(?:[^\W\d_]\.?\s?){{1,3}})?|(?:[^\W\d_]\.?[\s\-]?){{1,4}})"
-    rf"(?:\s+{_PARTICLE}(?:\s+{_PARTICLE})?)?(?:\s*[\"“].+[\"”])?$|^(?:{_PARTICLE}\s+){{1,2}}{_WORD}$"
+    rf"(?:\s+{_PARTICLE}(?:\s+{_PARTICLE})?)?(?:\s*[\"“][^\"“”;,]+[\"”])?$|^(?:{_PARTICLE}\s+){{1,2}}{_WORD}$"
 )
 _ONE_GIVEN = re.compile(
     rf"^(?:{_WORD}\.?(?:\s+(?:[^\W\d_]\.?\s?){{1,3}})?|(?:[^\W\d_]\.?[\s\-]?){{1,4}})"
-    rf"(?:\s+{_PARTICLE}(?:\s+{_PARTICLE})?)?(?:\s*[\"“].+[\"”])?$"
+    rf"(?:\s+{_PARTICLE}(?:\s+{_PARTICLE})?)?(?:\s*[\"“][^\"“”;,]+[\"”])?$"
 )
 _INITIAL_ONLY = re.compile(rf"^(?:[^\W\d_]\.?[\s\-]?){{1,4}}(?:\s+{_PARTICLE}(?:\s+{_PARTICLE})?)?$")
 _SURNAME = re.compile(rf"^(?:{_PARTICLE}\s+){{0,2}}{_WORD}(?:\s{_WORD})?$", re.I)
