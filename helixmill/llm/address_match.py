@@ -36,16 +36,16 @@ WINDOW = 12
 
 #: Kinds of street and their abbreviations (the first is the kind).
 STREET_KINDS = {
-    "street": ("street", "str", "st"), "road": ("road", "rd"), "avenue": ("avenue", "ave", "av"), "lane": ("lane", "ln", "la"), "square": ("square", "sq"),
+    "street": ("street", "str", "st", "strasse"), "road": ("road", "rd"), "avenue": ("avenue", "ave", "av"), "lane": ("lane", "ln", "la"), "square": ("square", "sq"),
     "boulevard": ("boulevard", "blvd", "bd", "boul"), "drive": ("drive", "dr"), "court": ("court", "ct"), "way": ("way",), "place": ("place", "pl"), "terrace": ("terrace", "ter"),
-    "caddesi": ("caddesi", "cad", "cd"), "sokak": ("sokak", "sok", "sk"), "rue": ("rue", "r"), "calle": ("calle", "cl", "c"), "strasse": ("strasse",), "platz": ("platz", "pl"), "weg": ("weg",), "allee": ("allee",), "via": ("via",), "plaza": ("plaza",),
+    "caddesi": ("caddesi", "cad", "cd"), "sokak": ("sokak", "sok", "sk"), "rue": ("rue", "r"), "calle": ("calle", "cl", "c"), "platz": ("platz", "pl"), "weg": ("weg",), "allee": ("allee",), "via": ("via",), "plaza": ("plaza",),
 }
 _KIND_OF = {a: k for k, names in STREET_KINDS.items() for a in names}
-_LINKS = {"of", "the", "de", "du", "des", "la", "le", "del", "no", "nr", "num", "number", "and"}
+_LINKS = {"of", "the", "de", "du", "des", "la", "le", "del", "no", "nr", "num", "number", "and", "for", "in", "at"}
 #: Words of institutions and their abbreviations.
 INSTITUTION_WORDS = {
     "institute": ("institute", "inst", "institut"), "virology": ("virology", "virol"), "centre": ("centre", "center", "ctr"), "veterinary": ("veterinary", "vet"), "research": ("research", "res"),
-    "public": ("public", "publ"), "health": ("health", "hlth"), "laboratory": ("laboratory", "lab", "labs", "laboratories"), "university": ("university", "univ"), "hospital": ("hospital", "hosp"),
+    "public": ("public", "publ"), "health": ("health", "hlth"), "laboratory": ("laboratory", "lab", "labs", "laboratories"), "university": ("university", "univ", "uni", "u"), "hospital": ("hospital", "hosp"),
     "general": ("general", "gen"), "national": ("national", "natl", "nat", "natural"), "museum": ("museum", "mus"), "history": ("history", "hist"), "zoonoses": ("zoonoses", "zoonosis"), "control": ("control",),
 }
 _WORD_OF = {a: k for k, names in INSTITUTION_WORDS.items() for a in names}
@@ -74,7 +74,7 @@ def institution_key(text: str | None) -> tuple[str, str]:
     """(own name, kind): the kind is the bag of general words in it."""
     own, kind = [], []
     for w in re.sub(r"\bph (?=lab)", "public health ", fold(text or "")).split():
-        if w in _LINKS:
+        if w in _LINKS or (len(w) in (2, 3) and w not in _WORD_OF and any(osa(w, x, 1) <= 1 for x in ("of", "for", "the"))):
             continue
         k = _general_word(w)
         (kind if k else own).append(k or w)
@@ -101,9 +101,9 @@ def street_parts(line: str) -> tuple[str, str, str] | None:
         name = [w for w in name if w not in {"de", "du", "des", "la", "del"}] or name
     joined = "".join(name)
     if not kind and (m := re.match(r"^(.{4,}?)(strasse|str|strase|srtasse|strsse|platz|weg|allee)$", joined)):
-        joined, kind = m.group(1), "strasse" if m.group(2).startswith(("str", "srt")) else m.group(2)
+        joined, kind = m.group(1), "street" if m.group(2).startswith(("str", "srt")) else m.group(2)
     elif not kind and len(joined) > 11 and osa(joined[-7:], "strasse", 2) <= 2:
-        joined, kind = joined[:-7], "strasse"
+        joined, kind = joined[:-7], "street"
     if not kind:
         return None
     return (number, joined, kind) if joined else None
@@ -208,17 +208,19 @@ def _slide(rows: list[dict], found: dict[tuple[int, int], tuple[str, int]], wind
                 found[pair] = (how, osa(a["inst"], b["inst"], 2))
 
 
-def sorted_neighbours(rows: DataFrame, key: list[str], *, window: int = WINDOW) -> DataFrame:
-    """(a, b, how, inst_distance) of the matches within the window of one sort order.
+def sorted_neighbours(rows: DataFrame, passes: tuple[list[str], ...], *, window: int = WINDOW) -> DataFrame:
+    """(a, b, how, inst_distance) of the matches within the window of any sort order.
 
-    Rows are range-partitioned by the key and their id, so that no key, however
+    Each row stands once in each pass; the passes are sorted together, the
+    number of the pass being the first part of the key.  Rows are range-partitioned by the key and their id, so that no key, however
     frequent, makes a partition of its own.  The first and last ``window`` rows
     of the partitions are compared across the borders in one small task
     (2 * window rows a partition).
     """
     spark = rows.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = rows.withColumn("__key", F.concat_ws("\x01", *key)).repartitionByRange(parts, "__key", "id").sortWithinPartitions("__key", "id")
+    keys = F.array(*(F.concat_ws("\x01", F.lit(f"{k:02d}"), *key) for k, key in enumerate(passes)))
+    ordered = rows.withColumn("__key", F.explode(keys)).repartitionByRange(parts, "__key", "id").sortWithinPartitions("__key", "id")
     fields = ["id", *_FIELDS]
     schema = "border boolean, __key string, a long, b long, how string, inst_distance int, " + ", ".join(f"{f} string" for f in _FIELDS)
 
@@ -279,11 +281,7 @@ def match_addresses(df: DataFrame, **columns: str) -> DataFrame:
     copies = rows.join(least, list(_FIELDS)).filter("first <> id and ((number <> '' and street <> '') or inst <> '')").select(F.col("first").alias("a"), F.col("id").alias("b"))
     reps = least.withColumnRenamed("first", "id").withColumn("rstreet", F.reverse("street")).withColumn("rinst", F.reverse("inst"))
     reps = cut_lineage(reps)
-    found = None
-    for key in PASSES:
-        got = sorted_neighbours(reps, key)
-        found = got if found is None else found.unionAll(got)
-    found = cut_lineage(found.distinct())
+    found = cut_lineage(sorted_neighbours(reps, PASSES).distinct())
     full = found.filter("how = 'full'").select("a", "b")
     place_of = connected_components(full)
     places = reps.select("id", F.expr("number <> '' and street <> ''").alias("is_full"), (F.col("street") != "").alias("has_street")).join(place_of, F.col("id") == F.col("node"), "left").select("id", "is_full", "has_street", F.coalesce("component", "id").alias("place"))

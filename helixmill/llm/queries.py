@@ -11,7 +11,9 @@ from helixmill.llm.bpe_encode import encode_corpus
 from helixmill.llm.canonical_map import map_to_canonical
 from helixmill.llm.encoding_repair import restore_encoding
 from helixmill.llm.leak_detection import find_leaks
+from helixmill.llm.name_variants import organisation_variants, person_variants
 from helixmill.session import table
+from helixmill.training_queries import author_items
 
 
 def p2_found(spark: SparkSession, root: str) -> DataFrame:
@@ -22,6 +24,13 @@ def p2_found(spark: SparkSession, root: str) -> DataFrame:
     return place_pairs(places).select(F.col("a").alias("group_id_a"), F.col("b").alias("group_id_b"))
 
 
+def p3_found(spark: SparkSession, root: str) -> DataFrame:
+    """Pairs of spellings of one person or one organisation."""
+    people = person_variants(author_items(spark, root), "item").select(F.lit("authors").alias("field_name"), "name_a", "name_b")
+    places = organisation_variants(table(spark, root, "metadata_post_prepare").select("author_affiliations"), "author_affiliations").select(F.lit("author_affiliations").alias("field_name"), "name_a", "name_b")
+    return people.unionAll(places)
+
+
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
     """Each sampling country and host with the entry of the reference list that was meant."""
     countries = [(r.country_id, r.country_name) for r in table(spark, root, "ref_countries").collect()]  # fixed list
@@ -53,5 +62,5 @@ def p8_found(spark: SparkSession, root: str) -> DataFrame:
     return restored.select("doc_id", F.coalesce(F.md5("restored"), F.lit("")).alias("restored_md5")).distinct()
 
 
-QUERIES = {"p2_found": p2_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
 SQL: dict[str, str] = {}
