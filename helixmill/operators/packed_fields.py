@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from helixmill.session import cut_lineage
+
 # ------------------------------------------------------------------ tokens
 
 _QUOTES = "\"'"
@@ -293,6 +295,9 @@ def split_value(text: str | None, kind_name: str, prior: dict[str, float] | None
 
 # ---------------------------------------------------------------- operator
 
+#: Sources whose statistics (under 1 kB each) are broadcast; of more, they are joined by a shuffle.
+MAX_SOURCES = 10_000
+
 
 def split_packed(df: DataFrame, *, value: str, source: Column, kind: str) -> DataFrame:
     """Explode the packed column ``value`` into ``pos`` (from 1) and ``item``.
@@ -324,6 +329,10 @@ def split_packed(df: DataFrame, *, value: str, source: Column, kind: str) -> Dat
         .agg(F.map_from_entries(F.collect_list(F.struct("__winner", "count"))).alias("__m"), F.sum("count").alias("__n"))
         .select("__source", F.to_json(F.transform_values("__m", lambda _, v: v / F.col("__n"))).alias("__prior"))
     )
+    # the statistics have a row a source; they are broadcast only if that many are counted
+    priors = cut_lineage(priors)
+    if priors.limit(MAX_SOURCES + 1).count() <= MAX_SOURCES:
+        priors = F.broadcast(priors)
     return (
         rows.join(priors, "__source", "left")
         .withColumn("__items", pieces(F.col(value), F.coalesce("__prior", F.lit(""))))
