@@ -69,7 +69,7 @@ def split_compound(c: Column, sep: str = ":") -> tuple[Column, Column]:
 
 def sorted_authors(c: Column, sep: str = ";") -> Column:
     """Authors in order of their names."""
-    parts = F.filter(F.transform(F.split(c, sep), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(c, sep), lambda x: F.trim(x)), lambda x: x != "")
     return F.array_join(F.array_sort(parts), f"{sep} ")
 
 

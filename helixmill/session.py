@@ -32,6 +32,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows in as many partitions as the session sets for shuffles.
+
+    For stages whose cost is Python time: by bytes they look small, and the
+    planner would merge them into a few tasks.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 _SHIPPED: set[str] = set()
 
 
