@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helixmill.session import spread
+
 UNMATCHED = -1
 MAX_NAMES = 200_000
 #: Cosine that a candidate needs to be looked at, candidates compared by edit distance.
@@ -221,5 +223,5 @@ def map_to_canonical(df: DataFrame, *, value: str, index: NameIndex, parts: Part
             got = [decide(v, here, parts) for v in values]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([e for e, _ in got], pa.int64()), pa.array([s for _, s in got], pa.float64())], names=[value, "ref_id", "score"])
 
-    distinct = df.select(value).filter(F.regexp_replace(value, r"\s+", "") != "").distinct()
+    distinct = spread(df.select(value).filter(F.regexp_replace(value, r"\s+", "") != "").distinct())
     return distinct.mapInArrow(run, f"`{value}` string, ref_id long, score double")
