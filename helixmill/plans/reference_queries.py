@@ -674,7 +674,7 @@ def u04(spark, root):
     return rows.select("accession", "version", "pipeline_version", F.array_join(unknown, ",").alias("unknown"))
 
 
-@query("u05_array_difference", f"WITH {E}, k AS (SELECT organism, list(DISTINCT version) FILTER (is_revocation) AS a, list(DISTINCT version) FILTER (NOT is_revocation) AS b FROM e GROUP BY organism) SELECT organism, array_to_string(list_sort(list_filter(b, lambda x: NOT list_contains(a, x))), ',') AS only_first FROM k")
+@query("u05_array_difference", f"WITH {E}, k AS (SELECT organism, list(DISTINCT version) FILTER (is_revocation) AS a, list(DISTINCT version) FILTER (NOT is_revocation) AS b FROM e GROUP BY organism) SELECT organism, array_to_string(list_sort(list_filter(b, lambda x: NOT list_contains(coalesce(a, []), x))), ',') AS only_first FROM k")
 def u05(spark, root):
     k = _e(spark, root).groupBy("organism").agg(F.collect_set(F.when(~F.col("is_revocation"), F.col("version"))).alias("b"), F.collect_set(F.when(F.col("is_revocation"), F.col("version"))).alias("a"))
     return k.select("organism", F.array_join(F.transform(changes.set_difference("b", "a"), lambda x: x.cast("string")), ",").alias("only_first"))

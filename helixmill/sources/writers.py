@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def write_ndjson(df: DataFrame, path: str, *, partition_by: Sequence[str] = (), compression: str = "zstd") -> None:
+def write_ndjson(df: DataFrame, path: str, *, partition_by: Sequence[str] = (), compression: str = "gzip") -> None:
     """JSON lines, in a folder for each value of the partition columns."""
     df.write.mode("errorifexists").partitionBy(*partition_by).option("compression", compression).option("ignoreNullFields", False).json(path)
 
