@@ -201,7 +201,7 @@ def decide(value: str, index: NameIndex, parts: Parts, known_none: int = -2) ->
                 return UNMATCHED, score
         if got:
             entries = {e for e, _ in got}
-            if len(entries) > 1 or known_none in entries:
+            if len(entries) > 1 or known_none in entries or len(got) < len(reading):
                 return UNMATCHED, min(s for _, s in got)
             return got[0][0], min(s for _, s in got)
     return UNMATCHED, 0.0
