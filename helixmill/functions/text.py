@@ -136,3 +136,39 @@ def embl_authors(authors: str) -> str:
         last, _, first = entry.partition(",")
         out.append(f"{last.strip()} {''.join(f'{w[0].upper()}.' for w in re.split(r'[\s.\-]+', first.strip()) if w)}".strip())
     return to_ascii(", ".join(out))
+
+
+def embl_author_column(c: Column) -> Column:
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda a: None if a is None else embl_authors(a))
+
+    return run(c)
+
+
+def valid_accession_column(c: Column, prefix: str = "") -> Column:
+    @F.pandas_udf("boolean")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda a: a is not None and valid_accession(a, prefix))
+
+    return run(c)
+
+
+def first_filled(*names: str) -> Column:
+    """The first column that is neither null nor empty."""
+    return F.coalesce(*(F.nullif(n, F.lit("")) for n in names))
+
+
+def content_hash(fields: dict[str, Column], sequence_hash: Column) -> Column:
+    """md5 over the sorted JSON text of the filled fields and the hash of the sequence.
+
+    The text has a blank after commas and colons and escapes quotes and backslashes.
+    """
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+    parts = [F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f'"{n}": '), quoted(c))) for n, c in sorted(fields.items())]
+    return F.md5(F.concat(F.lit("{"), F.array_join(F.array_compact(F.array(*parts)), ", "), F.lit("}"), sequence_hash))
+
+
+def file_url(base_url: str, acc: Column, version: Column, category: str, name: Column) -> Column:
+    """Address of a file; the name is encoded for a path."""
+    return F.concat_ws("/", F.lit(base_url), acc, version.cast("string"), F.lit(category), F.replace(F.url_encode(name), F.lit("+"), F.lit("%20")))

@@ -77,3 +77,16 @@ def read_file_errors(files: DataFrame, key: str, name: str, most: int = 2) -> Da
     g = files.withColumn("__kind", kind).groupBy(key).agg(F.count_distinct("__kind").alias("kinds"), F.sum(F.col("__kind").isNull().cast("int")).alias("unknown"), F.count("*").alias("n"))
     error = F.when(F.col("unknown") > 0, "unknown_format").when(F.col("kinds") > 1, "mixed_formats").when(F.col("n") > most, "too_many_files")
     return g.select(key, error.alias("error")).filter("error is not null")
+
+
+def alignment_problem(given: Column, aligned: Column) -> Column:
+    """Whether none or only some of the given sequences are aligned."""
+    aligned = F.when(aligned > 0, aligned).otherwise(0)
+    return F.when((given > 0) & (aligned == 0), "none_aligned").when(aligned < given, "some_unaligned")
+
+
+def segment_of(header: Column, segments: Sequence[str]) -> Column:
+    """The segment named by the last part of a header after ``_``, or by all of it, in any case."""
+    last = F.lower(F.substring_index(header, "_", -1))
+    table = F.create_map(*(F.lit(v) for s in segments for v in (s.lower(), s)))
+    return F.element_at(table, last)

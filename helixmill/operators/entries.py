@@ -139,3 +139,11 @@ def newer_pipeline_ready(entries: DataFrame, processed: DataFrame) -> DataFrame:
     have = good.join(first, ["organism", *KEY]).filter("first < pipeline_version").groupBy("organism", "pipeline_version").agg(F.count("*").alias("have"))
     ready = need.join(have, ["organism", "pipeline_version"]).filter("need = have")
     return ready.groupBy("organism").agg(F.max("pipeline_version").alias("pipeline_version"))
+
+
+def joint_metadata(is_revocation: Column, metadata: Column, external: Column) -> Column:
+    """Processed metadata with external values laid over it; empty for revocations."""
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    over = F.coalesce(external, none)
+    base = F.map_filter(metadata, lambda k, _: ~F.map_contains_key(over, k))
+    return F.when(is_revocation, none).when(metadata.isNull(), F.lit(None)).otherwise(F.map_concat(base, over))

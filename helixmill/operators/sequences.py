@@ -93,3 +93,17 @@ def invalid_symbols(sequence: Column, alphabet: str, most: int = 10) -> Column:
     """The first different symbols outside the alphabet, in order."""
     rest = F.regexp_replace(sequence, f"[{re.escape(alphabet)}]", "")
     return F.slice(F.array_distinct(F.filter(F.split(rest, ""), lambda c: c != "")), 1, most)
+
+
+def all_mutations(text: str, sequence: Column, reference: Column) -> Column:
+    """All mutations of a list; what is no mutation is left out."""
+    out = F.lit(True)
+    for m in parse_mutations(text):
+        out = out & mutation_column(m, sequence, reference)
+    return out
+
+
+def insertion_counts(df: DataFrame, insertion: str) -> DataFrame:
+    """(position, sequence, n) of insertions written ``position:sequence``."""
+    parts = df.select(F.substring_index(insertion, ":", 1).cast("bigint").alias("position"), F.substring_index(insertion, ":", -1).alias("sequence"))
+    return parts.groupBy("position", "sequence").agg(F.count("*").alias("n"))

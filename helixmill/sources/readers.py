@@ -91,7 +91,12 @@ def report_columns(json_col: Column, mapping: Mapping[str, str], lists: Sequence
     return out
 
 
+def dump_fields(line: Column, columns: Sequence[str]) -> list[Column]:
+    r"""Fields of a line separated by ``\t|\t``; the line ends in ``\t|``."""
+    parts = F.split(F.regexp_replace(line, r"\s*\|\s*$", ""), r"\s*\|\s*")
+    return [F.when(F.get(parts, F.lit(i)) != "", F.get(parts, F.lit(i))).alias(c) for i, c in enumerate(columns)]
+
+
 def read_dump(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
-    r"""Dump files whose fields are separated by ``\t|\t`` and lines end in ``\t|``."""
-    parts = F.split(F.regexp_replace("value", r"\s*\|\s*$", ""), r"\s*\|\s*")
-    return spark.read.text(path).select(*(F.when(F.get(parts, i) != "", F.get(parts, i)).alias(c) for i, c in enumerate(columns)))
+    """Dump files as in :func:`dump_fields`."""
+    return spark.read.text(path).select(*dump_fields(F.col("value"), columns))

@@ -34,3 +34,9 @@ def fasta_records(df: DataFrame, header: Sequence[str | Column], sequence: str,
 def write_text(df: DataFrame, path: str, compression: str | None = None) -> None:
     writer = df.write.mode("errorifexists")
     (writer.option("compression", compression) if compression else writer).text(path)
+
+
+def flat_file(accession: Column, version: Column, description: Column, sequence: Column) -> Column:
+    """A flat-file entry: id line, sequence, end mark."""
+    head = F.concat(F.lit("ID   "), accession, F.lit("; SV "), version.cast("string"), F.lit("; "), description)
+    return F.concat_ws("\n", head, F.concat(F.lit("SQ   "), sequence), F.lit("//"))
