@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from helixmill.llm.address_match import institution_key
 from helixmill.llm.canonical_map import fold, osa
 from helixmill.llm.components import connected_components
-from helixmill.session import cut_lineage
+from helixmill.session import cut_lineage, spread
 
 # ---------------------------------------------------------------- trie join
 
@@ -176,9 +176,18 @@ def _initials(word: str) -> list[str] | None:
     return None
 
 
+_CLAN = re.compile(r"^((?:.*\s)?)([DdOo])(?:\s*[’'`]\s*|\s+)(?=[^\W\d_]{3})")
+
+
 def _own(surname: str) -> str:
-    """Surname without accents, blanks, hyphens and apostrophes; its particle stands in front."""
-    return fold(re.sub(r"[’'`\-]", "", surname)).replace(" ", "")
+    """Surname without accents, blanks, hyphens and apostrophes; its particle stands in front.
+
+    D' and O' make another surname: they are set off by more than one error.
+    """
+    clan = ""
+    if m := _CLAN.match(surname):
+        clan, surname = m.group(2).lower() + "##", m.group(1) + surname[m.end() :]
+    return clan + fold(re.sub(r"[’'`\-]", "", surname)).replace(" ", "")
 
 
 def word_positions(name: str) -> list[tuple[str, str, bool]]:
@@ -243,8 +252,6 @@ def parse_person(name: str, given: set[str]) -> tuple[list[str], str, list[str],
             k = next((i for i in range(len(words) - 1, 0, -1) if _initials(words[i]) is not None), 0) + 1
             surname, rest = " ".join(words[k:]), words[:k]
         surname = particle + surname
-    if len(surname) > 2 and re.match(r"^[DO][ ’'][A-Z]", surname):
-        surname = surname[0] + surname[2:]
     own = _own(surname)
     if not own:
         return None
@@ -254,7 +261,7 @@ def parse_person(name: str, given: set[str]) -> tuple[list[str], str, list[str],
     body = surname[len(head) :].strip()
     if "-" in body:
         keys.append(_own(head + body.split("-")[0]))
-    elif not head and " " in body and len(body.split()) == 2:
+    elif not head and not _CLAN.match(body) and len(body.split()) == 2:
         keys.append(_own(body.split()[0]))
     flat: list[str] = []
     for w in rest:
@@ -329,7 +336,7 @@ def given_names(names: DataFrame, name: str, *, least: int = 3) -> DataFrame:
 
 def person_parts(names: DataFrame, name: str) -> DataFrame:
     """(name, key, rest) of each distinct person name; a name with a double surname has two keys."""
-    base = names.select(name).filter(F.length(F.trim(F.col(name))) > 0).distinct()
+    base = cut_lineage(spread(names.select(name).filter(F.length(F.trim(F.col(name))) > 0).distinct()))
 
     @F.pandas_udf("array<string>")
     def words(s: pd.Series) -> pd.Series:
