@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from helixmill.llm.canonical_map import fold, osa
 from helixmill.llm.components import connected_components
-from helixmill.session import cut_lineage
+from helixmill.session import cut_lineage, spread
 
 #: Neighbours on each side that a record is compared with.
 WINDOW = 12
@@ -275,7 +275,7 @@ PASSES = (
 
 def match_addresses(df: DataFrame, **columns: str) -> DataFrame:
     """(id, place) of each record that shares its building with another one."""
-    rows = cut_lineage(resolve_cities(parse_addresses(df, **columns)).filter("city <> '' or postal <> ''").distinct())
+    rows = cut_lineage(resolve_cities(cut_lineage(parse_addresses(spread(df.distinct()), **columns))).filter("city <> '' or postal <> ''").distinct())
     # copies: equal components under several ids
     least = rows.groupBy(*_FIELDS).agg(F.min("id").alias("first"))
     copies = rows.join(least, list(_FIELDS)).filter("first <> id and ((number <> '' and street <> '') or inst <> '')").select(F.col("first").alias("a"), F.col("id").alias("b"))
