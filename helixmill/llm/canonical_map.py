@@ -124,7 +124,7 @@ class NameIndex:
         left = []
         for w in folded.split():
             most = 2 if len(w) >= 7 else 1
-            if w in self.generic or len(w) < 2 or any(abs(len(g) - len(w)) <= most and osa(w, g, most) <= most for g in self.generic if len(g) > 4 or len(w) < 4):
+            if w in self.generic or len(w) < 3 or any(abs(len(g) - len(w)) <= most and osa(w, g, most) <= most for g in self.generic if len(g) > 3 or len(w) < 5):
                 continue
             left.append(w)
         return " ".join(left)

@@ -126,7 +126,8 @@ def country_parts(value: str) -> list[list[str]]:
     for sep in (",", ";", " - ", "|"):
         if sep in v:
             pieces = [p.strip() for p in v.split(sep) if p.strip()]
-            out += [[pieces[-1]], [pieces[0]]]
+            rest = v.split(sep, 1)[1].strip()  # "place, country" where the country has the sign itself
+            out += [*([[rest]] if rest else []), [pieces[-1]], [pieces[0]]] if pieces else []
     return out
 
 
