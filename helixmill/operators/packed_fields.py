@@ -88,7 +88,7 @@ def _segments(text: str, quote_chars: str) -> list[tuple[str, bool]]:
 # ---------------------------------------------------------------- piece types
 
 _WORD = r"(?:[^\W\d_][\w’'\-]*)"
-_PARTICLE = r"(?:van|der|den|de|del|della|di|da|dos|du|el|al|la|le|von|zu|bin|ibn|ter|ten|af)"
+_PARTICLE = r"(?:v[aáàâä]n|d[eéèêë]r|d[eéèêë]n|d[eéèêë]|d[eéèêë]l|della|d[iíì]|d[aáàâä]|dos|d[uúùü]|[eéèêë]l|[aáàâä]l|l[aáàâä]|l[eéèêë]|v[oóòôö]n|zu|bin|ibn|ter|ten|af)"
 _INITIALS = r"(?:(?:[^\W\d_]\.[\s\-]?){1,4}|[^\W\d_]{1,3}\.?)"
 _GIVEN = re.compile(
     rf"^(?:{_WORD}\.?(?:[ \-]{_WORD})?(?:\s+(?:[^\W\d_]\.?\s?){{1,3}})?|(?:[^\W\d_]\.?[\s\-]?){{1,4}})"
@@ -115,7 +115,7 @@ COLLECTIVE_WORDS = (
 )
 _COLLECTIVE = re.compile(rf"\b(?:{'|'.join(COLLECTIVE_WORDS)})\b", re.I)
 _SUBUNIT = re.compile(r"^(?:[\w\-]+\s+)?(?:unit|panel|branch|section|division|core|team|group|wing|node|chapter)(?:\s+\w+)?$", re.I)
-_CONJ = re.compile(r"\s+(?:and|&|und|et|y)\s+|\s+(?:and|&)\s*$|^\s*(?:and|&)\s+", re.I)
+_CONJ = re.compile(r"\s+(?:[Aa]nd|AND|&|und|et|y)\s+|\s+(?:[Aa]nd|AND|&)\s*$|^\s*(?:[Aa]nd|AND|&)\s+")
 
 
 def person_pair(piece: str) -> bool:
@@ -209,14 +209,14 @@ def _author_regularity(pieces: list[str]) -> float:
         elif person_pair(p):
             a, _, b = p.partition(",")
             # a given name of one word (and initials) is surer than one of two words
-            sure = bool(_ONE_GIVEN.match(b.strip())) and (len(a.split()) == 1 or len(a.split()[0]) == 1 or a.split()[0].lower() in _PARTICLES or bool(_INITIAL_ONLY.match(b.strip())))
+            sure = bool(_ONE_GIVEN.match(b.strip())) and (len(a.split()) == 1 or len(a.split()[0]) == 1 or bool(_IS_PARTICLE.match(a.split()[0])) or bool(_INITIAL_ONLY.match(b.strip())))
             good += 1.0 if sure else 0.55
         elif "," not in p and _FULL.match(p):
             good += 0.98
     return good / len(pieces)
 
 
-_PARTICLES = set(_PARTICLE.strip("(?:)").split("|"))
+_IS_PARTICLE = re.compile(rf"^{_PARTICLE}$", re.I)
 
 
 def _id_candidates(text: str) -> dict[str, list[str]]:
