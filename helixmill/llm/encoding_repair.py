@@ -19,6 +19,7 @@ replacement characters is garbled and lost, its restored text is null.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -30,6 +31,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helixmill.session import cut_lineage
+
 #: Encodings that are considered as the true or the wrong one.
 MULTI_BYTE = "utf-8"
 WRONG = ("cp1252", "latin-1", "cp1251", "mac_roman", "cp437", "cp850", "cp866", "koi8-r", "cp1250", "iso8859-15", "iso8859-5", "mac_cyrillic", "cp1253", "cp1254")
@@ -37,7 +40,7 @@ TRUE_SINGLE = ("cp1251", "koi8-r", "cp866", "iso8859-5", "mac_cyrillic", "cp1253
 #: Pairs of aligned runs that must speak for a mapping.
 MIN_SUPPORT = 2
 #: Mappings that are tried even where a table has no twins to learn from.
-KNOWN = ((MULTI_BYTE, "cp1252"), (MULTI_BYTE, "latin-1"))
+KNOWN = ((MULTI_BYTE, "cp1252"), (MULTI_BYTE, "latin-1"), ("cp1251", "cp1252"), ("cp1251", "cp866"), ("koi8-r", "cp1251"))
 LOST = "�"
 
 _NON_ASCII = re.compile(r"[^\x00-\x7f]+")
@@ -129,6 +132,16 @@ _RARE_CYRILLIC = set("ЂЃѓЉЊЌЋЏђљњќћџЎўЈҐґЄєЅѕЇїІі")
 _SIGNS = set("¤¦¨¬¯´¸¶·©¢£¥ª¹²³¼¾¿¡ˆ˜ƒ†‡‰‹›€™•√∞≈∆◊∫∂∑∏πΩ⌐₧ⁿ░▒▓└┘├┤┬┴┼╔╗╚╝═║")
 
 
+_SWAPPED_CASE = re.compile(r"(?<![^\W\d_])[а-яё][А-ЯЁ]{2}")
+_CYRILLIC_WORD = re.compile(r"[А-Яа-яЁё]+")
+
+
+def _capitals(text: str) -> float:
+    """Share of Cyrillic words that are written in capitals."""
+    words = _CYRILLIC_WORD.findall(text)
+    return sum(w.isupper() for w in words) / len(words) if words else 0.0
+
+
 def oddness(text: str) -> int:
     """How often neighbouring characters do not fit each other."""
     n = 0
@@ -157,14 +170,28 @@ def oddness(text: str) -> int:
             before, before_ch = kind, ch
         if accented >= 3 and accented > letters // 2:
             n += 1 + (accented == letters)
+        elif _SWAPPED_CASE.search(word):
+            n += 1
     return n
 
 
 Mapping = tuple[str, str]
+Letters = dict[str, float]
+
+
+def unlikeliness(text: str, letters: Letters | None) -> float:
+    """Mean surprise of the non-ASCII letters, by how often clean words hold them."""
+    if not letters:
+        return 0.0
+    seen = [letters.get(c, letters[""]) for c in text.lower() if c > "\x7f" and c.isalpha()]
+    return round(sum(seen) / len(seen), 2) if seen else 0.0
 
 
-def repair(text: str | None, mappings: list[Mapping]) -> tuple[str | None, bool]:
-    """The restored text and whether the text was garbled; (None, True) where it is lost."""
+def repair(text: str | None, mappings: list[Mapping], letters: Letters | None = None) -> tuple[str | None, bool]:
+    """The restored text and whether the text was garbled; (None, True) where it is lost.
+
+    ``letters`` (surprise by letter) decides between mappings that both give whole words.
+    """
     if not text or text.isascii():
         return text, False
     if LOST in text:
@@ -172,9 +199,9 @@ def repair(text: str | None, mappings: list[Mapping]) -> tuple[str | None, bool]
     multi = [w for t, w in mappings if t == MULTI_BYTE]
     single = [m for m in mappings if m[0] != MULTI_BYTE]
     once = _undo_all_multi(text, multi)
-    options = [_undo_all_single(once, single)]
+    options = [_undo_all_single(once, single, letters)]
     if once != text and oddness(options[0]) > 0:
-        options.append(_undo_all_single(text, single))
+        options.append(_undo_all_single(text, single, letters))
     best = min(options, key=oddness) if len(options) > 1 else options[0]
     return best, best != text
 
@@ -199,17 +226,23 @@ def _undo_all_multi(text: str, multi: list[str]) -> str:
     return now
 
 
-def _undo_all_single(text: str, single: list[Mapping]) -> str:
+def _undo_all_single(text: str, single: list[Mapping], letters: Letters | None) -> str:
     """Undo single-byte mappings sentence by sentence where that makes the words fit."""
     if not single or text.isascii():
         return text
     parts = _SENTENCE_END.split(text)
+    used: Counter[Mapping] = Counter()
     for i, part in enumerate(parts):
         if part.isascii() or (was := oddness(part)) < 1:
             continue
-        options = [(oddness(got), k, got) for k, (t, w) in enumerate(single) if (got := undo_single(part, t, w)) is not None]
+        options = [(oddness(got), unlikeliness(got, letters), k, got) for k, (t, w) in enumerate(single) if (got := undo_single(part, t, w)) is not None]
         if options and (low := min(options))[0] * 4 <= was and was - low[0] >= 2:
-            parts[i] = low[2]
+            parts[i] = low[3]
+            used[single[low[2]]] += 1
+    for true, wrong in used:  # parts of the same text that look whole only because their case is swapped
+        for i, part in enumerate(parts):
+            if not part.isascii() and _capitals(part) > 0.5 and (got := undo_single(part, true, wrong)) is not None and _capitals(got) == 0 and oddness(got) <= oddness(part):
+                parts[i] = got
     return "".join(parts)
 
 
@@ -280,9 +313,9 @@ def explain_pair(garbled: str, clean: str) -> set[tuple[str, str]]:
     return out
 
 
-def learn_mappings(df: DataFrame, text: str) -> list[tuple[str, str, int]]:
-    """Mappings with the number of different aligned words that speak for them, strongest first."""
-    words = sentence_words(df, text).groupBy("skeleton", "place", "word", "odd").agg(F.sum("n").alias("n"))
+def learn_mappings(df: DataFrame, text: str) -> tuple[list[tuple[str, str, int]], Letters]:
+    """Mappings with the number of different aligned words that speak for them, strongest first; surprise by letter."""
+    words = cut_lineage(sentence_words(df, text).groupBy("skeleton", "place", "word", "odd").agg(F.sum("n").alias("n")))
     clean = words.filter(~F.col("odd")).groupBy("skeleton", "place").agg(F.max_by("word", F.struct("n", "word")).alias("clean"))
     pairs = words.filter("odd").join(clean, ["skeleton", "place"]).select("word", "clean").distinct()
 
@@ -292,7 +325,12 @@ def learn_mappings(df: DataFrame, text: str) -> list[tuple[str, str, int]]:
 
     # one row per set of encodings that explain the same pairs, whatever the size of the table
     votes = pairs.select(explain("word", "clean").alias("mappings")).filter("mappings != ''").groupBy("mappings").count().collect()
-    return choose_mappings({frozenset(tuple(m.split("\t")) for m in r["mappings"].split("\n")): r["count"] for r in votes})
+    # one row a letter that clean words hold
+    held = words.filter(~F.col("odd")).select(F.explode(F.split(F.lower("word"), "")).alias("letter"), "n").filter("letter > '\\u007f'")
+    counts = {r["letter"]: r["n"] for r in held.groupBy("letter").agg(F.sum("n").alias("n")).collect()}
+    total = sum(counts.values()) + len(counts) + 1
+    letters = {c: -math.log((n + 1) / total) for c, n in counts.items()} | {"": -math.log(1 / total)}
+    return choose_mappings({frozenset(tuple(m.split("\t")) for m in r["mappings"].split("\n")): r["count"] for r in votes}), letters
 
 
 def choose_mappings(votes: dict[frozenset, int]) -> list[tuple[str, str, int]]:
@@ -320,13 +358,13 @@ def restore_encoding(df: DataFrame, *, text: str, key: str, mappings: list[Mappi
     ``mappings`` (true encoding, wrong encoding) are learned from the rows
     themselves unless they are given.
     """
-    learned = mappings if mappings is not None else [(t, w) for t, w, _ in learn_mappings(df, text)]
-    use = list(dict.fromkeys([*learned, *KNOWN]))
+    found, letters = ([(*m, 0) for m in mappings], None) if mappings is not None else learn_mappings(df, text)
+    use = list(dict.fromkeys([*((t, w) for t, w, _ in found), *KNOWN]))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            got = [(k, r) for k, t in zip(keys, texts, strict=True) for r, bad in [repair(t, use)] if bad]
+            got = [(k, r) for k, t in zip(keys, texts, strict=True) for r, bad in [repair(t, use, letters)] if bad]
             if got:
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in got], batch.column(0).type), pa.array([r for _, r in got], pa.string())], names=[key, "restored"])
 

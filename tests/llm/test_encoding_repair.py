@@ -32,6 +32,14 @@ def test_single_byte(wrong):
     assert repair(bad, [("utf-8", "cp1252"), ("cp1251", wrong)]) == (RUSSIAN, True)
 
 
+def test_letters_decide_between_inverse_mappings():
+    letters = {c: 1.0 for c in "оеаинтсрвлкм"} | {"": 5.0}
+    both = [("cp1251", "koi8-r"), ("koi8-r", "cp1251")]
+    for true, wrong in both:
+        text = RUSSIAN.replace("«", "").replace("»", "")
+        assert repair(as_read(text, true, wrong), both, letters) == (text, True)
+
+
 def test_twice():
     bad = as_read(as_read(SPANISH, "utf-8", "cp1252"), "utf-8", "cp1252")
     assert repair(bad, [("utf-8", "cp1252")]) == (SPANISH, True)
@@ -62,7 +70,7 @@ def test_learns_from_near_twins(spark):
     rows = [(i, s.replace("Ulm", f"Ort{i}")) for i in range(6) for s in clean]
     bad = [as_read(s.replace("B1-2", "Z9-9"), "utf-8", "mac_roman") for s in clean]
     df = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(rows)] + [(100 + k, t) for k, t in enumerate(bad)] + [(200, None), (201, ""), (202, "x � y"), (203, bad[0])], "doc_id long, text string")
-    assert ("utf-8", "mac_roman") in {m[:2] for m in learn_mappings(df, "text")}
+    assert ("utf-8", "mac_roman") in {m[:2] for m in learn_mappings(df, "text")[0]}
     got = {r.doc_id: r.restored for r in restore_encoding(df, text="text", key="doc_id").collect()}
     assert got == {100: clean[0].replace("B1-2", "Z9-9"), 101: clean[1], 202: None, 203: clean[0].replace("B1-2", "Z9-9")}
     assert restore_encoding(df.limit(0), text="text", key="doc_id").count() == 0
