@@ -736,6 +736,8 @@ def x04(spark, root):
     c = F.when(k == 0, F.left("collection_date", F.lit(4))).when(k == 1, F.left("collection_date", F.lit(7))).otherwise(F.col("collection_date"))
     rows = _s(spark, root).withColumn("c", c).filter("c <> ''")
     low, high = M.date_range(F.col("c"), F.to_date("submitted_at"))
+    rows = rows.select("submission_id", low.alias("low"), high.alias("high"))
+    low, high = F.col("low"), F.col("high")
     return rows.select("submission_id", _day(low).alias("lower"), _day(high).alias("upper"), M.compact_range(low, high).alias("compact"))
 
 

@@ -41,6 +41,17 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def busy(scan: DataFrame) -> DataFrame:
+    """The rows of a plain scan in as many partitions as there are cores at least.
+
+    A table of one small file is one partition, and Python stages over it would
+    run on one core.  Larger tables have more partitions and stay as they are.
+    Only for scans: a plan with shuffles would be run to count its partitions.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 _SHIPPED: set[str] = set()
 
 

@@ -7,18 +7,18 @@ from pyspark.sql import functions as F
 
 from helixmill.operators.nested_records import MUTATION_RULES, PROCESSED_RULES, extract_lists, flatten_members
 from helixmill.operators.packed_fields import split_packed
-from helixmill.session import table
+from helixmill.session import busy, table
 
 
 def author_items(spark: SparkSession, root: str) -> DataFrame:
     """(record_id, pos, item) of the packed author lists."""
-    rows = table(spark, root, "metadata_post_prepare").select("id", "authors", "ncbi_source_db")
+    rows = busy(table(spark, root, "metadata_post_prepare").select("id", "authors", "ncbi_source_db"))
     return split_packed(rows, value="authors", source=F.col("ncbi_source_db"), kind="person").select(F.col("id").alias("record_id"), "pos", "item")
 
 
 def p1_found(spark: SparkSession, root: str) -> DataFrame:
     """Each value of authors and of fasta_ids with its place."""
-    ids = table(spark, root, "cchfv_test_metadata").select("sample_id", "fasta_ids", "sample_type")
+    ids = busy(table(spark, root, "cchfv_test_metadata").select("sample_id", "fasta_ids", "sample_type"))
     ids = split_packed(ids, value="fasta_ids", source=F.col("sample_type"), kind="id").select(F.col("sample_id").alias("record_id"), "pos", "item")
     authors = author_items(spark, root)
     return authors.select(F.lit("authors").alias("field_name"), "*").unionAll(ids.select(F.lit("fasta_ids").alias("field_name"), "*")).distinct()
@@ -31,8 +31,8 @@ def p4_found(spark: SparkSession, root: str) -> DataFrame:
     )
     mutations = table(spark, root, "mutations_from_founder_clade").select(F.concat("accession", F.lit("."), F.col("version").cast("string")).alias("record_id"), "mutations")
     return (
-        extract_lists(processed, record_id="record_id", json_col="processed_data", rules=PROCESSED_RULES)
-        .unionAll(extract_lists(mutations, record_id="record_id", json_col="mutations", rules=MUTATION_RULES))
+        extract_lists(busy(processed), record_id="record_id", json_col="processed_data", rules=PROCESSED_RULES)
+        .unionAll(extract_lists(busy(mutations), record_id="record_id", json_col="mutations", rules=MUTATION_RULES))
         .distinct()
     )
 
