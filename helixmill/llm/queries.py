@@ -12,7 +12,7 @@ from helixmill.llm.canonical_map import map_to_canonical
 from helixmill.llm.encoding_repair import restore_encoding
 from helixmill.llm.leak_detection import find_leaks
 from helixmill.llm.name_variants import organisation_variants, person_variants
-from helixmill.session import table
+from helixmill.session import busy, table
 from helixmill.training_queries import author_items
 
 
@@ -47,18 +47,18 @@ def p5_found(spark: SparkSession, root: str) -> DataFrame:
 
 def p6_ids(spark: SparkSession, root: str) -> DataFrame:
     """Token ids of each document."""
-    return encode_corpus(table(spark, root, "documents"), text="text", key="doc_id")
+    return encode_corpus(busy(table(spark, root, "documents").select("doc_id", "text")), text="text", key="doc_id")
 
 
 def p7_found(spark: SparkSession, root: str) -> DataFrame:
     """Documents with the evaluation items that they leak."""
-    leaks = find_leaks(table(spark, root, "documents"), table(spark, root, "eval_items"), text="text", key="doc_id", passage="passage", item_key="item_id")
+    leaks = find_leaks(busy(table(spark, root, "documents").select("doc_id", "text")), table(spark, root, "eval_items"), text="text", key="doc_id", passage="passage", item_key="item_id")
     return leaks.select("doc_id", "item_id").distinct()
 
 
 def p8_found(spark: SparkSession, root: str) -> DataFrame:
     """Garbled documents with the digest of the restored text."""
-    restored = restore_encoding(table(spark, root, "documents"), text="text", key="doc_id")
+    restored = restore_encoding(busy(table(spark, root, "documents").select("doc_id", "text")), text="text", key="doc_id")
     return restored.select("doc_id", F.coalesce(F.md5("restored"), F.lit("")).alias("restored_md5")).distinct()
 
 
