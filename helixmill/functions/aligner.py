@@ -52,3 +52,17 @@ def private_substitutions(df: DataFrame, key: Sequence[str], json_col: str) -> D
     listed = by_cds.filter(F.startswith("x.privateSubstitutions", F.lit("[")))
     one = listed.select(*key, "cds", F.explode(F.from_json("x.privateSubstitutions", "array<struct<refAa:string,pos:string,qryAa:string>>")).alias("s"))
     return one.filter("s is not null").select(*key, "cds", F.col("s.refAa").alias("ref"), F.col("s.pos").try_cast("bigint").alias("pos"), F.col("s.qryAa").alias("qry"))
+
+
+def labelled_substitutions(df: DataFrame, key: Sequence[str], json_col: str) -> DataFrame:
+    """(key, cds, ref, pos, qry) of the substitutions that carry labels."""
+    by_cds = df.select(*key, F.explode(F.from_json(json_col, "map<string,struct<labeledSubstitutions:string>>")).alias("cds", "x"))
+    listed = by_cds.filter(F.startswith("x.labeledSubstitutions", F.lit("[")))
+    one = listed.select(*key, "cds", F.explode(F.from_json("x.labeledSubstitutions", "array<struct<substitution:struct<refAa:string,pos:string,qryAa:string>>>")).alias("s"))
+    return one.filter("s.substitution is not null").select(*key, "cds", F.col("s.substitution.refAa").alias("ref"), F.col("s.substitution.pos").alias("pos"), F.col("s.substitution.qryAa").alias("qry"))
+
+
+def only_match(listed: Column, key: Column) -> tuple[Column, Column]:
+    """(name, ambiguous): the name listed for a key; none where several are."""
+    hits = F.filter(listed, lambda x: x["key"] == key)
+    return F.when(F.size(hits) == 1, F.get(hits, F.lit(0))["name"]), F.size(hits) > 1

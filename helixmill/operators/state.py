@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixmill.operators.entries import KEY, unprocessed
@@ -24,3 +24,19 @@ def collect_unused(items: DataFrame, used: DataFrame, key: str, marked: Column)
     """(key, action) of items that nothing refers to: mark them in one run, delete them in the next."""
     unused = items.join(used.select(key).distinct(), key, "left_anti")
     return unused.select(key, F.when(marked, "delete").otherwise("mark").alias("action"))
+
+
+def next_state(status: Column) -> Column:
+    """The state that follows; none after the release."""
+    return F.when(status == "RECEIVED", "IN_PROCESSING").when(status == "IN_PROCESSING", "PROCESSED").when(status == "PROCESSED", "APPROVED_FOR_RELEASE")
+
+
+def audit_lines(df: DataFrame, who: Column, what: str) -> DataFrame:
+    """(line): who did what to which entry."""
+    return df.select(F.concat(who, F.lit(f" {what} "), F.concat_ws(".", "accession", F.col("version").cast("string"))).alias("line"))
+
+
+def unique_ids(df: DataFrame, name: str, order: str) -> DataFrame:
+    """Adds ``unique_id``: the name, with ``_2``, ``_3`` ... where it comes again, in order."""
+    k = F.row_number().over(Window.partitionBy(name).orderBy(order))
+    return df.withColumn("__k", k).withColumn("unique_id", F.when(F.col("__k") == 1, F.col(name)).otherwise(F.concat_ws("_", F.col(name), F.col("__k").cast("string")))).drop("__k")

@@ -467,4 +467,131 @@ def r13(spark, root):
     return docs.join(docs.withColumnRenamed("doc_id", "linked"), "accession").filter("doc_id < linked").select("doc_id", "linked")
 
 
+# ------------------------------------------------- counters, order, smaller steps
+
+
+@query("a31_counters", f"WITH {E} SELECT organism, count(*) AS submitted, count(*) FILTER (is_revocation) AS revoked, count(released_at) AS released FROM e GROUP BY organism")
+def a31(spark, root):
+    return _e(spark, root).groupBy("organism").agg(F.count("*").alias("submitted"), F.count_if("is_revocation").alias("revoked"), F.count("released_at").alias("released"))
+
+
+@query("k04_archive_entries", f"WITH {REL} SELECT accession, version, organism FROM r ORDER BY accession, version LIMIT 500")
+def k04(spark, root):
+    return writers.archive_entries(_r(spark, root), ["accession", "version"]).select("accession", "version", "organism")
+
+
+@query("k06_taxon_table", "SELECT host_taxon_id, scientific_name, row_number() OVER (ORDER BY host_taxon_id) AS place FROM ref_hosts")
+def k06(spark, root):
+    hosts = table(spark, root, "ref_hosts")  # a fixed list
+    return hosts.select("host_taxon_id", "scientific_name", F.row_number().over(Window.orderBy("host_taxon_id")).cast("bigint").alias("place"))
+
+
+@query("k07_stripped_keys", f"WITH {SUB} SELECT submission_id, array_to_string(list_filter([CASE WHEN country IS NOT NULL THEN 'country' END, CASE WHEN division IS NOT NULL THEN 'division' END, CASE WHEN host IS NOT NULL THEN 'host' END], lambda x: x IS NOT NULL), ',') AS stored FROM s")
+def k07(spark, root):
+    stored = F.map_filter(F.create_map(*(x for c in ("country", "division", "host") for x in (F.lit(c), F.col(c)))), lambda _, v: v.isNotNull())
+    return _s(spark, root).select("submission_id", F.array_join(F.array_sort(F.map_keys(stored)), ",").alias("stored"))
+
+
+@query("l06_first_key", f"WITH {E} SELECT organism, first(accession || '.' || version ORDER BY accession, version) AS first_key FROM e GROUP BY organism")
+def l06(spark, root):
+    first = F.min(F.struct("accession", "version"))
+    return _e(spark, root).groupBy("organism").agg(first.alias("k")).select("organism", F.concat_ws(".", "k.accession", F.col("k.version").cast("string")).alias("first_key"))
+
+
+@query("l08_any", f"WITH {E} SELECT count(*) > 0 AS found FROM (SELECT 1 FROM e WHERE is_revocation LIMIT 1)")
+def l08(spark, root):
+    return table(spark, root, "sequence_entries").filter("is_revocation").limit(1).agg((F.count("*") > 0).alias("found"))
+
+
+@query("r05_dataset_names", "SELECT c_custkey, CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN c_mktsegment || '-set' END AS dataset, c_mktsegment = 'AUTOMOBILE' AS ambiguous FROM customer")
+def r05(spark, root):
+    listed = F.array(*(F.struct(F.lit(k).alias("key"), F.lit(v).alias("name")) for k, v in (("BUILDING", "BUILDING-set"), ("MACHINERY", "MACHINERY-set"), ("AUTOMOBILE", "a"), ("AUTOMOBILE", "b"))))
+    name, ambiguous = A.only_match(listed, F.col("c_mktsegment"))
+    return table(spark, root, "customer").select("c_custkey", name.alias("dataset"), ambiguous.alias("ambiguous"))
+
+
+@query("r06_accepted_matches", "SELECT p_brand, array_to_string(list_sort(list_distinct(list_concat(['self', p_brand], CASE WHEN p_size > 25 THEN ['wide', 'self'] ELSE [] END))), ',') AS accepted FROM (SELECT p_brand, max(p_size) AS p_size FROM part GROUP BY p_brand)")
+def r06(spark, root):
+    brands = table(spark, root, "part").groupBy("p_brand").agg(F.max("p_size").alias("p_size"))
+    more = F.when(F.col("p_size") > 25, F.array(F.lit("wide"), F.lit("self"))).otherwise(F.array().cast("array<string>"))
+    return brands.select("p_brand", F.array_join(F.array_sort(F.array_union(F.array(F.lit("self"), "p_brand"), more)), ",").alias("accepted"))
+
+
+@query("r15_metadata_upsert", "WITH o AS (SELECT event_id, user_id, event_type FROM events WHERE event_type = 'click'), n AS (SELECT event_id, user_id, 'changed' AS event_type FROM events WHERE event_id % 4 = 0) SELECT * FROM n UNION ALL SELECT * FROM o WHERE event_id NOT IN (SELECT event_id FROM n)")
+def r15(spark, root):
+    ev = table(spark, root, "events").select("event_id", "user_id", "event_type")
+    return entries.upsert(ev.filter("event_type = 'click'"), ev.filter("event_id % 4 = 0").withColumn("event_type", F.lit("changed")), ["event_id"])
+
+
+@query("s08_external_metadata", f"WITH {META} SELECT id, insdc_accession_base AS base, ncbi_source_db AS source FROM m")
+def s08(spark, root):
+    lines = _m(spark, root).select(F.to_json(F.struct("id", F.struct(F.col("insdc_accession_base").alias("base"), F.col("ncbi_source_db").alias("source")).alias("externalMetadata"))).alias("value"))
+    return lines.select(F.from_json("value", "id string, externalMetadata struct<base:string,source:string>").alias("r")).select("r.id", "r.externalMetadata.base", "r.externalMetadata.source")
+
+
+@query("t01_tumbling_windows", "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def t01(spark, root):
+    return table(spark, root, "events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.date_format("w.start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n")
+
+
+@query("t04_next_states", f"WITH {VIEW} SELECT status, CASE status WHEN 'RECEIVED' THEN 'IN_PROCESSING' WHEN 'IN_PROCESSING' THEN 'PROCESSED' WHEN 'PROCESSED' THEN 'APPROVED_FOR_RELEASE' END AS next, count(*) AS n FROM v GROUP BY ALL")
+def t04(spark, root):
+    return _v(spark, root).groupBy("status", state.next_state(F.col("status")).alias("next")).agg(F.count("*").alias("n"))
+
+
+@query("t14_audit_lines", f"WITH {REL} SELECT approver || ' approved ' || accession || '.' || version AS line FROM r")
+def t14(spark, root):
+    return state.audit_lines(_r(spark, root), F.col("approver"), "approved").select("line")
+
+
+@query("t16_snapshot", f"WITH {P}, c AS (SELECT pipeline_version, count(*) AS n, count(*) FILTER (processing_status = 'PROCESSED') AS done FROM p GROUP BY 1) SELECT max(pipeline_version) AS pipeline_version FROM c WHERE done * 10 >= n * 9")
+def t16(spark, root):
+    done = F.count_if(F.col("processing_status") == "PROCESSED")
+    versions = _p(spark, root).groupBy("pipeline_version").agg(F.count("*").alias("n"), done.alias("done"))
+    return versions.filter("done * 10 >= n * 9").agg(F.max("pipeline_version").alias("pipeline_version"))
+
+
+@query("u03_recursive_union", "WITH RECURSIVE t AS (SELECT p_partkey AS id, p_partkey // 10 AS parent FROM part), c(id) AS (SELECT id FROM t WHERE id > 150 UNION SELECT t.parent FROM c JOIN t ON t.id = c.id WHERE t.parent <> t.id) SELECT id FROM c")
+def u03(spark, root):
+    from helixmill.operators import hierarchy
+
+    tree = table(spark, root, "part").select(F.col("p_partkey").alias("id"), F.floor(F.col("p_partkey") / 10).alias("parent"))
+    start = tree.filter("id > 150").select(F.col("id").alias("node"))
+    return hierarchy.closure(tree, "id", "parent").join(start, "node", "left_semi").select(F.col("ancestor").alias("id")).distinct()
+
+
+@query("w08_unique_ids", "SELECT doc_id, CASE WHEN k = 1 THEN accession ELSE accession || '_' || k END AS unique_id FROM (SELECT doc_id, accession, row_number() OVER (PARTITION BY accession ORDER BY doc_id) AS k FROM documents WHERE accession IS NOT NULL)")
+def w08(spark, root):
+    docs = table(spark, root, "documents").filter("accession is not null").select("doc_id", "accession")
+    return state.unique_ids(docs, "accession", "doc_id").select("doc_id", "unique_id")
+
+
+@query("x09_author_helpers")
+def x09(spark, root):
+    return _m(spark, root).filter("authors is not null").select("id", X.check_authors(F.col("authors"))["error"].alias("error")).filter("error is not null")
+
+
+@query("x19_common_name", "WITH RECURSIVE t AS (SELECT p_partkey AS id, p_partkey // 10 AS parent FROM part), k AS (SELECT p_partkey AS id, p_type AS name FROM part WHERE p_partkey % 7 = 0), c(node, ancestor, d) AS (SELECT id, id, 0 FROM t UNION ALL SELECT c.node, t.parent, c.d + 1 FROM c JOIN t ON t.id = c.ancestor WHERE t.parent <> t.id) SELECT c.node, arg_min(k.name, c.d) AS name FROM c JOIN k ON k.id = c.ancestor GROUP BY c.node")
+def x19(spark, root):
+    from helixmill.operators import hierarchy
+
+    tree = table(spark, root, "part").select(F.col("p_partkey").alias("id"), F.floor(F.col("p_partkey") / 10).alias("parent"), F.when(F.col("p_partkey") % 7 == 0, F.col("p_type")).alias("name"))
+    return hierarchy.nearest_with(tree, "id", "parent", "name").join(tree.select(F.col("id").alias("node")), "node", "left_semi")
+
+
+@query("x22_x23_field_levels", "SELECT * FROM (VALUES ('date', 0), ('country', 0), ('name', 1), ('title', 2)) t(field, level)")
+def x22(spark, root):
+    levels = M.field_order({"title": ["processed.name"], "name": ["processed.date", "processed.country"], "date": ["d"], "country": ["c"]})
+    return spark.createDataFrame([(f, k) for k, fields in enumerate(levels) for f in fields], "field string, level int")
+
+
+_LABELED = "SELECT DISTINCT accession, version, k, s FROM (SELECT accession, version, k, unnest(from_json(json_extract(mutations, '$.\"' || k || '\".labeledSubstitutions'), '[\"JSON\"]')) AS s FROM (SELECT *, unnest(json_keys(mutations)) AS k FROM mutations_from_founder_clade WHERE json_valid(mutations) AND mutations LIKE '{%') WHERE json_type(mutations, '$.\"' || k || '\".labeledSubstitutions') = 'ARRAY') WHERE json_type(s) = 'OBJECT'"
+
+
+@query("x34_labelled_mutations", f"SELECT accession, version, k || ':' || json_extract_string(s, '$.substitution.refAa') || json_extract_string(s, '$.substitution.pos') || json_extract_string(s, '$.substitution.qryAa') AS mutation FROM ({_LABELED}) GROUP BY ALL")
+def x34(spark, root):
+    rows = table(spark, root, "mutations_from_founder_clade").filter(F.try_parse_json("mutations").isNotNull() & F.startswith("mutations", F.lit("{"))).select("accession", "version", "mutations").distinct()
+    return A.labelled_substitutions(rows, ["accession", "version"], "mutations").select("accession", "version", F.concat("cds", F.lit(":"), "ref", "pos", "qry").alias("mutation")).distinct()
+
+
 QUERIES, SQL = query.queries, query.sql

@@ -100,3 +100,29 @@ def dump_fields(line: Column, columns: Sequence[str]) -> list[Column]:
 def read_dump(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
     """Dump files as in :func:`dump_fields`."""
     return spark.read.text(path).select(*dump_fields(F.col("value"), columns))
+
+
+def read_zipped_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(value): lines of zip files that hold one file each; other codecs are read by the text source itself."""
+    import io
+    import zipfile
+
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            for content in batch.column(0).to_pylist():
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    names = [n for n in z.namelist() if not n.endswith("/")]
+                    if len(names) != 1:
+                        raise ValueError(f"a zip file of one entry is expected, found {len(names)}")
+                    lines: list[str] = []
+                    with z.open(names[0]) as f:
+                        for line in io.TextIOWrapper(f, "utf-8"):
+                            lines.append(line.rstrip("\r\n"))
+                            if len(lines) == 10_000:
+                                yield pa.RecordBatch.from_arrays([pa.array(lines)], names=["value"])
+                                lines = []
+                    yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=["value"])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "value string")

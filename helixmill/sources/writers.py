@@ -40,3 +40,19 @@ def flat_file(accession: Column, version: Column, description: Column, sequence:
     """A flat-file entry: id line, sequence, end mark."""
     head = F.concat(F.lit("ID   "), accession, F.lit("; SV "), version.cast("string"), F.lit("; "), description)
     return F.concat_ws("\n", head, F.concat(F.lit("SQ   "), sequence), F.lit("//"))
+
+
+#: Entries that one archive may hold.
+ARCHIVE_ENTRIES = 500
+
+
+def archive_entries(df: DataFrame, key: Sequence[str], limit: int = ARCHIVE_ENTRIES) -> DataFrame:
+    """The first entries by key, as many as an archive may hold."""
+    return df.orderBy(*key).limit(limit)
+
+
+def write_archive(df: DataFrame, path: str, header: Sequence[str], metadata: str, sequence: str, key: Sequence[str]) -> None:
+    """A folder with the metadata table and the sequences of at most :data:`ARCHIVE_ENTRIES` entries."""
+    rows = archive_entries(df, key)
+    write_text(tsv_lines(rows, header, metadata, metadata_keys(rows, metadata)), f"{path}/metadata")
+    write_text(fasta_records(rows, header, sequence), f"{path}/sequences")

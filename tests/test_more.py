@@ -72,3 +72,42 @@ def test_insertions_and_lists(spark):
 def test_dump_fields(spark):
     df = spark.createDataFrame([("7\t|\tname one\t|\t\t|",)], "value string")
     assert tuple(df.select(*readers.dump_fields(F.col("value"), ["id", "name", "rest"])).first()) == ("7", "name one", None)
+
+
+def test_zip_and_gzip(spark, tmp_path):
+    import gzip
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("m.tsv", "id\tx\r\na\t1\n")
+    assert [r.value for r in readers.read_zipped_lines(spark, str(tmp_path / "a.zip")).collect()] == ["id\tx", "a\t1"]
+    with gzip.open(tmp_path / "m.tsv.gz", "wt") as f:
+        f.write('id\tx\na\t"q\n')
+    assert [tuple(r) for r in readers.read_tsv(spark, str(tmp_path / "m.tsv.gz"), quoted=False).collect()] == [("a", '"q')]
+
+
+def test_archive(spark, tmp_path):
+    from helixmill.sources import writers
+
+    df = spark.createDataFrame([(k, {"c": f"v{k}"}, "AC") for k in range(510)], "id int, m map<string,string>, seq string")
+    writers.write_archive(df, str(tmp_path / "out"), ["id"], "m", "seq", ["id"])
+    assert spark.read.text(str(tmp_path / "out" / "metadata")).count() == writers.ARCHIVE_ENTRIES
+    assert spark.read.text(str(tmp_path / "out" / "sequences")).count() == 2 * writers.ARCHIVE_ENTRIES
+
+
+def test_unique_ids(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "n string, o int")
+    assert sorted(r.unique_id for r in state.unique_ids(df, "n", "o").collect()) == ["a", "a_2", "b"]
+
+
+def test_windowed_stream(spark, tmp_path):
+    from datetime import datetime
+
+    from helixmill.streaming import poll
+
+    src = str(tmp_path / "ev")
+    spark.createDataFrame([(datetime(2024, 1, 1, 0, m), "a") for m in (1, 2, 40)] + [(datetime(2024, 1, 2), "a")], "ts timestamp, kind string").write.parquet(src)
+    stream = poll.windowed_counts(poll.new_records(spark, src, spark.read.parquet(src).schema), "ts", "kind", "30 minutes", "10 minutes")
+    poll.process_available(stream, str(tmp_path / "o"), str(tmp_path / "c")).awaitTermination(90)
+    got = {r.start.minute: r.n for r in spark.read.parquet(str(tmp_path / "o")).collect()}
+    assert got == {0: 2, 30: 1}
