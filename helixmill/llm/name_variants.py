@@ -8,7 +8,10 @@ is put into tries, and every own part is run over the tries of its shards by a
 Levenshtein automaton that counts a transposition of neighbours as one error.
 Which part of a person's name is the surname is told by all names together:
 words that follow commas after many different surnames are given names, so
-that reordered parts fall into place.  Pairs of close own parts are names of
+that reordered parts fall into place.  However rare its words are, a name of
+two parts also stands under its other order (a turned reading); it meets the
+names read as they are where both swapped parts agree as full words within one
+error or as short forms.  Pairs of close own parts are names of
 one entity if the rest agrees: initials, short forms, nicknames and missing
 middle initials do; other given names or kinds do not.
 
@@ -21,7 +24,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import pandas as pd
 import pyarrow as pa
@@ -271,6 +274,26 @@ def parse_person(name: str, given: set[str]) -> tuple[list[str], str, list[str],
     return keys, flat[0] if flat else "", [f[0] for f in flat[1:]], nick
 
 
+def turned_readings(name: str, keys: list[str], given: str) -> list[tuple[list[str], str, list[str]]]:
+    """(surname keys, given name, middle initials) of a name of two full parts in the orders other than the one read."""
+    text = re.sub(r"\s[\"“][^\"”]+[\"”]", "", _TITLE.sub("", " ".join(name.replace("\xa0", " ").split())))
+    first, sep, second = text.partition(",")
+    sides = [first.split(), second.split()] if sep else [[w] for w in text.split()]
+    middle = [c for side in sides for w in side for c in _initials(w) or ()]
+    full = [[w for w in side if _initials(w) is None] for side in sides]
+    full = [side for side in full if fold(" ".join(side))]
+    if len(full) != 2 or any(w.endswith(".") for side in full for w in side):
+        return []
+    out = []
+    for own, rest in (full, full[::-1]):
+        surname = " ".join(own)
+        got = [_own(surname), *([_own(surname.split("-")[0])] if "-" in surname else [])]
+        word = fold(rest[0])
+        if word and got[0] and (got[0] != keys[0] or word != given):
+            out.append((got, word, [fold(w)[:1] for w in rest[1:]] + middle))
+    return out
+
+
 @lru_cache(1 << 16)
 def _fulls(word: str) -> frozenset[str]:
     """The given names that a word may stand for."""
@@ -314,6 +337,16 @@ def same_person(a: tuple[str, str, str], b: tuple[str, str, str], errors: int =
     return same_given(a[0], b[0], errors) or bool(a[2] and same_given(a[2], b[0], errors)) or bool(b[2] and same_given(a[0], b[2], errors))
 
 
+def same_turned(a: tuple[str, str, str], b: tuple[str, str, str]) -> bool:
+    """(given, middle initials, nickname) of a turned reading and another: full words within one error, or short forms."""
+    x, y = a[0], b[0]
+    if min(len(x), len(y)) < 2 or x.endswith(".") or y.endswith("."):
+        return False
+    if a[1] and b[1] and not (a[1].startswith(b[1]) or b[1].startswith(a[1])):
+        return False
+    return x == y or (min(len(x), len(y)) >= MIN_KEY and osa(x, y, 1) <= 1) or bool(_fulls(x) & _fulls(y))
+
+
 def first_letters(given: str, nick: str) -> list[str]:
     """Initials under which a given name may be met; names of one person share one."""
     out = {f[0] for w in (given.rstrip("."), nick) if w for f in _fulls(w)}
@@ -335,7 +368,10 @@ def given_names(names: DataFrame, name: str, *, least: int = 3) -> DataFrame:
 
 
 def person_parts(names: DataFrame, name: str) -> DataFrame:
-    """(name, key, rest) of each distinct person name; a name with a double surname has two keys."""
+    """(name, turn, key, rest) of each distinct person name; a name with a double surname has two keys.
+
+    ``turn`` is 0 for the name as it is read and numbers its turned readings from 1.
+    """
     base = cut_lineage(spread(names.select(name).filter(F.length(F.trim(F.col(name))) > 0).distinct()))
 
     @F.pandas_udf("array<string>")
@@ -351,11 +387,13 @@ def person_parts(names: DataFrame, name: str) -> DataFrame:
             for n, g in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 got = parse_person(n, set(g or ()))
                 if got:
-                    rows += [(n, k, got[1], "".join(got[2]), got[3]) for k in dict.fromkeys(got[0]) if k]
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], names=["name", "key", "given", "middle", "nick"])
+                    readings = [got[:3], *turned_readings(n, got[0], got[1])]
+                    rows += [(n, t, k, r[1], "".join(r[2]), got[3]) for t, r in enumerate(readings) for k in dict.fromkeys(r[0]) if k]
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
+            kinds = [pa.string(), pa.int32(), *[pa.string()] * 4]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["name", "turn", "key", "given", "middle", "nick"])
 
-    return base.join(has, name, "left").select(name, "given").mapInArrow(run, "name string, key string, given string, middle string, nick string")
+    return base.join(has, name, "left").select(name, "given").mapInArrow(run, "name string, turn int, key string, given string, middle string, nick string")
 
 
 def organisation_parts(names: DataFrame, name: str) -> DataFrame:
@@ -386,13 +424,16 @@ def parse_organisation(text: str) -> tuple[str, str]:
     return institution_key(bare)
 
 
-def _linked(parts: DataFrame, same: list[str], agree) -> DataFrame:
-    """Links of names whose keys are equal or close and whose rests agree."""
+def _close_keys(parts: DataFrame) -> DataFrame:
+    """(key_a, key_b): equal or close keys, key_a <= key_b."""
     keys = cut_lineage(parts.select("key").distinct())
-    near = trie_join(keys)
-    pairs = cut_lineage(keys.select(F.col("key").alias("key_a"), F.col("key").alias("key_b")).unionAll(near))
+    return cut_lineage(keys.select(F.col("key").alias("key_a"), F.col("key").alias("key_b")).unionAll(trie_join(keys)))
+
+
+def _linked(parts: DataFrame, others: DataFrame, pairs: DataFrame, same: list[str], agree) -> DataFrame:
+    """Links of names of ``parts`` and ``others`` whose keys are among the pairs and whose rests agree."""
     left = parts.select(*(F.col(c).alias(f"{c}_a") for c in parts.columns))
-    right = parts.select(*(F.col(c).alias(f"{c}_b") for c in parts.columns))
+    right = others.select(*(F.col(c).alias(f"{c}_b") for c in others.columns))
     for c in same:  # join columns of equal values
         left, right = left.withColumnRenamed(f"{c}_a", c), right.withColumnRenamed(f"{c}_b", c)
     both = left.join(pairs, "key_a").join(right, ["key_b", *same])
@@ -400,29 +441,41 @@ def _linked(parts: DataFrame, same: list[str], agree) -> DataFrame:
 
 
 def person_variants(names: DataFrame, name: str) -> DataFrame:
-    """(name_a, name_b): pairs of spellings of one person, name_a < name_b by code point."""
-    parts = cut_lineage(person_parts(names, name))
+    """(name_a, name_b): pairs of spellings of one person, name_a < name_b by code point.
+
+    Turned readings are nodes of their own in the components (the number of
+    the reading stands before the name) and are linked only with names as they
+    are read, so that it need not be known which order is the right one.
+    """
+    parts = cut_lineage(person_parts(names, name).withColumn("name", F.concat(F.col("turn").cast("string"), "name")))
 
     @F.pandas_udf("array<string>")
     def letters(given: pd.Series, nick: pd.Series) -> pd.Series:
         return pd.Series([first_letters(g, n) for g, n in zip(given, nick, strict=True)])
 
-    def fits(errors: int):
+    def fits(same):
         @F.pandas_udf("boolean")
         def agree(ga: pd.Series, ma: pd.Series, na: pd.Series, gb: pd.Series, mb: pd.Series, nb: pd.Series) -> pd.Series:
-            return pd.Series([same_person((a, b, c), (d, e, f), errors) for a, b, c, d, e, f in zip(ga, ma, na, gb, mb, nb, strict=True)], dtype=bool)
+            return pd.Series([same((a, b, c), (d, e, f)) for a, b, c, d, e, f in zip(ga, ma, na, gb, mb, nb, strict=True)], dtype=bool)
 
         return agree("given_a", "middle_a", "nick_a", "given_b", "middle_b", "nick_b")
 
     lettered = cut_lineage(parts.withColumn("letter", F.explode(letters("given", "nick"))))
-    links = _linked(lettered, ["letter"], fits(1)).select(F.col("name_a").alias("a"), F.col("name_b").alias("b")).distinct()
-    return _expand(links, parts, fits(2))
+    read, turned = lettered.filter("turn = 0").drop("turn"), lettered.filter("turn > 0").drop("turn")
+    pairs = _close_keys(lettered)
+    either = pairs.unionAll(pairs.filter("key_a <> key_b").select(F.col("key_b").alias("key_a"), F.col("key_a").alias("key_b")))
+    links = _linked(read, read, pairs, ["letter"], fits(same_person)).select("name_a", "name_b")
+    links = links.unionAll(_linked(read, turned, either, ["letter"], fits(same_turned)).select("name_a", "name_b"))
+    links = cut_lineage(links.select(F.col("name_a").alias("a"), F.col("name_b").alias("b")).distinct())
+    found = _expand(links, parts.drop("turn"), fits(partial(same_person, errors=2)))
+    found = found.select(F.expr("substring(name_a, 2)").alias("x"), F.expr("substring(name_b, 2)").alias("y")).filter("x <> y")
+    return found.select(F.least("x", "y").alias("name_a"), F.greatest("x", "y").alias("name_b")).distinct()
 
 
 def organisation_variants(names: DataFrame, name: str) -> DataFrame:
     """(name_a, name_b): pairs of spellings of one organisation, name_a < name_b by code point."""
     parts = cut_lineage(organisation_parts(names, name))
-    links = _linked(parts, ["kind"], F.lit(True)).select(F.col("name_a").alias("a"), F.col("name_b").alias("b")).distinct()
+    links = _linked(parts, parts, _close_keys(parts), ["kind"], F.lit(True)).select(F.col("name_a").alias("a"), F.col("name_b").alias("b")).distinct()
     return _expand(links, parts, F.col("kind_a") == F.col("kind_b"))
 
 

@@ -82,6 +82,13 @@ def test_person_variants(spark):
     assert got == {(a, b) for i, a in enumerate(one) for b in one[i + 1 :]} | {("KODOBOHOT, Yusuf", "Kodobohot, Yusuf")}
 
 
+def test_turned_names_of_rare_words(spark):
+    names = ["Johannes, Rusudolum", "Rusudolum, Johannes", "Rusudolm, Johannes S.", "Rusudolum, J.", "Joyce Fotinivon", "Fotinivon Joyce", "Fotinivon, Joy", "Johannes, Fotinivon", "Rusudolum, Emre"]
+    got = {tuple(r) for r in person_variants(spark.createDataFrame([(n,) for n in names], "item string"), "item").collect()}
+    one, two = sorted(names[:4]), sorted(names[4:7])
+    assert got == {(a, b) for g in (one, two) for i, a in enumerate(g) for b in g[i + 1 :]}
+
+
 def test_organisations(spark):
     assert parse_organisation("Department of Microbiology, Institute of Virology, Duni") == parse_organisation("INST. VIROLOGY DUNI")
     names = ["Bogazimun Institute of Virology", "Bogazimun Virology Institute", "Sequencing Unit, Inst. of Virology, Bogazimn", "Bogazimun General Hospital", "Gen Hospital of Bogazimun", "", None]
