@@ -10,6 +10,11 @@ a window of at least ``MIN_WORDS`` passage words of which at most a quarter is
 altered, added or missing: among 20 words with 5 changes at least 3 runs of
 three words overlap, so no such window is without seeds.
 
+Of a passage that leaks, all places in the document are reported: its runs of
+``MIN_WORDS`` words and all windows that alignments with the whole passage
+give are merged where they overlap, so that a span ends only where the
+quotation does, and further copies are spans of their own.
+
 The passages are fixed test material: they are read in blocks of at most
 ``BLOCK_WORDS`` words, each block's automaton is broadcast and streamed
 against all documents.
@@ -25,6 +30,7 @@ import re
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -82,12 +88,14 @@ class Automaton:
         for state in sorted(range(1, len(self.next)), key=lambda s: -self.length[s]):
             if self.length[self.link[state]] >= SEED:
                 self.ends[self.link[state]] = self.ends[self.link[state]] + self.ends[state]
-        # the shortest state of SEED words or more on the way to the root
+        # the shortest state of SEED (MIN_WORDS) words or more on the way to the root
         self.seed_state = [-1] * len(self.next)
+        self.run_state = [-1] * len(self.next)
         for state in sorted(range(1, len(self.next)), key=lambda s: self.length[s]):
             up = self.link[state]
-            if self.length[state] >= SEED:
-                self.seed_state[state] = self.seed_state[up] if self.seed_state[up] >= 0 else state
+            for of, least in ((self.seed_state, SEED), (self.run_state, MIN_WORDS)):
+                if self.length[state] >= least:
+                    of[state] = of[up] if of[up] >= 0 else state
 
     def _new(self, length: int, own: list[list[tuple[int, int]]]) -> int:
         self.next.append({})
@@ -124,13 +132,14 @@ class Automaton:
 
     # -------------------------------------------------------------- matching
 
-    def leaks(self, words: list[str]) -> list[tuple[int, int, int, int]]:
-        """(passage id, first word, last word, passage words covered) of each leak, one a passage."""
+    def leaks(self, words: list[str]) -> list[tuple[int, int, int, int, float]]:
+        """(passage id, first word, last word, passage words covered, their share of the passage) of each span of each leak."""
         ids = [self.vocabulary.get(w, -1) for w in words]
         nxt, link, length, seed_state = self.next, self.link, self.length, self.seed_state
         state, n = 0, 0
         seeds: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        found: dict[int, tuple[int, int, int]] = {}
+        # the last words of the runs of MIN_WORDS words, by passage
+        runs: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for j, w in enumerate(ids):
             if w < 0:
                 state, n = 0, 0
@@ -144,27 +153,69 @@ class Automaton:
             if n < SEED:
                 continue
             if n >= MIN_WORDS:
-                longest = state
-                while length[link[longest]] >= n:
-                    longest = link[longest]
-                for k, _ in self.ends[longest]:
-                    if n > found.get(k, (0, 0, 0))[2]:
-                        found[k] = (j - n + 1, j, n)
+                for k, at in self.ends[self.run_state[state]]:
+                    runs[k].append((j, at))
             s = seed_state[state]
             for k, at in self.ends[s]:
                 seeds[k].append((j, at))
+        out = []
         for k, hits in seeds.items():
-            if k not in found and (got := self._verify(k, ids, hits)):
-                found[k] = got
-        return [(self.ids[k], *v) for k, v in found.items()]
+            pieces = [(j - MIN_WORDS + 1, j, at - MIN_WORDS + 1, at) for j, at in runs.get(k, ())]
+            if not pieces and (got := self._verify(k, ids, hits)):
+                pieces.append(got)
+            if pieces:
+                size = len(self.words[k])
+                out += [(self.ids[k], first, last, n, n / size) for first, last, n in _merged(pieces + self._further(k, ids, hits))]
+        return out
+
+    def _further(self, k: int, ids: list[int], hits: list[tuple[int, int]]) -> list[tuple[int, int, int, int]]:
+        """The windows of a passage that leaks at all places of the document.
+
+        The text around each seed is aligned with the whole passage and, as in
+        :meth:`_verify`, with the words around; what is found is blotted out
+        and the rest aligned again until no window is left.
+        """
+        item = self.words[k]
+        size, least = len(item), min(MIN_WORDS, len(item))
+        if least < 2 * SEED:
+            return list(self._short(item, ids, hits))
+        allowed = int(least * MAX_CHANGED)
+        need_hits = max(1, (least - allowed) - (SEED - 1) * (allowed + 1))
+        reach = int(least * (1 + MAX_CHANGED)) + 1
+        left, out, tried_to = list(ids), [], -1
+        for x, (j0, i0) in enumerate(hits):
+            if j0 <= tried_to or left[j0] == _BLOT:
+                continue
+            near = []
+            for j, i in islice(hits, x, None):
+                if j - j0 > reach:
+                    break
+                if abs((j - i) - (j0 - i0)) <= allowed + 1:
+                    near.append((j, i))
+            if len(near) < need_hits:
+                continue
+            i_lo, i_hi = min(i for _, i in near), max(i for _, i in near)
+            whole = (0, size, max(0, j0 - int(i0 * (1 + MAX_CHANGED)) - reach), j0 + int((size - i0) * (1 + MAX_CHANGED)) + reach)
+            around = (max(0, i_hi - 2 * least), min(size, i_lo + 2 * least), max(0, j0 - 2 * reach), j0 + 2 * reach)
+            for a0, a1, b0, b1 in (whole, around):
+                while self._enough_common(item[a0:a1], left[b0:b1], least - allowed):
+                    got = [(b0 + j, b0 + to_j, a0 + i, a0 + to_i) for j, to_j, i, to_i in _windows(item[a0:a1], left[b0:b1], least)]
+                    if not got:
+                        break
+                    out += got
+                    for first, last, _, _ in got:
+                        left[first : last + 1] = [_BLOT] * (last + 1 - first)
+            tried_to = max(j for j, _ in near)
+        return out
 
-    def _verify(self, k: int, ids: list[int], hits: list[tuple[int, int]]) -> tuple[int, int, int] | None:
+    def _verify(self, k: int, ids: list[int], hits: list[tuple[int, int]]) -> tuple[int, int, int, int] | None:
+        """(first word, last word, first passage word, last passage word) of a window, the first that is found."""
         item = self.words[k]
         least = min(MIN_WORDS, len(item))
         allowed = int(least * MAX_CHANGED)
         need_hits = max(1, (least - allowed) - (SEED - 1) * (allowed + 1))
         if len(hits) < need_hits or least < 2 * SEED:
-            return self._short(item, ids, hits) if least < 2 * SEED else None
+            return next(self._short(item, ids, hits), None) if least < 2 * SEED else None
         reach = int(least * (1 + MAX_CHANGED)) + 1
         tried_to = -1
         for x, (j0, i0) in enumerate(hits):
@@ -178,8 +229,8 @@ class Automaton:
             b0, b1 = max(0, j0 - 2 * reach), min(len(ids), j0 + 2 * reach)
             if not self._enough_common(item[a0:a1], ids[b0:b1], least - allowed):
                 continue
-            if got := _window(item[a0:a1], ids[b0:b1], least):
-                return b0 + got[0], b0 + got[1], got[2]
+            if got := next(_windows(item[a0:a1], ids[b0:b1], least), None):
+                return b0 + got[0], b0 + got[1], a0 + got[2], a0 + got[3]
             tried_to = max(j for j, _ in near)
         return None
 
@@ -197,16 +248,33 @@ class Automaton:
         return n >= need
 
     @staticmethod
-    def _short(item: list[int], ids: list[int], hits: list[tuple[int, int]]) -> tuple[int, int, int] | None:
+    def _short(item: list[int], ids: list[int], hits: list[tuple[int, int]]) -> Iterator[tuple[int, int, int, int]]:
         for j, i in hits:
-            if i == len(item) - 1 and ids[j - len(item) + 1 : j + 1] == item:
-                return j - len(item) + 1, j, len(item)
-        return None
+            if i == len(item) - 1 and j >= i and ids[j - i : j + 1] == item:
+                yield j - i, j, 0, i
+
 
+#: A word of the text that has been found already.
+_BLOT = -2
+
+
+def _merged(pieces: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int]]:
+    """(first word, last word, passage words covered): the pieces, merged where they share words of the text."""
+    out: list[tuple[int, int, set[int]]] = []
+    for first, last, i, to_i in sorted(pieces):
+        covered = set(range(i, to_i + 1))
+        if out and first <= out[-1][1]:
+            start, end, before = out[-1]
+            out[-1] = (start, max(end, last), before | covered)
+        else:
+            out.append((first, last, covered))
+    return [(first, last, len(covered)) for first, last, covered in out]
 
-def _window(a: list[int], b: list[int], least: int) -> tuple[int, int, int] | None:
-    """A window of the passage part ``a`` that stands, slightly changed, in the text part ``b``.
 
+def _windows(a: list[int], b: list[int], least: int) -> Iterator[tuple[int, int, int, int]]:
+    """Windows of the passage part ``a`` that stand, slightly changed, in the text part ``b``: the longest from each word kept.
+
+    Gives (first word, last word, first passage word, last passage word).
     Local alignment with a gain of one for a word kept and a loss of one for a
     word altered, added or missing; all windows along the best path are tried,
     then the next best path that starts elsewhere.
@@ -255,8 +323,8 @@ def _window(a: list[int], b: list[int], least: int) -> tuple[int, int, int] | No
                     continue
                 changed = cost[y] - cost[x] + wide - size
                 if changed <= MAX_CHANGED * wide:
-                    return matched[x][1], matched[y][1], size
-    return None
+                    yield matched[x][1], matched[y][1], matched[x][0], matched[y][0]
+                    break
 
 
 # ------------------------------------------------------------------ operators
@@ -279,9 +347,12 @@ def _blocks(items: DataFrame, item_key: str, passage: str) -> Iterator[list[tupl
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, *, text: str, key: str, passage: str, item_key: str) -> DataFrame:
-    """(key, item_key, begin, end, n_words): each document and passage it leaks, with the place in the text."""
+    """(key, item_key, begin, end, n_words, coverage): each document and passage it leaks, with every place in the text.
+
+    ``n_words`` passage words are covered by the place, the share ``coverage`` of the passage.
+    """
     spark = docs.sparkSession
-    out_schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, `{item_key}` {items.schema[item_key].dataType.simpleString()}, begin int, end int, n_words int"
+    out_schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, `{item_key}` {items.schema[item_key].dataType.simpleString()}, begin int, end int, n_words int, coverage double"
     parts = []
     for block in _blocks(items, item_key, passage):
         shared = spark.sparkContext.broadcast(block)
@@ -294,10 +365,10 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, text: str, key: str, passag
                     if not t:
                         continue
                     words, spans = words_with_spans(t)
-                    rows += [(k, i, spans[a][0], spans[b][1], n) for i, a, b, n in automaton.leaks(words)]
+                    rows += [(k, i, spans[a][0], spans[b][1], n, share) for i, a, b, n, share in automaton.leaks(words)]
                 if rows:
                     cols = list(zip(*rows, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(cols[0], batch.column(0).type), pa.array(cols[1]), *(pa.array(c, pa.int32()) for c in cols[2:])], names=[key, item_key, "begin", "end", "n_words"])
+                    yield pa.RecordBatch.from_arrays([pa.array(cols[0], batch.column(0).type), pa.array(cols[1]), *(pa.array(c, pa.int32()) for c in cols[2:5]), pa.array(cols[5], pa.float64())], names=[key, item_key, "begin", "end", "n_words", "coverage"])
 
         parts.append(docs.select(key, text).mapInArrow(run, out_schema))
     if not parts:
@@ -308,8 +379,14 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, text: str, key: str, passag
     return out
 
 
-def remove_leaks(docs: DataFrame, leaks: DataFrame, *, text: str, key: str) -> DataFrame:
-    """The documents with the spans found by :func:`find_leaks` cut out; others stay as they are."""
+def remove_leaks(docs: DataFrame, leaks: DataFrame, *, text: str, key: str, least_words: int = MIN_WORDS - MAX_EDGE, least_coverage: float = 1 - MAX_CHANGED) -> DataFrame:
+    """The documents with the spans found by :func:`find_leaks` cut out; others stay as they are.
+
+    A span is cut if it covers at least ``least_words`` words of its passage
+    or the share ``least_coverage`` of it.  Every leak reaches one of the
+    limits as they are set.
+    """
+    leaks = leaks.filter((F.col("n_words") >= least_words) | (F.col("coverage") >= least_coverage))
     spans = leaks.groupBy(key).agg(F.array_sort(F.collect_set(F.struct("begin", "end"))).alias("__spans"))
 
     @F.pandas_udf("string")

@@ -10,7 +10,7 @@ from helixmill.llm.address_match import match_addresses, place_pairs
 from helixmill.llm.bpe_encode import encode_corpus
 from helixmill.llm.canonical_map import map_to_canonical
 from helixmill.llm.encoding_repair import restore_encoding
-from helixmill.llm.leak_detection import find_leaks
+from helixmill.llm.leak_detection import find_leaks, remove_leaks
 from helixmill.llm.name_variants import organisation_variants, person_variants
 from helixmill.session import busy, table
 from helixmill.training_queries import author_items
@@ -56,11 +56,18 @@ def p7_found(spark: SparkSession, root: str) -> DataFrame:
     return leaks.select("doc_id", "item_id").distinct()
 
 
+def p7_cleaned(spark: SparkSession, root: str) -> DataFrame:
+    """All documents, those that leak without the passages in them."""
+    docs = busy(table(spark, root, "documents").select("doc_id", "text"))
+    leaks = find_leaks(docs, table(spark, root, "eval_items"), text="text", key="doc_id", passage="passage", item_key="item_id")
+    return remove_leaks(docs, leaks, text="text", key="doc_id").select("doc_id", "text")
+
+
 def p8_found(spark: SparkSession, root: str) -> DataFrame:
     """Garbled documents with the digest of the restored text."""
     restored = restore_encoding(busy(table(spark, root, "documents").select("doc_id", "text")), text="text", key="doc_id")
     return restored.select("doc_id", F.coalesce(F.md5("restored"), F.lit("")).alias("restored_md5")).distinct()
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found, "p7_cleaned": p7_cleaned, "p8_found": p8_found}
 SQL: dict[str, str] = {}

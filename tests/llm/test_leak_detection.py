@@ -64,3 +64,32 @@ def test_operator_and_removal(spark):
     assert left[1].startswith("Before. ") and "W" not in left[1] and left[2] == "nothing" and left[3] is None
     assert find_leaks(docs, items.limit(0), text="text", key="doc_id", passage="passage", item_key="item_id").count() == 0
     assert find_leaks(docs.limit(0), items, text="text", key="doc_id", passage="passage", item_key="item_id").count() == 0
+
+
+def test_all_spans_of_a_passage():
+    p = [f"p{i}" for i in range(80)]
+    rng = random.Random(8)
+    a = Automaton([(1, p)])
+    gap = sentence(rng, 30)
+    assert sorted(x[1:4] for x in a.leaks(gap + p + gap + p + gap)) == [(30, 109, 80), (140, 219, 80)]
+    assert sorted(x[1:4] for x in a.leaks(p + p)) == [(0, 79, 80), (80, 159, 80)]
+    altered = [*p[:29], "altered", *p[30:]]
+    assert [x[1:4] for x in a.leaks(gap + altered + gap)] == [(30, 109, 80)]
+    # an exact part and, far from it, another with changed words
+    changed = [w if i % 6 else "altered" for i, w in enumerate(p[40:70])]
+    assert sorted(x[1:3] for x in a.leaks(gap + p[:25] + gap + changed + gap)) == [(30, 54), (86, 114)]
+
+
+def test_removal_of_all_copies_and_limits(spark):
+    rng = random.Random(9)
+    p = [f"p{i}" for i in range(80)]
+    altered = " ".join([*p[:29], "altered", *p[30:]])
+    rest = " ".join(sentence(rng, 25))
+    docs = spark.createDataFrame([(1, f"{rest} {' '.join(p)} {rest} {altered} {rest}"), (2, f"{rest} {' '.join(p[:24])}")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, " ".join(p))], "item_id long, passage string")
+    found = find_leaks(docs, items, text="text", key="doc_id", passage="passage", item_key="item_id")
+    left = {r.doc_id: r.text for r in remove_leaks(docs, found, text="text", key="doc_id").collect()}
+    assert left == {1: f"{rest}  {rest}  {rest}", 2: f"{rest} "}
+    # 24 of 80 words exceed neither a limit of 30 words nor one of half the passage
+    kept = {r.doc_id: r.text for r in remove_leaks(docs, found, text="text", key="doc_id", least_words=30, least_coverage=0.5).collect()}
+    assert kept == {1: f"{rest}  {rest}  {rest}", 2: f"{rest} {' '.join(p[:24])}"}
