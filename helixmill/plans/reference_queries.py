@@ -641,6 +641,11 @@ def l01(spark, root):
     return first.withColumn("place", F.row_number().over(Window.orderBy("accession", "version")).cast("bigint"))
 
 
+@query("l01_whole_release_order", f"WITH {REL} SELECT accession, version, row_number() OVER (ORDER BY accession, version) AS place FROM r")
+def l01_whole(spark, root):
+    return filters.placed(_r(spark, root).select("accession", "version"), "accession", "version")
+
+
 @query("l02_page", f"WITH {REL} SELECT accession, version FROM r ORDER BY accession, version LIMIT 25 OFFSET 50")
 def l02(spark, root):
     return filters.Page(None, ("accession", "version"), limit=25, offset=50).apply(_r(spark, root).select("accession", "version"))
@@ -1024,6 +1029,15 @@ def t13(spark, root):
     return entries.upsert(o.filter("k % 3 = 0"), o.filter("k % 5 = 0").select("k", F.lit("new").alias("v")), ["k"])
 
 
+@query("t13_whole_upsert", f"WITH {E}, o AS (SELECT accession, max(version) AS version, max_by(submission_id, version) AS submission_id FROM e WHERE released_at IS NOT NULL GROUP BY accession), n AS (SELECT accession, max(version) AS version, max_by(submission_id, version) AS submission_id FROM e WHERE released_at IS NULL GROUP BY accession) SELECT * FROM n UNION ALL SELECT * FROM o WHERE accession NOT IN (SELECT accession FROM n)")
+def t13_whole(spark, root):
+    def newest(rows):
+        return rows.groupBy("accession").agg(F.max("version").alias("version"), F.max_by("submission_id", "version").alias("submission_id"))
+
+    e = _e(spark, root).select("accession", "version", "submission_id", "released_at")
+    return entries.upsert(newest(e.filter("released_at is not null")), newest(e.filter("released_at is null")), ["accession"])
+
+
 @query("r03_release_times", f"WITH {REL}, d AS (SELECT DISTINCT accession FROM documents WHERE accession IS NOT NULL) SELECT r.accession, r.version, strftime(r.released_at, '%Y-%m-%d') AS released FROM r WHERE r.accession IN (SELECT accession FROM d)")
 def r03(spark, root):
     wanted = table(spark, root, "documents").filter("accession is not null").select("accession")

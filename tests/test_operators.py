@@ -226,3 +226,27 @@ def test_stream_takes_what_is_new(spark, tmp_path):
         q.awaitTermination(60)
         assert spark.read.parquet(str(tmp_path / "out")).count() == want
         spark.range(2).write.mode("append").parquet(src)
+
+
+def test_whole_order_has_the_place_of_every_row(spark):
+    rows = [((i * 37) % 501, i % 7) for i in range(501)]
+    got = filters.placed(spark.createDataFrame(rows, "a int, b int"), F.desc("b"), "a").collect()
+    assert [tuple(r) for r in got] == [(*r, n) for n, r in enumerate(sorted(rows, key=lambda r: (-r[1], r[0])), 1)]
+    assert filters.placed(spark.createDataFrame([], "a int"), "a").count() == 0
+
+
+def test_whole_orders_and_upserts_take_all_rows(spark, data_root):
+    import __spark_entry__ as entry
+
+    def rows(name):
+        return entry.queries()[name](spark, data_root).collect()
+
+    def table(name):
+        return spark.read.parquet(f"{data_root}/{name}.parquet")
+
+    released = table("sequence_entries").filter("released_at is not null").select("accession", "version").distinct().count()
+    for name, n in (("l01_whole_release_order", released), ("l05_whole_multi_key_descending", table("orders").count()), ("l07_whole_depth_order", table("part").count())):
+        assert [r.place for r in rows(name)] == list(range(1, n + 1)), name
+    for name, of, key in (("t13_whole_upsert", "sequence_entries", ["accession"]), ("r15_whole_metadata_upsert", "sequence_entries_preprocessed_data", ["accession", "version"])):
+        got = [tuple(r[k] for k in key) for r in rows(name)]
+        assert sorted(got) == sorted(tuple(r) for r in table(of).select(*key).distinct().collect()), name
