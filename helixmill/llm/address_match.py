@@ -7,7 +7,8 @@ over range partitions); neighbours within a window are compared.  Two full
 addresses are one place if the numbers are equal, the kinds of street are
 equal, and city and street agree but for typing errors (edit distance that
 counts a transposition as one).  Records without number or street join the
-building of their institution in the city where there is just one.
+building of their institution in the city where there is just one; for that,
+all buildings of the institution are joined by its name, not those in a window.
 
 Records that are equal after normalising are one row in the passes, so copies
 never fill a window.
@@ -245,8 +246,9 @@ def sorted_neighbours(rows: DataFrame, passes: tuple[list[str], ...], *, window:
             tail = (tail + got)[-window:]
             if found:
                 yield emit(found, [])
-        ids = {r["id"] for r in head}
-        yield emit({}, head + [r for r in tail if r["id"] not in ids])
+        # a row may stand in head and tail under the keys of two passes
+        seen = {(r["__key"], r["id"]) for r in head}
+        yield emit({}, head + [r for r in tail if (r["__key"], r["id"]) not in seen])
 
     out = cut_lineage(ordered.select("__key", *fields).mapInArrow(run, schema))
 
@@ -273,6 +275,39 @@ PASSES = (
 )
 
 
+def buildings_of_institution(open_side: DataFrame, reps: DataFrame, places: DataFrame) -> DataFrame:
+    """(a, place, d): all buildings that a record without number or street may mean.
+
+    The institution is looked up as the record names it and as each record
+    that it was matched with (``open_side``) names it, in the postal code, or in the
+    city where one of the two has no code; ``d`` is the distance of the names.
+    """
+    where = ("inst", "inst_kind", "postal", "city")
+    weak = reps.join(places.filter("not is_full").select("id"), "id").filter("inst <> ''")
+    full = reps.join(places.filter("is_full").select("id", "place"), "id").select(*_FIELDS, "place").distinct()
+    own = weak.select(F.col("id").alias("a"), *where)
+    met = open_side.select("a", F.col("b").alias("id")).join(reps, "id").select("a", *where)
+    named = cut_lineage(own.unionAll(met).distinct())
+    right = full.select(*(F.col(f).alias(f"b_{f}") for f in _FIELDS), "place")
+    same = (F.col("inst") == F.col("b_inst")) & (F.col("inst_kind") == F.col("b_inst_kind"))
+    coded = named.filter("postal <> ''").join(right, same & (F.col("postal") == F.col("b_postal")))
+    uncoded = named.join(right, same & (F.col("city") == F.col("b_city"))).filter("postal = '' or b_postal = ''")
+    pairs = coded.unionAll(uncoded).select("a", "place", *(f"b_{f}" for f in _FIELDS)).distinct()
+    pairs = pairs.join(weak.select(F.col("id").alias("a"), *(F.col(f).alias(f"a_{f}") for f in _FIELDS)), "a")
+
+    def check(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            got = []
+            for r in batch.to_pylist():
+                x, y = ({f: r[f"{side}_{f}"] for f in _FIELDS} for side in "ab")
+                if same_place(x, y) == "inst":
+                    got.append((r["a"], r["place"], osa(x["inst"], y["inst"], 2)))
+            cols = list(zip(*got, strict=True)) if got else [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32())], names=["a", "place", "d"])
+
+    return pairs.mapInArrow(check, "a long, place long, d int").groupBy("a", "place").agg(F.min("d").alias("d"))
+
+
 def match_addresses(df: DataFrame, **columns: str) -> DataFrame:
     """(id, place) of each record that shares its building with another one."""
     rows = cut_lineage(resolve_cities(cut_lineage(parse_addresses(spread(df.distinct()), **columns))).filter("city <> '' or postal <> ''").distinct())
@@ -288,9 +323,9 @@ def match_addresses(df: DataFrame, **columns: str) -> DataFrame:
     # records that lack number or street: the buildings of their institution
     weak = found.filter("how = 'inst'")
     weak = weak.select("a", "b", "inst_distance").unionAll(weak.select(F.col("b").alias("a"), F.col("a").alias("b"), "inst_distance"))
-    sides = weak.join(places.select(F.col("id").alias("a"), F.col("is_full").alias("a_full")), "a").join(places.select(F.col("id").alias("b"), F.col("is_full").alias("b_full"), "place"), "b")
+    sides = weak.join(places.select(F.col("id").alias("a"), F.col("is_full").alias("a_full")), "a").join(places.select(F.col("id").alias("b"), F.col("is_full").alias("b_full")), "b")
     open_side = sides.filter("not a_full")
-    to_full = open_side.filter("b_full").groupBy("a", "place").agg(F.min("inst_distance").alias("d"))
+    to_full = cut_lineage(buildings_of_institution(open_side, reps, places))
     best = to_full.groupBy("a").agg(F.min("d").alias("d"))
     unique = to_full.join(best, ["a", "d"]).groupBy("a").agg(F.count("*").alias("n"), F.min("place").alias("b")).filter("n = 1").select("a", "b")
     among = open_side.filter("not b_full and inst_distance <= 1").select("a", "b")

@@ -51,6 +51,19 @@ def test_cases(spark):
     assert got == {(1, 2), (1, 3), (2, 3), (5, 6)}
 
 
+def test_a_building_with_many_spellings_does_not_hide_another(spark):
+    street = "aldermeadow"
+    spellings = [street, *(street[:k] + "x" + street[k + 1 :] for k in range(2, 10)), *(street[:k] + "q" + street[k + 1 :] for k in range(2, 10))]
+    data = [(i, "Alpha Research Centre", f"11 {w} Street", None, "10061", "Munusehul", "Kenya") for i, w in enumerate(spellings)]
+    # buildings elsewhere, which end each sort order
+    data += [(200 + i, "Zeta Research Centre", f"{9901 + i} Zzulvz Street", None, "99999", "Zzorok", "Kenya") for i in range(15)]
+    weak = (98, "Alpha Research Centre", "P.O. Box", None, "10061", "Munusehul", "Kenya")
+    building = {(a, b) for a in range(len(spellings)) for b in range(a + 1, len(spellings))}
+    assert pairs(spark, [*data, weak]) == building | {(i, 98) for i in range(len(spellings))}
+    other = (99, "Alpha Research Centre", "95 Zelkovay Lane", None, "10061", "Munusehul", "Kenya")
+    assert pairs(spark, [*data, weak, other]) == building
+
+
 def test_empty(spark):
     assert pairs(spark, []) == set()
 
