@@ -1,10 +1,14 @@
 """Several values packed in one field: split into one value per row.
 
-The delimiter is inferred in two passes.  The first pass scores every
-candidate split of every value on the regularity of its pieces (do they look
-like the values this field holds?) and counts, for each source, which
-candidates win; the second pass breaks the ties of single values by the share
-of the candidate in the source, i.e. by how consistently the source uses it.
+The delimiter is inferred per source.  One pass over the values cuts each by
+every candidate delimiter and rates how regular the pieces are (do they look
+like the values this field holds?).  For each source, and within it for each
+set of separators that a value holds, the candidates are scored over all
+values: how consistent their piece counts are, how regular the types of their
+pieces, and how often they apply.  A value takes the candidate with the best
+sum of its own regularity and the score of its source, so that a source
+decides where a value alone leaves it open, and a value that breaks the habit
+of its source is still read by its pieces.  Sources may mix conventions.
 
 Defined results: null, blank and separator-only fields give no row; empty
 places are not counted; quotes that enclose a value are removed and doubled
@@ -17,10 +21,13 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from helixmill.session import cut_lineage
 
@@ -44,6 +51,8 @@ def _json_list(text: str) -> list[str] | None:
 
 def _segments(text: str, quote_chars: str) -> list[tuple[str, bool]]:
     """Cut text into (piece, quoted); a quote protects only where a value begins and ends."""
+    if not any(q in text for q in quote_chars):
+        return [(text, False)]
     out: list[tuple[str, bool]] = []
     plain: list[str] = []
     i, n, at_start = 0, len(text), True
@@ -113,11 +122,13 @@ COLLECTIVE_WORDS = (
     "alliance", "collaboration", "collaborative", "foundation", "museum", "school", "college", "faculty", "unit",
     "task force", "study", "investigators", "authority", "council", "commission", "office", "bureau", "panel",
 )
-_COLLECTIVE = re.compile(rf"\b(?:{'|'.join(COLLECTIVE_WORDS)})\b", re.I)
+_COLLECTIVE = frozenset(COLLECTIVE_WORDS)
+_TOKEN = re.compile(r"\w+")
 _SUBUNIT = re.compile(r"^(?:[\w\-]+\s+)?(?:unit|panel|branch|section|division|core|team|group|wing|node|chapter)(?:\s+\w+)?$", re.I)
 _CONJ = re.compile(r"\s+(?:[Aa]nd|AND|&|und|et|y)\s+|\s+(?:[Aa]nd|AND|&)\s*$|^\s*(?:[Aa]nd|AND|&)\s+")
 
 
+@lru_cache(1 << 17)
 def person_pair(piece: str) -> bool:
     """``Surname, Given`` in one piece."""
     a, sep, b = piece.partition(",")
@@ -129,13 +140,17 @@ def is_person(piece: str) -> bool:
     return person_pair(piece) or (("," not in piece) and bool(_FULL.match(piece)))
 
 
+@lru_cache(1 << 17)
 def is_collective(piece: str) -> bool:
     """A collective or an institution."""
-    return bool(_COLLECTIVE.search(piece))
+    low = piece.lower()
+    return not _COLLECTIVE.isdisjoint(_TOKEN.findall(low)) or "task force" in low
 
 
 def _split_conj(piece: str) -> list[str]:
     """Cut at conjunctions between persons; a collective keeps its own ones."""
+    if not any(c in piece for c in ("&", "nd", "ND", "et", "y")):
+        return [piece.strip(" ,") or piece]
     parts = [p.strip(" ,") for p in _CONJ.split(piece)]
     parts = [p for p in parts if p]
     if len(parts) < 2:
@@ -198,22 +213,25 @@ def is_person_with_initial(piece: str) -> bool:
     return bool(re.search(r"\b[^\W\d_]\.", piece))
 
 
+@lru_cache(1 << 17)
+def _author_worth(p: str) -> float:
+    """How surely a piece is one person or one collective."""
+    whole = not any(c in p for c in _STRONG)
+    if is_collective(p):
+        return 1.0 if whole else 0.3
+    if not whole:
+        return 0.0
+    if person_pair(p):
+        a, _, b = p.partition(",")
+        # a given name of one word (and initials) is surer than one of two words
+        sure = bool(_ONE_GIVEN.match(b.strip())) and (len(a.split()) == 1 or len(a.split()[0]) == 1 or bool(_IS_PARTICLE.match(a.split()[0])) or bool(_INITIAL_ONLY.match(b.strip())))
+        return 1.0 if sure else 0.55
+    return 0.98 if "," not in p and _FULL.match(p) else 0.0
+
+
 def _author_regularity(pieces: list[str]) -> float:
     """Share of pieces that are one person or one collective."""
-    if not pieces:
-        return 0.0
-    good = 0.0
-    for p in pieces:
-        if is_collective(p):
-            good += 0.3 if re.search(r"[;|\t\r\n]", p) else 1.0
-        elif person_pair(p):
-            a, _, b = p.partition(",")
-            # a given name of one word (and initials) is surer than one of two words
-            sure = bool(_ONE_GIVEN.match(b.strip())) and (len(a.split()) == 1 or len(a.split()[0]) == 1 or bool(_IS_PARTICLE.match(a.split()[0])) or bool(_INITIAL_ONLY.match(b.strip())))
-            good += 1.0 if sure else 0.55
-        elif "," not in p and _FULL.match(p):
-            good += 0.98
-    return good / len(pieces)
+    return sum(map(_author_worth, pieces)) / len(pieces) if pieces else 0.0
 
 
 _IS_PARTICLE = re.compile(rf"^{_PARTICLE}$", re.I)
@@ -243,100 +261,175 @@ def _id_regularity(pieces: list[str]) -> float:
     return good / shapes
 
 
-FieldKind = tuple[str, Callable[[str], dict[str, list[str]]], Callable[[list[str]], float]]
+@lru_cache(1 << 17)
+def _author_type(p: str) -> str:
+    return "collective" if is_collective(p) else "pair" if person_pair(p) else "full" if "," not in p and _FULL.match(p) else "other"
+
 
-#: What a field holds: the quotes it uses, its candidate splits, the regularity of pieces.
+FieldKind = tuple[str, Callable[[str], dict[str, list[str]]], Callable[[list[str]], float], Callable[[str], str]]
+
+#: What a field holds: the quotes it uses, its candidate splits, the regularity of pieces, the type of a piece.
 KINDS: dict[str, FieldKind] = {
-    "person": ('"', _author_candidates, _author_regularity),
-    "id": (_QUOTES, _id_candidates, _id_regularity),
+    "person": ('"', _author_candidates, _author_regularity, _author_type),
+    "id": (_QUOTES, _id_candidates, _id_regularity, _shape),
 }
 
 
 # ---------------------------------------------------------------- one value
 
+#: Weight of the source's score beside the regularity (up to 1) of the value's own pieces.
+SOURCE_WEIGHT = 0.1
 
-def _scored(text: str, kind: FieldKind, prior: dict[str, float]) -> tuple[str, list[str]]:
-    best = ("none", [], (-1.0, 0.0, 0))
-    for name, pieces in kind[1](text).items():
-        if not pieces:
-            return "empty", []
-        key = (round(kind[2](pieces), 3), prior.get(name, 0.0), len(pieces))
-        if key > best[2]:
-            best = (name, pieces, key)
-    return best[0], best[1]
+#: (candidate delimiter, pieces, regularity)
+Candidate = tuple[str, list[str], float]
 
+_EDGES = " \t\r\n,;|/&"
+_LEADING_AND = re.compile(r"^(?:and|&)\s+|\s+(?:and|&)$", re.I)
+_HELD = (";", "|", "\t", "\n", "\r", " / ", " & ", " and ", '"', "'")
 
-def split_value(text: str | None, kind_name: str, prior: dict[str, float] | None = None) -> tuple[str, list[str]]:
-    """The winning candidate and the values of one field."""
+
+def _bare(p: str) -> str:
+    """Without commas and blanks at its ends."""
+    while p and (p[0] == "," or p[-1] == "," or p[0].isspace() or p[-1].isspace()):
+        p = p.strip(",").strip()
+    return p
+
+
+def _tidy(pieces: list[str]) -> list[str]:
+    trimmed = (p.strip(" \t\r\n;|") for p in pieces)
+    return [t for p in trimmed if p.strip(" \t\r\n,;|/") and (t := _bare(p))]
+
+
+def separators_held(text: str) -> str:
+    """The separators that a value holds, commas by their number: what its writer had to choose from."""
+    low = text.lower()
+    return "".join(s for s in _HELD if s in low) + "," * min(low.count(","), 3)
+
+
+def candidates_of(text: str | None, kind_name: str) -> list[list[Candidate]]:
+    """The parts of a field (text between quoted values), each with its candidate splits."""
     if text is None or not text.strip():
-        return "empty", []
-    kind = KINDS[kind_name]
+        return []
     if (listed := _json_list(text.strip())) is not None:
-        return "list", listed
+        return [[("list", [t for x in listed if (t := _bare(x))], 1.0)]]
+    kind = KINDS[kind_name]
     parts = _segments(text, kind[0])
-    names, values = [], []
+    out: list[list[Candidate]] = []
     for part, quoted in parts:
         if quoted:
-            if part:
-                values.append(part)
-                names.append("quoted")
+            if got := _bare(part):
+                out.append([("quoted", [got], 1.0)])
             continue
-        part = part.strip(" \t\r\n,;|/&") if len(parts) > 1 else part
-        part = re.sub(r"^(?:and|&)\s+|\s+(?:and|&)$", "", part.strip(), flags=re.I) if kind_name == "person" else part
-        if not part.strip(" \t\r\n,;|/&"):
+        part = part.strip(_EDGES) if len(parts) > 1 else part
+        part = _LEADING_AND.sub("", part.strip()) if kind_name == "person" else part
+        if not part.strip(_EDGES):
             continue
-        name, got = _scored(part, kind, prior or {})
-        got = [g.strip(" \t\r\n;|") for g in got]
-        values += [g for g in got if g.strip(" \t\r\n,;|/")]
-        names.append(name)
-    values = [re.sub(r"^[,\s]+|[,\s]+$", "", v) for v in values]
-    return ("quoted" if "quoted" in names else names[0] if names else "empty"), [v for v in values if v]
+        splits = kind[1](part)
+        if all(splits.values()):
+            out.append([(name, _tidy(pieces), round(kind[2](pieces), 3)) for name, pieces in splits.items()])
+    return out
+
+
+def choose(part: list[Candidate], scores: dict[str, float]) -> Candidate:
+    """The candidate with the best sum of its own regularity and the score of its source; of equal ones the finer, then the first."""
+    return max(part, key=lambda c: (round(c[2] + SOURCE_WEIGHT * scores.get(c[0], 0.0), 6), len(c[1])))
+
+
+def split_value(text: str | None, kind_name: str, scores: dict[str, float] | None = None) -> tuple[str, list[str]]:
+    """The winning candidate and the values of one field."""
+    won = [choose(part, scores or {}) for part in candidates_of(text, kind_name)]
+    names = [name for name, _, _ in won]
+    return ("quoted" if "quoted" in names else names[0] if names else "empty"), [p for _, pieces, _ in won for p in pieces]
 
 
 # ---------------------------------------------------------------- operator
 
-#: Sources whose statistics (under 1 kB each) are broadcast; of more, they are joined by a shuffle.
-MAX_SOURCES = 10_000
+
+def _source_scores(stats: DataFrame) -> DataFrame:
+    """(__source, __scores): the score of each candidate in each source.
+
+    The mean of three: piece counts that vary little (one over one plus their
+    relative deviation), regular pieces, and pieces of few types (the chance
+    that two of them are of one type), as far as the candidate applies to the
+    values of the source.
+    """
+    types = stats.filter("__type is not null").groupBy("__source", "__cand", "__type").agg(F.sum("__pieces").alias("__pieces"))
+    share = F.sum(F.col("__pieces") * F.col("__pieces")) / F.pow(F.sum("__pieces"), F.lit(2))
+    types = types.groupBy("__source", "__cand").agg(share.alias("__share"))
+    s = stats.filter("__type is null").groupBy("__source", "__cand").agg(*(F.sum(c).alias(c) for c in ("__n", "__pieces", "__squares", "__regularity")))
+    mean = F.col("__pieces") / F.col("__n")
+    deviation = F.sqrt(F.greatest(F.col("__squares") / F.col("__n") - mean * mean, F.lit(0.0))) / F.greatest(mean, F.lit(1.0))
+    s = s.join(types, ["__source", "__cand"]).select("__source", "__cand", "__n", ((1 / (1 + deviation) + F.col("__regularity") / F.col("__n") + F.col("__share")) / 3).alias("__score"))
+    rows = F.map_from_entries(F.collect_list(F.struct("__cand", F.struct("__n", "__score"))))  # a few candidates a source
+    s = s.groupBy("__source").agg(rows.alias("__m"), F.max("__n").alias("__all"))
+    return s.select("__source", F.transform_values("__m", lambda _, v: v["__score"] * v["__n"] / F.col("__all")).alias("__scores"))
+
+
+_OPEN = "array<array<struct<cand:string,pieces:array<string>,regularity:double>>>"
 
 
 def split_packed(df: DataFrame, *, value: str, source: Column, kind: str) -> DataFrame:
     """Explode the packed column ``value`` into ``pos`` (from 1) and ``item``.
 
-    ``source`` groups rows written by the same hand; the share of each
-    candidate in a source breaks ties in its values.  All other columns are
+    ``source`` groups rows written by the same hand.  All other columns are
     kept.  Null and blank fields give no row.
-    """
-
-    @F.pandas_udf("string")
-    def winner(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: split_value(t, kind)[0])
-
-    @F.pandas_udf("array<string>")
-    def pieces(it: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        cache: dict[str, dict[str, float]] = {}
-        for texts, priors in it:
-            out = []
-            for t, p in zip(texts, priors, strict=True):
-                if p not in cache:
-                    cache[p] = json.loads(p) if p else {}
-                out.append(split_value(t, kind, cache[p])[1])
-            yield pd.Series(out)
 
+    One Python pass cuts and rates the values and counts, batch by batch, what
+    the scores of the sources need; values for which one candidate wins
+    whatever its source says leave it decided, so that only open ones meet the
+    scores (a few rows a source; the planner broadcasts them by their size).
+    """
     rows = df.filter(F.length(F.trim(F.col(value))) > 0).withColumn("__source", F.coalesce(source.cast("string"), F.lit("")))
-    counts = rows.groupBy("__source", winner(value).alias("__winner")).count()
-    priors = (
-        counts.groupBy("__source")
-        .agg(F.map_from_entries(F.collect_list(F.struct("__winner", "count"))).alias("__m"), F.sum("count").alias("__n"))
-        .select("__source", F.to_json(F.transform_values("__m", lambda _, v: v / F.col("__n"))).alias("__prior"))
-    )
-    # the statistics have a row a source; they are broadcast only if that many are counted
-    priors = cut_lineage(priors)
-    if priors.limit(MAX_SOURCES + 1).count() <= MAX_SOURCES:
-        priors = F.broadcast(priors)
-    return (
-        rows.join(priors, "__source", "left")
-        .withColumn("__items", pieces(F.col(value), F.coalesce("__prior", F.lit(""))))
-        .select(*df.columns, F.posexplode("__items").alias("__pos", "item"))
-        .withColumn("pos", F.col("__pos") + 1)
-        .drop("__pos")
-    )
+    kept = rows.columns
+    extra = "__items array<string>, __open string, __cand string, __type string, __n long, __pieces long, __squares long, __regularity double"
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema] + list(T._parse_datatype_string(extra).fields))
+    arrow = to_arrow_schema(schema)
+    at_value, at_source = kept.index(value), kept.index("__source")
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            items: list[list[str] | None] = []
+            open_: list[str | None] = []
+            groups: list[str] = []
+            seen: dict[tuple[str, str, str | None], list[float]] = {}
+            type_of = KINDS[kind][3]
+            for text, src in zip(batch.column(at_value).to_pylist(), batch.column(at_source).to_pylist(), strict=True):
+                group = f"{src}\x01{separators_held(text)}"
+                parts = candidates_of(text, kind)
+                live, undecided = [], False
+                for part in parts:
+                    for name, pieces, regularity in part:
+                        for piece in pieces:
+                            seen.setdefault((group, name, type_of(piece)), [0, 0, 0, 0.0])[1] += 1
+                        tally = seen.setdefault((group, name, None), [0, 0, 0, 0.0])
+                        n = len(pieces)
+                        tally[0] += 1
+                        tally[1] += n
+                        tally[2] += n * n
+                        tally[3] += regularity
+                    best = max(c[2] for c in part)
+                    part = [c for c in part if c[2] >= best - SOURCE_WEIGHT]
+                    undecided |= len(part) > 1 and any(c[1] != part[0][1] for c in part)
+                    live.append(part)
+                groups.append(group)
+                items.append(None if undecided else [p for part in live for p in part[0][1]])
+                open_.append(json.dumps([[{"cand": c, "pieces": p, "regularity": r} for c, p, r in part] for part in live]) if undecided else None)
+            n, m = len(items), len(seen)
+            names = arrow.names[len(kept) :]
+            rated = {"__items": pa.array(items, pa.list_(pa.string())), "__open": pa.array(open_, pa.string())}
+            if n:
+                own = [pa.array(groups, pa.string()) if k == at_source else batch.column(k) for k in range(len(kept))]
+                yield pa.RecordBatch.from_arrays([*own, *(rated.get(c, pa.nulls(n, arrow.field(c).type)) for c in names)], names=arrow.names)
+            counted = {"__cand": [k[1] for k in seen], "__type": [k[2] for k in seen], **{c: [v[i] for v in seen.values()] for i, c in enumerate(("__n", "__pieces", "__squares", "__regularity"))}}
+            if m:
+                own = [pa.array([k[0] for k in seen], pa.string()) if k == at_source else pa.nulls(m, arrow.field(k).type) for k in range(len(kept))]
+                yield pa.RecordBatch.from_arrays([*own, *(pa.array(counted[c], arrow.field(c).type) if c in counted else pa.nulls(m, arrow.field(c).type) for c in names)], names=arrow.names)
+
+    out = cut_lineage(rows.mapInArrow(run, schema))
+    values = out.filter("__cand is null")
+    parts = F.from_json("__open", _OPEN)
+    total = lambda c: F.round(c["regularity"] + SOURCE_WEIGHT * F.coalesce(F.element_at("__scores", c["cand"]), F.lit(0.0)), 6)
+    best = lambda part: F.array_max(F.transform(part, lambda c, i: F.struct(total(c).alias("a"), F.size(c["pieces"]).alias("b"), (-i).alias("c"), c["pieces"].alias("pieces"))))["pieces"]
+    closed = values.filter("__open is null").select(*df.columns, "__items")
+    settled = values.filter("__open is not null").join(_source_scores(out.filter("__cand is not null")), "__source", "left").select(*df.columns, F.flatten(F.transform(parts, best)).alias("__items"))
+    return closed.unionAll(settled).select(*df.columns, F.posexplode("__items").alias("__pos", "item")).withColumn("pos", F.col("__pos") + 1).drop("__pos")

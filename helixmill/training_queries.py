@@ -7,21 +7,26 @@ from pyspark.sql import functions as F
 
 from helixmill.operators.nested_records import MUTATION_RULES, PROCESSED_RULES, extract_lists, flatten_members
 from helixmill.operators.packed_fields import split_packed
-from helixmill.session import busy, table
+from helixmill.session import busy, spread, table
 
 
-def author_items(spark: SparkSession, root: str) -> DataFrame:
-    """(record_id, pos, item) of the packed author lists."""
-    rows = busy(table(spark, root, "metadata_post_prepare").select("id", "authors", "ncbi_source_db"))
-    return split_packed(rows, value="authors", source=F.col("ncbi_source_db"), kind="person").select(F.col("id").alias("record_id"), "pos", "item")
+def author_spellings(spark: SparkSession, root: str) -> DataFrame:
+    """(item): the distinct values of the packed author lists; a list that comes again is split once."""
+    rows = spread(table(spark, root, "metadata_post_prepare").select("authors", "ncbi_source_db").filter(F.length(F.trim("authors")) > 0).distinct())
+    return split_packed(rows, value="authors", source=F.col("ncbi_source_db"), kind="person").select("item").distinct()
 
 
 def p1_found(spark: SparkSession, root: str) -> DataFrame:
-    """Each value of authors and of fasta_ids with its place."""
-    ids = busy(table(spark, root, "cchfv_test_metadata").select("sample_id", "fasta_ids", "sample_type"))
-    ids = split_packed(ids, value="fasta_ids", source=F.col("sample_type"), kind="id").select(F.col("sample_id").alias("record_id"), "pos", "item")
-    authors = author_items(spark, root)
-    return authors.select(F.lit("authors").alias("field_name"), "*").unionAll(ids.select(F.lit("fasta_ids").alias("field_name"), "*")).distinct()
+    """Each value of authors and of fasta_ids with its place.
+
+    Repeated rows go before the split, while they are one text each.
+    """
+    out = []
+    for field, name, key, source, kind in (("authors", "metadata_post_prepare", "id", "ncbi_source_db", "person"), ("fasta_ids", "cchfv_test_metadata", "sample_id", "sample_type", "id")):
+        rows = table(spark, root, name).select(F.col(key).alias("record_id"), F.col(field).alias("value"), F.col(source).alias("source")).filter(F.length(F.trim("value")) > 0)
+        split = split_packed(spread(rows.dropDuplicates(["record_id", "value"])), value="value", source=F.col("source"), kind=kind)
+        out.append(split.select(F.lit(field).alias("field_name"), "record_id", "pos", "item"))
+    return out[0].unionAll(out[1])
 
 
 def p4_found(spark: SparkSession, root: str) -> DataFrame:

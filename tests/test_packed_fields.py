@@ -60,3 +60,20 @@ def test_operator_keeps_columns_and_places(spark):
 def test_empty_table(spark):
     rows = spark.createDataFrame([], "id string, authors string, source string")
     assert split_packed(rows, value="authors", source=F.col("source"), kind="person").count() == 0
+
+
+def test_the_source_decides_where_values_alone_do_not(spark):
+    lists = ["ab1/CD2", "ab5", "CD9", "ab1/CD3/ab4", "CD8/ab2/ab7"]
+    whole = ["ab1/CD2", "ab3/CD4", "ab5/CD6"]
+    rows = [(f"l{k}", v, "lists") for k, v in enumerate(lists)] + [(f"w{k}", v, "whole") for k, v in enumerate(whole)]
+    got = split_packed(spark.createDataFrame(rows, "id string, ids string, source string"), value="ids", source=F.col("source"), kind="id").collect()
+    items = {}
+    for r in sorted(got, key=lambda r: r.pos):
+        items.setdefault(r.id, []).append(r.item)
+    assert items == {f"l{k}": v.split("/") for k, v in enumerate(lists)} | {f"w{k}": [v] for k, v in enumerate(whole)}
+
+
+def test_names_of_columns_may_clash_and_sources_may_be_null(spark):
+    rows = spark.createDataFrame([("x", None, "Smith, J.; Doe, A.", [1]), ("x", None, "Smith, J.; Doe, A.", [1])], "item string, source string, authors string, pos array<int>")
+    got = split_packed(rows.withColumnsRenamed({"item": "item_of_row", "pos": "pos_of_row"}), value="authors", source=F.col("source"), kind="person")
+    assert got.count() == 4
