@@ -13,7 +13,7 @@ from helixmill.llm.encoding_repair import restore_encoding
 from helixmill.llm.leak_detection import find_leaks, remove_leaks
 from helixmill.llm.name_variants import organisation_variants, person_variants
 from helixmill.session import busy, table
-from helixmill.training_queries import author_items
+from helixmill.training_queries import author_spellings
 
 
 def p2_found(spark: SparkSession, root: str) -> DataFrame:
@@ -26,7 +26,7 @@ def p2_found(spark: SparkSession, root: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
     """Pairs of spellings of one person or one organisation."""
-    people = person_variants(author_items(spark, root), "item").select(F.lit("authors").alias("field_name"), "name_a", "name_b")
+    people = person_variants(author_spellings(spark, root), "item").select(F.lit("authors").alias("field_name"), "name_a", "name_b")
     places = organisation_variants(table(spark, root, "metadata_post_prepare").select("author_affiliations"), "author_affiliations").select(F.lit("author_affiliations").alias("field_name"), "name_a", "name_b")
     return people.unionAll(places)
 
