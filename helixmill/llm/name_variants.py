@@ -6,14 +6,23 @@ that tells the kind of organisation).  Own parts are joined with a trie join:
 they are sharded by the pieces that one typing error leaves intact, each shard
 is put into tries, and every own part is run over the tries of its shards by a
 Levenshtein automaton that counts a transposition of neighbours as one error.
+In own parts of fewer than ``SHORT`` letters only a doubled letter or two
+swapped ones are an error; another letter makes another name there.
+
 Which part of a person's name is the surname is told by all names together:
 words that follow commas after many different surnames are given names, so
 that reordered parts fall into place.  However rare its words are, a name of
 two parts also stands under its other order (a turned reading); it meets the
 names read as they are where both swapped parts agree as full words within one
-error or as short forms.  Pairs of close own parts are names of
-one entity if the rest agrees: initials, short forms, nicknames and missing
-middle initials do; other given names or kinds do not.
+error or as short forms.
+
+Spellings that are parsed alike are one node.  Nodes whose own parts are
+within one error are linked if their rests agree: initials, short forms,
+nicknames and missing middle initials do; other given names or kinds do not.
+Two nodes mean one entity if links connect them, their own parts are equal,
+linked, or both linked to a third one, and their rests agree: the own parts
+are compared for every pair, so that chains of similar names do not run
+together.
 
 Defined results: null and blank names are no names; names without a given part
 or kind match only by equal rests; one name delivered repeatedly counts once.
@@ -24,11 +33,11 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import lru_cache, partial
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixmill.llm.address_match import institution_key
@@ -91,61 +100,82 @@ def query_shards(key: str) -> list[str]:
     return [*out, f"{n}={key[: max(m - 1, 0)]}|{key[m + 1 :]}"]
 
 
-#: Keys that share a shard are put into tries of at most so many words; each trie meets all queries of the shard.
+#: Index words in one trie, and queries that run over it in one piece of work; larger shards are cut into a grid of such pieces.
 TRIE_WORDS = 20_000
-MIN_KEY = 4
+TRIE_QUERIES = 100_000
+#: Keys of fewer letters: only doubled or swapped letters are errors.
+SHORT = 4
+#: Hot shards (at most 10 for every ``TRIE_WORDS`` keys) are broadcast up to so many.
+MAX_HOT = 100_000
+
+_REPEATED = re.compile(r"(.)\1+")
+
+
+def one_slip(a: str, b: str) -> bool:
+    """Whether two different keys within one error may be one name."""
+    if min(len(a), len(b)) >= SHORT:
+        return True
+    return _REPEATED.sub(r"\1", a) == _REPEATED.sub(r"\1", b) or (len(a) == len(b) and sorted(a) == sorted(b))
+
+
+def _shards(key: Column) -> tuple[Column, Column]:
+    """Columns of :func:`index_shards` and :func:`query_shards`."""
+    n = F.length(key)
+    text = lambda other: other.cast("string")
+    half = lambda other: F.floor(other / 2).cast("int")
+    left = lambda other: F.concat(text(other), F.lit("<"), F.substr(key, F.lit(1), half(other)))
+    right = lambda other: F.concat(text(other), F.lit(">"), F.when(other > half(other), F.right(key, other - half(other))).otherwise(""))
+    ends = F.concat(text(n), F.lit("="), F.substr(key, F.lit(1), F.greatest(half(n) - 1, F.lit(0))), F.lit("|"), F.substr(key, half(n) + 2))
+    shorter = F.when(n > 1, F.array(left(n - 1), right(n - 1))).otherwise(F.array().cast("array<string>"))
+    return F.array(left(n), right(n), ends), F.array_distinct(F.concat(shorter, F.array(left(n), right(n), left(n + 1), right(n + 1), ends)))
 
 
 def trie_join(keys: DataFrame) -> DataFrame:
     """(key_a, key_b): pairs of different keys within one error, key_a < key_b.
 
     ``keys`` has one column ``key`` of distinct strings.  Shards are hashed
-    into partitions and sorted, so that each is read once; a shard is streamed
-    in pieces of ``TRIE_WORDS`` index words.
+    into partitions and sorted, so that each is read once.  A shard with more
+    words than a trie or more queries than a piece of work may hold is cut into
+    a grid: each piece of its index words meets each piece of its queries.
     """
     spark = keys.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
-    def expand(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            shard, key, query = [], [], []
-            for k in batch.column(0).to_pylist():
-                if k is None or len(k) < MIN_KEY:
-                    continue
-                for s in set(index_shards(k)):
-                    shard.append(s)
-                    key.append(k)
-                    query.append(False)
-                for s in set(query_shards(k)):
-                    shard.append(s)
-                    key.append(k)
-                    query.append(True)
-            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.string()), pa.array(query, pa.bool_()), pa.array(key, pa.string())], names=["shard", "query", "key"])
-
     def match(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, tries, words = None, [], []
+        shard, trie, words = None, None, []
         a, b = [], []
         for batch in it:
-            for s, q, k in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for *s, q, k in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 if s != shard:
-                    shard, tries, words = s, [], []
+                    shard, trie, words = s, None, []
                 if not q:
                     words.append(k)
                     continue
                 if words:  # index words stand before the queries of their shard
-                    tries += [Trie(words[i : i + TRIE_WORDS]) for i in range(0, len(words), TRIE_WORDS)]
-                    words = []
-                for t in tries:
-                    for other, d in t.near(k, 1):
-                        if d and other != k:
-                            a.append(min(k, other))
-                            b.append(max(k, other))
+                    trie, words = Trie(words), []
+                for other, d in trie.near(k, 1) if trie else ():
+                    if d and k < other and one_slip(k, other):
+                        a.append(k)
+                        b.append(other)
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string())], names=["key_a", "key_b"])
                 a, b = [], []
 
-    spread = keys.select("key").mapInArrow(expand, "shard string, query boolean, key string")
-    ordered = spread.repartition(parts, "shard").sortWithinPartitions("shard", "query")
+    index, query = _shards(F.col("key"))
+    named = keys.filter("key <> ''").select("key")
+    rows = named.select(F.explode(index).alias("shard"), F.lit(False).alias("query"), "key").unionAll(named.select(F.explode(query).alias("shard"), F.lit(True).alias("query"), "key"))
+    sizes = rows.groupBy("shard").agg((F.count_if(~F.col("query")) / TRIE_WORDS).alias("n"), (F.count_if("query") / TRIE_QUERIES).alias("m"))
+    hot = cut_lineage(sizes.filter("n > 1 or (n > 0 and m > 1)").select("shard", F.ceil("n").alias("n"), F.ceil("m").alias("m")))
+    few = hot.limit(MAX_HOT + 1).count()
+    if few:
+        rows = rows.join(F.broadcast(hot) if few <= MAX_HOT else hot, "shard", "left").fillna(1, ["n", "m"])
+        own = lambda n: F.array(F.pmod(F.xxhash64("key"), F.col(n)))
+        every = lambda n: F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1)
+        rows = rows.withColumn("i", F.explode(F.when(F.col("query"), every("n")).otherwise(own("n")))).withColumn("j", F.explode(F.when(F.col("query"), own("m")).otherwise(every("m"))))
+    else:
+        rows = rows.withColumns({"i": F.lit(0).cast("bigint"), "j": F.lit(0).cast("bigint")})
+    grid = ["shard", "i", "j"]
+    ordered = rows.select(*grid, "query", "key").repartition(parts, *grid).sortWithinPartitions(*grid, "query")
     return ordered.mapInArrow(match, "key_a string, key_b string").distinct()
 
 
@@ -344,7 +374,7 @@ def same_turned(a: tuple[str, str, str], b: tuple[str, str, str]) -> bool:
         return False
     if a[1] and b[1] and not (a[1].startswith(b[1]) or b[1].startswith(a[1])):
         return False
-    return x == y or (min(len(x), len(y)) >= MIN_KEY and osa(x, y, 1) <= 1) or bool(_fulls(x) & _fulls(y))
+    return x == y or (min(len(x), len(y)) >= SHORT and osa(x, y, 1) <= 1) or bool(_fulls(x) & _fulls(y))
 
 
 def first_letters(given: str, nick: str) -> list[str]:
@@ -355,6 +385,9 @@ def first_letters(given: str, nick: str) -> list[str]:
 
 # ------------------------------------------------------------------ operators
 
+#: A node: what a spelling is parsed into.  Names of organisations have their kind in the place of the given name.
+_NODE = ("field", "turned", "keys", "given", "middle", "nick")
+
 
 def given_names(names: DataFrame, name: str, *, least: int = 3) -> DataFrame:
     """Words that stand after the comma of at least ``least`` different surnames."""
@@ -367,49 +400,56 @@ def given_names(names: DataFrame, name: str, *, least: int = 3) -> DataFrame:
     return names.select(name).mapInArrow(run, "word string, own string").distinct().groupBy("word").count().filter(F.col("count") >= least).select("word")
 
 
-def person_parts(names: DataFrame, name: str) -> DataFrame:
-    """(name, turn, key, rest) of each distinct person name; a name with a double surname has two keys.
+def needs_given(name: str) -> bool:
+    """Whether the reading of a name depends on which of its words are given names."""
+    first, sep, second = name.partition(",")
+    if sep:
+        return len(first.split()) == 1 and len(second.split()) == 1
+    return len(name.split()) > 1
+
 
-    ``turn`` is 0 for the name as it is read and numbers its turned readings from 1.
-    """
-    base = cut_lineage(spread(names.select(name).filter(F.length(F.trim(F.col(name))) > 0).distinct()))
+def _nodes(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.string(), pa.string(), pa.bool_(), pa.list_(pa.string()), pa.string(), pa.string(), pa.string(), pa.list_(pa.string())]
+    cols = list(zip(*rows, strict=True)) if rows else [[]] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["name", *_NODE, "letters"])
+
+
+_NODE_SCHEMA = "name string, field string, turned boolean, keys array<string>, given string, middle string, nick string, letters array<string>"
+
+
+def person_nodes(names: DataFrame, name: str, field: str = "") -> DataFrame:
+    """(name, node, letters) of each distinct person name; a name of two parts has a node for each order."""
+    base = cut_lineage(spread(names.select(F.col(name).alias("name")).filter(F.length(F.trim("name")) > 0).distinct()))
+    known = given_names(base, "name")
 
     @F.pandas_udf("array<string>")
     def words(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: sorted({w for w in fold(t.replace(",", " ")).split() if len(w) > 2}))
+        return s.map(lambda t: sorted({w for w in fold(t.replace(",", " ")).split() if len(w) > 2}) if needs_given(t) else [])
 
-    known = given_names(base, name)
-    has = base.select(name, F.explode(words(name)).alias("word")).join(known, "word").groupBy(name).agg(F.collect_set("word").alias("given"))
+    has = base.select("name", F.explode(words("name")).alias("word")).join(known, "word").groupBy("name").agg(F.collect_set("word").alias("given"))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             rows = []
             for n, g in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                got = parse_person(n, set(g or ()))
-                if got:
-                    readings = [got[:3], *turned_readings(n, got[0], got[1])]
-                    rows += [(n, t, k, r[1], "".join(r[2]), got[3]) for t, r in enumerate(readings) for k in dict.fromkeys(r[0]) if k]
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
-            kinds = [pa.string(), pa.int32(), *[pa.string()] * 4]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["name", "turn", "key", "given", "middle", "nick"])
+                if got := parse_person(n, set(g or ())):
+                    for t, r in enumerate([got[:3], *turned_readings(n, got[0], got[1])]):
+                        if keys := list(dict.fromkeys(k for k in r[0] if k)):
+                            rows.append((n, field, t > 0, keys, r[1], "".join(r[2]), got[3], first_letters(r[1], got[3])))
+            yield _nodes(rows)
 
-    return base.join(has, name, "left").select(name, "given").mapInArrow(run, "name string, turn int, key string, given string, middle string, nick string")
+    return base.join(has, "name", "left").select("name", "given").mapInArrow(run, _NODE_SCHEMA)
 
 
-def organisation_parts(names: DataFrame, name: str) -> DataFrame:
-    """(name, key, kind) of each distinct organisation; a department in front is left out."""
+def organisation_nodes(names: DataFrame, name: str, field: str = "") -> DataFrame:
+    """(name, node, letters) of each distinct organisation; a department in front is left out."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            rows = []
-            for n in batch.column(0).to_pylist():
-                own, kind = parse_organisation(n)
-                if own:
-                    rows.append((n, own, kind))
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], names=["name", "key", "kind"])
+            parsed = ((n, *parse_organisation(n)) for n in batch.column(0).to_pylist())
+            yield _nodes([(n, field, False, [own], kind, "", "", [kind]) for n, own, kind in parsed if own])
 
-    return names.select(name).filter(F.length(F.trim(F.col(name))) > 0).distinct().mapInArrow(run, "name string, key string, kind string")
+    return spread(names.select(name).filter(F.length(F.trim(F.col(name))) > 0).distinct()).mapInArrow(run, _NODE_SCHEMA)
 
 
 def parse_organisation(text: str) -> tuple[str, str]:
@@ -424,66 +464,100 @@ def parse_organisation(text: str) -> tuple[str, str]:
     return institution_key(bare)
 
 
-def _close_keys(parts: DataFrame) -> DataFrame:
-    """(key_a, key_b): equal or close keys, key_a <= key_b."""
-    keys = cut_lineage(parts.select("key").distinct())
-    return cut_lineage(keys.select(F.col("key").alias("key_a"), F.col("key").alias("key_b")).unionAll(trie_join(keys)))
-
-
-def _linked(parts: DataFrame, others: DataFrame, pairs: DataFrame, same: list[str], agree) -> DataFrame:
-    """Links of names of ``parts`` and ``others`` whose keys are among the pairs and whose rests agree."""
-    left = parts.select(*(F.col(c).alias(f"{c}_a") for c in parts.columns))
-    right = others.select(*(F.col(c).alias(f"{c}_b") for c in others.columns))
-    for c in same:  # join columns of equal values
-        left, right = left.withColumnRenamed(f"{c}_a", c), right.withColumnRenamed(f"{c}_b", c)
-    both = left.join(pairs, "key_a").join(right, ["key_b", *same])
-    return both.filter("name_a <> name_b").filter(agree)
+def _agree(orgs: pd.Series, errors: pd.Series, ta: pd.Series, tb: pd.Series, ga: pd.Series, ma: pd.Series, na: pd.Series, gb: pd.Series, mb: pd.Series, nb: pd.Series) -> pd.Series:
+    """Whether the rests of two nodes agree; of two readings one may be turned in a link."""
+    out = []
+    for org, most, t, u, *rest in zip(orgs, errors, ta, tb, ga, ma, na, gb, mb, nb, strict=True):
+        a, b = tuple(rest[:3]), tuple(rest[3:])
+        if org:
+            out.append(a == b)
+        elif t or u:
+            out.append(same_person(a, b, most) if most > 1 else t != u and same_turned(a, b))
+        else:
+            out.append(same_person(a, b, most))
+    return pd.Series(out, dtype=bool)
 
 
-def person_variants(names: DataFrame, name: str) -> DataFrame:
-    """(name_a, name_b): pairs of spellings of one person, name_a < name_b by code point.
+def _candidates(nodes: DataFrame, near: DataFrame, errors: int, *same: str) -> DataFrame:
+    """(a, b): pairs of nodes, a <= b, whose own parts are ``near``, that share an initial and the columns ``same``, and whose rests agree.
 
-    Turned readings are nodes of their own in the components (the number of
-    the reading stands before the name) and are linked only with names as they
-    are read, so that it need not be known which order is the right one.
+    The join keys are an own part and an initial.  Frequent ones are split by
+    the skew handling of adaptive execution; both joins are plain shuffle
+    joins, which it can split on either side.
     """
-    parts = cut_lineage(person_parts(names, name).withColumn("name", F.concat(F.col("turn").cast("string"), "name")))
-
-    @F.pandas_udf("array<string>")
-    def letters(given: pd.Series, nick: pd.Series) -> pd.Series:
-        return pd.Series([first_letters(g, n) for g, n in zip(given, nick, strict=True)])
-
-    def fits(same):
-        @F.pandas_udf("boolean")
-        def agree(ga: pd.Series, ma: pd.Series, na: pd.Series, gb: pd.Series, mb: pd.Series, nb: pd.Series) -> pd.Series:
-            return pd.Series([same((a, b, c), (d, e, f)) for a, b, c, d, e, f in zip(ga, ma, na, gb, mb, nb, strict=True)], dtype=bool)
+    rows = nodes.withColumn("key", F.explode("keys")).withColumn("letter", F.explode("letters"))
+    what = ["id", "orgs", "turned", "given", "middle", "nick"]
+    left = rows.select("field", "letter", *same, F.col("key").alias("key_a"), *(F.col(c).alias(f"{c}_a") for c in what))
+    right = rows.select("field", "letter", *same, F.col("key").alias("key_b"), *(F.col(c).alias(f"{c}_b") for c in what))
+    both = left.join(near, "key_a").join(right, ["key_b", "field", "letter", *same]).filter("id_a <= id_b")
+    if errors == 1:
+        both = both.filter("id_a < id_b and not (turned_a and turned_b)")
+    both = both.select(*(f"{c}_{x}" for x in "ab" for c in what)).distinct()
+    rest = [f"{c}_{x}" for x in "ab" for c in ("given", "middle", "nick")]
+    return both.filter(F.pandas_udf(_agree, "boolean")("orgs_a", F.lit(errors), "turned_a", "turned_b", *rest)).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+
+
+def linked_nodes(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, name) of the spellings of each node, and (a, b), a <= b, of the nodes that mean one entity.
+
+    ``parts`` has the nodes of one or several fields (:func:`person_nodes`,
+    :func:`organisation_nodes`); nodes of different fields are never linked.
+    A node is paired with itself where two of its spellings would be.
+    """
+    node = F.concat_ws("\x01", "field", F.col("turned").cast("string"), F.concat_ws("\x02", "keys"), "given", "middle", "nick")
+    parts = cut_lineage(parts.withColumn("id", node))
+    nodes = parts.dropDuplicates(["id"]).withColumn("orgs", F.lit(False) if "orgs" not in parts.columns else F.col("orgs"))
+    nodes = cut_lineage(nodes.drop("name"))
+    keys = cut_lineage(nodes.select(F.explode("keys").alias("key")).distinct())
+    close = cut_lineage(trie_join(keys))
+    equal = keys.select(F.col("key").alias("key_a"), F.col("key").alias("key_b"))
+    either = close.unionAll(close.select(F.col("key_b").alias("key_a"), F.col("key_a").alias("key_b")))
+    links = cut_lineage(_candidates(nodes, equal.unionAll(either), 1))
+    # a turned reading that meets no name read as it stands says nothing
+    of = nodes.join(connected_components(links).withColumnRenamed("node", "id"), "id", "left").filter("not turned or component is not null")
+    of = cut_lineage(of.withColumn("component", F.coalesce("component", "id")))
+    # own parts that links stand for, and those that are both linked to a third one
+    own = lambda x: of.select(F.col("id").alias(x), F.explode("keys").alias(f"key_{x}"))
+    used = links.join(own("a"), "a").join(own("b"), "b").select("key_a", "key_b").distinct()
+    used = either.join(used.unionAll(used.select(F.col("key_b").alias("key_a"), F.col("key_a").alias("key_b"))).distinct(), ["key_a", "key_b"], "left_semi")
+    used = cut_lineage(used)
+    third = used.join(used.select(F.col("key_a").alias("key_b"), F.col("key_b").alias("third")), "key_b").select("key_a", F.col("third").alias("key_b"))
+    near = equal.unionAll(used).unionAll(third).distinct()
+    return parts.select("id", "name"), _candidates(of, near, 2, "component")
+
+
+def name_pairs(parts: DataFrame) -> DataFrame:
+    """(field, name_a, name_b): pairs of different spellings of one entity, name_a < name_b by code point."""
+    spelt, pairs = linked_nodes(parts)
+    both = pairs.join(spelt.select(F.col("id").alias("a"), F.col("name").alias("x")), "a").join(spelt.select(F.col("id").alias("b"), F.col("name").alias("y")), "b").filter("x <> y")
+    return both.select(F.substring_index("a", "\x01", 1).alias("field"), F.least("x", "y").alias("name_a"), F.greatest("x", "y").alias("name_b")).distinct()
+
+
+def name_classes(parts: DataFrame) -> DataFrame:
+    """(field, name, class_id, n_links): each spelling with its class and the number of other spellings it is linked with.
+
+    The pairs of a class are not written out: links are counted between nodes
+    by the number of their spellings.  A spelling that has several readings
+    counts the spellings that it meets under each.
+    """
+    spelt, pairs = linked_nodes(parts)
+    pairs = cut_lineage(pairs)
+    sizes = spelt.groupBy("id").agg(F.count("*").alias("n"))
+    ways = pairs.filter("a <> b").unionAll(pairs.filter("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b")))
+    others = ways.join(sizes.withColumnRenamed("id", "b"), "b").select(F.col("a").alias("id"), "n")
+    itself = pairs.filter("a = b").select(F.col("a").alias("id")).join(sizes, "id").select("id", (F.col("n") - 1).alias("n"))
+    links = others.unionAll(itself).groupBy("id").agg(F.sum("n").alias("n_links"))
+    named = F.concat(F.lit("\x03"), F.substring_index("id", "\x01", 1), F.lit("\x01"), "name")
+    of = connected_components(pairs.filter("a <> b").unionAll(spelt.select(named.alias("a"), F.col("id").alias("b"))))
+    rows = spelt.join(links, "id", "left").withColumn("node", named).groupBy("node", F.substring_index("id", "\x01", 1).alias("field"), "name").agg(F.coalesce(F.sum("n_links"), F.lit(0)).alias("n_links"))
+    return rows.join(of, "node").select("field", "name", F.md5("component").alias("class_id"), "n_links")
 
-        return agree("given_a", "middle_a", "nick_a", "given_b", "middle_b", "nick_b")
 
-    lettered = cut_lineage(parts.withColumn("letter", F.explode(letters("given", "nick"))))
-    read, turned = lettered.filter("turn = 0").drop("turn"), lettered.filter("turn > 0").drop("turn")
-    pairs = _close_keys(lettered)
-    either = pairs.unionAll(pairs.filter("key_a <> key_b").select(F.col("key_b").alias("key_a"), F.col("key_a").alias("key_b")))
-    links = _linked(read, read, pairs, ["letter"], fits(same_person)).select("name_a", "name_b")
-    links = links.unionAll(_linked(read, turned, either, ["letter"], fits(same_turned)).select("name_a", "name_b"))
-    links = cut_lineage(links.select(F.col("name_a").alias("a"), F.col("name_b").alias("b")).distinct())
-    found = _expand(links, parts.drop("turn"), fits(partial(same_person, errors=2)))
-    found = found.select(F.expr("substring(name_a, 2)").alias("x"), F.expr("substring(name_b, 2)").alias("y")).filter("x <> y")
-    return found.select(F.least("x", "y").alias("name_a"), F.greatest("x", "y").alias("name_b")).distinct()
+def person_variants(names: DataFrame, name: str) -> DataFrame:
+    """(name_a, name_b): pairs of spellings of one person, name_a < name_b by code point."""
+    return name_pairs(person_nodes(names, name)).drop("field")
 
 
 def organisation_variants(names: DataFrame, name: str) -> DataFrame:
     """(name_a, name_b): pairs of spellings of one organisation, name_a < name_b by code point."""
-    parts = cut_lineage(organisation_parts(names, name))
-    links = _linked(parts, parts, _close_keys(parts), ["kind"], F.lit(True)).select(F.col("name_a").alias("a"), F.col("name_b").alias("b")).distinct()
-    return _expand(links, parts, F.col("kind_a") == F.col("kind_b"))
-
-
-def _expand(links: DataFrame, parts: DataFrame, agree) -> DataFrame:
-    """All pairs within the components of the links whose rests agree."""
-    of = connected_components(links)
-    rest = [c for c in parts.columns if c not in ("name", "key")]
-    members = cut_lineage(of.join(parts.select(F.col("name").alias("node"), *rest).dropDuplicates(["node"]), "node"))
-    left = members.select("component", F.col("node").alias("name_a"), *(F.col(c).alias(f"{c}_a") for c in rest))
-    right = members.select("component", F.col("node").alias("name_b"), *(F.col(c).alias(f"{c}_b") for c in rest))
-    return left.join(right, "component").filter("name_a < name_b").filter(agree).select("name_a", "name_b").distinct()
+    return name_pairs(organisation_nodes(names, name).withColumn("orgs", F.lit(True))).drop("field")

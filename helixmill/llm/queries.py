@@ -11,7 +11,7 @@ from helixmill.llm.bpe_encode import encode_corpus
 from helixmill.llm.canonical_map import map_to_canonical
 from helixmill.llm.encoding_repair import restore_encoding
 from helixmill.llm.leak_detection import find_leaks, remove_leaks
-from helixmill.llm.name_variants import organisation_variants, person_variants
+from helixmill.llm.name_variants import name_classes, name_pairs, organisation_nodes, person_nodes
 from helixmill.session import busy, table
 from helixmill.training_queries import author_spellings
 
@@ -24,11 +24,21 @@ def p2_found(spark: SparkSession, root: str) -> DataFrame:
     return place_pairs(places).select(F.col("a").alias("group_id_a"), F.col("b").alias("group_id_b"))
 
 
+def _name_nodes(spark: SparkSession, root: str) -> DataFrame:
+    """What the author names and the affiliations are parsed into."""
+    people = person_nodes(author_spellings(spark, root), "item", "authors").withColumn("orgs", F.lit(False))
+    places = organisation_nodes(table(spark, root, "metadata_post_prepare").select("author_affiliations"), "author_affiliations", "author_affiliations").withColumn("orgs", F.lit(True))
+    return people.unionAll(places)
+
+
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
     """Pairs of spellings of one person or one organisation."""
-    people = person_variants(author_spellings(spark, root), "item").select(F.lit("authors").alias("field_name"), "name_a", "name_b")
-    places = organisation_variants(table(spark, root, "metadata_post_prepare").select("author_affiliations"), "author_affiliations").select(F.lit("author_affiliations").alias("field_name"), "name_a", "name_b")
-    return people.unionAll(places)
+    return name_pairs(_name_nodes(spark, root)).withColumnRenamed("field", "field_name")
+
+
+def p3_classes(spark: SparkSession, root: str) -> DataFrame:
+    """Each spelling with its class and the number of its links, without writing out the pairs."""
+    return name_classes(_name_nodes(spark, root)).withColumnRenamed("field", "field_name")
 
 
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
@@ -69,5 +79,5 @@ def p8_found(spark: SparkSession, root: str) -> DataFrame:
     return restored.select("doc_id", F.coalesce(F.md5("restored"), F.lit("")).alias("restored_md5")).distinct()
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found, "p7_cleaned": p7_cleaned, "p8_found": p8_found}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_classes": p3_classes, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found, "p7_cleaned": p7_cleaned, "p8_found": p8_found}
 SQL: dict[str, str] = {}

@@ -3,7 +3,8 @@ import random
 import pytest
 
 from helixmill.llm.canonical_map import osa
-from helixmill.llm.name_variants import Trie, index_shards, organisation_variants, parse_organisation, parse_person, person_variants, query_shards, same_given, same_person, trie_join
+from helixmill.llm import name_variants
+from helixmill.llm.name_variants import Trie, index_shards, organisation_variants, parse_organisation, parse_person, name_classes, person_nodes, person_variants, query_shards, same_given, same_person, trie_join
 
 
 def mutate(rng, w):
@@ -98,3 +99,46 @@ def test_organisations(spark):
 
 def test_empty(spark):
     assert person_variants(spark.createDataFrame([], "item string"), "item").count() == 0
+
+
+def pairs_of(spark, names):
+    return {tuple(r) for r in person_variants(spark.createDataFrame([(n,) for n in names], "item string"), "item").collect()}
+
+
+def test_chains_of_similar_surnames_do_not_run_together(spark):
+    got = pairs_of(spark, ["Lang, John", "Lange, John", "Langer, John", "Danger, John"])
+    assert ("Danger, John", "Lang, John") not in got
+    assert {("Lang, John", "Lange, John"), ("Lange, John", "Langer, John"), ("Danger, John", "Langer, John")} <= got
+
+
+def test_short_surnames(spark):
+    got = pairs_of(spark, ["Kim, Sung", "Kiim, Sung", "Lim, Sung", "Lee, Anna", "Leee, Anna", "Lea, Anna", "Eel, Anna", "Ng, Wei", "Gn, Wei", "X, Wei"])
+    assert got == {("Kiim, Sung", "Kim, Sung"), ("Lee, Anna", "Leee, Anna"), ("Gn, Wei", "Ng, Wei")}
+
+
+def test_columns_of_shards_equal_the_functions(spark):
+    rng = random.Random(7)
+    words = sorted({"".join(rng.choice("abé") for _ in range(rng.randrange(1, 9))) for _ in range(200)})
+    index, query = name_variants._shards(name_variants.F.col("key"))
+    for r in spark.createDataFrame([(w,) for w in words], "key string").select("key", index.alias("i"), query.alias("q")).collect():
+        assert set(r.i) == set(index_shards(r.key)) and set(r.q) == set(query_shards(r.key))
+
+
+def test_hot_shards_are_cut_into_a_grid(spark, monkeypatch):
+    monkeypatch.setattr(name_variants, "TRIE_WORDS", 7)
+    monkeypatch.setattr(name_variants, "TRIE_QUERIES", 11)
+    rng = random.Random(9)
+    words = sorted({"stem" + "".join(rng.choice("abc") for _ in range(4)) for _ in range(120)})
+    got = {tuple(r) for r in trie_join(spark.createDataFrame([(w,) for w in words], "key string")).collect()}
+    assert got == {(a, b) for i, a in enumerate(words) for b in words[i + 1 :] if osa(a, b, 1) <= 1}
+
+
+def test_classes_count_the_links_of_the_pairs(spark):
+    names = ["Kodobohot, Charles S.", "Kodobohot, C. S.", "kodobohot, c.s.", "Chuck Kodobohot", "Kodobohto, Cha.", "Kodobohot, Yusuf", "Third, Charles", "Fourth, Chuck", "Fifth, Chuck", None]
+    df = spark.createDataFrame([(n,) for n in names], "item string")
+    rows = {r.name: r for r in name_classes(person_nodes(df, "item")).collect()}
+    links = pairs_of(spark, names)
+    assert set(rows) == {n for n in names if n}
+    for n, r in rows.items():
+        assert r.n_links == sum(n in p for p in links)
+    assert len({rows[n].class_id for n in names[:5]}) == 1 and rows[names[5]].class_id != rows[names[0]].class_id
