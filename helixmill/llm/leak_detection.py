@@ -1,14 +1,15 @@
 """Evaluation passages inside training texts.
 
 A generalised suffix automaton over the words of all normalised passages is
-built once.  The words of each document are streamed through it, keeping the
-longest suffix that occurs in a passage; where it has at least ``SEED`` words,
-the automaton's end positions tell which passages and places it comes from.
-A run of ``MIN_WORDS`` words is a leak at once.  Otherwise the seeds of a
-passage that lie close to one diagonal are aligned word by word, and a leak is
-a window of at least ``MIN_WORDS`` passage words of which at most a quarter is
-altered, added or missing: among 20 words with 5 changes at least 3 runs of
-three words overlap, so no such window is without seeds.
+built once and broadcast.  The words of each document are streamed through it,
+keeping the longest suffix that occurs in a passage; where it has at least
+``SEED`` words, the automaton tells which passages hold it.  A run of
+``MIN_WORDS`` words is a leak at once.  Otherwise the stretches of the text
+that may hold a leak of the passage are aligned with it: a leak is a window of
+at least ``MIN_WORDS`` passage words of which at most a quarter is altered,
+added or missing.  Among L words with L / 4 changes at least L / 4 - 2 runs of
+``SEED`` words overlap, so no such window is without seeds; every alignment of
+every window is considered (:func:`windows`).
 
 Of a passage that leaks, all places in the document are reported: its runs of
 ``MIN_WORDS`` words and all windows that alignments with the whole passage
@@ -16,12 +17,14 @@ give are merged where they overlap, so that a span ends only where the
 quotation does, and further copies are spans of their own.
 
 The passages are fixed test material: they are read in blocks of at most
-``BLOCK_WORDS`` words, each block's automaton is broadcast and streamed
-against all documents.
+``BLOCK_WORDS`` words; each block's automaton is streamed against all
+documents, so that the memory of a worker is bounded and larger test sets take
+more scans.
 
 Defined results: null, empty and very short documents and passages leak
 nothing; repeated documents are reported each; a passage shorter than
-``MIN_WORDS`` leaks where it stands whole.
+``MIN_WORDS`` leaks where it stands whole, up to a quarter changed; one of
+fewer than ``2 * SEED`` words only where it stands unchanged.
 """
 
 from __future__ import annotations
@@ -30,8 +33,8 @@ import re
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -69,13 +72,28 @@ def words_with_spans(text: str) -> tuple[list[str], list[tuple[int, int]]]:
     return words, spans
 
 
+def words_of(text: str) -> list[str]:
+    """The words of :func:`words_with_spans` without their places."""
+    if _BREAK.search(text):
+        return words_with_spans(text)[0]
+    blank = _MARKUP.sub(" ", text) if "<" in text or "&" in text else text
+    if blank.isascii():
+        return _WORD.findall(blank.lower())
+    return [w if w.isascii() else unicodedata.normalize("NFKC", w) for w in map(str.lower, _WORD.findall(blank))]
+
+
 class Automaton:
-    """Suffix automaton of several word sequences, with the end positions of its states."""
+    """Suffix automaton of several word sequences.
+
+    The end positions of a state are those of its subtree of suffix links, a
+    slice of one list in the order of a walk over that tree.
+    """
 
     def __init__(self, passages: list[tuple[int, list[str]]]) -> None:
         self.ids = [i for i, _ in passages]
         self.vocabulary: dict[str, int] = {}
         self.words = [[self.vocabulary.setdefault(w, len(self.vocabulary)) for w in ws] for _, ws in passages]
+        self.sets = [frozenset(ws) for ws in self.words]
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
         own: list[list[tuple[int, int]]] = [[]]
@@ -84,10 +102,21 @@ class Automaton:
             for at, w in enumerate(ws):
                 last = self._extend(last, w, own)
                 own[last].append((k, at))
-        self.ends = own
-        for state in sorted(range(1, len(self.next)), key=lambda s: -self.length[s]):
-            if self.length[self.link[state]] >= SEED:
-                self.ends[self.link[state]] = self.ends[self.link[state]] + self.ends[state]
+        below: list[list[int]] = [[] for _ in self.next]
+        for state in range(1, len(self.next)):
+            below[self.link[state]].append(state)
+        self._places: list[tuple[int, int]] = []
+        self._from, self._to = [0] * len(self.next), [0] * len(self.next)
+        walk = [(0, False)]
+        while walk:
+            state, done = walk.pop()
+            if done:
+                self._to[state] = len(self._places)
+                continue
+            self._from[state] = len(self._places)
+            self._places += own[state]
+            walk.append((state, True))
+            walk += [(child, False) for child in below[state]]
         # the shortest state of SEED (MIN_WORDS) words or more on the way to the root
         self.seed_state = [-1] * len(self.next)
         self.run_state = [-1] * len(self.next)
@@ -96,6 +125,16 @@ class Automaton:
             for of, least in ((self.seed_state, SEED), (self.run_state, MIN_WORDS)):
                 if self.length[state] >= least:
                     of[state] = of[up] if of[up] >= 0 else state
+        #: passages that hold the words of a seed state
+        self.held_by = {s: sorted({k for k, _ in self.ends(s)}) for s in set(self.seed_state) if s >= 0}
+        self.tiny: dict[int, list[int]] = defaultdict(list)
+        for k, ws in enumerate(self.words):
+            if 0 < len(ws) < SEED:
+                self.tiny[ws[0]].append(k)
+
+    def ends(self, state: int) -> list[tuple[int, int]]:
+        """(passage, place of the last word) of the words of a state."""
+        return self._places[self._from[state] : self._to[state]]
 
     def _new(self, length: int, own: list[list[tuple[int, int]]]) -> int:
         self.next.append({})
@@ -132,14 +171,17 @@ class Automaton:
 
     # -------------------------------------------------------------- matching
 
-    def leaks(self, words: list[str]) -> list[tuple[int, int, int, int, float]]:
-        """(passage id, first word, last word, passage words covered, their share of the passage) of each span of each leak."""
+    def leaks(self, words: list[str], spans: bool = True) -> list[tuple[int, int, int, int, float]]:
+        """(passage id, first word, last word, passage words covered, their share of the passage) of each span of each leak.
+
+        Without ``spans`` one place of each passage is enough.
+        """
         ids = [self.vocabulary.get(w, -1) for w in words]
-        nxt, link, length, seed_state = self.next, self.link, self.length, self.seed_state
+        nxt, link, length, seed_state, held_by = self.next, self.link, self.length, self.seed_state, self.held_by
         state, n = 0, 0
-        seeds: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        # the last words of the runs of MIN_WORDS words, by passage
-        runs: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        # the last words of seeds, and of runs of MIN_WORDS words with their places, by passage
+        seeds: dict[int, list[int]] = defaultdict(list)
+        runs: dict[int, list[tuple[int, int, int, int]]] = defaultdict(list)
         for j, w in enumerate(ids):
             if w < 0:
                 state, n = 0, 0
@@ -153,111 +195,161 @@ class Automaton:
             if n < SEED:
                 continue
             if n >= MIN_WORDS:
-                for k, at in self.ends[self.run_state[state]]:
-                    runs[k].append((j, at))
-            s = seed_state[state]
-            for k, at in self.ends[s]:
-                seeds[k].append((j, at))
+                for k, at in self.ends(self.run_state[state]):
+                    runs[k].append((j - MIN_WORDS + 1, j, at - MIN_WORDS + 1, at))
+            for k in held_by[seed_state[state]]:
+                seeds[k].append(j)
         out = []
         for k, hits in seeds.items():
-            pieces = [(j - MIN_WORDS + 1, j, at - MIN_WORDS + 1, at) for j, at in runs.get(k, ())]
-            if not pieces and (got := self._verify(k, ids, hits)):
-                pieces.append(got)
-            if pieces:
-                size = len(self.words[k])
-                out += [(self.ids[k], first, last, n, n / size) for first, last, n in _merged(pieces + self._further(k, ids, hits))]
+            pieces = runs.get(k, [])
+            if pieces and not spans:
+                pieces = pieces[:1]
+            else:
+                pieces = pieces + self._places_of(k, ids, hits, spans)
+            size = len(self.words[k])
+            out += [(self.ids[k], first, last, n, n / size) for first, last, n in _merged(pieces)]
+        if self.tiny:
+            out += self._tiny(ids, spans)
         return out
 
-    def _further(self, k: int, ids: list[int], hits: list[tuple[int, int]]) -> list[tuple[int, int, int, int]]:
-        """The windows of a passage that leaks at all places of the document.
-
-        The text around each seed is aligned with the whole passage and, as in
-        :meth:`_verify`, with the words around; what is found is blotted out
-        and the rest aligned again until no window is left.
-        """
+    def _places_of(self, k: int, ids: list[int], hits: list[int], spans: bool) -> list[tuple[int, int, int, int]]:
+        """(first word, last word, first passage word, last passage word) of the windows of a passage."""
         item = self.words[k]
         size, least = len(item), min(MIN_WORDS, len(item))
         if least < 2 * SEED:
-            return list(self._short(item, ids, hits))
-        allowed = int(least * MAX_CHANGED)
-        need_hits = max(1, (least - allowed) - (SEED - 1) * (allowed + 1))
-        reach = int(least * (1 + MAX_CHANGED)) + 1
-        left, out, tried_to = list(ids), [], -1
-        for x, (j0, i0) in enumerate(hits):
-            if j0 <= tried_to or left[j0] == _BLOT:
+            return [(j - size + 1, j, 0, size - 1) for j in hits if j >= size - 1 and ids[j - size + 1 : j + 1] == item][: None if spans else 1]
+        need = max(1, least - int(least * MAX_CHANGED) - (SEED - 1) * (int(least * MAX_CHANGED) + 1))
+        if len(hits) < need:
+            return []
+        # words of a window that stand before, between and after its seeds
+        apart = SEED * (int(size * MAX_CHANGED) + 1) + SEED
+        held = self.sets[k]
+        out: list[tuple[int, int, int, int]] = []
+        start = 0
+        for x in range(1, len(hits) + 1):
+            if x < len(hits) and hits[x] - hits[x - 1] <= apart:
                 continue
-            near = []
-            for j, i in islice(hits, x, None):
-                if j - j0 > reach:
-                    break
-                if abs((j - i) - (j0 - i0)) <= allowed + 1:
-                    near.append((j, i))
-            if len(near) < need_hits:
-                continue
-            i_lo, i_hi = min(i for _, i in near), max(i for _, i in near)
-            whole = (0, size, max(0, j0 - int(i0 * (1 + MAX_CHANGED)) - reach), j0 + int((size - i0) * (1 + MAX_CHANGED)) + reach)
-            around = (max(0, i_hi - 2 * least), min(size, i_lo + 2 * least), max(0, j0 - 2 * reach), j0 + 2 * reach)
-            for a0, a1, b0, b1 in (whole, around):
-                while self._enough_common(item[a0:a1], left[b0:b1], least - allowed):
-                    got = [(b0 + j, b0 + to_j, a0 + i, a0 + to_i) for j, to_j, i, to_i in _windows(item[a0:a1], left[b0:b1], least)]
-                    if not got:
-                        break
-                    out += got
-                    for first, last, _, _ in got:
-                        left[first : last + 1] = [_BLOT] * (last + 1 - first)
-            tried_to = max(j for j, _ in near)
+            if x - start >= need:
+                lo, hi = max(0, hits[start] - apart), min(len(ids), hits[x - 1] + apart + 1)
+                for b0, b1 in _dense([w in held for w in ids[lo:hi]], least):
+                    text = ids[lo + b0 : lo + b1]
+                    while _may_hold(item, text, least) and (got := windows(item, text, least)):
+                        out += [(lo + b0 + j, lo + b0 + to_j, i, to_i) for j, to_j, i, to_i in got]
+                        if not spans:
+                            return out
+                        for first, last, _, _ in got:
+                            text[first : last + 1] = [_BLOT] * (last + 1 - first)
+            start = x
         return out
 
-    def _verify(self, k: int, ids: list[int], hits: list[tuple[int, int]]) -> tuple[int, int, int, int] | None:
-        """(first word, last word, first passage word, last passage word) of a window, the first that is found."""
-        item = self.words[k]
-        least = min(MIN_WORDS, len(item))
-        allowed = int(least * MAX_CHANGED)
-        need_hits = max(1, (least - allowed) - (SEED - 1) * (allowed + 1))
-        if len(hits) < need_hits or least < 2 * SEED:
-            return next(self._short(item, ids, hits), None) if least < 2 * SEED else None
-        reach = int(least * (1 + MAX_CHANGED)) + 1
-        tried_to = -1
-        for x, (j0, i0) in enumerate(hits):
-            if j0 <= tried_to:
-                continue
-            near = [(j, i) for j, i in hits[x:] if j - j0 <= reach and abs((j - i) - (j0 - i0)) <= allowed + 1]
-            if len(near) < need_hits:
-                continue
-            i_lo, i_hi = min(i for _, i in near), max(i for _, i in near)
-            a0, a1 = max(0, i_hi - 2 * least), min(len(item), i_lo + 2 * least)
-            b0, b1 = max(0, j0 - 2 * reach), min(len(ids), j0 + 2 * reach)
-            if not self._enough_common(item[a0:a1], ids[b0:b1], least - allowed):
-                continue
-            if got := next(_windows(item[a0:a1], ids[b0:b1], least), None):
-                return b0 + got[0], b0 + got[1], a0 + got[2], a0 + got[3]
-            tried_to = max(j for j, _ in near)
-        return None
-
-    @staticmethod
-    def _enough_common(a: list[int], b: list[int], need: int) -> bool:
-        """A bound: the words that some stretch of the passage shares with the text."""
-        left = defaultdict(int)
-        for w in b:
-            left[w] += 1
-        n = 0
-        for w in a:
-            if left[w] > 0:
-                left[w] -= 1
-                n += 1
-        return n >= need
-
-    @staticmethod
-    def _short(item: list[int], ids: list[int], hits: list[tuple[int, int]]) -> Iterator[tuple[int, int, int, int]]:
-        for j, i in hits:
-            if i == len(item) - 1 and j >= i and ids[j - i : j + 1] == item:
-                yield j - i, j, 0, i
+    def _tiny(self, ids: list[int], spans: bool) -> list[tuple[int, int, int, int, float]]:
+        out, seen = [], set()
+        for j, w in enumerate(ids):
+            for k in self.tiny.get(w, ()) if w >= 0 else ():
+                size = len(self.words[k])
+                if ids[j : j + size] == self.words[k] and (spans or k not in seen):
+                    seen.add(k)
+                    out.append((self.ids[k], j, j + size - 1, size, 1.0))
+        return out
 
 
 #: A word of the text that has been found already.
 _BLOT = -2
 
 
+def _dense(held: list[bool], least: int) -> list[tuple[int, int]]:
+    """Stretches [from, to) of the text in which windows may lie.
+
+    A window of L passage words keeps at least (1 - c) L of them among at most
+    (1 + c) L words of the text, c being ``MAX_CHANGED``: only words that stand
+    in some stretch with this share of passage words are in a window.
+    """
+    share, short = (1 - MAX_CHANGED) / (1 + MAX_CHANGED), least - int(least * MAX_CHANGED)
+    if sum(held) < short:
+        return []
+    sums = np.concatenate(([0.0], np.cumsum(np.asarray(held, np.float64) - share)))
+    # for each end the earliest start from which the share holds
+    first = np.searchsorted(-np.minimum.accumulate(sums), -sums - 1e-9)
+    ends = np.nonzero(np.arange(len(sums)) - first >= short)[0]
+    depth = np.zeros(len(sums) + 1, np.int64)
+    np.add.at(depth, first[ends], 1)
+    np.add.at(depth, ends, -1)
+    edges = np.flatnonzero(np.diff(np.concatenate(([False], np.cumsum(depth) > 0, [False])).astype(np.int8)))
+    return [(int(x), int(y)) for x, y in zip(edges[::2], edges[1::2], strict=True)]
+
+
+def _may_hold(item: list[int], text: list[int], least: int) -> bool:
+    """A bound: whether enough of some window of the passage occurs in the text at all."""
+    there = set(text)
+    total, before, low = 0.0, [0.0], 0.0
+    shortest = least - MAX_EDGE
+    for i, w in enumerate(item, 1):
+        total += (w in there) - (1 - MAX_CHANGED)
+        before.append(total)
+        if i >= shortest:
+            low = min(low, before[i - shortest])
+            # a window that lacks up to MAX_EDGE words counts with them, all of them changed
+            if total - low >= -MAX_EDGE * (1 - MAX_CHANGED) - 1e-9:
+                return True
+    return False
+
+
+def windows(item: list[int], text: list[int], least: int) -> list[tuple[int, int, int, int]]:
+    """(first word, last word, first passage word, last passage word) of windows that share no word of the text.
+
+    Of windows that overlap the one with most words counts, less three for
+    each change, so that no window goes on beyond what is quoted.
+
+    For every passage word as a start, and every text word that equals it, the
+    least number of words altered, added or missing is kept for each length of
+    the window and each end in the text, all starts at once.  A window begins
+    and ends with a kept word; one that is up to ``MAX_EDGE`` words short of
+    ``least`` counts with them, as altered.
+    """
+    a, b = np.asarray(item, np.int32), np.asarray(text, np.int32)
+    n, m = len(a), len(b)
+    big = 1 << 13
+    same = a[:, None] == b[None, :]
+    along = np.arange(m, dtype=np.int16)
+    # cost and first text word of the best alignment of passage words [s, s + size) that ends at text word j
+    cost = np.where(same, 0, big).astype(np.int16)
+    begin = np.where(same, along[None, :], -1).astype(np.int16 if m < (1 << 15) else np.int32)
+    found: list[tuple[int, int, int, int, int]] = []  # worth, words, first passage word, first and last word of the text
+    for size in range(1, n + 1):
+        starts = n - size + 1
+        if size > 1:
+            cost, begin = cost[:starts], begin[:starts]
+            hit = same[size - 1 :]
+            left = np.full_like(cost, big)
+            left[:, 1:] = cost[:, :-1]
+            left_begin = np.full_like(begin, -1)
+            left_begin[:, 1:] = begin[:, :-1]
+            kept = np.where(hit, left, big)
+            if size >= least - MAX_EDGE:
+                wide = max(size, least)
+                good = kept <= int(wide * MAX_CHANGED) - (wide - size)
+                if wide <= n and good.any():
+                    for s, j in zip(*np.nonzero(good), strict=True):
+                        found.append((size - 3 * int(kept[s, j]), size, int(s), int(left_begin[s, j]), int(j)))
+            diagonal = left + ~hit
+            missing = cost + 1
+            new = np.where(diagonal <= missing, diagonal, missing)
+            new_begin = np.where(diagonal <= missing, left_begin, begin)
+            # words added: the best cell to the left, one more for each word between
+            level = new - along
+            best = np.minimum.accumulate(level, axis=1)
+            source = np.maximum.accumulate(np.where(level == best, along, 0), axis=1)
+            cost = np.minimum(best + along, big).astype(np.int16)
+            begin = np.take_along_axis(new_begin, source.astype(np.int64), axis=1)
+            if not (cost < n).any():
+                break
+    out: list[tuple[int, int, int, int]] = []
+    for _, size, s, first, last in sorted(found, reverse=True):
+        if all(last < x or first > y for x, y, _, _ in out):
+            out.append((first, last, s, s + size - 1))
+    return out
+
+
 def _merged(pieces: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int]]:
     """(first word, last word, passage words covered): the pieces, merged where they share words of the text."""
     out: list[tuple[int, int, set[int]]] = []
@@ -271,62 +363,6 @@ def _merged(pieces: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int
     return [(first, last, len(covered)) for first, last, covered in out]
 
 
-def _windows(a: list[int], b: list[int], least: int) -> Iterator[tuple[int, int, int, int]]:
-    """Windows of the passage part ``a`` that stand, slightly changed, in the text part ``b``: the longest from each word kept.
-
-    Gives (first word, last word, first passage word, last passage word).
-    Local alignment with a gain of one for a word kept and a loss of one for a
-    word altered, added or missing; all windows along the best path are tried,
-    then the next best path that starts elsewhere.
-    """
-    n, m = len(a), len(b)
-    score = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(1, n + 1):
-        row, up, w = score[i], score[i - 1], a[i - 1]
-        for j in range(1, m + 1):
-            best = up[j - 1] + (1 if w == b[j - 1] else -1)
-            if up[j] - 1 > best:
-                best = up[j] - 1
-            if row[j - 1] - 1 > best:
-                best = row[j - 1] - 1
-            if best > 0:
-                row[j] = best
-    tops = sorted(((max(row), i) for i, row in enumerate(score)), reverse=True)
-    tried: set[tuple[int, int]] = set()
-    for top, i in tops[:6]:
-        if top < 3:
-            break
-        j = score[i].index(top)
-        matched: list[tuple[int, int]] = []
-        while i and j and score[i][j] > 0:
-            s = score[i][j]
-            if s == score[i - 1][j - 1] + (1 if a[i - 1] == b[j - 1] else -1):
-                if a[i - 1] == b[j - 1]:
-                    matched.append((i - 1, j - 1))
-                i, j = i - 1, j - 1
-            elif s == score[i - 1][j] - 1:
-                i -= 1
-            else:
-                j -= 1
-        if not matched or matched[0] in tried:
-            continue
-        tried.add(matched[0])
-        matched.reverse()
-        cost = [0]
-        for (i0, j0), (i1, j1) in zip(matched, matched[1:], strict=False):
-            cost.append(cost[-1] + max(i1 - i0, j1 - j0) - 1)
-        for x in range(len(matched)):
-            for y in range(len(matched) - 1, x, -1):
-                size = matched[y][0] - matched[x][0] + 1
-                wide = max(size, least)
-                if wide > n or wide - size > MAX_EDGE:
-                    continue
-                changed = cost[y] - cost[x] + wide - size
-                if changed <= MAX_CHANGED * wide:
-                    yield matched[x][1], matched[y][1], matched[x][0], matched[y][0]
-                    break
-
-
 # ------------------------------------------------------------------ operators
 
 
@@ -335,7 +371,7 @@ def _blocks(items: DataFrame, item_key: str, passage: str) -> Iterator[list[tupl
     block, size = [], 0
     for r in items.select(item_key, passage).filter(F.col(passage).isNotNull()).distinct().orderBy(item_key, passage).toLocalIterator():
         words = words_with_spans(r[1])[0]
-        if len(words) < SEED:
+        if not words:
             continue
         if block and size + len(words) > BLOCK_WORDS:
             yield block
@@ -346,26 +382,31 @@ def _blocks(items: DataFrame, item_key: str, passage: str) -> Iterator[list[tupl
         yield block
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, *, text: str, key: str, passage: str, item_key: str) -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, *, text: str, key: str, passage: str, item_key: str, spans: bool = True) -> DataFrame:
     """(key, item_key, begin, end, n_words, coverage): each document and passage it leaks, with every place in the text.
 
     ``n_words`` passage words are covered by the place, the share ``coverage`` of the passage.
+    Without ``spans`` there is one row for each document and passage, and no place.
     """
     spark = docs.sparkSession
     out_schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, `{item_key}` {items.schema[item_key].dataType.simpleString()}, begin int, end int, n_words int, coverage double"
     parts = []
     for block in _blocks(items, item_key, passage):
-        shared = spark.sparkContext.broadcast(block)
+        shared = spark.sparkContext.broadcast(Automaton(block))
 
         def run(it: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            automaton = Automaton(shared.value)
+            automaton = shared.value
             for batch in it:
                 rows = []
                 for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     if not t:
                         continue
-                    words, spans = words_with_spans(t)
-                    rows += [(k, i, spans[a][0], spans[b][1], n, share) for i, a, b, n, share in automaton.leaks(words)]
+                    if spans:
+                        words, at = words_with_spans(t)
+                    else:
+                        words, at = words_of(t), []
+                    for i, a, b, n, share in automaton.leaks(words, spans):
+                        rows.append((k, i, at[a][0], at[b][1], n, share) if spans else (k, i, None, None, n, share))
                 if rows:
                     cols = list(zip(*rows, strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(cols[0], batch.column(0).type), pa.array(cols[1]), *(pa.array(c, pa.int32()) for c in cols[2:5]), pa.array(cols[5], pa.float64())], names=[key, item_key, "begin", "end", "n_words", "coverage"])

@@ -62,7 +62,7 @@ def p6_ids(spark: SparkSession, root: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, root: str) -> DataFrame:
     """Documents with the evaluation items that they leak."""
-    leaks = find_leaks(busy(table(spark, root, "documents").select("doc_id", "text")), table(spark, root, "eval_items"), text="text", key="doc_id", passage="passage", item_key="item_id")
+    leaks = find_leaks(busy(table(spark, root, "documents").select("doc_id", "text")), table(spark, root, "eval_items"), text="text", key="doc_id", passage="passage", item_key="item_id", spans=False)
     return leaks.select("doc_id", "item_id").distinct()
 
 
