@@ -3,18 +3,23 @@
 1. Sentences are reduced to skeletons: words without their non-ASCII
    characters, names and numbers masked.  Sentences of one skeleton are near
    twins, so a garbled word meets its clean form at the same place.
-2. The runs of non-ASCII characters between the shared ASCII characters of
-   both words are aligned, and each pair of runs votes for the encodings
-   (true, wrong) that turn one into the other.
+2. Each garbled word is read under all pairs of encodings; a reading counts if
+   it is the clean word of a near twin, which is looked up by skeleton, place
+   and word, so that no list of twins is compared pairwise.  The runs of
+   non-ASCII characters of both words are aligned, and the pair votes for the
+   encodings (true, wrong) that turn one into the other.
 3. The mappings that got votes are applied to every record: multi-byte ones to
-   each run of characters that is the wrong reading of a valid sequence,
-   single-byte ones to sentences whose words are implausible as they stand.
+   each run of characters that is the wrong reading of a valid sequence, as
+   often as text was decoded wrongly, single-byte ones to sentences whose words
+   are implausible as they stand.
 
 Twins are matched over all rows, counted before they are shuffled; what goes
-to the driver is one row per pair of encodings.
+to the driver is at most one row per pair of encodings and one per letter.
 
 Defined results: null, empty and ASCII texts are never garbled; a text with
-replacement characters is garbled and lost, its restored text is null.
+replacement characters is garbled and lost, its restored text is null; a table
+without twins teaches nothing, and only mappings that the caller names are
+applied to it.
 """
 
 from __future__ import annotations
@@ -39,8 +44,8 @@ WRONG = ("cp1252", "latin-1", "cp1251", "mac_roman", "cp437", "cp850", "cp866",
 TRUE_SINGLE = ("cp1251", "koi8-r", "cp866", "iso8859-5", "mac_cyrillic", "cp1253", "cp1250", "cp1252", "mac_roman", "cp850")
 #: Pairs of aligned runs that must speak for a mapping.
 MIN_SUPPORT = 2
-#: Mappings that are tried even where a table has no twins to learn from.
-KNOWN = ((MULTI_BYTE, "cp1252"), (MULTI_BYTE, "latin-1"), ("cp1251", "cp1252"), ("cp1251", "cp866"), ("koi8-r", "cp1251"))
+#: Sets of encodings that explain the same pairs are weighed on the driver up to so many, beyond that in the cluster.
+MAX_SETS = 10_000
 LOST = "�"
 
 _NON_ASCII = re.compile(r"[^\x00-\x7f]+")
@@ -75,9 +80,7 @@ def _plausible(ch: str) -> bool:
 
 @lru_cache(None)
 def _multi_pattern(wrong: str) -> re.Pattern[str]:
-    chars = {b: ch for ch, b in _byte_of(wrong).items()}
     by = lambda lo, hi: "[" + re.escape("".join(ch for ch, b in _byte_of(wrong).items() if lo <= b <= hi)) + "]"
-    assert chars
     tail = by(0x80, 0xBF)
     return re.compile(f"{by(0xF0, 0xF4)}{tail}{{3}}|{by(0xE0, 0xEF)}{tail}{{2}}|{by(0xC2, 0xDF)}{tail}")
 
@@ -90,24 +93,29 @@ def _natural(run: str) -> bool:
     return bool(_ORDINARY.match(run))
 
 
-def undo_multi(text: str, wrong: str) -> tuple[str, int]:
-    """Decode again every run of characters that is a UTF-8 sequence read as ``wrong``."""
+@lru_cache(1 << 17)
+def _undo_run(run: str, wrong: str) -> tuple[str, int]:
+    """Decode again the parts of a run of non-ASCII characters that are UTF-8 sequences read as ``wrong``."""
     rx, table = _multi_pattern(wrong), _byte_of(wrong)
     out, done, at, n = [], 0, 0, 0
-    while m := rx.search(text, at):
+    while m := rx.search(run, at):
         try:
             ch = bytes(table[c] for c in m.group()).decode()
         except UnicodeDecodeError:
             ch = ""
         if ch and _plausible(ch) and not _natural(m.group()) and not (0xA0 > ord(ch) >= 0x80 and wrong not in ("cp1252", "latin-1")):
-            out += [text[done : m.start()], ch]
+            out += [run[done : m.start()], ch]
             done = at = m.end()
             n += 1
         else:
             at = m.start() + 1
-    if not n:
-        return text, 0
-    return "".join(out) + text[done:], n
+    return ("".join(out) + run[done:], n) if n else (run, 0)
+
+
+def undo_multi(text: str, wrong: str, runs: list[str] | None = None) -> tuple[str, int]:
+    """Decode again every run of characters that is a UTF-8 sequence read as ``wrong``."""
+    n = sum(_undo_run(r, wrong)[1] for r in (_NON_ASCII.findall(text) if runs is None else runs))
+    return (_NON_ASCII.sub(lambda m: _undo_run(m.group(), wrong)[0], text), n) if n else (text, 0)
 
 
 def undo_single(text: str, true: str, wrong: str) -> str | None:
@@ -144,34 +152,32 @@ def _capitals(text: str) -> float:
 
 def oddness(text: str) -> int:
     """How often neighbouring characters do not fit each other."""
-    n = 0
-    for word in text.split(" "):
-        if word.isascii():
-            continue
-        accented = 0
-        before, before_ch = "", ""
-        letters = 0
-        for ch in word:
-            kind = _script(ch)
-            if kind in ("accented", "cyrillic", "greek", "other", "latin"):
-                letters += 1
-            accented += kind == "accented"
-            if kind == "box":
-                n += 1
-            elif before and kind:
-                if {before, kind} & {"cyrillic", "greek"} and before != kind:
-                    n += 1
-                elif before_ch.islower() and ch.isupper() and (kind != "latin" or before != "latin"):
-                    n += 1
-            if ch in _SIGNS and before in ("latin", "accented", "cyrillic", "greek"):
+    return sum(_word_oddness(w) for w in text.split(" ") if not w.isascii())
+
+
+@lru_cache(1 << 17)
+def _word_oddness(word: str) -> int:
+    n = accented = letters = 0
+    before, before_ch = "", ""
+    for ch in word:
+        kind = _script(ch)
+        letters += kind in ("accented", "cyrillic", "greek", "other", "latin")
+        accented += kind == "accented"
+        if kind == "box":
+            n += 1
+        elif before and kind:
+            if {before, kind} & {"cyrillic", "greek"} and before != kind:
                 n += 1
-            if ch in _RARE_CYRILLIC:
+            elif before_ch.islower() and ch.isupper() and (kind != "latin" or before != "latin"):
                 n += 1
-            before, before_ch = kind, ch
-        if accented >= 3 and accented > letters // 2:
-            n += 1 + (accented == letters)
-        elif _SWAPPED_CASE.search(word):
+        if ch in _SIGNS and before in ("latin", "accented", "cyrillic", "greek"):
             n += 1
+        n += ch in _RARE_CYRILLIC
+        before, before_ch = kind, ch
+    if accented >= 3 and accented > letters // 2:
+        n += 1 + (accented == letters)
+    elif _SWAPPED_CASE.search(word):
+        n += 1
     return n
 
 
@@ -208,11 +214,11 @@ def repair(text: str | None, mappings: list[Mapping], letters: Letters | None =
 
 def _undo_all_multi(text: str, multi: list[str]) -> str:
     now = text
-    for _ in range(3):  # text may have been decoded wrongly more than once
+    while True:  # text may have been decoded wrongly any number of times; each one undone makes it shorter
         best, fixed = now, 0
-        before = None
+        before, runs = None, _NON_ASCII.findall(now)
         for wrong in multi:
-            got, n = undo_multi(now, wrong)
+            got, n = undo_multi(now, wrong, runs)
             if n <= fixed:
                 continue
             if n < 4 and wrong not in ("cp1252", "latin-1"):
@@ -239,9 +245,12 @@ def _undo_all_single(text: str, single: list[Mapping], letters: Letters | None)
         if options and (low := min(options))[0] * 4 <= was and was - low[0] >= 2:
             parts[i] = low[3]
             used[single[low[2]]] += 1
-    for true, wrong in used:  # parts of the same text that look whole only because their case is swapped
+    for true, wrong in used:  # parts of the same text with few odd letters, or that look whole only because their case is swapped
         for i, part in enumerate(parts):
-            if not part.isascii() and _capitals(part) > 0.5 and (got := undo_single(part, true, wrong)) is not None and _capitals(got) == 0 and oddness(got) <= oddness(part):
+            if part.isascii() or (got := undo_single(part, true, wrong)) is None:
+                continue
+            before, after = oddness(part), oddness(got)
+            if before > after == 0 or (_capitals(part) > 0.5 and _capitals(got) == 0 and after <= before):
                 parts[i] = got
     return "".join(parts)
 
@@ -255,8 +264,21 @@ def _mask(word: str) -> str:
     return "*" + re.sub(r"\d+", "#", _NON_ASCII.sub("", word))
 
 
+@lru_cache(1 << 17)
 def _suspicious(word: str) -> bool:
-    return LOST in word or oddness(word) > 0 or any(_multi_pattern(w).search(word) for w in WRONG[:7])
+    return LOST in word or oddness(word) > 0 or any(undo_multi(word, w)[1] for w in WRONG)
+
+
+def readings(word: str) -> list[str]:
+    """What a word would be under each pair of encodings, other than as it stands."""
+    out = set()
+    for wrong in WRONG:
+        now = word
+        while (got := undo_multi(now, wrong))[1]:
+            now = got[0]
+            out.add(now)
+        out |= {got for true in (MULTI_BYTE, *TRUE_SINGLE) if true != wrong and (got := undo_single(word, true, wrong)) is not None}
+    return sorted(out - {word})
 
 
 def sentence_words(df: DataFrame, text: str) -> DataFrame:
@@ -316,21 +338,39 @@ def explain_pair(garbled: str, clean: str) -> set[tuple[str, str]]:
 def learn_mappings(df: DataFrame, text: str) -> tuple[list[tuple[str, str, int]], Letters]:
     """Mappings with the number of different aligned words that speak for them, strongest first; surprise by letter."""
     words = cut_lineage(sentence_words(df, text).groupBy("skeleton", "place", "word", "odd").agg(F.sum("n").alias("n")))
-    clean = words.filter(~F.col("odd")).groupBy("skeleton", "place").agg(F.max_by("word", F.struct("n", "word")).alias("clean"))
-    pairs = words.filter("odd").join(clean, ["skeleton", "place"]).select("word", "clean").distinct()
 
-    @F.pandas_udf("string")
+    @F.pandas_udf("array<string>")
+    def read(garbled: pd.Series) -> pd.Series:
+        return garbled.map(readings)
+
+    @F.pandas_udf("array<string>")
     def explain(garbled: pd.Series, clean: pd.Series) -> pd.Series:
-        return pd.Series(["\n".join(sorted("\t".join(m) for m in explain_pair(g, c))) for g, c in zip(garbled, clean, strict=True)])
+        return pd.Series([sorted("\t".join(m) for m in explain_pair(g, c)) for g, c in zip(garbled, clean, strict=True)])
 
-    # one row per set of encodings that explain the same pairs, whatever the size of the table
-    votes = pairs.select(explain("word", "clean").alias("mappings")).filter("mappings != ''").groupBy("mappings").count().collect()
+    clean = words.filter(~F.col("odd")).select("skeleton", "place", F.col("word").alias("clean"))
+    read_as = words.filter("odd").select("skeleton", "place", "word", F.explode(read("word")).alias("clean"))
+    pairs = read_as.join(clean, ["skeleton", "place", "clean"], "left_semi").select("word", "clean").distinct()
+    votes = cut_lineage(pairs.select(explain("word", "clean").alias("mappings")).filter("size(mappings) > 0").groupBy("mappings").agg(F.count("*").alias("n")))
     # one row a letter that clean words hold
     held = words.filter(~F.col("odd")).select(F.explode(F.split(F.lower("word"), "")).alias("letter"), "n").filter("letter > '\\u007f'")
     counts = {r["letter"]: r["n"] for r in held.groupBy("letter").agg(F.sum("n").alias("n")).collect()}
     total = sum(counts.values()) + len(counts) + 1
     letters = {c: -math.log((n + 1) / total) for c, n in counts.items()} | {"": -math.log(1 / total)}
-    return choose_mappings({frozenset(tuple(m.split("\t")) for m in r["mappings"].split("\n")): r["count"] for r in votes}), letters
+    if votes.limit(MAX_SETS + 1).count() <= MAX_SETS:
+        return choose_mappings({frozenset(tuple(m.split("\t")) for m in r["mappings"]): r["n"] for r in votes.collect()}), letters
+    found: list[tuple[str, str, int]] = []
+    left = votes
+    while True:  # one row a pair of encodings comes back in each round
+        totals = {tuple(r["m"].split("\t")): r["n"] for r in left.select(F.explode("mappings").alias("m"), "n").groupBy("m").agg(F.sum("n").alias("n")).collect()}
+        if not totals or (best := _strongest(totals))[2] < MIN_SUPPORT:
+            return found, letters
+        found.append(best)
+        left = left.filter(~F.array_contains("mappings", "\t".join(best[:2])))
+
+
+def _strongest(totals: dict[Mapping, int]) -> tuple[str, str, int]:
+    best, n = min(totals.items(), key=lambda x: (-x[1], WRONG.index(x[0][1]), x[0]))
+    return (*best, n)
 
 
 def choose_mappings(votes: dict[frozenset, int]) -> list[tuple[str, str, int]]:
@@ -341,11 +381,10 @@ def choose_mappings(votes: dict[frozenset, int]) -> list[tuple[str, str, int]]:
         for k, n in left.items():
             for m in k:
                 total[m] += n
-        (best, n) = min(total.items(), key=lambda x: (-x[1], WRONG.index(x[0][1]), x[0]))
-        if n < MIN_SUPPORT:
+        if (best := _strongest(total))[2] < MIN_SUPPORT:
             break
-        out.append((*best, n))
-        left = {k: v for k, v in left.items() if best not in k}
+        out.append(best)
+        left = {k: v for k, v in left.items() if best[:2] not in k}
     return out
 
 
@@ -359,7 +398,7 @@ def restore_encoding(df: DataFrame, *, text: str, key: str, mappings: list[Mappi
     themselves unless they are given.
     """
     found, letters = ([(*m, 0) for m in mappings], None) if mappings is not None else learn_mappings(df, text)
-    use = list(dict.fromkeys([*((t, w) for t, w, _ in found), *KNOWN]))
+    use = [(t, w) for t, w, _ in found]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
