@@ -204,7 +204,7 @@ def repair(text: str | None, mappings: list[Mapping], letters: Letters | None =
         return None, True
     multi = [w for t, w in mappings if t == MULTI_BYTE]
     single = [m for m in mappings if m[0] != MULTI_BYTE]
-    once = _undo_all_multi(text, multi)
+    once = _undo_all_multi(text, multi, letters)
     options = [_undo_all_single(once, single, letters)]
     if once != text and oddness(options[0]) > 0:
         options.append(_undo_all_single(text, single, letters))
@@ -212,7 +212,21 @@ def repair(text: str | None, mappings: list[Mapping], letters: Letters | None =
     return best, best != text
 
 
-def _undo_all_multi(text: str, multi: list[str]) -> str:
+def _foreign(text: str, runs: list[str], wrong: str, letters: Letters | None) -> bool:
+    """Whether what would be decoded again is of no script that the rest of the text has, and gives characters that clean words hold."""
+    if not letters:
+        return False
+    gone: set[str] = set()
+    for run in set(runs):
+        got, n = _undo_run(run, wrong)
+        if n:
+            if any(c.lower() not in letters for c in set(got) - set(run)):
+                return False
+            gone |= {_script(c) for c in run if c.isalpha()}
+    return not gone & {_script(c) for run in runs if not _undo_run(run, wrong)[1] for c in run if c.isalpha()}
+
+
+def _undo_all_multi(text: str, multi: list[str], letters: Letters | None = None) -> str:
     now = text
     while True:  # text may have been decoded wrongly any number of times; each one undone makes it shorter
         best, fixed = now, 0
@@ -223,7 +237,7 @@ def _undo_all_multi(text: str, multi: list[str]) -> str:
                 continue
             if n < 4 and wrong not in ("cp1252", "latin-1"):
                 before = oddness(now) if before is None else before
-                if oddness(got) >= before:
+                if oddness(got) >= before and not _foreign(now, runs, wrong, letters):
                     continue
             best, fixed = got, n
         if not fixed:

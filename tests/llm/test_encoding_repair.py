@@ -74,3 +74,52 @@ def test_learns_from_near_twins(spark):
     got = {r.doc_id: r.restored for r in restore_encoding(df, text="text", key="doc_id").collect()}
     assert got == {100: clean[0].replace("B1-2", "Z9-9"), 101: clean[1], 202: None, 203: clean[0].replace("B1-2", "Z9-9")}
     assert restore_encoding(df.limit(0), text="text", key="doc_id").count() == 0
+
+
+@pytest.mark.parametrize("times", [2, 4, 6])
+def test_any_number_of_wrong_decodings(times):
+    bad = GERMAN
+    for _ in range(times):
+        bad = as_read(bad, "utf-8", "cp1252")
+    assert repair(bad, [("utf-8", "cp1252")]) == (GERMAN, True)
+
+
+@pytest.mark.parametrize("wrong", ["koi8-r", "cp1250", "iso8859-15", "cp1253"])
+def test_every_listed_encoding_can_be_learned(spark, wrong):
+    clean = ["Die Probe wurde in Köln erneut geprüft und für gültig erklärt.", "Die Gruppe möchte die Daten zurückziehen, weil die Länge nicht stimmt."]
+    df = spark.createDataFrame([(i, s) for i in range(4) for s in clean] + [(9, as_read(s, "utf-8", wrong)) for s in clean], "doc_id long, text string")
+    assert ("utf-8", wrong) in {m[:2] for m in learn_mappings(df, "text")[0]}
+
+
+def test_a_twin_need_not_be_the_commonest_word_of_its_place(spark):
+    rows = ["Вчера пришёл новый отчёт."] * 9 + ["Вчера пришла новая проба.", as_read("Вчера пришла новая проба.", "utf-8", "cp1251")]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert ("utf-8", "cp1251") in {m[:2] for m in learn_mappings(df, "text")[0]}
+    assert {r.doc_id: r.restored for r in restore_encoding(df, text="text", key="doc_id").collect()} == {10: rows[9]}
+
+
+def test_nothing_is_known_beforehand(spark):
+    bad = as_read(GERMAN, "utf-8", "cp1252")
+    df = spark.createDataFrame([(1, bad), (2, "plain")], "doc_id long, text string")
+    assert restore_encoding(df, text="text", key="doc_id").count() == 0
+    assert [r.restored for r in restore_encoding(df, text="text", key="doc_id", mappings=[("utf-8", "cp1252")]).collect()] == [GERMAN]
+
+
+def test_single_garbled_signs_are_restored_where_their_script_is_foreign():
+    letters = {c: 2.0 for c in "×±ё№“”а"} | {"": 9.0}
+    use = [("utf-8", "mac_roman"), ("utf-8", "cp1251")]
+    for clean in ("A grid of 58×58 cells.", "Kept at 4 ±1 degrees.", "They wrote “wrong segment”."):
+        for wrong in ("mac_roman", "cp1251"):
+            assert repair(as_read(clean, "utf-8", wrong), use, letters) == (clean, True)
+            assert repair(clean, use, letters) == (clean, False)
+
+
+def test_sets_are_weighed_alike_on_the_driver_and_in_the_cluster(spark, monkeypatch):
+    from helixmill.llm import encoding_repair
+
+    clean = ["Die Probe wurde in Köln erneut geprüft und für gültig erklärt.", "Вчера пришла новая проба из области."]
+    rows = clean * 3 + [as_read(s, "utf-8", w) for s in clean for w in ("cp1252", "mac_roman")]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    want = learn_mappings(df, "text")[0]
+    monkeypatch.setattr(encoding_repair, "MAX_SETS", 0)
+    assert learn_mappings(df, "text")[0] == want and want
