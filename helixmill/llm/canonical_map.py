@@ -1,16 +1,18 @@
 """Free-entered values mapped to a canonical list.
 
 Values are deduplicated before anything is done with them.  Each distinct
-value is normalised and cut into the parts that may hold the name; for each
-part, candidates come from an inverted index of character n-grams over the
-names of the list, are scored by the cosine of their n-gram weights (inverse
-document frequency over the list), and the best ones are compared once more by
-edit distance with transpositions.  A name is accepted above a threshold and
-with a margin over the best name of any other entry; otherwise the value is
-reported as unmatched.
+value is normalised and cut into the parts that may hold the name.  For each
+part, all names that share a character n-gram (also one with a gap, which
+survives a transposition) come from an inverted index over the list and are
+scored by the cosine of their n-gram weights (inverse document frequency over
+the list).  Names above the threshold are checked exactly: a name must be
+within the typing errors that its length allows, with the same digits.  The
+best cosine is accepted with a margin over the best name of any other entry;
+among names whose cosines are close, those with more errors than another fall
+back.  Everything else is reported as unmatched.
 
 The list with its other names is small by nature; its size is checked against
-``MAX_NAMES`` before the index is broadcast.
+``MAX_NAMES`` before it is read to the driver and before the index is broadcast.
 
 Defined results: null and blank values give no row; values that fit two
 entries alike, or several entries at once, are unmatched (``UNMATCHED``).
@@ -25,6 +27,7 @@ from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,13 +36,10 @@ from helixmill.session import spread
 
 UNMATCHED = -1
 MAX_NAMES = 200_000
-#: Cosine that a candidate needs to be looked at, candidates compared by edit distance.
-MIN_COSINE = 0.1
-TOP = 24
-#: Weight of the cosine in the score (the rest is edit similarity), accepted score and margin over other entries.
-COSINE_WEIGHT = 0.3
-MIN_SCORE = 0.55
+#: Accepted cosine, margin over the names of other entries, and what counts as close.
+MIN_COSINE = 0.25
 MIN_MARGIN = 0.02
+CLOSE = 0.1
 
 
 def fold(text: str) -> str:
@@ -50,24 +50,51 @@ def fold(text: str) -> str:
 
 
 def osa(a: str, b: str, most: int) -> int:
-    """Edit distance with transpositions of neighbours; ``most + 1`` where it is larger."""
+    """Edit distance with transpositions of neighbours; ``most + 1`` where it is larger.
+
+    What both texts begin and end with costs nothing; of the rest only the
+    cells within ``most`` of the diagonal are filled.
+    """
+    far = most + 1
     if abs(len(a) - len(b)) > most:
-        return most + 1
+        return far
+    if a == b:
+        return 0
+    start, end_a, end_b = 0, len(a), len(b)
+    while start < end_a and start < end_b and a[start] == b[start]:
+        start += 1
+    while end_a > start and end_b > start and a[end_a - 1] == b[end_b - 1]:
+        end_a, end_b = end_a - 1, end_b - 1
+    a, b = a[start:end_a], b[start:end_b]
+    n, m = len(a), len(b)
+    if not n or not m:
+        return min(max(n, m), far)
     before: list[int] = []
-    prev = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        row = [i]
-        low = i
-        for j, y in enumerate(b, 1):
-            v = min(prev[j] + 1, row[j - 1] + 1, prev[j - 1] + (x != y))
+    prev = [*range(min(m, most) + 1), *([far] * (m - most))]
+    for i in range(1, n + 1):
+        x = a[i - 1]
+        lo, hi = i - most if i > most else 1, i + most if i + most < m else m
+        row = [far] * (m + 1)
+        if i <= most:
+            row[0] = i
+        low = far
+        left = row[lo - 1]
+        for j in range(lo, hi + 1):
+            y = b[j - 1]
+            v = prev[j - 1] if x == y else prev[j - 1] + 1
+            if prev[j] + 1 < v:
+                v = prev[j] + 1
+            if left + 1 < v:
+                v = left + 1
             if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y and before[j - 2] + 1 < v:
                 v = before[j - 2] + 1
-            row.append(v)
-            low = min(low, v)
+            row[j] = left = v
+            if v < low:
+                low = v
         if low > most:
-            return most + 1
+            return far
         before, prev = prev, row
-    return min(prev[-1], most + 1)
+    return min(prev[m], far)
 
 
 def allowed_edits(n: int) -> int:
@@ -102,19 +129,25 @@ class NameIndex:
                 seen[x] += 1
         self.weight = {x: 1.0 + math.log(len(grams) / n) for x, n in seen.items()}
         self.rare = 1.0 + math.log(len(grams) + 1.0)
-        self.posting: dict[str, list[tuple[int, float]]] = defaultdict(list)
+        posting: dict[str, tuple[list[int], list[float]]] = defaultdict(lambda: ([], []))
         for k, g in enumerate(grams):
             norm = math.sqrt(sum((c * self.weight[x]) ** 2 for x, c in g.items()))
             for x, c in g.items():
-                self.posting[x].append((k, c * self.weight[x] / norm))
+                posting[x][0].append(k)
+                posting[x][1].append(c * self.weight[x] / norm)
+        self.posting = {x: (np.asarray(k, np.int32), np.asarray(v)) for x, (k, v) in posting.items()}
 
     @staticmethod
     def _grams(text: str) -> dict[str, int]:
         padded = f"^{text}$"
         out: dict[str, int] = defaultdict(int)
+        for ch in text:
+            out[ch] += 1
         for n in (2, 3):
             for i in range(len(padded) - n + 1):
                 out[padded[i : i + n]] += 1
+        for i in range(len(padded) - 2):
+            out[f"{padded[i]}\x00{padded[i + 2]}"] += 1
         return out
 
     def core(self, folded: str) -> str:
@@ -133,7 +166,7 @@ class NameIndex:
         """(entry, score, margin) of the closest name; entry is UNMATCHED where none is close."""
         f = fold(part)
         got = self._best(f)
-        if got[0] == UNMATCHED and f not in self.entry and (c := self.core(f)) and c != f:
+        if got[0] == UNMATCHED and f not in self.entry and (c := self.core(f)) and c != f and (len(c) > 3 or c in self.entry):
             return self._best(c)
         return got
 
@@ -144,36 +177,34 @@ class NameIndex:
             return self.entry[f], 1.0, 1.0
         grams = self._grams(f)
         norm = math.sqrt(sum((c * self.weight.get(x, self.rare)) ** 2 for x, c in grams.items()))
-        dots: dict[int, float] = defaultdict(float)
+        cosines = np.zeros(len(self.keys))
         for x, c in grams.items():
-            w = c * self.weight.get(x, self.rare) / norm
-            for k, v in self.posting.get(x, ()):
-                dots[k] += w * v
+            if x in self.posting:
+                names, weights = self.posting[x]
+                cosines[names] += weights * (c * self.weight[x] / norm)
         core = self.core(f)
-        near = sorted(((d, k) for k, d in dots.items() if d >= MIN_COSINE), reverse=True)[:TOP]
-        scores: dict[int, tuple[float, int]] = {}
-        for cosine, k in near:
+        fitting: list[tuple[float, int, int]] = []  # cosine, errors, entry
+        for k in np.flatnonzero(cosines >= MIN_COSINE).tolist():
             name = self.keys[k]
             most = allowed_edits(max(len(f), len(name)))
-            d = osa(f, name, most)
-            if d > most or (d and sorted(re.findall(r"\d", f)) != sorted(re.findall(r"\d", name))):
+            if abs(len(f) - len(name)) > most or (d := osa(f, name, most)) > most or (d and sorted(re.findall(r"\d", f)) != sorted(re.findall(r"\d", name))):
                 continue
             if self.generic and core != f:
                 other = self.cores[k]
                 least = allowed_edits(max(len(core), len(other)))
                 if osa(core, other, least) > least:
                     continue
-            score = COSINE_WEIGHT * cosine + (1 - COSINE_WEIGHT) * (1 - d / max(len(f), len(name)))
-            entry = self.entry[name]
-            if score > scores.get(entry, (0.0, 0))[0]:
-                scores[entry] = (score, d)
-        ranked = sorted(((s, -d, e) for e, (s, d) in scores.items()), reverse=True)
-        if not ranked or ranked[0][0] < MIN_SCORE:
-            return UNMATCHED, ranked[0][0] if ranked else 0.0, 0.0
-        margin = ranked[0][0] - ranked[1][0] if len(ranked) > 1 else 1.0
-        if margin < MIN_MARGIN or (len(ranked) > 1 and ranked[1][1] > ranked[0][1]):
-            return UNMATCHED, ranked[0][0], margin
-        return ranked[0][2], ranked[0][0], margin
+            fitting.append((float(cosines[k]), d, self.entry[name]))
+        if not fitting:
+            return UNMATCHED, float(cosines.max(initial=0.0)), 0.0
+        top = max(fitting)[0]
+        by_entry: dict[int, tuple[int, float]] = {}
+        for cosine, d, entry in fitting:
+            if cosine >= top - CLOSE:
+                by_entry[entry] = max(by_entry.get(entry, (-d, cosine)), (-d, cosine))
+        (d, score, entry), *others = sorted(((d, c, e) for e, (d, c) in by_entry.items()), reverse=True)
+        margin = score - max((c for n, c, _ in others if n == d), default=0.0)
+        return (entry if margin >= MIN_MARGIN else UNMATCHED), score, margin
 
 
 Parts = Callable[[str], list[list[str]]]
@@ -210,14 +241,24 @@ def decide(value: str, index: NameIndex, parts: Parts, known_none: int = -2) ->
 # ------------------------------------------------------------------ operator
 
 
+def reference_rows(df: DataFrame) -> list:
+    """The rows of a reference list; refused before they are read if there are more than ``MAX_NAMES``."""
+    if df.limit(MAX_NAMES + 1).count() > MAX_NAMES:
+        raise ValueError(f"a reference list may have {MAX_NAMES} rows at most")
+    return df.collect()
+
+
 def map_to_canonical(df: DataFrame, *, value: str, index: NameIndex, parts: Parts) -> DataFrame:
-    """(value, ref_id, score) for each distinct value that is neither null nor blank."""
+    """(value, ref_id, score) for each distinct value that is neither null nor blank.
+
+    The index is built once, on the driver, and broadcast.
+    """
     if len(index.names) > MAX_NAMES:
         raise ValueError(f"the list has {len(index.names)} names; at most {MAX_NAMES} are broadcast")
-    shared = df.sparkSession.sparkContext.broadcast((index.names, index.codes, index.generic))
+    shared = df.sparkSession.sparkContext.broadcast(index)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here = NameIndex(*shared.value)
+        here = shared.value
         for batch in it:
             values = batch.column(0).to_pylist()
             got = [decide(v, here, parts) for v in values]

@@ -115,7 +115,7 @@ def country_parts(value: str) -> list[list[str]]:
         return []
     out = [[v]]
     if len(several := [x for x in _SEVERAL.split(v) if x]) > 1:
-        return [several, *([] if len(several) > 2 else [])]
+        return [several]
     if ":" in v:
         head = v.split(":", 1)[0].strip()
         return [[head], *([[head.split("(")[0]]] if "(" in head else [])]
@@ -157,13 +157,24 @@ HOST_NAMES = {
     "Eidolon helvum": ["straw-colored fruit bat", "African straw-coloured fruit bat"], "Dermacentor marginatus": ["sheep tick, ornate"],
 }
 
-#: Groups that hold several hosts, and what is no listed host.
-NO_HOST = [
-    "tick", "ticks", "hard tick", "mosquito", "mosquitoes", "bird", "birds", "wild bird", "bat", "bats", "fruit bat", "rodent", "rodents", "rat", "camel", "camels", "hedgehog", "livestock", "ruminant", "poultry", "mammal", "primate", "monkey", "hare",
-    "Ixodidae", "Culicidae", "Hyalomma", "Hyalomma sp.", "Hyalomma spp.", "Rhipicephalus", "Rhipicephalus sp.", "Rhipicephalus spp.", "Dermacentor sp.", "Ixodes sp.", "Aedes sp.", "Culex sp.", "Anopheles sp.", "Camelus sp.", "Rattus sp.", "arthropod pool",
-    "cell culture", "Vero E6", "environment", "feed sample", "elephant", "giraffe", "hippopotamus", "lion", "llama", "Lama glama", "Panthera leo", "human tick", "unknown", "not applicable", "duck", "sparrow", "crow", "Bos", "Sus", "Equus", "Canis", "equid", "suid",
-    "Camelus", "Rattus", "Mus", "Culex", "Aedes", "Anopheles", "Ixodes", "Dermacentor", "Amblyomma", "insect", "arthropod", "wolf", "yak", "buffalo", "water buffalo", "mule", "rabbit", "ferret", "mink", "macaque", "ape", "antelope", "gazelle", "deer", "goose", "pigeon",
-]
+#: Names of animal groups above the species (fixed values); those that the list itself implies are derived from it.
+GROUPS = (
+    "arthropod arthropods insect insects tick ticks hard_tick mosquito mosquitoes ixodidae culicidae bird birds wild_bird bat bats fruit_bat rodent rodents livestock ruminant ruminants "
+    "poultry mammal mammals primate primates monkey monkeys ape apes"
+).split()
+#: Words that stand for no host at all.
+NO_HOST = ("unknown", "not applicable", "environment", "cell culture")
+
+
+def host_groups(listed: list[tuple[int, str, str]]) -> list[str]:
+    """Names that mean several hosts: genera, and the last words of common names of two words or more."""
+    out = [g.replace("_", " ") for g in GROUPS]
+    for genus in sorted({scientific.split()[0] for _, scientific, _ in listed}):
+        out += [genus, f"{genus} sp.", f"{genus} spp."]
+    own = {fold(common) for _, _, common in listed}
+    for noun in sorted({fold(common).split()[-1] for _, _, common in listed if len(fold(common).split()) > 1} - own):
+        out += [noun, f"{noun}s"]
+    return out
 
 
 def host_index(listed: list[tuple[int, str, str]]) -> NameIndex:
@@ -182,7 +193,8 @@ def host_index(listed: list[tuple[int, str, str]]) -> NameIndex:
                     names.append((ref, f"Cx. {rest}"))
         codes.setdefault(str(ref), set()).add(ref)
         codes.setdefault(f"{ref}.0", set()).add(ref)
-    names += [(OUTSIDE, x) for x in NO_HOST]
+    given = {fold(n) for _, n in names}
+    names += [(OUTSIDE, x) for x in (*host_groups(listed), *NO_HOST) if fold(x) not in given]
     return NameIndex(list(dict.fromkeys(names)), codes)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from helixmill.llm import lexicon
 from helixmill.llm.address_match import match_addresses, place_pairs
 from helixmill.llm.bpe_encode import encode_corpus
-from helixmill.llm.canonical_map import map_to_canonical
+from helixmill.llm.canonical_map import map_to_canonical, reference_rows
 from helixmill.llm.encoding_repair import restore_encoding
 from helixmill.llm.leak_detection import find_leaks, remove_leaks
 from helixmill.llm.name_variants import name_classes, name_pairs, organisation_nodes, person_nodes
@@ -43,8 +43,8 @@ def p3_classes(spark: SparkSession, root: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
     """Each sampling country and host with the entry of the reference list that was meant."""
-    countries = [(r.country_id, r.country_name) for r in table(spark, root, "ref_countries").collect()]  # fixed list
-    hosts = [(r.host_taxon_id, r.scientific_name, r.common_name) for r in table(spark, root, "ref_hosts").collect()]  # fixed list
+    countries = [(r.country_id, r.country_name) for r in reference_rows(table(spark, root, "ref_countries"))]
+    hosts = [(r.host_taxon_id, r.scientific_name, r.common_name) for r in reference_rows(table(spark, root, "ref_hosts"))]
     out = []
     for name, rows, index, parts in (
         ("geo_loc_country", table(spark, root, "metadata_post_prepare").select(F.col("id").alias("record_id"), F.col("geo_loc_country").alias("value")), lexicon.country_index(spark, countries), lexicon.country_parts),

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from helixmill.llm import lexicon
@@ -11,6 +13,39 @@ def test_distance_counts_transpositions():
     assert fold("Côte d’Ivoire & Ålesund ") == "cote divoire and alesund"
 
 
+def test_distance_equals_the_full_table():
+    def full(a, b):
+        t = [[i + j if not i or not j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                t[i][j] = min(t[i - 1][j] + 1, t[i][j - 1] + 1, t[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+                if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                    t[i][j] = min(t[i][j], t[i - 2][j - 2] + 1)
+        return t[-1][-1]
+
+    rng = random.Random(4)
+    for _ in range(3000):
+        a, b = ("".join(rng.choice("abc") for _ in range(rng.randrange(9))) for _ in range(2))
+        for most in (0, 1, 2, 3, 5):
+            assert osa(a, b, most) == min(full(a, b), most + 1)
+
+
+def test_no_candidate_is_left_out():
+    # many names of one entry are closer than the only name of the other, and none of them fits
+    names = [(1, f"carbonara{c}{d}xyz") for c in "abcdefgh" for d in "abcdefgh"] + [(2, "carbonarum")]
+    assert NameIndex(names).best("carbonarun")[0] == 2
+
+
+def test_lists_beyond_the_limit_are_refused_unread(spark, monkeypatch):
+    from helixmill.llm import canonical_map
+
+    rows = spark.range(5)
+    assert len(canonical_map.reference_rows(rows)) == 5
+    monkeypatch.setattr(canonical_map, "MAX_NAMES", 4)
+    with pytest.raises(ValueError, match="at most"):
+        canonical_map.reference_rows(rows)
+
+
 def test_margin_and_threshold():
     index = NameIndex([(1, "Niger"), (2, "Nigeria"), (3, "Republic of Kenya"), (4, "Republic of Korea")], generic=("republic", "of"))
     assert index.best("Nigeria")[0] == 2
