@@ -1,38 +1,47 @@
 """Postal addresses of one place, written differently.
 
-Records are parsed into components: city, number with its letter, street name
-and kind, institution name and kind.  In several passes the records are sorted
-by keys that put the components into different orders (sorted neighbourhoods
-over range partitions); neighbours within a window are compared.  Two full
-addresses are one place if the numbers are equal, the kinds of street are
-equal, and city and street agree but for typing errors (edit distance that
-counts a transposition as one).  Records without number or street join the
-building of their institution in the city where there is just one; for that,
-all buildings of the institution are joined by its name, not those in a window.
-
-Records that are equal after normalising are one row in the passes, so copies
-never fill a window.
+Records are parsed into components: country, city, number with its letter,
+street name and kind, institution name and kind.  In several passes the records
+are sorted by keys that put the components into different orders (sorted
+neighbourhoods); neighbours within a window are compared, and a window grows
+while the first components of its key agree: all records of one postal code or
+city with one number and kind of street are compared, however many there are.
+Two full addresses are one place if the countries do not differ, the numbers
+are equal, the kinds of street are equal, and city and street agree but for
+typing errors (edit distance that counts a transposition as one).  Records
+without number or street join the building of their institution in the city
+where there is just one; for that, all buildings of the institution are joined
+by its name, not those in a window.
+
+Addresses that are equal after normalising are one row in the passes, so that
+copies never fill a window; institutions take part only in the passes for
+records that lack number or street.
 
 Defined results: null and empty columns are missing components; a record
 without a city, or without both an address and an institution, matches
-nothing; repeated rows count once.
+nothing; repeated rows count once; a country that is not recognised counts as
+missing; a city with several postal codes keeps them apart only where both
+records have one.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixmill.llm.canonical_map import fold, osa
+from helixmill.llm import lexicon
+from helixmill.llm.canonical_map import NameIndex, decide, fold, osa
 from helixmill.llm.components import connected_components
 from helixmill.session import cut_lineage, spread
 
-#: Neighbours on each side that a record is compared with.
+#: Neighbours on each side that a record is compared with, at least.
 WINDOW = 12
 
 #: Kinds of street and their abbreviations (the first is the kind).
@@ -43,11 +52,17 @@ STREET_KINDS = {
 }
 _KIND_OF = {a: k for k, names in STREET_KINDS.items() for a in names}
 _LINKS = {"of", "the", "de", "du", "des", "la", "le", "del", "no", "nr", "num", "number", "and", "for", "in", "at"}
-#: Words of institutions and their abbreviations.
+#: General words of institutions with their abbreviations and forms; what is left of a name is its own part.
 INSTITUTION_WORDS = {
-    "institute": ("institute", "inst", "institut"), "virology": ("virology", "virol"), "centre": ("centre", "center", "ctr"), "veterinary": ("veterinary", "vet"), "research": ("research", "res"),
-    "public": ("public", "publ"), "health": ("health", "hlth"), "laboratory": ("laboratory", "lab", "labs", "laboratories"), "university": ("university", "univ", "uni", "u"), "hospital": ("hospital", "hosp"),
-    "general": ("general", "gen"), "national": ("national", "natl", "nat", "natural"), "museum": ("museum", "mus"), "history": ("history", "hist"), "zoonoses": ("zoonoses", "zoonosis"), "control": ("control",),
+    k: (k, *v.split()) for k, v in {
+        "institute": "inst institut institution", "centre": "center ctr cent", "research": "res", "university": "univ uni u", "laboratory": "lab labs laboratories", "hospital": "hosp hospitals", "clinic": "clin clinics",
+        "national": "natl nat natural", "general": "gen", "public": "publ", "health": "hlth", "school": "sch", "college": "coll", "faculty": "fac", "academy": "acad", "ministry": "min", "agency": "ag", "museum": "mus",
+        "department": "dept", "division": "div", "service": "serv services", "station": "sta", "society": "soc", "foundation": "found", "association": "assoc", "council": "", "authority": "auth", "bureau": "", "office": "off",
+        "veterinary": "vet veterinarian", "medical": "med medicine", "science": "sci sciences", "technology": "tech technological", "agriculture": "agr agric agricultural", "animal": "anim animals", "food": "", "plant": "", "marine": "mar",
+        "virology": "virol", "microbiology": "microbiol", "biology": "biol biological", "epidemiology": "epidemiol", "immunology": "immunol", "parasitology": "parasitol", "entomology": "entomol", "genetics": "genet genomics", "pathology": "pathol",
+        "hygiene": "hyg", "zoology": "zool zoological", "botany": "bot", "ecology": "ecol", "history": "hist", "infection": "infectious infections", "disease": "dis diseases", "zoonosis": "zoonoses zoonotic", "tropical": "trop", "control": "contr",
+        "prevention": "prev", "surveillance": "surv", "diagnostic": "diagn diagnostics", "reference": "ref", "safety": "", "environment": "env environmental", "central": "centr", "federal": "fed", "regional": "reg", "state": "", "international": "intl int", "military": "mil",
+    }.items()
 }
 _WORD_OF = {a: k for k, names in INSTITUTION_WORDS.items() for a in names}
 _INSIDE = re.compile(r"\b(?:\d+(?:st|nd|rd|th)?\s*floor|floor|room|wing|building\s+[a-z]\b|campus|reception|entrance|main building|department|dept|p\.?\s?o\.?\s*box|c/o|lab wing|unit)\b", re.I)
@@ -58,9 +73,24 @@ def _blank(s: str | None) -> bool:
     return s is None or not re.search(r"[^\W_]", s) or fold(s) in {"n a", "na", "none", "unknown", "null", "nil"}
 
 
+def _pairs_of_letters(w: str) -> set[str]:
+    return {f"^{w}$"[i : i + 2] for i in range(len(w) + 1)}
+
+
+_FORMS_WITH: dict[str, list[str]] = defaultdict(list)
+for _form in _WORD_OF:
+    for _g in _pairs_of_letters(_form) if len(_form) > 5 else ():
+        _FORMS_WITH[_g].append(_form)
+
+
 @lru_cache(1 << 16)
 def _general_word(w: str) -> str | None:
-    return _WORD_OF.get(w) or next((k for a, k in _WORD_OF.items() if len(a) > 5 and len(w) > 4 and osa(w, a, 2) <= (2 if len(a) > 8 else 1)), None)
+    """The general word that is meant, also with a typing error (two in long words): those share two pairs of letters at least."""
+    if w in _WORD_OF or len(w) < 5:
+        return _WORD_OF.get(w)
+    shared = Counter(a for g in _pairs_of_letters(w) for a in _FORMS_WITH.get(g, ()))
+    near = {a for a, n in shared.items() if n > 1 and abs(len(a) - len(w)) < 3 and osa(w, a, 2) <= (2 if len(a) > 8 else 1)}
+    return next((k for a, k in _WORD_OF.items() if a in near), None) if near else None
 
 
 @lru_cache(1 << 16)
@@ -153,29 +183,64 @@ def parse_record(institution: str | None, line1: str | None, line2: str | None,
     return town, post, number, street, kind, inst[0], inst[1]
 
 
-_FIELDS = ("city", "postal", "number", "street", "kind", "inst", "inst_kind")
+_FIELDS = ("country", "city", "postal", "number", "street", "kind", "inst", "inst_kind")
+_ADDRESS = _FIELDS[:6]
 
 
 def parse_addresses(df: DataFrame, *, key: str, institution: str, line1: str, line2: str, postal: str, city: str, country: str) -> DataFrame:
-    """The components of each record."""
+    """The components of each record; countries as codes (their names and codes are a few thousand words, broadcast)."""
+    index, codes = lexicon.all_countries(df.sparkSession)
+    shared = df.sparkSession.sparkContext.broadcast((index, codes))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, codes = shared.value
+        known: dict[str | None, str] = {}
         for batch in it:
             cols = [batch.column(k).to_pylist() for k in range(1, 7)]
-            got = [parse_record(*r) for r in zip(*cols, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array([g[k] for g in got], pa.string()) for k in range(7))], names=["id", *_FIELDS])
+            got = []
+            for r in zip(*cols, strict=True):
+                if r[5] not in known:
+                    known[r[5]] = country_code(r[5], index, codes)
+                got.append((known[r[5]], *parse_record(*r)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array([g[k] for g in got], pa.string()) for k in range(len(_FIELDS)))], names=["id", *_FIELDS])
 
     return df.select(key, institution, line1, line2, postal, city, country).mapInArrow(run, "id long, " + ", ".join(f"{f} string" for f in _FIELDS))
 
 
+def country_code(text: str | None, index: NameIndex, codes: list[str]) -> str:
+    """Code of a country as it is typed; empty where none is meant."""
+    ref = decide(text, index, lexicon.country_parts)[0] if text and text.strip() else -1
+    return codes[ref] if ref >= 0 else ""
+
+
 def resolve_cities(parsed: DataFrame) -> DataFrame:
-    """Replace city and postal code by what most records with the same code or name say."""
-    known = parsed.filter("city <> '' and postal <> ''").groupBy("city", "postal").agg(F.count("*").alias("n"))
-    of_code = known.groupBy("postal").agg(F.max_by("city", F.struct("n", "city")).alias("code_city"))
-    of_city = known.groupBy("city").agg(F.max_by("postal", F.struct("n", "postal")).alias("city_code"))
-    full = parsed.join(of_city, "city", "left").withColumn("postal", F.when(F.col("postal") == "", F.coalesce("city_code", F.lit(""))).otherwise(F.col("postal")))
-    full = full.join(of_code, "postal", "left").withColumn("city", F.coalesce("code_city", "city"))
-    return full.select("id", *_FIELDS)
+    """Fill in country, city and postal code by what the records with the same code or city say.
+
+    A postal code gives its commonest city to records of it without a city;
+    other frequent cities of the code stay, and a rare one becomes the frequent
+    one that it misspells, or else the commonest.  A city gives its postal code if it has just one, and code and city
+    together give the country if there is just one.  Rows that have nothing
+    to look up take part in no join.
+    """
+    seen = parsed.filter("city <> '' and postal <> ''").groupBy("country", "postal", "city").agg(F.count("*").alias("n"))
+    seen = cut_lineage(seen)
+    lands = seen.filter("country <> ''").groupBy("postal", "city").agg(F.min("country").alias("land"), F.count("*").alias("k")).filter("k = 1").drop("k")
+    rows = parsed.filter("country = '' and city <> '' and postal <> ''").join(lands, ["postal", "city"], "left").withColumn("country", F.coalesce("land", "country")).select("id", *_FIELDS)
+    rows = rows.unionAll(parsed.filter("not (country = '' and city <> '' and postal <> '')").select("id", *_FIELDS))
+    top = seen.groupBy("country", "postal").agg(F.max_by("city", F.struct("n", "city")).alias("top"), F.max("n").alias("top_n"))
+    stays = (F.col("city") == F.col("top")) | ((F.col("n") >= 2) & (F.col("n") >= F.col("top_n") * 0.2) & (F.levenshtein("city", "top") > 2))
+    cities = seen.join(top, ["country", "postal"]).withColumn("stays", stays)
+    kept = cities.filter("stays").select("country", "postal", F.col("city").alias("kept"), F.col("n").alias("kept_n"))
+    far = F.levenshtein("city", "kept")
+    nearest = cities.filter("not stays").join(kept, ["country", "postal"]).groupBy("country", "postal", "city", "top").agg(F.min_by("kept", F.struct(far, -F.col("kept_n"), "kept")).alias("near"), F.min(far).alias("far"))
+    city_of = cities.filter("stays").select("country", "postal", "city", F.col("city").alias("resolved"))
+    city_of = city_of.unionAll(nearest.select("country", "postal", "city", F.when(F.col("far") <= 3, F.col("near")).otherwise(F.col("top"))))
+    both = rows.filter("postal <> '' and city <> ''").join(city_of, ["country", "postal", "city"], "left").withColumn("city", F.coalesce("resolved", "city"))
+    no_city = rows.filter("postal <> '' and city = ''").join(top, ["country", "postal"], "left").withColumn("city", F.coalesce("top", "city"))
+    code_of = city_of.groupBy("country", F.col("resolved").alias("city")).agg(F.min("postal").alias("code"), F.count_distinct("postal").alias("k")).filter("k = 1").drop("k")
+    no_code = rows.filter("postal = '' and city <> ''").join(code_of, ["country", "city"], "left").withColumn("postal", F.coalesce("code", "postal"))
+    parts = [both, no_city, no_code, rows.filter("postal = '' and city = ''")]
+    return parts[0].select("id", *_FIELDS).unionAll(parts[1].select("id", *_FIELDS)).unionAll(parts[2].select("id", *_FIELDS)).unionAll(parts[3].select("id", *_FIELDS))
 
 
 # ---------------------------------------------------- sorted neighbourhoods
@@ -183,10 +248,11 @@ def resolve_cities(parsed: DataFrame) -> DataFrame:
 
 def same_place(a: dict, b: dict) -> str | None:
     """'full' for two addresses of one building, 'inst' where one lacks number or street but the institution agrees."""
-    if a["postal"] and b["postal"]:
-        if a["postal"] != b["postal"]:
-            return None
-    elif osa(a["city"], b["city"], 2) > 2:
+    if (la := a.get("country")) and (lb := b.get("country")) and la != lb:
+        return None
+    if a["postal"] and b["postal"] and a["postal"] != b["postal"]:
+        return None
+    if (a["city"] and b["city"] or not (a["postal"] and b["postal"])) and osa(a["city"], b["city"], 2) > 2:
         return None
     full_a, full_b = bool(a["number"] and a["street"]), bool(b["number"] and b["street"])
     if full_a and full_b:
@@ -201,94 +267,129 @@ def same_place(a: dict, b: dict) -> str | None:
     return None if a["number"] and b["number"] and a["number"] != b["number"] else "inst"
 
 
-def _slide(rows: list[dict], found: dict[tuple[int, int], tuple[str, int]], window: int) -> None:
-    for i, a in enumerate(rows):
-        for b in rows[i + 1 : i + 1 + window]:
-            pair = (min(a["id"], b["id"]), max(a["id"], b["id"]))
-            if pair[0] != pair[1] and pair not in found and (how := same_place(a, b)):
-                found[pair] = (how, osa(a["inst"], b["inst"], 2))
+#: Components of a sort key, and how many of them must agree for a window to grow (0: it never does).
+Pass = tuple[list[str], int]
+
 
+def _compare(a: dict, b: dict, found: dict[tuple[int, int], tuple[str, int]]) -> None:
+    pair = (a["id"], b["id"]) if a["id"] < b["id"] else (b["id"], a["id"])
+    if pair[0] != pair[1] and pair not in found and (how := same_place(a, b)):
+        found[pair] = (how, osa(a["inst"], b["inst"], 2))
 
-def sorted_neighbours(rows: DataFrame, passes: tuple[list[str], ...], *, window: int = WINDOW) -> DataFrame:
+
+def sorted_neighbours(rows: DataFrame, passes: tuple[Pass, ...], *, window: int = WINDOW) -> DataFrame:
     """(a, b, how, inst_distance) of the matches within the window of any sort order.
 
     Each row stands once in each pass; the passes are sorted together, the
-    number of the pass being the first part of the key.  Rows are range-partitioned by the key and their id, so that no key, however
-    frequent, makes a partition of its own.  The first and last ``window`` rows
-    of the partitions are compared across the borders in one small task
-    (2 * window rows a partition).
+    number of the pass being the first part of the key.  Rows are
+    range-partitioned by the part of the key that lets windows grow, or, where
+    they do not, by the whole key and the id, so that no key, however frequent,
+    makes a partition of its own.  The first and last ``window`` rows of each
+    partition meet those of the partitions around by their rank in the whole
+    order: ranks are cut into overlapping ranges, each compared by itself.
     """
     spark = rows.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    keys = F.array(*(F.concat_ws("\x01", F.lit(f"{k:02d}"), *key) for k, key in enumerate(passes)))
-    ordered = rows.withColumn("__key", F.explode(keys)).repartitionByRange(parts, "__key", "id").sortWithinPartitions("__key", "id")
+    rows = rows if "country" in rows.columns else rows.withColumn("country", F.lit(""))
+    keys = [F.concat_ws("\x01", F.lit(f"{k:02d}"), *key) for k, (key, _) in enumerate(passes)]
+    grow = [F.concat_ws("\x01", F.lit(f"{k:02d}"), *key[:n]) if n else F.lit("") for k, (key, n) in enumerate(passes)]
+    usable = [F.lit(True) if not n else reduce(lambda x, y: x & y, (F.col(c) != "" for c in key[:n] if c != "country")) for key, n in passes]
+    orders = F.filter(F.array(*(F.when(u, F.struct(k.alias("key"), g.alias("grow"))) for k, g, u in zip(keys, grow, usable, strict=True))), lambda x: x.isNotNull())
     fields = ["id", *_FIELDS]
-    schema = "border boolean, __key string, a long, b long, how string, inst_distance int, " + ", ".join(f"{f} string" for f in _FIELDS)
+    ordered = rows.select(F.explode(orders).alias("__o"), *fields).select(F.col("__o.key").alias("__key"), F.col("__o.grow").alias("__grow"), *fields)
+    ordered = ordered.withColumn("__range", F.when(F.col("__grow") == "", F.col("__key")).otherwise(F.col("__grow"))).withColumn("__spread", F.when(F.col("__grow") == "", F.col("id")).otherwise(0))
+    ordered = ordered.repartitionByRange(parts, "__range", "__spread").sortWithinPartitions("__range", "__key", "id")
+    schema = "part int, at long, a long, b long, how string, inst_distance int, " + ", ".join(f"{f} string" for f in _FIELDS)
 
-    def emit(found: dict, border: list[dict]) -> pa.RecordBatch:
+    def emit(found: dict, border: list[tuple[int, int, dict]]) -> pa.RecordBatch:
         pairs = list(found.items())
         n, m = len(pairs), len(border)
         return pa.RecordBatch.from_arrays(
-            [pa.array([False] * n + [True] * m), pa.array([None] * n + [r["__key"] for r in border], pa.string()), pa.array([p[0] for p, _ in pairs] + [r["id"] for r in border], pa.int64()), pa.array([p[1] for p, _ in pairs] + [None] * m, pa.int64()), pa.array([v[0] for _, v in pairs] + [None] * m, pa.string()), pa.array([v[1] for _, v in pairs] + [None] * m, pa.int32())]
-            + [pa.array([None] * n + [r[f] for r in border], pa.string()) for f in _FIELDS],
-            names=["border", "__key", "a", "b", "how", "inst_distance", *_FIELDS],
+            [pa.array([None] * n + [p for p, _, _ in border], pa.int32()), pa.array([None] * n + [at for _, at, _ in border], pa.int64()), pa.array([p[0] for p, _ in pairs] + [r.get("id") for _, _, r in border], pa.int64()), pa.array([p[1] for p, _ in pairs] + [None] * m, pa.int64()), pa.array([v[0] for _, v in pairs] + [None] * m, pa.string()), pa.array([v[1] for _, v in pairs] + [None] * m, pa.int32())]
+            + [pa.array([None] * n + [r.get(f) for _, _, r in border], pa.string()) for f in _FIELDS],
+            names=["part", "at", "a", "b", "how", "inst_distance", *_FIELDS],
         )
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head: list[dict] = []
-        tail: list[dict] = []
+        part = TaskContext.get().partitionId()
+        head: list[tuple[int, int, dict]] = []
+        near: list[dict] = []  # the rows before that are in the window, or share what lets it grow
+        at = 0
         for batch in it:
-            got = batch.to_pylist()
             found: dict = {}
-            _slide(tail + got, found, window)
-            if len(head) < window:
-                head += got[: window - len(head)]
-            tail = (tail + got)[-window:]
+            for r in batch.to_pylist():
+                g = r["__grow"]
+                if len(near) > window and (not g or near[0]["__grow"] != g):
+                    near = [x for x in near[:-window] if g and x["__grow"] == g] + near[-window:]
+                for x in near:
+                    _compare(x, r, found)
+                if at < window:
+                    head.append((part, at, r))
+                near.append(r)
+                at += 1
+            if found:
+                yield emit(found, [])
+        tail = [(part, at - len(near[-window:]) + k, r) for k, r in enumerate(near[-window:])]
+        # one row more that tells how many rows the partition has
+        yield emit({}, head + [x for x in tail if x[1] >= len(head)] + [(part, at, {})])
+
+    out = cut_lineage(ordered.mapInArrow(run, schema))
+    counts = {r["part"]: r["at"] for r in out.filter("part is not null and a is null").select("part", "at").collect()}  # a row a partition
+    first, total = [], 0
+    for p in range(max(counts, default=-1) + 1):
+        first.append((p, total))
+        total += counts.get(p, 0)
+    border = out.filter("part is not null and a is not null")
+    if first:
+        border = border.join(F.broadcast(spark.createDataFrame(first, "part int, first long")), "part").withColumn("rank", F.col("first") + F.col("at"))
+    else:
+        border = border.withColumn("rank", F.col("at"))
+    low = F.floor(F.col("rank") / window)
+    border = border.withColumn("bucket", F.explode(F.array(low, low + 1))).withColumn("id", F.col("a"))
+
+    def across(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        near: list[dict] = []
+        for batch in it:
+            found: dict = {}
+            for r in batch.to_pylist():
+                near = [x for x in near if x["bucket"] == r["bucket"] and r["rank"] - x["rank"] <= window]
+                for x in near:
+                    if x["part"] != r["part"]:
+                        _compare(x, r, found)
+                near.append(r)
             if found:
                 yield emit(found, [])
-        # a row may stand in head and tail under the keys of two passes
-        seen = {(r["__key"], r["id"]) for r in head}
-        yield emit({}, head + [r for r in tail if (r["__key"], r["id"]) not in seen])
-
-    out = cut_lineage(ordered.select("__key", *fields).mapInArrow(run, schema))
-
-    def join_borders(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [r | {"id": r["a"]} for batch in it for r in batch.to_pylist()]
-        rows.sort(key=lambda r: (r["__key"].encode(), r["id"]))
-        found: dict = {}
-        _slide(rows, found, window)
-        yield emit(found, [])
 
-    across = out.filter("border").coalesce(1).mapInArrow(join_borders, schema)
-    return out.filter("not border").unionAll(across).select("a", "b", "how", "inst_distance")
+    met = border.select("bucket", "rank", "part", *fields).repartition("bucket").sortWithinPartitions("bucket", "rank").mapInArrow(across, schema)
+    return out.filter("part is null").unionAll(met).select("a", "b", "how", "inst_distance")
 
 
 #: The passes: components in differing orders; ``rstreet`` is the street from its end.
-PASSES = (
-    ["street", "number", "postal", "city", "kind"],
-    ["number", "postal", "city", "kind", "street"],
-    ["postal", "number", "kind", "rstreet"],
-    ["rstreet", "kind", "number", "city"],
-    ["inst", "inst_kind", "postal", "city", "street", "number"],
-    ["postal", "inst_kind", "inst", "street", "number"],
-    ["city", "inst_kind", "rinst", "number"],
+STREET_PASSES: tuple[Pass, ...] = (
+    (["country", "postal", "number", "kind", "street"], 4),
+    (["country", "city", "number", "kind", "rstreet"], 4),
+    (["street", "number", "postal", "city", "kind"], 0),
+    (["rstreet", "kind", "number", "city"], 0),
 )
+INSTITUTION_PASSES: tuple[Pass, ...] = (
+    (["inst", "inst_kind", "postal", "city", "street", "number"], 0),
+    (["country", "postal", "inst_kind", "inst", "street", "number"], 3),
+    (["country", "city", "inst_kind", "rinst", "number"], 3),
+)
+PASSES = (*STREET_PASSES, *INSTITUTION_PASSES)
 
 
-def buildings_of_institution(open_side: DataFrame, reps: DataFrame, places: DataFrame) -> DataFrame:
+def buildings_of_institution(open_side: DataFrame, weak: DataFrame, full: DataFrame) -> DataFrame:
     """(a, place, d): all buildings that a record without number or street may mean.
 
     The institution is looked up as the record names it and as each record
-    that it was matched with (``open_side``) names it, in the postal code, or in the
-    city where one of the two has no code; ``d`` is the distance of the names.
+    that it was matched with (``open_side``: a and the names of b) names it, in
+    the postal code, or in the city where one of the two has no code; ``d`` is
+    the distance of the names.
     """
     where = ("inst", "inst_kind", "postal", "city")
-    weak = reps.join(places.filter("not is_full").select("id"), "id").filter("inst <> ''")
-    full = reps.join(places.filter("is_full").select("id", "place"), "id").select(*_FIELDS, "place").distinct()
-    own = weak.select(F.col("id").alias("a"), *where)
-    met = open_side.select("a", F.col("b").alias("id")).join(reps, "id").select("a", *where)
-    named = cut_lineage(own.unionAll(met).distinct())
-    right = full.select(*(F.col(f).alias(f"b_{f}") for f in _FIELDS), "place")
+    named = cut_lineage(weak.select(F.col("id").alias("a"), *where).unionAll(open_side.select("a", *where)).distinct())
+    right = full.select(*(F.col(f).alias(f"b_{f}") for f in _FIELDS), "place").distinct()
     same = (F.col("inst") == F.col("b_inst")) & (F.col("inst_kind") == F.col("b_inst_kind"))
     coded = named.filter("postal <> ''").join(right, same & (F.col("postal") == F.col("b_postal")))
     uncoded = named.join(right, same & (F.col("city") == F.col("b_city"))).filter("postal = '' or b_postal = ''")
@@ -310,31 +411,44 @@ def buildings_of_institution(open_side: DataFrame, reps: DataFrame, places: Data
 
 def match_addresses(df: DataFrame, **columns: str) -> DataFrame:
     """(id, place) of each record that shares its building with another one."""
-    rows = cut_lineage(resolve_cities(cut_lineage(parse_addresses(spread(df.distinct()), **columns))).filter("city <> '' or postal <> ''").distinct())
-    # copies: equal components under several ids
-    least = rows.groupBy(*_FIELDS).agg(F.min("id").alias("first"))
-    copies = rows.join(least, list(_FIELDS)).filter("first <> id and ((number <> '' and street <> '') or inst <> '')").select(F.col("first").alias("a"), F.col("id").alias("b"))
-    reps = least.withColumnRenamed("first", "id").withColumn("rstreet", F.reverse("street")).withColumn("rinst", F.reverse("inst"))
-    reps = cut_lineage(reps)
-    found = cut_lineage(sorted_neighbours(reps, PASSES).distinct())
-    full = found.filter("how = 'full'").select("a", "b")
-    place_of = connected_components(full)
-    places = reps.select("id", F.expr("number <> '' and street <> ''").alias("is_full"), (F.col("street") != "").alias("has_street")).join(place_of, F.col("id") == F.col("node"), "left").select("id", "is_full", "has_street", F.coalesce("component", "id").alias("place"))
-    # records that lack number or street: the buildings of their institution
-    weak = found.filter("how = 'inst'")
-    weak = weak.select("a", "b", "inst_distance").unionAll(weak.select(F.col("b").alias("a"), F.col("a").alias("b"), "inst_distance"))
-    sides = weak.join(places.select(F.col("id").alias("a"), F.col("is_full").alias("a_full")), "a").join(places.select(F.col("id").alias("b"), F.col("is_full").alias("b_full")), "b")
-    open_side = sides.filter("not a_full")
-    to_full = cut_lineage(buildings_of_institution(open_side, reps, places))
+    rows = cut_lineage(parse_addresses(spread(df.select(*columns.values()).distinct()), **columns))
+    rows = cut_lineage(resolve_cities(rows).filter("city <> '' or postal <> ''").distinct())
+    is_full = F.expr("number <> '' and street <> ''")
+    # copies: equal addresses, or equal components of records that lack number or street, under several ids
+    least = rows.filter(is_full).groupBy(*_ADDRESS).agg(F.min("id").alias("first"))
+    weak_least = rows.filter(~is_full & (F.col("inst") != "")).groupBy(*_FIELDS).agg(F.min("id").alias("first"))
+    streets = least.select(F.col("first").alias("id"), *_ADDRESS, F.reverse("street").alias("rstreet")).withColumns({"inst": F.lit(""), "inst_kind": F.lit("")})
+    of_address = rows.filter(is_full).join(least, list(_ADDRESS))
+    weak = weak_least.withColumnRenamed("first", "id").withColumn("is_full", F.lit(False))
+    named = of_address.filter("inst <> ''").groupBy(*_FIELDS).agg(F.min("first").alias("id")).withColumn("is_full", F.lit(True))
+    copies = of_address.unionByName(rows.filter(~is_full & (F.col("inst") != "")).join(weak_least, list(_FIELDS))).filter("first <> id").select(F.col("first").alias("a"), F.col("id").alias("b"))
+    place_of = connected_components(sorted_neighbours(streets, STREET_PASSES).select("a", "b").distinct())
+    # records that lack number or street: the buildings of their institution.  An address stands once for each of its institutions
+    reps = cut_lineage(named.unionByName(weak).withColumn("row", F.xxhash64("is_full", *_FIELDS)))
+    met = sorted_neighbours(reps.select(F.col("row").alias("id"), *_FIELDS, F.reverse("street").alias("rstreet"), F.reverse("inst").alias("rinst")), INSTITUTION_PASSES)
+    met = cut_lineage(met.filter("how = 'inst'").select("a", "b", "inst_distance").distinct())
+    met = met.unionAll(met.select(F.col("b").alias("a"), F.col("a").alias("b"), "inst_distance"))
+    one = reps.filter("not is_full").select(F.col("row").alias("a"), F.col("id").alias("a_id"))
+    other = reps.select(F.col("row").alias("b"), F.col("id").alias("b_id"), "is_full", "inst", "inst_kind", "postal", "city")
+    open_side = met.join(one, "a").join(other, "b").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), "is_full", "inst_distance", "inst", "inst_kind", "postal", "city")
+    open_side = cut_lineage(open_side)
+    full = reps.filter("is_full").join(place_of, F.col("id") == F.col("node"), "left").withColumn("place", F.coalesce("component", "id"))
+    to_full = cut_lineage(buildings_of_institution(open_side, reps.filter("not is_full"), full))
     best = to_full.groupBy("a").agg(F.min("d").alias("d"))
-    unique = to_full.join(best, ["a", "d"]).groupBy("a").agg(F.count("*").alias("n"), F.min("place").alias("b")).filter("n = 1").select("a", "b")
-    among = open_side.filter("not b_full and inst_distance <= 1").select("a", "b")
-    ambiguous = to_full.join(best, ["a", "d"]).groupBy("a").agg(F.count("*").alias("n")).filter("n > 1").select("a")
+    counted = cut_lineage(to_full.join(best, ["a", "d"]).groupBy("a").agg(F.count("*").alias("n"), F.min("place").alias("b")))
+    ambiguous = counted.filter("n > 1").select("a")
+    among = open_side.filter("not is_full and inst_distance <= 1").select("a", "b")
     among = among.join(ambiguous, "a", "left_anti").join(ambiguous.withColumnRenamed("a", "b"), "b", "left_anti").select("a", "b")
-    links = full.unionAll(unique).unionAll(among).unionAll(copies)
+    links = place_of.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(counted.filter("n = 1").select("a", "b")).unionAll(among).unionAll(copies)
     return connected_components(links).select(F.col("node").alias("id"), F.col("component").alias("place"))
 
 
+def place_classes(places: DataFrame) -> DataFrame:
+    """(id, place, n_links): each record with its place and the number of other records there, without writing out the pairs."""
+    sizes = places.groupBy("place").agg((F.count("*") - 1).alias("n_links"))
+    return places.join(sizes, "place").select("id", "place", "n_links")
+
+
 def place_pairs(places: DataFrame) -> DataFrame:
     """(a, b) of all records of one place, a < b."""
     left, right = places.select("place", F.col("id").alias("a")), places.select("place", F.col("id").alias("b"))

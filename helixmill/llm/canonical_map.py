@@ -26,6 +26,7 @@ import unicodedata
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,11 +43,17 @@ MIN_MARGIN = 0.02
 CLOSE = 0.1
 
 
+_WORDS = re.compile(r"[^\W_]+")
+
+
+@lru_cache(1 << 16)
 def fold(text: str) -> str:
     """Lower case, no accents, words separated by one blank."""
-    text = unicodedata.normalize("NFKD", text.casefold().replace("ı", "i").replace("ø", "o").replace("ł", "l").replace("æ", "ae").replace("ß", "ss").replace("’", "'"))
-    text = "".join(c for c in text if not unicodedata.combining(c)).replace("&", " and ").replace("'", "")
-    return " ".join(re.findall(r"[^\W_]+", text))
+    text = text.casefold()
+    if not text.isascii():
+        text = unicodedata.normalize("NFKD", text.replace("ı", "i").replace("ø", "o").replace("ł", "l").replace("æ", "ae").replace("ß", "ss").replace("’", "'"))
+        text = "".join(c for c in text if not unicodedata.combining(c))
+    return " ".join(_WORDS.findall(text.replace("&", " and ").replace("'", "")))
 
 
 def osa(a: str, b: str, most: int) -> int:

@@ -17,11 +17,15 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     Every node takes the smallest label among its neighbours and then the label
     of its label.  Labels stay in the cluster; one count a round is returned to
     the driver.  Lineage is cut in the shared checkpoint folder.
+
+    All nodes of a large component ask for one label, and a node with very many
+    links is asked by all of them: both joins have the labels, one row a node,
+    on the right, and their left side is cut by the skew handling of adaptive
+    execution wherever one key fills more than its share.
     """
     edges = links.select(F.col(a).alias("u"), F.col(b).alias("v"))
     edges = cut_lineage(edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).filter("u <> v").distinct())
     labels = edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("component"))
-    labels = cut_lineage(labels)
     for _ in range(MAX_ROUNDS):
         near = edges.join(labels.select(F.col("node").alias("v"), "component"), "v").groupBy("u").agg(F.min("component").alias("near"))
         better = labels.join(near, labels.node == near.u, "left").select("node", F.least("component", F.coalesce("near", "component")).alias("next"), F.col("component").alias("was"))

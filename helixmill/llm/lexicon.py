@@ -72,6 +72,7 @@ def country_index(spark: SparkSession, listed: list[tuple[int, str]]) -> NameInd
     codes = [str(c) for c in locale.getISOCountries()]
     codes += [] if "XK" in codes else ["XK"]
     places = {c: locale("", c) for c in codes}
+    tongues = [locale(x) for x in LANGUAGES]
     english = {c: p.getDisplayCountry(locale("en")) for c, p in places.items()}
     by_name = {fold(n): c for c, n in english.items()}
     names: list[tuple[int, str]] = []
@@ -86,8 +87,8 @@ def country_index(spark: SparkSession, listed: list[tuple[int, str]]) -> NameInd
         if code is None:
             continue
         used.add(code)
-        for lang in LANGUAGES:
-            names += [(ref, x.strip()) for x in re.split(r"[()]", places[code].getDisplayCountry(locale(lang))) if x.strip()]
+        for tongue in tongues:
+            names += [(ref, x.strip()) for x in re.split(r"[()]", places[code].getDisplayCountry(tongue)) if x.strip()]
         short = [code] if code == "XK" else [code, places[code].getISO3Country()]
         short += [x for x in COUNTRY_NAMES.get(name, []) if x.isupper() and len(x) <= 6]
         for c in short:
@@ -102,6 +103,14 @@ def country_index(spark: SparkSession, listed: list[tuple[int, str]]) -> NameInd
     return NameIndex(list(dict.fromkeys(names)), exact, GENERIC)
 
 
+def all_countries(spark: SparkSession) -> tuple[NameIndex, list[str]]:
+    """Index of all countries that have a code, and the code of each entry."""
+    locale = spark._jvm.java.util.Locale
+    usual = {c: n for n, c in CODE_OF.items()}
+    codes = sorted({str(c) for c in locale.getISOCountries()} | {"XK"})
+    return country_index(spark, [(k, usual.get(c) or str(locale("", c).getDisplayCountry(locale("en")))) for k, c in enumerate(codes)]), codes
+
+
 _REMARK = re.compile(r"\b(?:near|close to|bordering|next to|imported from|travel(?:led)? from|via)\b.*$", re.I)
 _SEVERAL = re.compile(r"\s+(?:or|and/or|oder|ou)\s+|\s*/\s*", re.I)
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixmill.llm import lexicon
-from helixmill.llm.address_match import match_addresses, place_pairs
+from helixmill.llm.address_match import match_addresses, place_classes, place_pairs
 from helixmill.llm.bpe_encode import encode_corpus
 from helixmill.llm.canonical_map import map_to_canonical, reference_rows
 from helixmill.llm.encoding_repair import restore_encoding
@@ -16,12 +16,21 @@ from helixmill.session import busy, table
 from helixmill.training_queries import author_spellings
 
 
-def p2_found(spark: SparkSession, root: str) -> DataFrame:
-    """Pairs of groups that sit in one building."""
-    places = match_addresses(
+def _places(spark: SparkSession, root: str) -> DataFrame:
+    """(id, place) of the groups that share a building."""
+    return match_addresses(
         table(spark, root, "groups_table"), key="group_id", institution="institution", line1="address_line_1", line2="address_line_2", postal="address_postal_code", city="address_city", country="address_country"
     )
-    return place_pairs(places).select(F.col("a").alias("group_id_a"), F.col("b").alias("group_id_b"))
+
+
+def p2_classes(spark: SparkSession, root: str) -> DataFrame:
+    """Each group that shares its building with its place and the number of its links."""
+    return place_classes(_places(spark, root)).withColumnRenamed("id", "group_id")
+
+
+def p2_found(spark: SparkSession, root: str) -> DataFrame:
+    """Pairs of groups that sit in one building."""
+    return place_pairs(_places(spark, root)).select(F.col("a").alias("group_id_a"), F.col("b").alias("group_id_b"))
 
 
 def _name_nodes(spark: SparkSession, root: str) -> DataFrame:
@@ -79,5 +88,5 @@ def p8_found(spark: SparkSession, root: str) -> DataFrame:
     return restored.select("doc_id", F.coalesce(F.md5("restored"), F.lit("")).alias("restored_md5")).distinct()
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_classes": p3_classes, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found, "p7_cleaned": p7_cleaned, "p8_found": p8_found}
+QUERIES = {"p2_found": p2_found, "p2_classes": p2_classes, "p3_found": p3_found, "p3_classes": p3_classes, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found, "p7_cleaned": p7_cleaned, "p8_found": p8_found}
 SQL: dict[str, str] = {}

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from helixmill.llm.address_match import PASSES, institution_key, match_addresses, parse_record, place_pairs, same_place, sorted_neighbours
+from helixmill.llm.address_match import PASSES, institution_key, match_addresses, parse_record, place_classes, place_pairs, same_place, sorted_neighbours
 from helixmill.llm.components import connected_components
 
 COLUMNS = {"key": "group_id", "institution": "inst", "line1": "l1", "line2": "l2", "postal": "zip", "city": "city", "country": "land"}
@@ -91,3 +91,57 @@ def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long")
     got = {r.node: r.component for r in connected_components(links).collect()}
     assert {got[i] for i in range(61)} == {0} and got[101] == 100
+
+
+def test_countries_keep_equal_codes_apart(spark):
+    data = [
+        (1, "Alpha Research Centre", "12 Main Street", None, "12345", "Springfield", "USA"),
+        (2, "Alpha Research Centre", "12 Main Street", None, "12345", "Lyon", "France"),
+        (3, "Beta Clinic", "Main St. 12", None, "12345", "Springfeild", "United States"),
+        (4, "Beta Clinic", "12, Main Street", None, "12345", "-", "FR"),
+        (5, "Beta Clinic", "12 Main Street", None, "12345", "Springfield", None),
+    ]
+    assert pairs(spark, data) == {(1, 3), (1, 5), (3, 5), (2, 4)}
+
+
+def test_towns_of_one_code_stay_apart(spark):
+    towns = [(10 + i, "X Clinic", f"{20 + i} Hill Road", None, "54321", town, "Kenya") for i, town in enumerate(["Northam"] * 4 + ["Southwell"] * 4)]
+    data = [(1, "Alpha Clinic", "5 Mill Lane", None, "54321", "Northam", "Kenya"), (2, "Beta Clinic", "5 Mill Ln.", None, "54321", "Southwell", "Kenya"), (3, "Beta Clinic", "5 Mill Lane", None, "54321", "Nortahm", "Kenya")]
+    assert pairs(spark, data + towns) == {(1, 3)}
+
+
+def test_a_city_of_several_codes(spark):
+    data = [
+        (1, "Alpha Clinic", "5 Mill Lane", None, "10001", "Bigcity", "Kenya"),
+        (2, "Beta Clinic", "5 Mill Lane", None, "10002", "Bigcity", "Kenya"),
+        (3, "Gamma Clinic", "77 Oak Road", None, "10002", "Bigcity", "Kenya"),
+        (4, "Gamma Clinic", "77 Oka Road", None, None, "Bigcity", "Kenya"),
+    ]
+    assert pairs(spark, data) == {(3, 4)}
+
+
+def test_windows_grow_while_code_number_and_kind_agree(spark):
+    rng = random.Random(3)
+    streets = sorted({"".join(rng.choice("abcdefghij") for _ in range(9)) for _ in range(400)})
+    a, b = "qbcdefghi", "bqcdefghz"  # apart from either end
+    data = [(i, "X Clinic", f"7 {s} Street", None, "10001", "Bigcity", "Kenya") for i, s in enumerate([a, b, *streets])]
+    assert (0, 1) in pairs(spark, data)
+
+
+@pytest.mark.parametrize("parts", [1, 3, 7, 40])
+def test_borders_of_any_partitions(spark, parts):
+    streets = [f"{'abcdefghijklmnop'[i // 4]}street{'wxyz'[i % 4]}" for i in range(64)]
+    rows = [(i, "c", "1", "5", s, "lane", "", "") for i, s in enumerate(streets)]
+    df = spark.createDataFrame(rows, "id long, city string, postal string, number string, street string, kind string, inst string, inst_kind string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        got = {(r.a, r.b) for r in sorted_neighbours(df, ((["street"], 0),), window=5).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == {(a, b) for a in range(64) for b in range(a + 1, min(a + 6, 64)) if a // 4 == b // 4 or sum(x != y for x, y in zip(streets[a], streets[b])) <= 2}
+
+
+def test_classes_count_links(spark):
+    df = spark.createDataFrame([(1, 5), (2, 5), (3, 5), (7, 7)], "id long, place long")
+    assert {tuple(r) for r in place_classes(df).collect()} == {(1, 5, 2), (2, 5, 2), (3, 5, 2), (7, 7, 0)}
