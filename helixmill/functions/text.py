@@ -78,54 +78,129 @@ def country_with_levels(*parts: Column) -> Column:
     return F.concat_ws(", ", *(F.when(F.trim(p) != "", p) for p in parts))
 
 
-#: Grammar of an author entry (fixed value): Latin letters, apostrophe, full stop, hyphen, ordinals; a comma is required.
-_AUTHOR_CHARS = r"A-Za-zÀ-ÖØ-öø-ɏ"
-_AUTHOR = re.compile(rf"\s*(?:[{_AUTHOR_CHARS}']|(?<!\S)\d+(?:st|nd|rd|th)\b)(?:[{_AUTHOR_CHARS}\s.\-']|(?<!\S)\d+(?:st|nd|rd|th)\b)*,(?:[{_AUTHOR_CHARS}\s.\-']|(?<!\S)\d+(?:st|nd|rd|th)\b)*")
+#: Last letter of the Latin blocks in which author names may be written (fixed value).
+LAST_LATIN = 0x24F
+#: Generation suffixes (fixed values).
+GENERATIONS = ("II", "III", "IV", "V", "VI")
+_ORDINAL = re.compile(r"\d+(?:st|nd|rd|th)(?!\w)")
+
+
+def _name_part(part: str) -> bool:
+    """Words of Latin letters, apostrophes, full stops, hyphens and ordinal numbers."""
+    for word in part.split():
+        if m := _ORDINAL.match(word):
+            word = word[m.end() :]
+        if any(not (ch in "'.-" or (ch.isalpha() and ord(ch) <= LAST_LATIN and unicodedata.name(ch, "").startswith("LATIN"))) for ch in word):
+            return False
+    return True
+
+
+def valid_author(entry: str) -> bool:
+    """``Surname, given names`` with one comma; the surname begins with a letter, an apostrophe or an ordinal."""
+    surname, comma, given = entry.partition(",")
+    first = surname.strip()[:1]
+    return bool(comma) and "," not in given and bool(first) and first not in ".-" and _name_part(surname) and _name_part(given)
 
 
 def invalid_authors(authors: str) -> list[str]:
     """Entries of a semicolon list that are not ``Surname, given names``."""
-    return [a.strip() for a in authors.split(";") if a.strip() and not _AUTHOR.fullmatch(a)]
+    return [a.strip() for a in authors.split(";") if a and not valid_author(a)]
+
+
+def authors_accepted(authors: str) -> bool:
+    """Whether a list as a whole is well formed: entries between semicolons, one more at the end at most."""
+    entries = authors.split(";")
+    if len(entries) > 1 and not entries[-1]:
+        entries.pop()
+    return all(map(valid_author, entries))
+
+
+def authors_look_wrong(authors: str) -> bool:
+    """A list without semicolons that has more than three words was probably separated by something else."""
+    return ";" not in authors and len([w for w in re.split(r"[,\s]", authors.strip()) if w]) > 3
+
+
+def holds_conjunction(authors: str) -> bool:
+    """Whether the word ``and`` stands in a list."""
+    return "and" in authors.split()
 
 
 def non_latin(text: str) -> list[str]:
     """Letters beyond the Latin blocks."""
-    return [c for c in text if c.isalpha() and ord(c) > 0x24F]
+    return [c for c in text if c.isalpha() and ord(c) > LAST_LATIN]
 
 
 def to_ascii(text: str) -> str:
     return unicodedata.normalize("NFKD", text).encode("ascii", "ignore").decode()
 
 
+def _generation(given: str) -> tuple[str, str]:
+    """Given names without, and with, the generation suffix that follows them after a blank or a full stop."""
+    at = max(given.rfind(" "), given.rfind("."))
+    suffix = given[at + 1 :].upper()
+    return (given[:at] if given[at] == " " else given[: at + 1], suffix) if at > 0 and suffix in GENERATIONS else (given, "")
+
+
+def _written_apart(word: str, capitals_are_initials: bool) -> str:
+    """Initials with a full stop and a blank each; a name as it stands."""
+    pieces = [p for p in word.split(".") if p]
+    dotted = "." in word and len(pieces) > 0 and all(len(p) == 1 for p in pieces[:-1]) and (len(pieces) > 1 or len(pieces[0]) == 1)
+    if dotted and all(p.isascii() and p.isalpha() for p in pieces) or len(word) == 1:
+        return " ".join(f"{ch.upper()}." for p in pieces for ch in p)
+    if len(word) < 5 and word.isupper() and word.isalpha() and capitals_are_initials:
+        return " ".join(f"{ch}." for ch in word)
+    return word
+
+
 def format_author(entry: str) -> str:
-    """``Surname, A. B. Given`` with initials written apart."""
-    last, _, first = (" ".join(p.split()) for p in entry.partition(","))
-    out = []
-    for w in first.split():
-        letters = re.findall(r"[^\W\d_]", w)
-        if len(w) == 1 or (len(w) == 2 and w.endswith(".")) or re.fullmatch(r"(?:[A-Za-z]\.)+[A-Za-z]\.?", w) or (len(w) <= 4 and w.isupper() and not last.isupper()):
-            out += [f"{c.upper()}." for c in letters]
-        else:
-            out.append(w)
-    return f"{last}, {' '.join(out)}".strip()
+    """``Surname, A. B. Given`` with initials written apart, and the generation as it stands.
+
+    Words in capitals are initials unless the surname is in capitals as well.
+    """
+    surname, _, given = (" ".join(p.split()) for p in entry.partition(","))
+    given, suffix = _generation(given)
+    words = [_written_apart(w, not surname.isupper()) for w in given.split()]
+    return f"{surname}, {' '.join([*words, suffix] if suffix else words)}"
+
+
+def format_authors(authors: str) -> str:
+    """All entries of a list, by semicolons."""
+    return "; ".join(format_author(a) for a in authors.split(";") if a).strip()
 
 
 def check_authors(c: Column) -> Column:
-    """struct(value, error): formatted authors, or the reason why they are refused."""
+    """struct(value, error, warnings): formatted authors, the reason why they are refused, what to look at.
+
+    Letters beyond the Latin blocks and malformed entries are errors (the first
+    three entries are named).  A list that looks separated by something else
+    than semicolons, or that holds the word ``and``, is a warning.
+    """
 
-    @F.pandas_udf("value string, error string")
+    @F.pandas_udf("value string, error string, warnings array<string>")
     def run(s: pd.Series) -> pd.DataFrame:
         rows = []
         for a in s:
             if not a or not a.strip():
-                rows.append((None, None))
+                rows.append((None, None, []))
             elif non_latin(a):
-                rows.append((None, "non_latin"))
-            elif bad := invalid_authors(a):
-                rows.append((None, f"invalid:{'; '.join(bad[:3])}"))
+                rows.append((None, "non_latin", []))
+            elif not authors_accepted(a):
+                bad = invalid_authors(a)
+                rows.append((None, f"invalid:{'; '.join(bad[:3])}" + (f" and {len(bad) - 3} others" if len(bad) > 3 else ""), []))
             else:
-                rows.append(("; ".join(format_author(x) for x in a.split(";") if x.strip()), None))
-        return pd.DataFrame(rows, columns=["value", "error"])
+                rows.append((format_authors(a), None, [w for w, there in (("separators", authors_look_wrong(a)), ("conjunction", holds_conjunction(a))) if there]))
+        return pd.DataFrame(rows, columns=["value", "error", "warnings"])
+
+    return run(c)
+
+
+def author_flags(c: Column) -> Column:
+    """struct(accepted, n_invalid, non_latin, separators, conjunction) of a list."""
+
+    @F.pandas_udf("accepted boolean, n_invalid int, non_latin boolean, separators boolean, conjunction boolean")
+    def run(s: pd.Series) -> pd.DataFrame:
+        rows = [(None,) * 5 if a is None else (authors_accepted(a), len(invalid_authors(a)), bool(non_latin(a)), authors_look_wrong(a), holds_conjunction(a)) for a in s]
+        return pd.DataFrame(rows, columns=["accepted", "n_invalid", "non_latin", "separators", "conjunction"]).astype({"n_invalid": "Int32"})
 
     return run(c)
 

@@ -89,13 +89,15 @@ def resolve_terms(df: DataFrame, today: str, kind: str = "terms", until: str = "
 
 
 def merge_external(external: DataFrame, key: list[str], at: str, updater: str, metadata: str) -> DataFrame:
-    """One map per key: later updates win, equal times by the updater's name."""
-    ordered = F.array_sort(F.collect_list(F.struct(at, updater, F.map_entries(metadata).alias("m"))))
-    flat = F.flatten(F.transform(ordered, lambda x: x["m"]))
-    # the last value of a name wins: keep entries whose name does not come again
-    n = F.size(flat)
-    last = F.filter(flat, lambda x, i: ~F.exists(F.slice(flat, i + 2, n), lambda y: y["key"] == x["key"]))
-    return external.groupBy(*key).agg(F.map_from_entries(last).alias(metadata))
+    """One map per key: later updates win, equal times by the updater's name.
+
+    Each name keeps its last value in a partial aggregation before anything is
+    moved; a map has as many entries as its key has names, whatever the number
+    of updates.
+    """
+    values = external.select(*key, F.struct(at, updater).alias("__at"), F.explode(metadata).alias("__name", "__value"))
+    last = values.groupBy(*key, "__name").agg(F.max_by(F.struct("__value"), "__at").alias("__last"))
+    return last.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("__name", F.col("__last.__value").alias("__value")))).alias(metadata))
 
 
 def revoke(entries: DataFrame, keys: DataFrame, submitter: str, at: str, comment: str) -> DataFrame:

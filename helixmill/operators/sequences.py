@@ -47,6 +47,20 @@ def mutation_column(m: Mutation, sequence: Column, reference: Column) -> Column:
     return known & (at == m.symbol)
 
 
+def insertion_query(text: str, only_segment: str | None = None) -> tuple[str | None, int, str] | None:
+    """(segment, position, regular expression); the segment may be left out where there is just one."""
+    m = _INSERTION.match(text.strip())
+    got = insertion_pattern(text)
+    return (m.group(1) or only_segment, *got) if m and got else None
+
+
+def has_insertion(insertions: Column, query: tuple[str | None, int, str]) -> Column:
+    """Whether one of the insertions (structs of segment, position, sequence) stands at the place and fits the pattern."""
+    segment, position, pattern = query
+    at = lambda x: (x["position"] == position) & x["sequence"].rlike(pattern)
+    return F.exists(insertions, lambda x: at(x) & (x["segment"] == segment) if segment is not None else at(x))
+
+
 def insertion_pattern(text: str) -> tuple[int, str] | None:
     """(position, regular expression) of ``ins_[seg:]pos:SEQ``; ``?`` stands for any symbols, alone for one at least."""
     m = _INSERTION.match(text.strip())
@@ -66,6 +80,20 @@ def mutations(df: DataFrame, key: str, sequence: str, reference: str, unknown: t
     return rows.filter((F.col("symbol") != F.col("reference_symbol")) & (F.col("symbol") != "") & ~F.col("symbol").isin(*unknown)).withColumn("kind", kind)
 
 
+def mutation_profile(df: DataFrame, segment: str, sequence: str, reference: str, *, least: float, unknown: tuple[str, ...] = ("N", "X")) -> DataFrame:
+    """(segment, position, symbol, n, proportion): mutations with their share of the sequences that are known at the place.
+
+    Places are counted by symbol once: coverage, counts and shares come from
+    that table, which has a row for each segment, place and symbol.
+    """
+    n = F.least(F.length(sequence), F.length(reference))
+    pairs = F.arrays_zip(F.split(F.substring(F.col(sequence), F.lit(1), n), "").alias("s"), F.split(F.substring(F.col(reference), F.lit(1), n), "").alias("r"))
+    rows = df.filter(n > 0).select(segment, F.posexplode(pairs).alias("p", "x")).select(segment, (F.col("p") + 1).cast("bigint").alias("position"), F.col("x.s").alias("symbol"), F.col("x.r").alias("reference_symbol"))
+    rows = rows.filter((F.col("symbol") != "") & ~F.col("symbol").isin(*unknown)).groupBy(segment, "position", "symbol", "reference_symbol").agg(F.count("*").alias("n"))
+    share = F.col("n") / F.sum("n").over(Window.partitionBy(segment, "position"))
+    return rows.withColumn("proportion", share).filter((F.col("symbol") != F.col("reference_symbol")) & (F.col("proportion") >= least)).select(segment, "position", "symbol", "n", F.round("proportion", 6).alias("proportion"))
+
+
 def runs(df: DataFrame, key: str, position: str) -> DataFrame:
     """(key, first, last): runs of neighbouring positions (gaps and islands)."""
     w = Window.partitionBy(key).orderBy(position)
@@ -95,6 +123,20 @@ def invalid_symbols(sequence: Column, alphabet: str, most: int = 10) -> Column:
     return F.slice(F.array_distinct(F.filter(F.split(rest, ""), lambda c: c != "")), 1, most)
 
 
+def mutation_filter(text: str, sequences: Column, references: dict[str, str], only_segment: str | None = None) -> Column:
+    """All mutations of a list on a map of aligned sequences; what is no mutation is left out.
+
+    Where there are several segments each mutation names its own; it is
+    looked up without regard to case.  A segment that is not known matches nothing.
+    """
+    by_lower = {s.lower(): s for s in references}
+    out = F.lit(True)
+    for m in parse_mutations(text):
+        segment = by_lower.get((m.segment or only_segment or "").lower())
+        out = out & (F.coalesce(mutation_column(m, F.element_at(sequences, segment), F.lit(references[segment])), F.lit(False)) if segment else F.lit(False))
+    return out
+
+
 def all_mutations(text: str, sequence: Column, reference: Column) -> Column:
     """All mutations of a list; what is no mutation is left out."""
     out = F.lit(True)

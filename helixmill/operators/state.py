@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixmill.operators.entries import KEY, unprocessed
+from helixmill.operators.filters import placed
 
 
 def claim(entries: DataFrame, processed: DataFrame, *, pipeline_version: int, at: str, limit: int) -> DataFrame:
@@ -37,6 +38,25 @@ def audit_lines(df: DataFrame, who: Column, what: str) -> DataFrame:
 
 
 def unique_ids(df: DataFrame, name: str, order: str) -> DataFrame:
-    """Adds ``unique_id``: the name, with ``_2``, ``_3`` ... where it comes again, in order."""
-    k = F.row_number().over(Window.partitionBy(name).orderBy(order))
-    return df.withColumn("__k", k).withColumn("unique_id", F.when(F.col("__k") == 1, F.col(name)).otherwise(F.concat_ws("_", F.col(name), F.col("__k").cast("string")))).drop("__k")
+    """Adds ``unique_id``: the name itself where it comes first, then ``name_1``, ``name_2`` ...
+
+    Suffixes that would give a name that stands in the table are skipped.  Names
+    are numbered by their place in one sorted order of all rows, so that a name
+    that fills a third of the table is no single task; only names of which
+    suffixed forms stand in the table need a window, over those forms and
+    their own repeats.
+    """
+    rows = placed(df.filter(F.col(name).isNotNull()), name, order, place="__place")
+    first = rows.groupBy(name).agg(F.min("__place").alias("__first"))
+    rows = rows.join(first, name).withColumn("__k", F.col("__place") - F.col("__first"))
+    form = r"^(.*)_([1-9]\d{0,17})$"
+    taken = df.select(F.regexp_extract(name, form, 1).alias(name), F.regexp_extract(name, form, 2).try_cast("bigint").alias("__s")).filter("__s is not null").distinct()
+    taken = taken.join(first.select(name), name, "left_semi").withColumn("__j", F.row_number().over(Window.partitionBy(name).orderBy("__s")))
+    # a free number k comes after a taken one if fewer than k numbers before that are free
+    marks = taken.select(name, (F.col("__s") - F.col("__j") + 1).alias("__k"), F.lit(1).alias("__taken"))
+    repeats = rows.filter("__k > 0").join(taken.select(name).distinct(), name, "left_semi").select(name, "__k", F.lit(0).alias("__taken"))
+    w = Window.partitionBy(name).orderBy("__k", F.desc("__taken")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    skipped = marks.unionByName(repeats).withColumn("__skip", F.sum("__taken").over(w)).filter("__taken = 0").select(name, "__k", "__skip")
+    number = F.col("__k") + F.coalesce("__skip", F.lit(0))
+    named = F.when(F.col("__k") == 0, F.col(name)).otherwise(F.concat_ws("_", F.col(name), number.cast("string")))
+    return rows.join(skipped, [name, "__k"], "left").select(*df.columns, named.alias("unique_id"))

@@ -144,13 +144,6 @@ def a08(spark, root):
     return rows.groupBy("biosample_accession").agg(F.array_join(F.array_sort(F.collect_set(F.concat("segment", F.lit(":"), F.coalesce("hash", F.lit(""))))), ",").alias("segments"))
 
 
-@query("a20_insertion_counts", f"WITH {P}, x AS (SELECT DISTINCT accession, version, json_extract_string(processed_data, '$.nucleotideInsertions.main[0]') AS ins FROM p WHERE {_OBJ}) SELECT TRY_CAST(split_part(ins, ':', 1) AS BIGINT) AS position, split_part(ins, ':', 2) AS sequence, count(*) AS n FROM x WHERE regexp_full_match(ins, '[0-9]+:[A-Z]+') GROUP BY ALL")
-def a20(spark, root):
-    ins = F.get_json_object("processed_data", "$.nucleotideInsertions.main[0]")
-    rows = _objects(spark, root).select("accession", "version", ins.alias("ins")).distinct().filter(F.col("ins").rlike("^[0-9]+:[A-Z]+$"))
-    return sequences.insertion_counts(rows, "ins")
-
-
 @query("a27_assembly_counter", f"WITH {META} SELECT segment, count(*) AS n, count(DISTINCT insdc_accession_base) AS assemblies FROM m WHERE segment IS NOT NULL GROUP BY segment")
 def a27(spark, root):
     return _m(spark, root).filter("segment is not null").groupBy("segment").agg(F.count("*").alias("n"), F.count_distinct("insdc_accession_base").alias("assemblies"))
@@ -254,12 +247,6 @@ def x33(spark, root):
     return subs.groupBy("accession", "version").agg(F.array_join(F.transform(ordered, lambda x: x["t"]), " ").alias("mutations"))
 
 
-@query("x31_frame_shifts")
-def x31(spark, root):
-    payload = F.to_json(F.array(F.struct(F.lit("S").alias("cdsName"), F.struct(F.col("p_size").alias("begin"), (F.col("p_size") + 3).alias("end")).alias("codon"), F.array(F.struct((F.col("p_size") * 3).alias("begin"), (F.col("p_size") * 3 + 4).alias("end"))).alias("nucAbs"))))
-    return table(spark, root, "part").select("p_partkey", A.frame_shifts(payload).alias("shifts"))
-
-
 @query("x32_stop_codons", "SELECT p_partkey, 'N:' || (p_size + 1) AS stops FROM part")
 def x32(spark, root):
     payload = F.to_json(F.array(F.struct(F.lit("N").alias("cdsName"), F.col("p_size").alias("codon"))))
@@ -317,11 +304,6 @@ def x66(spark, root):
     return table(spark, root, "ref_hosts").select("host_taxon_id", F.format_string("%s; %s [Taxon %d]", "scientific_name", "common_name", "host_taxon_id").alias("alias"))
 
 
-@query("x58_embl_authors")
-def x58(spark, root):
-    return _m(spark, root).filter("authors is not null").select("id", X.embl_author_column(F.col("authors")).alias("authors"))
-
-
 # ---------------------------------------------------------------- validation
 
 
@@ -345,12 +327,6 @@ def v06(spark, root):
     return rows.select(*KEY3, F.array_join(V.unknown_keys(F.col("k"), ["L", "M", "S"]), ",").alias("unknown"))
 
 
-@query("v09_iupac", f"WITH {P} SELECT accession, version, pipeline_version, regexp_replace(json_extract_string(processed_data, '$.unalignedNucleotideSequences.main'), '[ACGTMRWSYKVHDBN]', '', 'g') <> '' AS invalid FROM p WHERE {_OBJ} AND json_extract_string(processed_data, '$.unalignedNucleotideSequences.main') IS NOT NULL")
-def v09(spark, root):
-    seq = F.get_json_object("processed_data", "$.unalignedNucleotideSequences.main")
-    return _objects(spark, root).filter(seq.isNotNull()).select(*KEY3, (F.size(sequences.invalid_symbols(seq, V.NUCLEOTIDES)) > 0).alias("invalid"))
-
-
 @query("v10_alignment_required", f"WITH {P}, k AS (SELECT *, len(json_keys(processed_data, '$.unalignedNucleotideSequences')) AS given, coalesce(len(list_filter(json_keys(processed_data, '$.alignedNucleotideSequences'), lambda x: json_type(processed_data, '$.alignedNucleotideSequences.' || x) = 'VARCHAR')), 0) AS aligned FROM p WHERE {_OBJ}) SELECT accession, version, pipeline_version, CASE WHEN given > 0 AND aligned = 0 THEN 'none_aligned' WHEN aligned < given THEN 'some_unaligned' END AS problem FROM k")
 def v10(spark, root):
     given = F.size(F.json_object_keys(F.get_json_object("processed_data", "$.unalignedNucleotideSequences")))
@@ -371,11 +347,6 @@ def v14(spark, root):
     return files.groupBy("accession", "version", "name").agg(F.count("*").alias("n")).filter("n > 1")
 
 
-@query("v16_check_symbol")
-def v16(spark, root):
-    return _e(spark, root).select("accession").distinct().select("accession", X.valid_accession_column(F.col("accession"), "LOC_").alias("valid"))
-
-
 @query("v17_read_files", "SELECT p_brand, 'too_many_files' AS error FROM part GROUP BY p_brand HAVING count(*) > 2")
 def v17(spark, root):
     files = table(spark, root, "part").select("p_brand", F.concat(F.col("p_partkey").cast("string"), F.lit("_1.FASTQ.gz")).alias("name"))
@@ -390,26 +361,6 @@ def v19(spark, root):
 # ----------------------------------------------------------- sequence queries
 
 
-@query("q03_insertion_filter", f"WITH {P} SELECT accession, version, pipeline_version FROM p WHERE {_OBJ} AND regexp_matches(json_extract_string(processed_data, '$.nucleotideInsertions.main[0]'), '^[0-9]+:A.*C$')")
-def q03(spark, root):
-    ins = F.get_json_object("processed_data", "$.nucleotideInsertions.main[0]")
-    pattern = sequences.insertion_pattern("ins_1:A?C")[1]
-    return _objects(spark, root).filter(ins.rlike("^[0-9]+:") & F.substring_index(ins, ":", -1).rlike(pattern)).select(*KEY3)
-
-
-@query("q04_q05_mutation_list", "SELECT event_id FROM events WHERE substr(upper(event_type), 1, 1) = 'C' AND substr(upper(event_type), 5, 1) = 'K'")
-def q04(spark, root):
-    rows = table(spark, root, "events").select("event_id", F.upper("event_type").alias("seq"))
-    return rows.filter(sequences.all_mutations("C1C, nonsense, 5K", F.col("seq"), F.lit("CLICKVIEW"))).select("event_id")
-
-
-@query("q07_insertions", f"WITH {P}, x AS (SELECT DISTINCT accession, version, unnest(from_json(json_extract(processed_data, '$.nucleotideInsertions.main'), '[\"JSON\"]')) AS i FROM p WHERE {_OBJ} AND json_type(processed_data, '$.nucleotideInsertions.main') = 'ARRAY') SELECT DISTINCT accession, version, i->>'$' AS insertion FROM x WHERE json_type(i) = 'VARCHAR'")
-def q07(spark, root):
-    raw = F.from_json(F.get_json_object("processed_data", "$.nucleotideInsertions.main"), "array<string>")
-    rows = _objects(spark, root).filter(F.startswith(F.get_json_object("processed_data", "$.nucleotideInsertions.main"), F.lit("["))).select("accession", "version", F.explode(raw).alias("insertion"))
-    return rows.filter(F.col("insertion").isNotNull() & ~F.startswith("insertion", F.lit("{"))).distinct()
-
-
 @query("q10_details", f"WITH {REL} SELECT accession, version, organism, submitter FROM r WHERE organism = 'mpox' ORDER BY accession, version LIMIT 20 OFFSET 5")
 def q10(spark, root):
     return filters.Page(None, ("accession", "version"), limit=20, offset=5).apply(_r(spark, root).filter("organism = 'mpox'").select("accession", "version", "organism", "submitter"))
@@ -581,17 +532,6 @@ def u03(spark, root):
     return hierarchy.closure(tree, "id", "parent").join(start, "node", "left_semi").select(F.col("ancestor").alias("id")).distinct()
 
 
-@query("w08_unique_ids", "SELECT doc_id, CASE WHEN k = 1 THEN accession ELSE accession || '_' || k END AS unique_id FROM (SELECT doc_id, accession, row_number() OVER (PARTITION BY accession ORDER BY doc_id) AS k FROM documents WHERE accession IS NOT NULL)")
-def w08(spark, root):
-    docs = table(spark, root, "documents").filter("accession is not null").select("doc_id", "accession")
-    return state.unique_ids(docs, "accession", "doc_id").select("doc_id", "unique_id")
-
-
-@query("x09_author_helpers")
-def x09(spark, root):
-    return _m(spark, root).filter("authors is not null").select("id", X.check_authors(F.col("authors"))["error"].alias("error")).filter("error is not null")
-
-
 @query("x19_common_name", "WITH RECURSIVE t AS (SELECT p_partkey AS id, p_partkey // 10 AS parent FROM part), k AS (SELECT p_partkey AS id, p_type AS name FROM part WHERE p_partkey % 7 = 0), c(node, ancestor, d) AS (SELECT id, id, 0 FROM t UNION ALL SELECT c.node, t.parent, c.d + 1 FROM c JOIN t ON t.id = c.ancestor WHERE t.parent <> t.id) SELECT c.node, arg_min(k.name, c.d) AS name FROM c JOIN k ON k.id = c.ancestor GROUP BY c.node")
 def x19(spark, root):
     from helixmill.operators import hierarchy

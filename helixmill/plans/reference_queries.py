@@ -34,32 +34,57 @@ SUB = "s AS (SELECT DISTINCT * FROM submit_metadata)"
 GRP = "g AS (SELECT DISTINCT * FROM groups_table)"
 
 
+#: Keys of the base tables.  Rows delivered again are equal in every column, so the key tells them apart, and a
+#: plan that needs few columns reads, hashes and moves only those and the key.
+_KEYS = {
+    "sequence_entries": ["accession", "version"], "sequence_entries_preprocessed_data": ["accession", "version", "pipeline_version"],
+    "metadata_post_prepare": ["id"], "submit_metadata": ["submission_id"], "groups_table": ["group_id"],
+}
+
+
+def _once(spark: SparkSession, root: str, name: str) -> DataFrame:
+    return table(spark, root, name).dropDuplicates(_KEYS[name])
+
+
 def _e(spark: SparkSession, root: str) -> DataFrame:
-    return table(spark, root, "sequence_entries").distinct()
+    return _once(spark, root, "sequence_entries")
+
+
+def _e_rows(spark: SparkSession, root: str) -> DataFrame:
+    """Entries as delivered: for minima, maxima and sets, to which a repeated row makes no difference."""
+    return table(spark, root, "sequence_entries")
 
 
 def _p(spark: SparkSession, root: str) -> DataFrame:
-    return table(spark, root, "sequence_entries_preprocessed_data").distinct()
+    return _once(spark, root, "sequence_entries_preprocessed_data")
+
+
+def _p_rows(spark: SparkSession, root: str) -> DataFrame:
+    return table(spark, root, "sequence_entries_preprocessed_data")
 
 
 def _v(spark: SparkSession, root: str) -> DataFrame:
-    return entries.entry_view(_e(spark, root), _p(spark, root))
+    return entries.entry_view(_e(spark, root), _p(spark, root), entries.current_pipelines(_e_rows(spark, root), _p_rows(spark, root)))
 
 
 def _r(spark: SparkSession, root: str) -> DataFrame:
-    return _e(spark, root).filter("released_at is not null")
+    return table(spark, root, "sequence_entries").filter("released_at is not null").dropDuplicates(_KEYS["sequence_entries"])
+
+
+def _r_rows(spark: SparkSession, root: str) -> DataFrame:
+    return _e_rows(spark, root).filter("released_at is not null")
 
 
 def _m(spark: SparkSession, root: str) -> DataFrame:
-    return table(spark, root, "metadata_post_prepare").distinct()
+    return _once(spark, root, "metadata_post_prepare")
 
 
 def _s(spark: SparkSession, root: str) -> DataFrame:
-    return table(spark, root, "submit_metadata").distinct()
+    return _once(spark, root, "submit_metadata")
 
 
 def _g(spark: SparkSession, root: str) -> DataFrame:
-    return table(spark, root, "groups_table").distinct()
+    return _once(spark, root, "groups_table")
 
 
 def _day(c: str) -> F.Column:
@@ -459,12 +484,12 @@ def j28(spark, root):
 
 @query("a01_latest_version", f"WITH {REL} SELECT accession, max(version) AS version FROM r GROUP BY accession")
 def a01(spark, root):
-    return _r(spark, root).groupBy("accession").agg(F.max("version").alias("version"))
+    return _r_rows(spark, root).groupBy("accession").agg(F.max("version").alias("version"))
 
 
 @query("a02_latest_revocation", f"WITH {REL} SELECT accession, max(version) AS version FROM r WHERE is_revocation GROUP BY accession")
 def a02(spark, root):
-    return _r(spark, root).filter("is_revocation").groupBy("accession").agg(F.max("version").alias("version"))
+    return _r_rows(spark, root).filter("is_revocation").groupBy("accession").agg(F.max("version").alias("version"))
 
 
 @query("a03_count", f"WITH {REL} SELECT count(*) AS n FROM r")
@@ -489,7 +514,7 @@ def a09(spark, root):
 
 @query("a10_filtered_max", f"WITH {E} SELECT organism, max(version) AS version FROM e WHERE NOT is_revocation GROUP BY organism")
 def a10(spark, root):
-    return _e(spark, root).filter("not is_revocation").groupBy("organism").agg(F.max("version").alias("version"))
+    return _e_rows(spark, root).filter("not is_revocation").groupBy("organism").agg(F.max("version").alias("version"))
 
 
 @query("a11_recent_count", f"WITH {E} SELECT group_id, count(*) AS n FROM e WHERE submitted_at >= TIMESTAMP '2024-01-08' - INTERVAL 7 DAY AND submitted_at < TIMESTAMP '2024-01-08' GROUP BY group_id")
@@ -547,7 +572,7 @@ def a21(spark, root):
 
 @query("a22_sets", f"WITH {E} SELECT organism, array_to_string(list_sort(list(DISTINCT CAST(version AS VARCHAR))), ',') AS versions FROM e GROUP BY organism")
 def a22(spark, root):
-    return _e(spark, root).groupBy("organism").agg(F.array_join(F.array_sort(F.collect_set(F.col("version").cast("string"))), ",").alias("versions"))
+    return _e_rows(spark, root).groupBy("organism").agg(F.array_join(F.array_sort(F.collect_set(F.col("version").cast("string"))), ",").alias("versions"))
 
 
 @query("a23_equivalence_groups", f"WITH {META}, c AS (SELECT id, segment, md5(concat_ws(chr(31), coalesce(geo_loc_country, chr(0)), coalesce(sample_collection_date, chr(0)), coalesce(authors, chr(0)))) AS k FROM m), b AS (SELECT k, max(n) AS most FROM (SELECT k, segment, count(*) AS n FROM c GROUP BY ALL) GROUP BY k) SELECT CASE WHEN most > 1 THEN id ELSE k END AS group_id, id FROM c JOIN b USING (k)".replace("chr(0)", "'~'"))
@@ -565,7 +590,7 @@ def a24(spark, root):
 
 @query("a25_agreement", f"WITH {E} SELECT accession, min(organism) AS organism, count(DISTINCT organism) = 1 AS agree FROM e GROUP BY accession")
 def a25(spark, root):
-    return _e(spark, root).groupBy("accession").agg(F.min("organism").alias("organism"), (F.count_distinct("organism") == 1).alias("agree"))
+    return _e_rows(spark, root).groupBy("accession").agg(F.min("organism").alias("organism"), (F.count_distinct("organism") == 1).alias("agree"))
 
 
 @query("a26_names_pivot", "SELECT n_regionkey AS region, array_to_string(list_sort(list(n_name) FILTER (n_nationkey % 2 = 0)), '; ') AS even, array_to_string(list_sort(list(n_name) FILTER (n_nationkey % 2 = 1)), '; ') AS odd FROM nation GROUP BY n_regionkey")
@@ -577,7 +602,7 @@ def a26(spark, root):
 
 @query("a28_highest_version", f"WITH {E} SELECT accession, max(version) AS version FROM e GROUP BY accession")
 def a28(spark, root):
-    return _e(spark, root).groupBy("accession").agg(F.max("version").alias("version"))
+    return _e_rows(spark, root).groupBy("accession").agg(F.max("version").alias("version"))
 
 
 @query("a30_newest_update", f"WITH {E}, {P} SELECT organism, strftime(max(greatest(submitted_at, coalesce(released_at, submitted_at))), '%Y-%m-%d') AS newest FROM e GROUP BY organism")
@@ -607,7 +632,7 @@ def w05(spark, root):
 @query("w06_latest_with_fallback", f"WITH {E} SELECT accession, max(version) AS version, max_by(original_data, version) FILTER (NOT is_revocation) AS original_data, count(DISTINCT submitter) > 1 AS curated FROM e GROUP BY accession")
 def w06(spark, root):
     data = F.max_by(F.when(~F.col("is_revocation"), F.col("original_data")), F.when(~F.col("is_revocation"), F.col("version")))
-    return _e(spark, root).groupBy("accession").agg(F.max("version").alias("version"), data.alias("original_data"), (F.count_distinct("submitter") > 1).alias("curated"))
+    return _e_rows(spark, root).groupBy("accession").agg(F.max("version").alias("version"), data.alias("original_data"), (F.count_distinct("submitter") > 1).alias("curated"))
 
 
 @query("w07_ranges", "SELECT l_suppkey, min(p) AS first, max(p) AS last FROM (SELECT l_suppkey, p, p - row_number() OVER (PARTITION BY l_suppkey ORDER BY p) AS g FROM (SELECT DISTINCT l_suppkey, l_partkey AS p FROM lineitem)) GROUP BY l_suppkey, g")
@@ -617,7 +642,7 @@ def w07(spark, root):
 
 @query("w09_latest_unrevoked", f"WITH {E} SELECT accession, max(version) AS version, max_by(submission_id, version) AS submission_id FROM e WHERE NOT is_revocation GROUP BY accession")
 def w09(spark, root):
-    return _e(spark, root).filter("not is_revocation").groupBy("accession").agg(F.max("version").alias("version"), F.max_by("submission_id", "version").alias("submission_id"))
+    return _e_rows(spark, root).filter("not is_revocation").groupBy("accession").agg(F.max("version").alias("version"), F.max_by("submission_id", "version").alias("submission_id"))
 
 
 @query("w10_history", f"WITH {E} SELECT accession, array_to_string(list(version || ':' || CASE WHEN is_revocation THEN 'x' ELSE 'o' END ORDER BY version), ' ') AS history FROM e GROUP BY accession")
@@ -681,7 +706,7 @@ def u04(spark, root):
 
 @query("u05_array_difference", f"WITH {E}, k AS (SELECT organism, list(DISTINCT version) FILTER (is_revocation) AS a, list(DISTINCT version) FILTER (NOT is_revocation) AS b FROM e GROUP BY organism) SELECT organism, array_to_string(list_sort(list_filter(b, lambda x: NOT list_contains(coalesce(a, []), x))), ',') AS only_first FROM k")
 def u05(spark, root):
-    k = _e(spark, root).groupBy("organism").agg(F.collect_set(F.when(~F.col("is_revocation"), F.col("version"))).alias("b"), F.collect_set(F.when(F.col("is_revocation"), F.col("version"))).alias("a"))
+    k = _e_rows(spark, root).groupBy("organism").agg(F.collect_set(F.when(~F.col("is_revocation"), F.col("version"))).alias("b"), F.collect_set(F.when(F.col("is_revocation"), F.col("version"))).alias("a"))
     return k.select("organism", F.array_join(F.transform(changes.set_difference("b", "a"), lambda x: x.cast("string")), ",").alias("only_first"))
 
 
@@ -942,27 +967,6 @@ def v18(spark, root):
 
 # ----------------------------------------------------------- sequence queries
 
-_SEQ = "q AS (SELECT event_id, upper(event_type) AS seq, 'CLICKVIEW' AS ref FROM events)"
-
-
-@query("q01_mutation_filter", f"WITH {_SEQ} SELECT event_id FROM q WHERE substr(seq, 2, 1) <> '' AND substr(seq, 2, 1) <> substr(ref, 2, 1) AND substr(seq, 2, 1) NOT IN ('N', 'X')")
-def q01(spark, root):
-    rows = table(spark, root, "events").select("event_id", F.upper("event_type").alias("seq"))
-    return rows.filter(sequences.mutation_column(sequences.parse_mutation("2"), F.col("seq"), F.lit("CLICKVIEW"))).select("event_id")
-
-
-@query("q02_symbol_filter", f"WITH {_SEQ} SELECT event_id FROM q WHERE substr(seq, 1, 1) = 'V'")
-def q02(spark, root):
-    rows = table(spark, root, "events").select("event_id", F.upper("event_type").alias("seq"))
-    return rows.filter(sequences.mutation_column(sequences.parse_mutation("GENE:C1V"), F.col("seq"), F.lit("CLICKVIEW"))).select("event_id")
-
-
-@query("q06_mutations", f"WITH {_SEQ}, x AS (SELECT event_id, seq, ref, unnest(generate_series(1, least(len(seq), len(ref)))) AS position FROM q) SELECT event_id, position, substr(ref, position, 1) AS reference_symbol, substr(seq, position, 1) AS symbol FROM x WHERE substr(seq, position, 1) <> substr(ref, position, 1) AND substr(seq, position, 1) NOT IN ('N', 'X')")
-def q06(spark, root):
-    rows = table(spark, root, "events").select("event_id", F.upper("event_type").alias("seq"), F.lit("CLICKVIEW").alias("ref"))
-    return sequences.mutations(rows, "event_id", "seq", "ref").select("event_id", F.col("position").cast("bigint").alias("position"), "reference_symbol", "symbol")
-
-
 @query("q06_private_mutations", "SELECT DISTINCT accession, version, k AS cds, CAST(json_extract_string(s, '$.pos') AS BIGINT) AS pos FROM (SELECT accession, version, k, unnest(from_json(json_extract(mutations, '$.\"' || k || '\".privateSubstitutions'), '[\"JSON\"]')) AS s FROM (SELECT *, unnest(json_keys(mutations)) AS k FROM mutations_from_founder_clade WHERE json_valid(mutations) AND mutations LIKE '{%') WHERE json_type(mutations, '$.\"' || k || '\".privateSubstitutions') = 'ARRAY') WHERE json_type(s) = 'OBJECT'")
 def q06p(spark, root):
     rows = table(spark, root, "mutations_from_founder_clade").filter(F.try_parse_json("mutations").isNotNull() & F.startswith("mutations", F.lit("{"))).select("accession", "version", "mutations").distinct()
@@ -971,16 +975,6 @@ def q06p(spark, root):
     return subs.filter("s is not null").select("accession", "version", "cds", F.col("s.pos").cast("bigint").alias("pos")).distinct()
 
 
-@query("a19_mutation_profile", f"WITH {_SEQ}, x AS (SELECT event_id, seq, ref, unnest(generate_series(1, least(len(seq), len(ref)))) AS position FROM q), k AS (SELECT position, substr(ref, position, 1) AS r, substr(seq, position, 1) AS s FROM x), c AS (SELECT position, count(*) AS coverage FROM k WHERE s NOT IN ('N', 'X') GROUP BY position) SELECT position, s AS symbol, count(*) AS n, round(count(*) / any_value(coverage), 6) AS proportion FROM k JOIN c USING (position) WHERE s <> r AND s NOT IN ('N', 'X') GROUP BY position, s HAVING count(*) / any_value(coverage) >= 0.05")
-def a19(spark, root):
-    rows = table(spark, root, "events").select("event_id", F.upper("event_type").alias("seq"), F.lit("CLICKVIEW").alias("ref"))
-    n = sequences.mutations(rows, "event_id", "seq", "ref").groupBy("position", "symbol").agg(F.count("*").alias("n"))
-    places = F.filter(F.transform(F.split("seq", ""), lambda c, i: F.when(~c.isin("N", "X", ""), i + 1)), lambda p: p.isNotNull())
-    coverage = rows.select(F.explode(places).alias("position")).groupBy("position").agg(F.count("*").alias("coverage"))
-    share = F.col("n") / F.col("coverage")
-    return n.join(coverage, "position").filter(share >= 0.05).select(F.col("position").cast("bigint").alias("position"), "symbol", "n", F.round(share, 6).alias("proportion"))
-
-
 @query("q08_fasta_headers", f"WITH {REL} SELECT accession || '.' || version || '|' || organism || '|' || strftime(released_at, '%Y-%m-%d') AS header, upper(submission_id) AS sequence FROM r")
 def q08(spark, root):
     return _r(spark, root).select(F.concat_ws("|", F.concat_ws(".", "accession", F.col("version").cast("string")), "organism", _day("released_at")).alias("header"), F.upper("submission_id").alias("sequence"))
@@ -1091,18 +1085,20 @@ def r16(spark, root):
 
 @query("x08_authors")
 def x08(spark, root):
-    return _m(spark, root).select("id", X.check_authors(F.col("authors")).alias("r")).select("id", "r.value", "r.error")
+    return _m(spark, root).select("id", X.check_authors(F.col("authors")).alias("r")).select("id", "r.value", "r.error", F.array_join("r.warnings", ",").alias("warnings"))
 
 
-@query("x50_accessions")
-def x50(spark, root):
-    return table(spark, root, "part").select("p_partkey", X.accession_column(F.col("p_partkey"), "LOC_").alias("accession"))
+_LUHN = "0123456789ABCDEFGHJKLMNPQRSTUVWXYZ"
+_STEP = "CASE WHEN i % 2 = 0 THEN 2 ELSE 1 END * ((p_partkey // CAST(pow(34, i) AS BIGINT)) % 34)"
 
 
-@query("a07_external_merge")
-def a07(spark, root):
-    external = table(spark, root, "events").select("user_id", "ts", F.col("event_type").alias("updater"), F.create_map(F.col("event_type"), F.col("value").cast("string")).alias("metadata"))
-    return entries.merge_external(external, ["user_id"], "ts", "updater", "metadata").select("user_id", F.to_json(F.map_from_entries(F.array_sort(F.map_entries("metadata")))).alias("metadata"))
+@query(
+    "x50_accessions",
+    f"WITH t AS (SELECT p_partkey, list_sum([v // 34 + v % 34 for v in [{_STEP} for i in range(0, 6)]]) AS total FROM part) "
+    f"SELECT p_partkey, 'LOC_' || array_to_string([substr('{_LUHN}', CAST(1 + (p_partkey // CAST(pow(34, i) AS BIGINT)) % 34 AS BIGINT), 1) for i in [5, 4, 3, 2, 1, 0]], '') || substr('{_LUHN}', CAST(1 + (34 - total % 34) % 34 AS BIGINT), 1) AS accession FROM t",
+)
+def x50(spark, root):
+    return table(spark, root, "part").select("p_partkey", X.accession_column(F.col("p_partkey"), "LOC_").alias("accession"))
 
 
 QUERIES, SQL = query.queries, query.sql

@@ -97,7 +97,7 @@ def test_archive(spark, tmp_path):
 
 def test_unique_ids(spark):
     df = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "n string, o int")
-    assert sorted(r.unique_id for r in state.unique_ids(df, "n", "o").collect()) == ["a", "a_2", "b"]
+    assert sorted(r.unique_id for r in state.unique_ids(df, "n", "o").collect()) == ["a", "a_1", "b"]
 
 
 def test_windowed_stream(spark, tmp_path):

@@ -250,3 +250,64 @@ def test_whole_orders_and_upserts_take_all_rows(spark, data_root):
     for name, of, key in (("t13_whole_upsert", "sequence_entries", ["accession"]), ("r15_whole_metadata_upsert", "sequence_entries_preprocessed_data", ["accession", "version"])):
         got = [tuple(r[k] for k in key) for r in rows(name)]
         assert sorted(got) == sorted(tuple(r) for r in table(of).select(*key).distinct().collect()), name
+
+
+@pytest.mark.parametrize(
+    ("ids", "want"),
+    [
+        (["sample", "sample_1", "other"], ["sample", "sample_1", "other"]),
+        (["sample", "sample", "sample"], ["sample", "sample_1", "sample_2"]),
+        (["sample", "sample", "sample_1", "sample"], ["sample", "sample_2", "sample_1", "sample_3"]),
+        (["sample", "other", "sample", "other"], ["sample", "other", "sample_1", "other_1"]),
+        (["a", "a_2", "a", "a_4", "a", "a_5", "a", "a_3"], ["a", "a_2", "a_1", "a_4", "a_6", "a_5", "a_7", "a_3"]),
+        (["a_1", "a_1", "a", "a"], ["a_1", "a_1_1", "a", "a_2"]),
+    ],
+)
+def test_unique_ids_skip_what_stands_in_the_table(spark, ids, want):
+    from helixmill.operators.state import unique_ids
+
+    rows = spark.createDataFrame(list(enumerate(ids)), "at int, id string")
+    assert [r.unique_id for r in unique_ids(rows, "id", "at").orderBy("at").collect()] == want
+
+
+def test_external_updates_merge(spark):
+    from helixmill.operators.entries import merge_external
+
+    rows = [("k", 1, "a", {"x": "1", "y": "1"}), ("k", 2, "b", {"x": "2"}), ("k", 2, "c", {"x": "3", "z": None}), ("l", 1, "a", {"x": "9"})]
+    df = spark.createDataFrame(rows, "id string, at int, updater string, metadata map<string,string>")
+    assert {r.id: r.metadata for r in merge_external(df, ["id"], "at", "updater", "metadata").collect()} == {"k": {"x": "3", "y": "1", "z": None}, "l": {"x": "9"}}
+
+
+def test_insertions_have_place_and_pattern(spark):
+    from pyspark.sql import functions as F
+
+    from helixmill.operators import sequences as Q
+
+    rows = [(1, [("main", 5, "AC"), ("main", 9, "ATTC")]), (2, [("main", 9, "GG")]), (3, [("L", 9, "ATTC")]), (4, [])]
+    df = spark.createDataFrame(rows, "id int, ins array<struct<segment:string,position:int,sequence:string>>")
+    hit = lambda q, seg=None: [r.id for r in df.filter(Q.has_insertion(F.col("ins"), Q.insertion_query(q, seg))).orderBy("id").collect()]
+    assert hit("ins_9:A?C") == [1, 3] and hit("ins_9:A?C", "main") == [1] and hit("ins_L:9:?") == [3] and hit("ins_5:A?T") == [] and hit("ins_main:5:AC") == [1]
+    assert Q.insertion_query("ins_x") is None
+
+
+def test_mutations_of_several_segments(spark):
+    from pyspark.sql import functions as F
+
+    from helixmill.operators import sequences as Q
+
+    refs = {"L": "ACGT", "S": "TTTT"}
+    df = spark.createDataFrame([(1, {"L": "ACGA", "S": "TTTT"}), (2, {"L": "ACGT", "S": "TATT"}), (3, {"L": "NCGA"})], "id int, seqs map<string,string>")
+    hit = lambda q, seg=None: [r.id for r in df.filter(Q.mutation_filter(q, F.col("seqs"), refs, seg)).orderBy("id").collect()]
+    assert hit("L:4") == [1, 3] and hit("l:T4A, S:2.") == [1] and hit("s:2A") == [2] and hit("4A") == [] and hit("4A", "L") == [1, 3] and hit("M:1A") == []
+
+
+def test_payloads(spark):
+    from pyspark.sql import functions as F
+
+    from helixmill.functions.payloads import elements, json_object, members
+
+    texts = ['{"a":{"x":[1,null,"b",{"c":2}],"y":"one","z":null}}', '"{\\"a\\":{\\"x\\":[]}}"', '"\\"{}\\""', '{"a":', "[1]", "null", None, ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").withColumn("d", json_object(F.col("t")))
+    assert [r.i for r in df.filter("d is not null").orderBy("i").collect()] == [0, 1, 2]
+    got = df.filter("i = 0").select(F.explode(members(F.col("d"), "a")).alias("k", "v")).select("k", elements(F.col("v")).alias("e")).collect()
+    assert {r.k: r.e for r in got} == {"x": ["1", "b", '{"c":2}'], "y": ["one"], "z": None}
