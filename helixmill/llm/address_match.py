@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixmill.llm import lexicon
-from helixmill.llm.canonical_map import NameIndex, decide, fold, osa
+from helixmill.llm.canonical_map import fold, osa
 from helixmill.llm.components import connected_components
 from helixmill.session import cut_lineage, spread
 
@@ -188,29 +188,31 @@ _ADDRESS = _FIELDS[:6]
 
 
 def parse_addresses(df: DataFrame, *, key: str, institution: str, line1: str, line2: str, postal: str, city: str, country: str) -> DataFrame:
-    """The components of each record; countries as codes (their names and codes are a few thousand words, broadcast)."""
-    index, codes = lexicon.all_countries(df.sparkSession)
-    shared = df.sparkSession.sparkContext.broadcast((index, codes))
+    """The components of each record; countries as codes (the names of all countries are some thousand words)."""
+    codes = lexicon.country_codes(df.sparkSession)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, codes = shared.value
         known: dict[str | None, str] = {}
         for batch in it:
             cols = [batch.column(k).to_pylist() for k in range(1, 7)]
             got = []
             for r in zip(*cols, strict=True):
                 if r[5] not in known:
-                    known[r[5]] = country_code(r[5], index, codes)
+                    known[r[5]] = country_code(r[5], codes)
                 got.append((known[r[5]], *parse_record(*r)))
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array([g[k] for g in got], pa.string()) for k in range(len(_FIELDS)))], names=["id", *_FIELDS])
 
     return df.select(key, institution, line1, line2, postal, city, country).mapInArrow(run, "id long, " + ", ".join(f"{f} string" for f in _FIELDS))
 
 
-def country_code(text: str | None, index: NameIndex, codes: list[str]) -> str:
-    """Code of a country as it is typed; empty where none is meant."""
-    ref = decide(text, index, lexicon.country_parts)[0] if text and text.strip() else -1
-    return codes[ref] if ref >= 0 else ""
+def country_code(text: str | None, codes: dict[str, str]) -> str:
+    """Code of a country as it is typed, with one typing error in a longer name; empty where none, or several, may be meant."""
+    name = fold(text or "")
+    for form in (name, name.replace(" ", "")):
+        if form in codes:
+            return codes[form]
+    near = {c for n, c in codes.items() if len(name) > 4 and len(n) > 4 and osa(name, n, 1) == 1}
+    return near.pop() if len(near) == 1 else ""
 
 
 def resolve_cities(parsed: DataFrame) -> DataFrame:
@@ -223,7 +225,6 @@ def resolve_cities(parsed: DataFrame) -> DataFrame:
     to look up take part in no join.
     """
     seen = parsed.filter("city <> '' and postal <> ''").groupBy("country", "postal", "city").agg(F.count("*").alias("n"))
-    seen = cut_lineage(seen)
     lands = seen.filter("country <> ''").groupBy("postal", "city").agg(F.min("country").alias("land"), F.count("*").alias("k")).filter("k = 1").drop("k")
     rows = parsed.filter("country = '' and city <> '' and postal <> ''").join(lands, ["postal", "city"], "left").withColumn("country", F.coalesce("land", "country")).select("id", *_FIELDS)
     rows = rows.unionAll(parsed.filter("not (country = '' and city <> '' and postal <> '')").select("id", *_FIELDS))

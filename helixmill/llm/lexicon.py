@@ -103,12 +103,26 @@ def country_index(spark: SparkSession, listed: list[tuple[int, str]]) -> NameInd
     return NameIndex(list(dict.fromkeys(names)), exact, GENERIC)
 
 
-def all_countries(spark: SparkSession) -> tuple[NameIndex, list[str]]:
-    """Index of all countries that have a code, and the code of each entry."""
+def country_codes(spark: SparkSession) -> dict[str, str]:
+    """Code of each country by its name in English and in its own languages, its other names and its codes."""
     locale = spark._jvm.java.util.Locale
-    usual = {c: n for n, c in CODE_OF.items()}
+    english = locale("en")
     codes = sorted({str(c) for c in locale.getISOCountries()} | {"XK"})
-    return country_index(spark, [(k, usual.get(c) or str(locale("", c).getDisplayCountry(locale("en")))) for k, c in enumerate(codes)]), codes
+    usual = {c: n for n, c in CODE_OF.items()}
+    out: dict[str, str] = {}
+    for code in codes:
+        name = str(locale("", code).getDisplayCountry(english))
+        listed = usual.get(code, name)
+        for x in (name, *COUNTRY_NAMES.get(listed, []), *(() if listed in NO_FORMAL else (f.format(listed) for f in FORMAL))):
+            out.setdefault(fold(x), code)
+    for own in locale.getAvailableLocales():
+        if own.getCountry() in codes:
+            out.setdefault(fold(own.getDisplayCountry(own)), own.getCountry())
+    for code in codes:
+        out.setdefault(fold(code), code)
+        if code != "XK":
+            out.setdefault(fold(locale("", code).getISO3Country()), code)
+    return {n: c for n, c in out.items() if n and n not in {fold(x) for x in NO_COUNTRY}}
 
 
 _REMARK = re.compile(r"\b(?:near|close to|bordering|next to|imported from|travel(?:led)? from|via)\b.*$", re.I)
