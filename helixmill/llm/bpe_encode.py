@@ -90,12 +90,12 @@ def serialise_model(tokens: list[bytes]) -> bytes:
 class Encoder:
     """Encodes texts with a serialised model; keeps the ids of frequent pre-tokens."""
 
-    def __init__(self, model: bytes) -> None:
+    def __init__(self, model: bytes, pattern: str = PATTERN) -> None:
         import regex
         import sentencepiece
 
         self._model = sentencepiece.SentencePieceProcessor(model_proto=model)
-        self._split = regex.compile(PATTERN).findall
+        self._split = regex.compile(pattern).findall
         chars = byte_characters()
         self._to_chars = {b: c for b, c in enumerate(chars)}
         self._to_bytes = {ord(c): b for b, c in enumerate(chars)}
@@ -125,17 +125,22 @@ class Encoder:
         return bytes(self._to_bytes[ord(c)] for c in pieces).decode("utf-8", "replace")
 
 
-def encode_corpus(df: DataFrame, *, text: str, key: str, vocabulary: str | None = None) -> DataFrame:
+def encode_corpus(df: DataFrame, *, text: str, key: str, vocabulary: str | None = None, pattern: str | None = None) -> DataFrame:
     """(key, ids) for each row: the token ids of the text.
 
     ``vocabulary`` is the path of the rank file, read once by the driver; the
     model made from it (about 1 MB, bounded by the vocabulary) is broadcast.
+    Another vocabulary than the default one needs its own ``pattern`` of
+    pre-tokens.
     """
+    if vocabulary is not None and pattern is None:
+        raise ValueError("a vocabulary of one's own needs its pattern of pre-tokens")
+    pattern = pattern or PATTERN
     path = vocabulary or os.path.join(TOKENIZER_DIR, "byte_bpe_50k.tiktoken")
     model = df.sparkSession.sparkContext.broadcast(serialise_model(load_ranks(path)))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(model.value)
+        encoder = Encoder(model.value, pattern)
         for batch in it:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)

@@ -37,3 +37,11 @@ def test_operator(spark):
     got = {r.doc_id: list(r.ids) for r in encode_corpus(rows, text="text", key="doc_id").collect()}
     assert got[2] == got[3] == [] and got[1] == got[4] and len(got[1]) == 2
     assert encode_corpus(rows.limit(0), text="text", key="doc_id").count() == 0
+
+
+def test_another_vocabulary_needs_its_pattern(spark):
+    rows = spark.createDataFrame([(1, "Hello, world")], "doc_id long, text string")
+    with pytest.raises(ValueError, match="pattern"):
+        encode_corpus(rows, text="text", key="doc_id", vocabulary=RANKS)
+    own = encode_corpus(rows, text="text", key="doc_id", vocabulary=RANKS, pattern=r"[^,]+|,").first().ids
+    assert list(own) != list(encode_corpus(rows, text="text", key="doc_id").first().ids)
