@@ -109,6 +109,23 @@ def date_range(c: Column, submitted: Column, released: Column | None = None) ->
     return low, F.when(is_missing(c), limit).otherwise(F.least(high, F.when(high.isNotNull(), limit)))
 
 
+def with_date_range(df: DataFrame, text: str, submitted: str, released: str | None = None, *, low: str = "range_low", high: str = "range_high") -> DataFrame:
+    """Adds what :func:`date_range` gives as columns (low, high): of a date, month, year or range of them; high is cut at the earlier of submission and release.
+
+    The two ends of a text are columns of their own before they are read, and
+    their days before they are compared: one expression for all of it would be
+    too large to be compiled.
+    """
+    c = F.col(text)
+    pattern = F.when(c.rlike(_LUCENE), F.lit(_LUCENE)).when(c.rlike(_SLASH), F.lit(_SLASH))
+    first, last = (F.when(pattern.isNotNull(), F.coalesce(F.nullif(F.regexp_extract(c, _LUCENE, k), F.lit("")), F.nullif(F.regexp_extract(c, _SLASH, k), F.lit("")))).otherwise(c) for k in (1, 2))
+    ends = df.withColumns({"__a": first, "__b": last, "__limit": F.least(submitted, released) if released is not None else F.col(submitted)})
+    read = ends.withColumns({"__low": _bounds(F.col("__a"))[0], "__high": _bounds(F.col("__b"))[1]})
+    both = F.col("__low").isNotNull() & F.col("__high").isNotNull()
+    upper = F.when(is_missing(c), F.col("__limit")).when(both, F.least("__high", F.col("__limit")))
+    return read.withColumns({low: F.when(both, F.col("__low")), high: upper}).drop("__a", "__b", "__limit", "__low", "__high")
+
+
 def compact_range(low: Column, high: Column) -> Column:
     """The shortest text for a range of days: day, month, year, or two of them with a slash."""
     day, month, year = (lambda c: F.date_format(c, "yyyy-MM-dd")), (lambda c: F.date_format(c, "yyyy-MM")), (lambda c: F.date_format(c, "yyyy"))

@@ -26,14 +26,13 @@ from pyspark.sql import types as T
 
 #: Bytes indexed together; a longer record forms a batch of its own.
 BATCH_BYTES = 8 << 20
-MAX_UNWRAP = 4
 
 
 def unwrap(text: str | None) -> str | None:
-    """The text of a JSON object, from which string encoding is removed."""
-    for _ in range(MAX_UNWRAP):
-        if text is None:
-            return None
+    """The text of a JSON object, from which string encoding is removed, however often it was applied."""
+    if text is None:
+        return None
+    while True:  # each round makes the text shorter
         text = text.strip().lstrip("﻿")
         if not text.startswith('"'):
             break

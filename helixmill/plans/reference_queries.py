@@ -764,9 +764,8 @@ _UP = "CASE WHEN regexp_full_match(c, '[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}') THEN try
 def x04(spark, root):
     k = F.ascii(F.right("submission_id", F.lit(1))) % 3
     c = F.when(k == 0, F.left("collection_date", F.lit(4))).when(k == 1, F.left("collection_date", F.lit(7))).otherwise(F.col("collection_date"))
-    rows = _s(spark, root).withColumn("c", c).filter("c <> ''")
-    low, high = M.date_range(F.col("c"), F.to_date("submitted_at"))
-    rows = rows.select("submission_id", low.alias("low"), high.alias("high"))
+    rows = _s(spark, root).select("submission_id", c.alias("c"), F.to_date("submitted_at").alias("submitted")).filter("c <> ''")
+    rows = M.with_date_range(rows, "c", "submitted", low="low", high="high")
     low, high = F.col("low"), F.col("high")
     return rows.select("submission_id", _day(low).alias("lower"), _day(high).alias("upper"), M.compact_range(low, high).alias("compact"))
 

@@ -17,17 +17,33 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Point the context at the shared checkpoint folder of the session.
 
-    ``spark.checkpoint.dir`` wins where it is set; a folder of our own is used
-    only where nothing is configured, as in local tests.
+    ``spark.checkpoint.dir`` wins where it is set.  A temporary folder is made
+    only in local mode, where driver and executors are one process; a cluster
+    without a shared folder is refused.
     """
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        configured = sc.getConf().get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="helixmill-checkpoint-"))
+    if sc.getCheckpointDir() is not None:
+        return
+    configured = sc.getConf().get("spark.checkpoint.dir", None)
+    if configured is None and sc.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="helixmill-checkpoint-"))
+
+
+def ensure_adaptive(spark: SparkSession) -> None:
+    """Adaptive execution with its handling of skewed joins, on which joins on natural keys rely."""
+    for name in ("spark.sql.adaptive.enabled", "spark.sql.adaptive.skewJoin.enabled"):
+        if spark.conf.get(name, "true") != "true":
+            spark.conf.set(name, "true")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and drop its plan."""
+    """Materialise ``df`` in the shared checkpoint folder and drop its plan.
+
+    This runs a job at once.  Spark removes the files of tables that are no
+    longer referred to where ``spark.cleaner.referenceTracking.cleanCheckpoints``
+    is set; else they stay until the folder is cleared.
+    """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
@@ -60,6 +76,7 @@ def ship_package(spark: SparkSession) -> None:
 
     The archive is written on the driver and served by Spark's own file server.
     """
+    ensure_adaptive(spark)
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return

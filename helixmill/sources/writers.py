@@ -13,9 +13,16 @@ def write_ndjson(df: DataFrame, path: str, *, partition_by: Sequence[str] = (),
     df.write.mode("errorifexists").partitionBy(*partition_by).option("compression", compression).option("ignoreNullFields", False).json(path)
 
 
+#: Metadata names that a table may have; the schema of an organism is far below.
+MAX_NAMES = 10_000
+
+
 def metadata_keys(df: DataFrame, metadata: str) -> list[str]:
-    """Names used in a metadata map (one row a name: the organism's schema bounds it)."""
-    return [r[0] for r in df.select(F.explode(F.map_keys(metadata)).alias("k")).distinct().orderBy("k").limit(10_000).collect()]
+    """Names used in a metadata map; refused if there are more than a table may have."""
+    names = df.select(F.explode(F.map_keys(metadata)).alias("k")).distinct().limit(MAX_NAMES + 1).collect()
+    if len(names) > MAX_NAMES:
+        raise ValueError(f"the records use more than {MAX_NAMES} metadata names")
+    return sorted(r[0] for r in names)
 
 
 def tsv_lines(df: DataFrame, header: Sequence[str], metadata: str, keys: Sequence[str]) -> DataFrame:

@@ -76,3 +76,14 @@ def test_members_are_linked(spark):
 def test_empty_table(spark):
     rows = spark.createDataFrame([], "id string, j string")
     assert extract_lists(rows, record_id="id", json_col="j", rules=PROCESSED_RULES).count() == 0
+
+
+def test_payloads_encoded_many_times():
+    import json
+
+    from helixmill.operators.nested_records import unwrap
+
+    text = '{"a":1}'
+    for times in range(8):
+        assert unwrap(text) == '{"a":1}', times
+        text = json.dumps(text)

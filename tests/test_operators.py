@@ -141,6 +141,8 @@ def test_dates(spark):
     got = [r[0] for r in df.select(M.compact_range(low, high)).collect()]
     assert got[:6] == ["2020", "2020-02", "2020-02-05", "2020-01/2021-03", "2020/2021", "2020-01-02/2020-03-31"]
     bounds = [tuple(r) for r in df.select(low, high).collect()]
+    limited = M.with_date_range(df.withColumn("limit", F.lit("2024-06-01").cast("date")), "c", "limit")
+    assert [(r.range_low, r.range_high) for r in limited.collect()] == bounds
     assert bounds[6][1] == date(2024, 6, 1) and bounds[7] == (None, date(2024, 6, 1)) and bounds[8] == (None, None)
 
 
