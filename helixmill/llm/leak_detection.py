@@ -178,27 +178,32 @@ class Automaton:
         """
         ids = [self.vocabulary.get(w, -1) for w in words]
         nxt, link, length, seed_state, held_by = self.next, self.link, self.length, self.seed_state, self.held_by
-        state, n = 0, 0
         # the last words of seeds, and of runs of MIN_WORDS words with their places, by passage
         seeds: dict[int, list[int]] = defaultdict(list)
         runs: dict[int, list[tuple[int, int, int, int]]] = defaultdict(list)
-        for j, w in enumerate(ids):
-            if w < 0:
-                state, n = 0, 0
-                continue
-            while state and w not in nxt[state]:
-                state = link[state]
-                n = length[state]
-            if w in nxt[state]:
-                state = nxt[state][w]
-                n += 1
-            if n < SEED:
+        # stretches of words that passages hold, as long as a seed at least
+        held = np.flatnonzero(np.asarray(ids, np.int64) >= 0) if ids else np.zeros(0, np.int64)
+        cuts = np.flatnonzero(np.diff(held) > 1)
+        for lo, hi in zip(np.concatenate(([0], cuts + 1)), np.concatenate((cuts + 1, [len(held)])), strict=True):
+            if hi - lo < SEED:
                 continue
-            if n >= MIN_WORDS:
-                for k, at in self.ends(self.run_state[state]):
-                    runs[k].append((j - MIN_WORDS + 1, j, at - MIN_WORDS + 1, at))
-            for k in held_by[seed_state[state]]:
-                seeds[k].append(j)
+            state, n = 0, 0
+            at_word = int(held[lo])
+            for j in range(at_word, at_word + int(hi - lo)):
+                w = ids[j]
+                while state and w not in nxt[state]:
+                    state = link[state]
+                    n = length[state]
+                if w in nxt[state]:
+                    state = nxt[state][w]
+                    n += 1
+                if n < SEED:
+                    continue
+                if n >= MIN_WORDS:
+                    for k, at in self.ends(self.run_state[state]):
+                        runs[k].append((j - MIN_WORDS + 1, j, at - MIN_WORDS + 1, at))
+                for k in held_by[seed_state[state]]:
+                    seeds[k].append(j)
         out = []
         for k, hits in seeds.items():
             pieces = runs.get(k, [])
@@ -233,7 +238,7 @@ class Automaton:
                 lo, hi = max(0, hits[start] - apart), min(len(ids), hits[x - 1] + apart + 1)
                 for b0, b1 in _dense([w in held for w in ids[lo:hi]], least):
                     text = ids[lo + b0 : lo + b1]
-                    while _may_hold(item, text, least) and (got := windows(item, text, least)):
+                    while _may_hold(item, text, least) and (got := windows(item, text, least, first=not spans)):
                         out += [(lo + b0 + j, lo + b0 + to_j, i, to_i) for j, to_j, i, to_i in got]
                         if not spans:
                             return out
@@ -294,11 +299,12 @@ def _may_hold(item: list[int], text: list[int], least: int) -> bool:
     return False
 
 
-def windows(item: list[int], text: list[int], least: int) -> list[tuple[int, int, int, int]]:
+def windows(item: list[int], text: list[int], least: int, first: bool = False) -> list[tuple[int, int, int, int]]:
     """(first word, last word, first passage word, last passage word) of windows that share no word of the text.
 
     Of windows that overlap the one with most words counts, less three for
-    each change, so that no window goes on beyond what is quoted.
+    each change, so that no window goes on beyond what is quoted.  With
+    ``first`` the search ends at the first length that gives a window.
 
     For every passage word as a start, and every text word that equals it, the
     least number of words altered, added or missing is kept for each length of
@@ -308,7 +314,7 @@ def windows(item: list[int], text: list[int], least: int) -> list[tuple[int, int
     """
     a, b = np.asarray(item, np.int32), np.asarray(text, np.int32)
     n, m = len(a), len(b)
-    big = 1 << 13
+    big, most = 1 << 13, int(n * MAX_CHANGED)  # no window of the passage may have more changes
     same = a[:, None] == b[None, :]
     along = np.arange(m, dtype=np.int16)
     # cost and first text word of the best alignment of passage words [s, s + size) that ends at text word j
@@ -331,6 +337,8 @@ def windows(item: list[int], text: list[int], least: int) -> list[tuple[int, int
                 if wide <= n and good.any():
                     for s, j in zip(*np.nonzero(good), strict=True):
                         found.append((size - 3 * int(kept[s, j]), size, int(s), int(left_begin[s, j]), int(j)))
+                    if first:
+                        break
             diagonal = left + ~hit
             missing = cost + 1
             new = np.where(diagonal <= missing, diagonal, missing)
@@ -341,12 +349,12 @@ def windows(item: list[int], text: list[int], least: int) -> list[tuple[int, int
             source = np.maximum.accumulate(np.where(level == best, along, 0), axis=1)
             cost = np.minimum(best + along, big).astype(np.int16)
             begin = np.take_along_axis(new_begin, source.astype(np.int64), axis=1)
-            if not (cost < n).any():
+            if not (cost <= most).any():
                 break
     out: list[tuple[int, int, int, int]] = []
-    for _, size, s, first, last in sorted(found, reverse=True):
-        if all(last < x or first > y for x, y, _, _ in out):
-            out.append((first, last, s, s + size - 1))
+    for _, size, s, begin_at, last in sorted(found, reverse=True):
+        if all(last < x or begin_at > y for x, y, _, _ in out):
+            out.append((begin_at, last, s, s + size - 1))
     return out
 
 
