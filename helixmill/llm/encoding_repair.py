@@ -283,16 +283,28 @@ def _suspicious(word: str) -> bool:
     return LOST in word or oddness(word) > 0 or any(undo_multi(word, w)[1] for w in WRONG)
 
 
+@lru_cache(1 << 16)
 def readings(word: str) -> list[str]:
-    """What a word would be under each pair of encodings, other than as it stands."""
+    """What a word would be under each pair of encodings, other than as it stands, where its letters fit each other."""
     out = set()
+    runs, rest = _NON_ASCII.findall(word), _NON_ASCII.split(word)
     for wrong in WRONG:
         now = word
         while (got := undo_multi(now, wrong))[1]:
             now = got[0]
             out.add(now)
-        out |= {got for true in (MULTI_BYTE, *TRUE_SINGLE) if true != wrong and (got := undo_single(word, true, wrong)) is not None}
-    return sorted(out - {word})
+        table = _byte_of(wrong)
+        if any(c not in table for run in runs for c in run):
+            continue
+        raw = [bytes(table[c] for c in run) for run in runs]
+        for true in (MULTI_BYTE, *TRUE_SINGLE):
+            try:
+                read = [r.decode(true) for r in raw] if true != wrong else []
+            except UnicodeDecodeError:
+                continue
+            if read:
+                out.add("".join(x for pair in zip(rest, [*read, ""], strict=True) for x in pair))
+    return sorted(w for w in out - {word} if not _word_oddness(w))
 
 
 def sentence_words(df: DataFrame, text: str) -> DataFrame:
