@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Symbols of sequences (fixed values).
@@ -85,6 +85,89 @@ def alignment_problem(given: Column, aligned: Column) -> Column:
     return F.when((given > 0) & (aligned == 0), "none_aligned").when(aligned < given, "some_unaligned")
 
 
+def alignment_annotations(given: Column, aligned: Column, *, any_is_enough: bool) -> tuple[Column, Column]:
+    """(errors, warnings): names of given segments that are not aligned.
+
+    Where all must be aligned each one is an error.  Where one is enough they
+    are warnings, and ``*`` is an error if none is aligned.
+    """
+    lost = F.array_sort(F.array_except(given, aligned))
+    none = F.array().cast("array<string>")
+    if not any_is_enough:
+        return lost, none
+    return F.when((F.size(given) > 0) & (F.size(F.array_intersect(given, aligned)) == 0), F.array(F.lit("*"))).otherwise(none), lost
+
+
+def assign_segments(ids: Column, segments: Sequence[str]) -> Column:
+    """struct(assigned, duplicates, leftovers, nothing) of the sequence ids of an entry.
+
+    ``assigned`` maps segments that one id names to it; ``duplicates`` are
+    segments named by several ids, ``leftovers`` ids that name no segment.
+    """
+    named = F.transform(ids, lambda x: F.struct(segment_of(x, segments).alias("segment"), x.alias("id")))
+    of = lambda s: F.filter(named, lambda x: x["segment"] == s)
+    one = F.array_compact(F.array(*(F.when(F.size(of(s)) == 1, F.struct(F.lit(s).alias("segment"), F.get(of(s), 0)["id"].alias("id"))) for s in segments)))
+    twice = F.array_compact(F.array(*(F.when(F.size(of(s)) > 1, F.lit(s)) for s in segments)))
+    rest = F.array_sort(F.transform(F.filter(named, lambda x: x["segment"].isNull()), lambda x: x["id"]))
+    return F.struct(F.map_from_entries(one).alias("assigned"), twice.alias("duplicates"), rest.alias("leftovers"), ((F.size(one) == 0) & (F.size(twice) == 0)).alias("nothing"))
+
+
+#: Characters that file names may not hold (fixed values): control characters, blanks, and those that file systems refuse.
+FORBIDDEN_IN_NAMES = '/\\:*"?<>|'
+MAX_NAME = 255
+
+
+def file_name_error(name: Column) -> Column:
+    """Why a file name is refused."""
+    bad = "[\\x00-\\x1f\\s" + "".join("\\" + c for c in FORBIDDEN_IN_NAMES) + "]"
+    return F.when(F.coalesce(name, F.lit("")) == "", "empty_name").when(F.length(name) > MAX_NAME, "name_too_long").when(name.rlike(bad), "forbidden_character")
+
+
+def file_mapping_errors(files: DataFrame, key: Sequence[str], categories: Sequence[str], *, known: DataFrame | None = None) -> DataFrame:
+    """(key, category, name, error) of files (key, category, name, file_id): refused names, unknown categories, names that come again, unknown ids.
+
+    ``known`` has the file ids that were uploaded.
+    """
+    rows = files if known is None else files.join(known.select("file_id", F.lit(True).alias("__known")).distinct(), "file_id", "left")
+    twice = rows.groupBy(*key, "category", "name").agg(F.count("*").alias("__n")).filter("__n > 1 and name is not null").select(*key, "category", "name", F.lit("repeated_name").alias("error"))
+    codes = [file_name_error(F.col("name")), F.when(~F.col("category").isin(*categories), "unknown_category")]
+    if known is not None:
+        codes.append(F.when(F.col("__known").isNull(), "unknown_file"))
+    single = rows.select(*key, "category", "name", F.explode(F.array_compact(F.array(*codes))).alias("error")).distinct()
+    return single.unionByName(twice)
+
+
+def precondition_report(wanted: DataFrame, entries: DataFrame, key: Sequence[str], *, organism: str, statuses: Sequence[str], groups: Sequence[int] | None = None, most: int = 10) -> DataFrame:
+    """(error, n, shown): one message for each kind of violation, with the first keys in order.
+
+    A key may violate several conditions: it is missing; it is of another
+    organism, in another state, has errors, or belongs to none of the groups.
+    """
+    have = entries.select(*key, F.col("organism").alias("__organism"), F.col("status").alias("__status"), F.col("processing_result").alias("__result"), F.col("group_id").alias("__group"), F.lit(True).alias("__there"))
+    codes = [
+        F.when(F.col("__there").isNull(), "missing"), F.when(F.col("__organism") != organism, "other_organism"), F.when(~F.col("__status").isin(*statuses), "wrong_state"),
+        F.when(F.col("__result") == "HAS_ERRORS", "has_errors"), *([F.when(~F.col("__group").isin(*groups), "no_permission")] if groups is not None else []),
+    ]
+    rows = wanted.select(*key).distinct().join(have, list(key), "left").select(F.struct(*key).alias("__key"), F.explode(F.array_compact(F.array(*codes))).alias("error"))
+    # the first keys are kept by small sorted sets, so that no task holds all of a kind
+    w = Window.partitionBy("error").orderBy("__key")
+    first = rows.withColumn("__k", F.row_number().over(w)).filter(F.col("__k") <= most)
+    shown = first.groupBy("error").agg(F.array_join(F.transform(F.array_sort(F.collect_list("__key")), lambda x: F.concat_ws(".", *(x[k].cast("string") for k in key))), ", ").alias("shown"))
+    return rows.groupBy("error").agg(F.count("*").alias("n")).join(shown, "error").select("error", "n", "shown")
+
+
+def set_record_errors(records: DataFrame, sets: DataFrame, released: DataFrame, key: str, accession: str, version: str) -> DataFrame:
+    """(key, error): sets without records, with an accession that comes again, or with records that are not released.
+
+    A record without a version asks for version 1.
+    """
+    rows = records.filter(F.col(accession).isNotNull()).select(key, F.col(accession).alias("accession"), F.coalesce(F.col(version), F.lit(1)).cast("bigint").alias("version"))
+    empty = sets.select(key).distinct().join(rows.select(key).distinct(), key, "left_anti").select(key, F.lit("empty").alias("error"))
+    twice = rows.groupBy(key, "accession").count().filter("count > 1").select(key, F.lit("repeated_accession").alias("error")).distinct()
+    closed = rows.join(released.select("accession", F.col("version").cast("bigint").alias("version")).distinct(), ["accession", "version"], "left_anti").select(key, F.lit("not_released").alias("error")).distinct()
+    return empty.unionByName(twice).unionByName(closed)
+
+
 def segment_of(header: Column, segments: Sequence[str]) -> Column:
     """The segment named by the last part of a header after ``_``, or by all of it, in any case."""
     last = F.lower(F.substring_index(header, "_", -1))

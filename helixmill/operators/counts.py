@@ -42,3 +42,9 @@ def equivalence_groups(df: DataFrame, shared: list[str], segment: str, member: s
     rows = df.withColumn("__class", digest)
     clash = rows.groupBy("__class", segment).count().groupBy("__class").agg(F.max("count").alias("__most"))
     return rows.join(clash, "__class").select(F.when(F.col("__most") > 1, F.col(member).cast("string")).otherwise(F.col("__class")).alias("group_id"), member)
+
+
+def natural_key(c):
+    """Text by which values sort as people expect: without case, numbers by their size."""
+    runs = F.regexp_extract_all(F.lower(c), F.lit(r"(\d+|\D+)"), F.lit(0))
+    return F.array_join(F.transform(runs, lambda x: F.when(x.rlike(r"^\d"), F.lpad(F.regexp_replace(x, "^0+(?=.)", ""), 20, "0")).otherwise(x)), "")

@@ -82,23 +82,6 @@ def s16(spark, root):
     return _objects(spark, root).select(*KEY3, seq.alias("sequence")).filter("sequence is not null")
 
 
-@query("k01_ndjson_lines", f"WITH {REL} SELECT accession || '.' || version AS id, organism FROM r")
-def k01(spark, root):
-    line = F.to_json(F.struct(F.concat_ws(".", "accession", F.col("version").cast("string")).alias("id"), "organism"))
-    return _r(spark, root).select(F.from_json(line, "id string, organism string").alias("r")).select("r.*")
-
-
-@query("k05_decision_buckets", f"WITH {E} SELECT CASE WHEN is_revocation THEN 'revoke' WHEN version = 1 THEN 'submit' ELSE 'revise' END AS decision, count(*) AS n FROM e GROUP BY 1")
-def k05(spark, root):
-    decision = F.when(F.col("is_revocation"), "revoke").when(F.col("version") == 1, "submit").otherwise("revise")
-    return _e(spark, root).groupBy(decision.alias("decision")).agg(F.count("*").alias("n"))
-
-
-@query("k08_flat_file", f"WITH {E} SELECT accession, version, 'ID   ' || accession || '; SV ' || version || '; ' || organism || chr(10) || 'SQ   ' || upper(submission_id) || chr(10) || '//' AS entry FROM e")
-def k08(spark, root):
-    return _e(spark, root).select("accession", "version", writers.flat_file(F.col("accession"), F.col("version"), F.col("organism"), F.upper("submission_id")).alias("entry"))
-
-
 # ------------------------------------------------------- views, joins, windows
 
 
@@ -204,12 +187,6 @@ def u07(spark, root):
     return _e(spark, root).groupBy(F.when(F.col("approver").isNull(), "marked").otherwise("new").alias("part")).agg(F.count("*").alias("n"))
 
 
-@query("u09_override_conflicts", f"WITH {META}, g AS (SELECT biosample_accession AS k, insdc_accession_base AS member FROM m WHERE biosample_accession <> '' AND insdc_accession_base <> '') SELECT member, count(DISTINCT k) AS n FROM g GROUP BY member HAVING count(DISTINCT k) > 1")
-def u09(spark, root):
-    g = _m(spark, root).filter("biosample_accession <> '' and insdc_accession_base <> ''")
-    return g.groupBy(F.col("insdc_accession_base").alias("member")).agg(F.count_distinct("biosample_accession").alias("n")).filter("n > 1")
-
-
 # ------------------------------------------------------------------ functions
 
 
@@ -225,11 +202,6 @@ def x15(spark, root):
     return table(spark, root, "customer").select("c_custkey", r.value.alias("lineage"))
 
 
-@query("x16_display_name", f"WITH {META} SELECT id, coalesce(nullif(specimen_collector_sample_id, ''), nullif(insdc_accession_base, ''), nullif(biosample_accession, ''), id) AS name FROM m")
-def x16(spark, root):
-    return _m(spark, root).select("id", X.first_filled("specimen_collector_sample_id", "insdc_accession_base", "biosample_accession", "id").alias("name"))
-
-
 @query("x30_dotted_path", f"WITH {P} SELECT accession, version, pipeline_version, CAST(json_extract_string(processed_data, '$.metadata.qc') AS DOUBLE) AS qc FROM p WHERE {_OBJ}")
 def x30(spark, root):
     return _objects(spark, root).select(*KEY3, A.dotted(F.col("processed_data"), "metadata.qc").cast("double").alias("qc"))
@@ -340,13 +312,6 @@ def v11(spark, root):
     return ids.select("sample_id", "fasta_id", V.segment_of(F.col("fasta_id"), ["L", "M", "S"]).alias("segment"))
 
 
-@query("v14_file_mapping", f"WITH {E}, f AS (SELECT accession, version, unnest([submission_id || '.fq', CASE WHEN group_id % 2 = 0 THEN submission_id || '.fq' ELSE 'b.fq' END]) AS name FROM e) SELECT accession, version, name, count(*) AS n FROM f GROUP BY ALL HAVING count(*) > 1")
-def v14(spark, root):
-    name = F.concat("submission_id", F.lit(".fq"))
-    files = _e(spark, root).select("accession", "version", F.explode(F.array(name, F.when(F.col("group_id") % 2 == 0, name).otherwise("b.fq"))).alias("name"))
-    return files.groupBy("accession", "version", "name").agg(F.count("*").alias("n")).filter("n > 1")
-
-
 @query("v17_read_files", "SELECT p_brand, 'too_many_files' AS error FROM part GROUP BY p_brand HAVING count(*) > 2")
 def v17(spark, root):
     files = table(spark, root, "part").select("p_brand", F.concat(F.col("p_partkey").cast("string"), F.lit("_1.FASTQ.gz")).alias("name"))
@@ -440,23 +405,6 @@ def a31(spark, root):
     return _e(spark, root).groupBy("organism").agg(F.count("*").alias("submitted"), F.count_if("is_revocation").alias("revoked"), F.count("released_at").alias("released"))
 
 
-@query("k04_archive_entries", f"WITH {REL} SELECT accession, version, organism FROM r ORDER BY accession, version LIMIT 500")
-def k04(spark, root):
-    return writers.archive_entries(_r(spark, root), ["accession", "version"]).select("accession", "version", "organism")
-
-
-@query("k06_taxon_table", "SELECT host_taxon_id, scientific_name, row_number() OVER (ORDER BY host_taxon_id) AS place FROM ref_hosts")
-def k06(spark, root):
-    hosts = table(spark, root, "ref_hosts")  # a fixed list
-    return hosts.select("host_taxon_id", "scientific_name", F.row_number().over(Window.orderBy("host_taxon_id")).cast("bigint").alias("place"))
-
-
-@query("k07_stripped_keys", f"WITH {SUB} SELECT submission_id, array_to_string(list_filter([CASE WHEN country IS NOT NULL THEN 'country' END, CASE WHEN division IS NOT NULL THEN 'division' END, CASE WHEN host IS NOT NULL THEN 'host' END], lambda x: x IS NOT NULL), ',') AS stored FROM s")
-def k07(spark, root):
-    stored = F.map_filter(F.create_map(*(x for c in ("country", "division", "host") for x in (F.lit(c), F.col(c)))), lambda _, v: v.isNotNull())
-    return _s(spark, root).select("submission_id", F.array_join(F.array_sort(F.map_keys(stored)), ",").alias("stored"))
-
-
 @query("l06_first_key", f"WITH {E} SELECT organism, first(accession || '.' || version ORDER BY accession, version) AS first_key FROM e GROUP BY organism")
 def l06(spark, root):
     first = F.min(F.struct("accession", "version"))

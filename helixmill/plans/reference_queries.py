@@ -957,13 +957,6 @@ def v15(spark, root):
     return _m(spark, root).filter("insdc_accession_base is not null and insdc_version is not null").select(av.alias("av"), X.version_of(av).alias("version")).distinct()
 
 
-@query("v18_set_records", f"WITH {REL}, d AS (SELECT DISTINCT accession FROM documents WHERE accession IS NOT NULL) SELECT d.accession, r.accession IS NULL AS unreleased FROM d LEFT JOIN r ON r.accession = d.accession AND r.version = 1")
-def v18(spark, root):
-    wanted = table(spark, root, "documents").filter("accession is not null").select("accession").distinct()
-    first = _r(spark, root).filter("version = 1").select("accession", F.lit(True).alias("there"))
-    return wanted.join(first, "accession", "left").select("accession", F.col("there").isNull().alias("unreleased"))
-
-
 # ----------------------------------------------------------- sequence queries
 
 @query("q06_private_mutations", "SELECT DISTINCT accession, version, k AS cds, CAST(json_extract_string(s, '$.pos') AS BIGINT) AS pos FROM (SELECT accession, version, k, unnest(from_json(json_extract(mutations, '$.\"' || k || '\".privateSubstitutions'), '[\"JSON\"]')) AS s FROM (SELECT *, unnest(json_keys(mutations)) AS k FROM mutations_from_founder_clade WHERE json_valid(mutations) AND mutations LIKE '{%') WHERE json_type(mutations, '$.\"' || k || '\".privateSubstitutions') = 'ARRAY') WHERE json_type(s) = 'OBJECT'")

@@ -70,6 +70,13 @@ def parse_fasta(records: DataFrame, value: str = "value") -> DataFrame:
     return rows.select(F.regexp_extract(F.trim(header), r"^(\S+)", 1).alias("fasta_id"), body.alias("sequence"), F.when(body == "", "empty_sequence").alias("error"))
 
 
+def read_fasta_records(spark: SparkSession, path: str) -> DataFrame:
+    """(header, sequence) of sequence files, headers whole."""
+    text = F.regexp_replace(F.col("value"), r"^\s*>", "")
+    rows = spark.read.option("lineSep", "\n>").text(path).select(text.alias("t")).filter(F.trim("t") != "")
+    return rows.select(F.substring_index("t", "\n", 1).alias("header"), F.regexp_replace(F.expr("substring(t, length(substring_index(t, '\n', 1)) + 2)"), r"\s+", "").alias("sequence"))
+
+
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """Sequence files; each record is one row of the text source, so large files are split."""
     return parse_fasta(spark.read.option("lineSep", "\n>").text(path))
