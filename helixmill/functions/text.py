@@ -235,13 +235,29 @@ def first_filled(*names: str) -> Column:
     return F.coalesce(*(F.nullif(n, F.lit("")) for n in names))
 
 
+def json_text(c: Column) -> Column:
+    """A text as JSON writes it in ASCII: quotes, backslashes and controls escaped, other characters as ``\\uXXXX``."""
+    unit = lambda n: F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(n)), 4, "0"))
+
+    def escaped(ch: Column) -> Column:
+        n = F.ascii(ch)
+        pair = F.concat(unit(F.lit(0xD800) + F.shiftright(n - 0x10000, 10)), unit(F.lit(0xDC00) + (n - 0x10000).bitwiseAND(0x3FF)))
+        named = {'"': '\\"', "\\": "\\\\", "\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"}
+        out = F.when(n > 0xFFFF, pair).when((n > 126) | (n < 32), unit(n)).otherwise(ch)
+        for plain, text in named.items():
+            out = F.when(ch == plain, text).otherwise(out)
+        return out
+
+    whole = F.array_join(F.transform(F.filter(F.split(c, ""), lambda x: x != ""), escaped), "")
+    return F.concat(F.lit('"'), F.when(c.rlike(r'^[ !#-\[\]-~]*$'), c).otherwise(whole), F.lit('"'))
+
+
 def content_hash(fields: dict[str, Column], sequence_hash: Column) -> Column:
     """md5 over the sorted JSON text of the filled fields and the hash of the sequence.
 
-    The text has a blank after commas and colons and escapes quotes and backslashes.
+    The text has a blank after commas and colons and only ASCII characters.
     """
-    quoted = lambda c: F.concat(F.lit('"'), F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
-    parts = [F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f'"{n}": '), quoted(c))) for n, c in sorted(fields.items())]
+    parts = [F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f'"{n}": '), json_text(c))) for n, c in sorted(fields.items())]
     return F.md5(F.concat(F.lit("{"), F.array_join(F.array_compact(F.array(*parts)), ", "), F.lit("}"), sequence_hash))
 
 

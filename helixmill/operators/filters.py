@@ -123,3 +123,18 @@ def placed(df: DataFrame, *order: str | Column, place: str = "place") -> DataFra
     before = sizes.select("__part", (F.sum("n").over(Window.orderBy("__part")) - F.col("n")).alias("__before"))
     at = F.col("__before") + F.col("__id").bitwiseAND((1 << 33) - 1) + 1
     return ranged.join(F.broadcast(before), "__part").select(*df.columns, at.alias(place))
+
+
+def numbered(df: DataFrame, key: str, *order: str | Column, number: str = "number") -> DataFrame:
+    """The rows of each key with their place in it, from 1: what a list of them would hold, without a task that holds a list.
+
+    Places come from one sorted order of all rows, less the first place of the key.
+    """
+    rows = placed(df, key, *order, place="__place")
+    first = rows.groupBy(key).agg(F.min("__place").alias("__first"))
+    return rows.join(first, key).withColumn(number, F.col("__place") - F.col("__first") + 1).drop("__place", "__first")
+
+
+def require(df: DataFrame, condition: Column, message: str) -> DataFrame:
+    """The rows as they are; one for which the condition does not hold ends the query with the message."""
+    return df.filter(F.when(F.coalesce(condition, F.lit(False)), F.lit(True)).otherwise(F.raise_error(F.lit(message)).cast("boolean")))

@@ -43,13 +43,6 @@ def s02(spark, root):
     return readers.submission_entries(cells, revision=True).select("submission_id", "accession", F.element_at("metadata", "organism").alias("organism"))
 
 
-@query("s04_file_cells", f"WITH {E} SELECT accession, version, submission_id || '.fq' AS name, false AS valid FROM e")
-def s04(spark, root):
-    cell = F.concat("submission_id", F.lit(".fq:"), F.col("accession"))
-    rows = _e(spark, root).select("accession", "version", F.explode(readers.file_cell(cell)).alias("f"))
-    return rows.select("accession", "version", "f.name", "f.valid")
-
-
 @query("s07_s09_records", f"WITH {P} SELECT accession, version, pipeline_version, json_extract_string(processed_data, '$.metadata.sampleCollectionDate') AS collected, TRY_CAST(json_extract_string(processed_data, '$.metadata.qc') AS DOUBLE) AS qc FROM p WHERE {_OBJ}")
 def s07(spark, root):
     rows = _objects(spark, root).withColumn("r", F.from_json("processed_data", "metadata struct<sampleCollectionDate: string, qc: double>"))
@@ -148,12 +141,6 @@ def w03(spark, root):
     return entries.version_status(_r(spark, root)).select("accession", "version", "version_status")
 
 
-@query("w11_terms_history", "SELECT user_id, array_to_string(list(event_type ORDER BY ts, event_id), ',') AS history FROM events GROUP BY user_id")
-def w11(spark, root):
-    ordered = F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type")))
-    return table(spark, root, "events").groupBy("user_id").agg(F.array_join(F.transform(ordered, lambda x: x["event_type"]), ",").alias("history"))
-
-
 @query("l05_multi_key_descending", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_custkey DESC, o_totalprice DESC, o_orderkey DESC LIMIT 50")
 def l05(spark, root):
     return table(spark, root, "orders").select("o_orderkey", "o_custkey", "o_totalprice").orderBy(F.desc("o_custkey"), F.desc("o_totalprice"), F.desc("o_orderkey")).limit(50)  # a report of 50 rows
@@ -254,18 +241,6 @@ def x41(spark, root):
     return table(spark, root, "part").select(F.regexp_replace(F.concat("p_brand", F.lit("|CDS"), F.col("p_size").cast("string")), r"\|CDS\d+$", "").alias("id")).distinct()
 
 
-@query("x52_content_hash", f"WITH {SUB} SELECT submission_id, md5('{{' || array_to_string(list_filter([CASE WHEN country <> '' THEN '\"country\": \"' || country || '\"' END, CASE WHEN division <> '' THEN '\"division\": \"' || division || '\"' END], lambda x: x IS NOT NULL), ', ') || '}}' || submission_id) AS digest FROM s WHERE coalesce(country, '') NOT LIKE '%\"%' AND regexp_full_match(coalesce(country, '') || coalesce(division, ''), '[ -~]*')")
-def x52(spark, root):
-    plain = F.concat(F.coalesce("country", F.lit("")), F.coalesce("division", F.lit("")))
-    rows = _s(spark, root).filter(~F.contains(F.coalesce("country", F.lit("")), F.lit('"')) & plain.rlike("^[ -~]*$"))
-    return rows.select("submission_id", X.content_hash({"country": F.col("country"), "division": F.col("division")}, F.col("submission_id")).alias("digest"))
-
-
-@query("x56_title_case", "SELECT n_nationkey, upper(left(n_name, 1)) || lower(substr(n_name, 2)) AS name FROM nation WHERE n_name NOT LIKE '% %'")
-def x56(spark, root):
-    return table(spark, root, "nation").filter(~F.contains("n_name", F.lit(" "))).select("n_nationkey", F.initcap("n_name").alias("name"))
-
-
 @query("x62_file_urls", f"WITH {REL} SELECT accession, version, '/files/get/' || accession || '/' || version || '/raw/' || url_encode(submission_id || ' 1.fq') AS url FROM r".replace("url_encode(submission_id || ' 1.fq')", "submission_id || '%201.fq'"))
 def x62(spark, root):
     return _r(spark, root).select("accession", "version", X.file_url("/files/get", F.col("accession"), F.col("version"), "raw", F.concat("submission_id", F.lit(" 1.fq"))).alias("url"))
@@ -391,12 +366,6 @@ def r11(spark, root):
     return _e(spark, root).groupBy("accession").agg(F.min("version").alias("version"), (F.count("*") > 1).alias("shared"))
 
 
-@query("r13_linked_documents", "SELECT a.doc_id, b.doc_id AS linked FROM documents a JOIN documents b ON a.accession = b.accession AND a.doc_id < b.doc_id")
-def r13(spark, root):
-    docs = table(spark, root, "documents").select("doc_id", "accession")
-    return docs.join(docs.withColumnRenamed("doc_id", "linked"), "accession").filter("doc_id < linked").select("doc_id", "linked")
-
-
 # ------------------------------------------------- counters, order, smaller steps
 
 

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from helixmill.functions import specification as S
 from helixmill.functions import text as X
 from helixmill.functions import validation as V
 from helixmill.functions.payloads import elements, members
-from helixmill.operators import changes, counts, hierarchy
+from helixmill.operators import changes, counts, entries, filters, hierarchy
 from helixmill.plans.aligned_queries import OBJ, _payloads
 from helixmill.plans.reference_queries import _PAD, GRP, META, REL, SUB, VIEW, E, _e, _e_rows, _g, _m, _r, _s, _v
 from helixmill.registry import Registry
@@ -246,11 +246,103 @@ _NATURAL = "array_to_string([CASE WHEN regexp_full_match(x, '[0-9]+') THEN lpad(
 
 @query("a13_facet_in_natural_order", f"WITH {META}, f AS (SELECT coalesce(nullif(split_part(specimen_collector_sample_id, '_', 1), ''), '(blank)') AS value, count(*) AS n FROM m GROUP BY 1) SELECT value, n, row_number() OVER (ORDER BY {_NATURAL.format('value')}, value) AS place FROM f")
 def a13r(spark, root):
-    from helixmill.operators.filters import placed
-
     value = F.coalesce(F.nullif(F.substring_index("specimen_collector_sample_id", "_", 1), F.lit("")), F.lit("(blank)"))
     facet = _m(spark, root).groupBy(value.alias("value")).agg(F.count("*").alias("n")).withColumn("__k", counts.natural_key(F.col("value")))
-    return placed(facet, "__k", "value").select("value", "n", "place")
+    return filters.placed(facet, "__k", "value").select("value", "n", "place")
+
+
+# ------------------------------------------- lists as numbered rows, citations
+
+
+@query("j15_citation_lists", "SELECT accession, row_number() OVER (PARTITION BY accession ORDER BY doc_id) AS number, doc_id FROM documents WHERE accession IS NOT NULL")
+def j15(spark, root):
+    return filters.numbered(table(spark, root, "documents").filter("accession is not null").select("accession", "doc_id"), "accession", "doc_id")
+
+
+@query("j26_children", "SELECT p_partkey // 10 AS parent, row_number() OVER (PARTITION BY p_partkey // 10 ORDER BY p_partkey) AS number, p_partkey AS child FROM part")
+def j26(spark, root):
+    return filters.numbered(table(spark, root, "part").select(F.floor(F.col("p_partkey") / 10).alias("parent"), F.col("p_partkey").alias("child")), "parent", "child")
+
+
+@query("w10_history", f"WITH {E} SELECT accession, row_number() OVER (PARTITION BY accession ORDER BY version) AS number, version, is_revocation FROM e")
+def w10(spark, root):
+    return filters.numbered(_e(spark, root).select("accession", "version", "is_revocation"), "accession", "version")
+
+
+@query("w11_terms_history", "SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS number, event_type FROM events")
+def w11(spark, root):
+    return filters.numbered(table(spark, root, "events").select("user_id", "event_type", "ts", "event_id"), "user_id", "ts", "event_id").select("user_id", "number", "event_type")
+
+
+@query("r13_linked_documents", "SELECT doc_id, accession, count(*) OVER (PARTITION BY accession) - 1 AS n_linked FROM documents WHERE accession IS NOT NULL")
+def r13(spark, root):
+    docs = table(spark, root, "documents").filter("accession is not null").select("doc_id", "accession")
+    return docs.join(docs.groupBy("accession").agg((F.count("*") - 1).alias("n_linked")), "accession").select("doc_id", "accession", "n_linked")
+
+
+_CITED = "CASE WHEN doc_id % 2 = 0 THEN accession ELSE accession || '.' || (1 + doc_id % 3) END"
+
+
+@query("j14_citations", f"WITH {REL}, {GRP}, d AS (SELECT doc_id, group_id, {_CITED} AS cited FROM documents WHERE accession IS NOT NULL) SELECT d.doc_id, g.group_name, r.accession, r.version, r.organism FROM d JOIN g ON g.group_id = d.group_id JOIN r ON cited = r.accession OR cited = r.accession || '.' || r.version")
+def j14(spark, root):
+    cited = F.when(F.col("doc_id") % 2 == 0, F.col("accession")).otherwise(F.concat_ws(".", "accession", (1 + F.col("doc_id") % 3).cast("string")))
+    docs = table(spark, root, "documents").filter("accession is not null").select("doc_id", "group_id", cited.alias("cited"))
+    docs = docs.join(_g(spark, root).select("group_id", "group_name"), "group_id").withColumns({"accession": X.base(F.col("cited")), "asked": X.version_of(F.col("cited"))})
+    both = docs.join(_r(spark, root).select("accession", "version", "organism"), "accession")
+    return both.filter("asked is null or asked = version").select("doc_id", "group_name", "accession", "version", "organism")
+
+
+@query("j16_hash_lookup", f"WITH {META} SELECT m.id, x.hash FROM m JOIN (SELECT id, hash FROM m) x ON x.id = m.id WHERE m.hash <> ''")
+def j16(spark, root):
+    m = _m(spark, root)
+    found = m.filter("hash <> ''").select("id").join(m.select("id", "hash"), "id", "left")
+    return filters.require(found, F.col("hash").isNotNull(), "a record has no sequence hash").select("id", "hash")
+
+
+@query("j19_complete_join", "SELECT n_nationkey, n_name, r_name FROM nation JOIN region ON r_regionkey = n_regionkey")
+def j19(spark, root):
+    both = table(spark, root, "nation").join(table(spark, root, "region"), F.col("n_regionkey") == F.col("r_regionkey"), "left")
+    return filters.require(both, F.col("r_name").isNotNull(), "a nation has no region").select("n_nationkey", "n_name", "r_name")
+
+
+@query("q09_details", f"WITH {REL} SELECT accession, version, organism FROM (SELECT *, max(version) OVER (PARTITION BY accession) AS newest FROM r) WHERE version = newest AND accession = 'LOC_00000K'")
+def q09(spark, root):
+    found = entries.version_status(_r(spark, root).filter("accession = 'LOC_00000K'")).filter("version_status = 'LATEST_VERSION'").select("accession", "version", "organism")
+    n = F.count("*").over(Window.partitionBy(F.lit(1)))  # the versions of one accession
+    return filters.require(found.withColumn("n", n), F.col("n") == 1, "expected one result").drop("n")
+
+
+@query("r09_version_changes", f"WITH {E} SELECT b.accession, b.version, json_extract_string(b.original_data, '$.metadata.hash') IS DISTINCT FROM json_extract_string(a.original_data, '$.metadata.hash') AS sequence_changed, json_extract_string(b.original_data, '$.metadata.segments') IS DISTINCT FROM json_extract_string(a.original_data, '$.metadata.segments') OR b.organism IS DISTINCT FROM a.organism AS fields_changed, b.submitter IS DISTINCT FROM a.submitter OR b.group_id IS DISTINCT FROM a.group_id AS manifest_changed FROM e b JOIN e a ON a.accession = b.accession AND a.version = b.version - 1")
+def r09(spark, root):
+    field = lambda n: F.get_json_object("original_data", f"$.metadata.{n}")
+    e = _e(spark, root).select("accession", "version", field("hash").alias("sequence"), F.struct(field("segments").alias("s"), "organism").alias("fields"), F.struct("submitter", "group_id").alias("manifest"))
+    before = e.select("accession", (F.col("version") + 1).alias("version"), *(F.col(c).alias(f"old_{c}") for c in ("sequence", "fields", "manifest")))
+    return e.join(before, ["accession", "version"]).select("accession", "version", *((~F.col(c).eqNullSafe(F.col(f"old_{c}"))).alias(f"{c}_changed") for c in ("sequence", "fields", "manifest")))
+
+
+_UUID = "regexp_replace(md5(accession), '^(.{8})(.{4})(.{4})(.{4})(.{12})$', '\\1-\\2-\\3-\\4-\\5')"
+
+
+@query("s04_file_cells", f"WITH {E} SELECT accession, version, CASE WHEN version = 1 THEN 'raw:1.fq' ELSE 'b.fq' END AS name, CASE WHEN group_id % 3 = 0 THEN 'none' ELSE {_UUID} END AS file_id, group_id % 3 <> 0 AS valid, CASE WHEN group_id % 3 = 0 THEN 'invalid_file' WHEN group_id % 5 = 0 THEN 'repeated_name' END AS error FROM e")
+def s04(spark, root):
+    digest = F.regexp_replace(F.md5("accession"), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+    token = F.concat(F.when(F.col("version") == 1, "raw:1.fq").otherwise("b.fq"), F.lit(":"), F.when(F.col("group_id") % 3 == 0, "none").otherwise(digest))
+    cell = F.when(F.col("group_id") % 5 == 0, F.concat_ws("  ", token, token)).otherwise(F.concat(F.lit(" "), token))
+    rows = _e(spark, root).select("accession", "version", F.explode(readers.file_cell(cell)).alias("f"), readers.file_cell_error(cell).alias("error"))
+    return rows.select("accession", "version", "f.*", "error").distinct()
+
+
+_ESCAPED = "array_to_string([CASE WHEN x = chr(10) THEN '\\n' WHEN x = chr(13) THEN '\\r' WHEN x = chr(9) THEN '\\t' WHEN x = '\"' THEN '\\\"' WHEN x = '\\' THEN '\\\\' WHEN unicode(x) > 65535 THEN '\\u' || format('{{:04x}}', 55296 + (unicode(x) - 65536) // 1024) || '\\u' || format('{{:04x}}', 56320 + (unicode(x) - 65536) % 1024) WHEN unicode(x) > 126 OR unicode(x) < 32 THEN '\\u' || format('{{:04x}}', unicode(x)) ELSE x END for x in string_split({0}, '')], '')"
+
+
+@query("x52_content_hash", f"WITH {META} SELECT id, md5('{{' || array_to_string(list_filter([CASE WHEN geo_loc_country <> '' THEN '\"country\": \"' || {_ESCAPED.format('geo_loc_country')} || '\"' END, CASE WHEN geo_loc_admin1 <> '' THEN '\"region\": \"' || {_ESCAPED.format('geo_loc_admin1')} || '\"' END], lambda x: x IS NOT NULL), ', ') || '}}' || coalesce(hash, '')) AS digest FROM m")
+def x52(spark, root):
+    return _m(spark, root).select("id", X.content_hash({"country": F.col("geo_loc_country"), "region": F.col("geo_loc_admin1")}, F.coalesce("hash", F.lit(""))).alias("digest"))
+
+
+@query("x56_title_case", "SELECT p_partkey, array_to_string([upper(left(w, 1)) || lower(substr(w, 2)) for w in string_split(p_type, ' ')], ' ') AS name FROM part")
+def x56(spark, root):
+    return table(spark, root, "part").select("p_partkey", F.initcap("p_type").alias("name"))
 
 
 # ------------------------------------------------------------ written tables

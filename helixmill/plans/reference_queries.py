@@ -392,24 +392,6 @@ def j12(spark, root):
     return users.join(_g(spark, root), "group_id").select("submitter", "group_id", "group_name")
 
 
-@query("j14_citations", f"WITH {REL}, d AS (SELECT doc_id, accession FROM documents WHERE accession IS NOT NULL) SELECT d.doc_id, r.accession, r.version FROM d JOIN r ON r.accession = d.accession AND starts_with(r.accession || '.' || r.version, d.accession || '.')")
-def j14(spark, root):
-    docs = table(spark, root, "documents").filter("accession is not null").select("doc_id", "accession")
-    return docs.join(_r(spark, root), "accession").select("doc_id", "accession", "version")
-
-
-@query("j15_citation_lists", "SELECT accession, count(*) AS n, array_to_string(list_sort(list(CAST(doc_id AS VARCHAR))), ',') AS docs FROM documents WHERE accession IS NOT NULL GROUP BY accession")
-def j15(spark, root):
-    docs = table(spark, root, "documents").filter("accession is not null")
-    return docs.groupBy("accession").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list(F.col("doc_id").cast("string"))), ",").alias("docs"))
-
-
-@query("j16_hash_lookup", f"WITH {META} SELECT m.id, x.hash, x.hash IS NULL AS missing FROM m LEFT JOIN (SELECT DISTINCT id, hash FROM metadata_post_prepare WHERE hash <> '') x ON x.id = m.id")
-def j16(spark, root):
-    m = _m(spark, root)
-    return m.select("id").join(m.filter("hash <> ''").select("id", "hash"), "id", "left").select("id", "hash", F.col("hash").isNull().alias("missing"))
-
-
 @query("j17_default_join", f"WITH {SUB}, t AS (SELECT DISTINCT submission_id, organism FROM sequence_entries WHERE organism = 'rvf' AND version = 1) SELECT s.submission_id, coalesce(t.organism, '') AS organism FROM s LEFT JOIN t USING (submission_id)")
 def j17(spark, root):
     t = table(spark, root, "sequence_entries").filter("organism = 'rvf' and version = 1").select("submission_id", "organism").distinct()
@@ -422,11 +404,6 @@ def j18(spark, root):
     return m.join(m.filter("ncbi_source_db = 'RefSeq'").select("insdc_accession_base"), "insdc_accession_base", "left_anti").select("id")
 
 
-@query("j19_complete_join", "SELECT n_nationkey, n_name, r_name FROM nation JOIN region ON r_regionkey = n_regionkey")
-def j19(spark, root):
-    return table(spark, root, "nation").join(table(spark, root, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name")
-
-
 _HASHED = "SELECT accession, md5(coalesce(max_by(original_data, version), '')) AS digest FROM e WHERE version {} GROUP BY accession"
 
 
@@ -467,12 +444,6 @@ def j25(spark, root):
     return hierarchy.nearest_with(tree, "id", "parent", "name").join(nodes, "node", "left_semi")
 
 
-@query("j26_children", f"WITH {_TREE} SELECT parent, array_to_string(list_transform(list_sort(list(id)), lambda x: CAST(x AS VARCHAR)), ',') AS children FROM t GROUP BY parent")
-def j26(spark, root):
-    tree = table(spark, root, "part").select(F.col("p_partkey").alias("id"), F.floor(F.col("p_partkey") / 10).alias("parent"))
-    return tree.groupBy("parent").agg(F.array_join(F.transform(F.array_sort(F.collect_list("id")), lambda x: x.cast("string")), ",").alias("children"))
-
-
 @query("j28_versions_by_organism", f"WITH {E}, {P} SELECT organism, pipeline_version FROM (SELECT DISTINCT organism FROM e) CROSS JOIN (SELECT DISTINCT pipeline_version FROM p)")
 def j28(spark, root):
     # both sides are configuration: a row an organism, a row a pipeline version
@@ -645,13 +616,6 @@ def w09(spark, root):
     return _e_rows(spark, root).filter("not is_revocation").groupBy("accession").agg(F.max("version").alias("version"), F.max_by("submission_id", "version").alias("submission_id"))
 
 
-@query("w10_history", f"WITH {E} SELECT accession, array_to_string(list(version || ':' || CASE WHEN is_revocation THEN 'x' ELSE 'o' END ORDER BY version), ' ') AS history FROM e GROUP BY accession")
-def w10(spark, root):
-    step = F.concat(F.col("version").cast("string"), F.lit(":"), F.when(F.col("is_revocation"), "x").otherwise("o"))
-    ordered = F.array_sort(F.collect_list(F.struct("version", step.alias("s"))))
-    return _e(spark, root).groupBy("accession").agg(F.array_join(F.transform(ordered, lambda x: x["s"]), " ").alias("history"))
-
-
 @query("w12_deposition", f"WITH {REL} SELECT accession, max(version) AS version FROM r WHERE NOT is_revocation AND submitter <> 'insdc_ingest_user' GROUP BY accession")
 def w12(spark, root):
     return _r(spark, root).filter("not is_revocation and submitter <> 'insdc_ingest_user'").groupBy("accession").agg(F.max("version").alias("version"))
@@ -972,11 +936,6 @@ def q08(spark, root):
     return _r(spark, root).select(F.concat_ws("|", F.concat_ws(".", "accession", F.col("version").cast("string")), "organism", _day("released_at")).alias("header"), F.upper("submission_id").alias("sequence"))
 
 
-@query("q09_details", f"WITH {REL} SELECT accession, version, organism FROM (SELECT *, max(version) OVER (PARTITION BY accession) AS newest FROM r) WHERE version = newest AND accession = 'LOC_00000K'")
-def q09(spark, root):
-    return entries.version_status(_r(spark, root)).filter("version_status = 'LATEST_VERSION' and accession = 'LOC_00000K'").select("accession", "version", "organism")
-
-
 @query("q12_open_only", f"WITH {REL} SELECT accession, version FROM r WHERE NOT (version > 1 AND submitted_at::DATE + 365 > DATE '2024-06-01')")
 def q12(spark, root):
     rows = _r(spark, root).withColumns({"terms": F.when(F.col("version") > 1, "RESTRICTED").otherwise("OPEN"), "restricted_until": F.date_add(F.to_date("submitted_at"), 365), "change_date": F.col("submitted_at")})
@@ -1048,13 +1007,6 @@ def r08(spark, root):
     return _m(spark, root).select("id", F.coalesce(F.nullif("specimen_collector_sample_id", F.lit("")), F.nullif("biosample_accession", F.lit("")), "id").alias("name"))
 
 
-@query("r09_version_changes", f"WITH {E} SELECT b.accession, b.version, b.original_data IS DISTINCT FROM a.original_data AS data_changed, b.submitter IS DISTINCT FROM a.submitter AS submitter_changed FROM e b JOIN e a ON a.accession = b.accession AND a.version = b.version - 1")
-def r09(spark, root):
-    e = _e(spark, root)
-    a = e.select("accession", (F.col("version") + 1).alias("version"), F.col("original_data").alias("d"), F.col("submitter").alias("s"))
-    return e.join(a, ["accession", "version"]).select("accession", "version", (~F.col("original_data").eqNullSafe(F.col("d"))).alias("data_changed"), (~F.col("submitter").eqNullSafe(F.col("s"))).alias("submitter_changed"))
-
-
 @query("r12_set_records", f"WITH {REL} SELECT d.doc_id, r.accession, max(r.version) AS version FROM documents d JOIN r ON r.accession = d.accession GROUP BY d.doc_id, r.accession")
 def r12(spark, root):
     newest = _r(spark, root).groupBy("accession").agg(F.max("version").alias("version"))

@@ -58,6 +58,14 @@ def file_cell(c: Column) -> Column:
     return F.transform(tokens, lambda t: F.struct(F.regexp_extract(t, r"^(.*):([^:]+)$", 1).alias("name"), F.regexp_extract(t, r"^(.*):([^:]+)$", 2).alias("file_id"), F.regexp_extract(t, r"^(.*):([^:]+)$", 2).rlike(_UUID).alias("valid")))
 
 
+def file_cell_error(c: Column) -> Column:
+    """Why a file cell is refused: a token without a valid id, or a name that comes again; blank cells name no files."""
+    files = file_cell(c)
+    names = F.transform(files, lambda f: f["name"])
+    bad = F.exists(files, lambda f: ~f["valid"] | (f["name"] == ""))
+    return F.when(F.trim(c) == "", None).when(bad, "invalid_file").when(F.size(names) != F.size(F.array_distinct(names)), "repeated_name")
+
+
 def parse_fasta(records: DataFrame, value: str = "value") -> DataFrame:
     """(fasta_id, sequence, error) of records that begin with ``>`` (the sign may be cut off as separator).
 

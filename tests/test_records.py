@@ -147,3 +147,31 @@ def test_checkpoint_folder(spark):
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         session.ensure_checkpoint_dir(Elsewhere)
     assert os.environ.get("PYTHONPATH")
+
+
+def test_json_text_equals_the_json_writer(spark):
+    import json
+
+    from helixmill.functions import text as X
+
+    texts = ["plain", 'a "quote" \\ back', "line\nend\r\ttab", "é ß 中 🦠 \x01 \x7f", "", "~ [x]"]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(X.json_text(F.col("t"))).collect()]
+    assert got == [json.dumps(t) for t in texts]
+
+
+def test_numbered_rows_and_requirements(spark):
+    from helixmill.operators import filters
+
+    df = spark.createDataFrame([("a", 3), ("b", 1), ("a", 1), ("a", 2), ("b", 5)], "k string, v int")
+    assert rows(filters.numbered(df, "k", "v")) == [("a", 1, 1), ("a", 2, 2), ("a", 3, 3), ("b", 1, 1), ("b", 5, 2)]
+    assert filters.numbered(df.limit(0), "k", "v").count() == 0
+    assert filters.require(df, F.col("v") > 0, "small").count() == 5
+    with pytest.raises(Exception, match="too small"):
+        filters.require(df, F.col("v") > 1, "too small").collect()
+
+
+def test_file_cells(spark):
+    one = "6a51fc55-ef0e-80ea-1111-0123456789ab"
+    cells = [f"a.fq:{one} b:c.fq:{one}", f"a.fq:{one} a.fq:{one}", "a.fq:no", f":{one}", "  ", None]
+    got = [r[0] for r in spark.createDataFrame([(c,) for c in cells], "c string").select(readers.file_cell_error(F.col("c"))).collect()]
+    assert got == [None, "repeated_name", "invalid_file", "invalid_file", None, None]
