@@ -141,26 +141,12 @@ def w03(spark, root):
     return entries.version_status(_r(spark, root)).select("accession", "version", "version_status")
 
 
-@query("l05_multi_key_descending", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_custkey DESC, o_totalprice DESC, o_orderkey DESC LIMIT 50")
-def l05(spark, root):
-    return table(spark, root, "orders").select("o_orderkey", "o_custkey", "o_totalprice").orderBy(F.desc("o_custkey"), F.desc("o_totalprice"), F.desc("o_orderkey")).limit(50)  # a report of 50 rows
-
-
-@query("l05_whole_multi_key_descending", "SELECT o_orderkey, o_custkey, o_totalprice, row_number() OVER (ORDER BY o_custkey DESC, o_totalprice DESC, o_orderkey DESC) AS place FROM orders")
+@query("l05_multi_key_descending", "SELECT o_orderkey, o_custkey, o_totalprice, row_number() OVER (ORDER BY o_custkey DESC, o_totalprice DESC, o_orderkey DESC) AS place FROM orders")
 def l05_whole(spark, root):
     return filters.placed(table(spark, root, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), F.desc("o_custkey"), F.desc("o_totalprice"), F.desc("o_orderkey"))
 
 
-@query("l07_depth_order", "WITH RECURSIVE t AS (SELECT p_partkey AS id, p_partkey // 10 AS parent FROM part), c(node, ancestor, d) AS (SELECT id, id, 0 FROM t UNION ALL SELECT c.node, t.parent, c.d + 1 FROM c JOIN t ON t.id = c.ancestor WHERE t.parent <> t.id) SELECT node, CAST(max(d) AS BIGINT) AS depth FROM c GROUP BY node ORDER BY 2, 1 LIMIT 40")
-def l07(spark, root):
-    from helixmill.operators import hierarchy
-
-    tree = table(spark, root, "part").select(F.col("p_partkey").alias("id"), F.floor(F.col("p_partkey") / 10).alias("parent"))
-    depth = hierarchy.closure(tree, "id", "parent").join(tree.select(F.col("id").alias("node")), "node", "left_semi").groupBy("node").agg(F.max("distance").alias("depth"))
-    return depth.orderBy("depth", "node").limit(40)  # the first page of the tree
-
-
-@query("l07_whole_depth_order", "WITH RECURSIVE t AS (SELECT p_partkey AS id, p_partkey // 10 AS parent FROM part), c(node, ancestor, d) AS (SELECT id, id, 0 FROM t UNION ALL SELECT c.node, t.parent, c.d + 1 FROM c JOIN t ON t.id = c.ancestor WHERE t.parent <> t.id) SELECT node, CAST(max(d) AS BIGINT) AS depth, row_number() OVER (ORDER BY max(d), node) AS place FROM c GROUP BY node")
+@query("l07_depth_order", "WITH RECURSIVE t AS (SELECT p_partkey AS id, p_partkey // 10 AS parent FROM part), c(node, ancestor, d) AS (SELECT id, id, 0 FROM t UNION ALL SELECT c.node, t.parent, c.d + 1 FROM c JOIN t ON t.id = c.ancestor WHERE t.parent <> t.id) SELECT node, CAST(max(d) AS BIGINT) AS depth, row_number() OVER (ORDER BY max(d), node) AS place FROM c GROUP BY node")
 def l07_whole(spark, root):
     from helixmill.operators import hierarchy
 
@@ -399,13 +385,7 @@ def r06(spark, root):
     return brands.select("p_brand", F.array_join(F.array_sort(F.array_union(F.array(F.lit("self"), "p_brand"), more)), ",").alias("accepted"))
 
 
-@query("r15_metadata_upsert", "WITH o AS (SELECT event_id, user_id, event_type FROM events WHERE event_type = 'click'), n AS (SELECT event_id, user_id, 'changed' AS event_type FROM events WHERE event_id % 4 = 0) SELECT * FROM n UNION ALL SELECT * FROM o WHERE event_id NOT IN (SELECT event_id FROM n)")
-def r15(spark, root):
-    ev = table(spark, root, "events").select("event_id", "user_id", "event_type")
-    return entries.upsert(ev.filter("event_type = 'click'"), ev.filter("event_id % 4 = 0").withColumn("event_type", F.lit("changed")), ["event_id"])
-
-
-@query("r15_whole_metadata_upsert", f"WITH {P}, c AS (SELECT accession, version, pipeline_version AS updater, coalesce(processed_data, '') AS metadata FROM p), n AS (SELECT accession, version, max(updater) AS updater, max_by(metadata, updater) AS metadata FROM c WHERE updater > 1 GROUP BY accession, version) SELECT accession, version, updater, metadata FROM n UNION ALL SELECT accession, version, updater, metadata FROM c WHERE updater = 1 AND NOT EXISTS (SELECT 1 FROM n WHERE n.accession = c.accession AND n.version = c.version)")
+@query("r15_metadata_upsert", f"WITH {P}, c AS (SELECT accession, version, pipeline_version AS updater, coalesce(processed_data, '') AS metadata FROM p), n AS (SELECT accession, version, max(updater) AS updater, max_by(metadata, updater) AS metadata FROM c WHERE updater > 1 GROUP BY accession, version) SELECT accession, version, updater, metadata FROM n UNION ALL SELECT accession, version, updater, metadata FROM c WHERE updater = 1 AND NOT EXISTS (SELECT 1 FROM n WHERE n.accession = c.accession AND n.version = c.version)")
 def r15_whole(spark, root):
     p = _p(spark, root).select("accession", "version", F.col("pipeline_version").alias("updater"), F.coalesce("processed_data", F.lit("")).alias("metadata"))
     newer = p.filter("updater > 1").groupBy("accession", "version").agg(F.max("updater").alias("updater"), F.max_by("metadata", "updater").alias("metadata"))

@@ -624,13 +624,7 @@ def w12(spark, root):
 # -------------------------------------------------------- order, limits, sets
 
 
-@query("l01_release_order", f"WITH {REL} SELECT accession, version, row_number() OVER (ORDER BY accession, version) AS place FROM r ORDER BY accession, version LIMIT 200")
-def l01(spark, root):
-    first = _r(spark, root).select("accession", "version").orderBy("accession", "version").limit(200)  # the first page of the stream
-    return first.withColumn("place", F.row_number().over(Window.orderBy("accession", "version")).cast("bigint"))
-
-
-@query("l01_whole_release_order", f"WITH {REL} SELECT accession, version, row_number() OVER (ORDER BY accession, version) AS place FROM r")
+@query("l01_release_order", f"WITH {REL} SELECT accession, version, row_number() OVER (ORDER BY accession, version) AS place FROM r")
 def l01_whole(spark, root):
     return filters.placed(_r(spark, root).select("accession", "version"), "accession", "version")
 
@@ -968,13 +962,7 @@ def t07(spark, root):
     return _e(spark, root).join(gone, ["accession", "version"], "left_anti").select("accession", "version")
 
 
-@query("t13_upsert", "WITH o AS (SELECT o_orderkey AS k, o_orderstatus AS v FROM orders WHERE o_orderkey % 3 = 0), n AS (SELECT o_orderkey AS k, 'new' AS v FROM orders WHERE o_orderkey % 5 = 0) SELECT k, v FROM n UNION ALL SELECT k, v FROM o WHERE k NOT IN (SELECT k FROM n)")
-def t13(spark, root):
-    o = table(spark, root, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("v"))
-    return entries.upsert(o.filter("k % 3 = 0"), o.filter("k % 5 = 0").select("k", F.lit("new").alias("v")), ["k"])
-
-
-@query("t13_whole_upsert", f"WITH {E}, o AS (SELECT accession, max(version) AS version, max_by(submission_id, version) AS submission_id FROM e WHERE released_at IS NOT NULL GROUP BY accession), n AS (SELECT accession, max(version) AS version, max_by(submission_id, version) AS submission_id FROM e WHERE released_at IS NULL GROUP BY accession) SELECT * FROM n UNION ALL SELECT * FROM o WHERE accession NOT IN (SELECT accession FROM n)")
+@query("t13_upsert", f"WITH {E}, o AS (SELECT accession, max(version) AS version, max_by(submission_id, version) AS submission_id FROM e WHERE released_at IS NOT NULL GROUP BY accession), n AS (SELECT accession, max(version) AS version, max_by(submission_id, version) AS submission_id FROM e WHERE released_at IS NULL GROUP BY accession) SELECT * FROM n UNION ALL SELECT * FROM o WHERE accession NOT IN (SELECT accession FROM n)")
 def t13_whole(spark, root):
     def newest(rows):
         return rows.groupBy("accession").agg(F.max("version").alias("version"), F.max_by("submission_id", "version").alias("submission_id"))

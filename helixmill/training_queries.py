@@ -43,9 +43,12 @@ def p4_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p4_members(spark: SparkSession, root: str) -> DataFrame:
-    """All members of the mutation reports as linked rows."""
-    rows = table(spark, root, "mutations_from_founder_clade").select("accession", "version", "mutations").distinct()
-    return flatten_members(rows, "mutations")
+    """All members of the processed records and of the mutation reports as linked rows."""
+    key = F.concat_ws(".", "accession", F.col("version").cast("string"))
+    processed = table(spark, root, "sequence_entries_preprocessed_data").dropDuplicates(["accession", "version", "pipeline_version"])
+    processed = processed.select(F.lit("processed_data").alias("source"), F.concat_ws("/", key, F.col("pipeline_version").cast("string")).alias("record_id"), F.col("processed_data").alias("payload"))
+    reports = table(spark, root, "mutations_from_founder_clade").dropDuplicates(["accession", "version"]).select(F.lit("mutations").alias("source"), key.alias("record_id"), F.col("mutations").alias("payload"))
+    return flatten_members(processed.unionAll(reports), "payload")
 
 
 QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_members": p4_members}

@@ -247,9 +247,9 @@ def test_whole_orders_and_upserts_take_all_rows(spark, data_root):
         return spark.read.parquet(f"{data_root}/{name}.parquet")
 
     released = table("sequence_entries").filter("released_at is not null").select("accession", "version").distinct().count()
-    for name, n in (("l01_whole_release_order", released), ("l05_whole_multi_key_descending", table("orders").count()), ("l07_whole_depth_order", table("part").count())):
+    for name, n in (("l01_release_order", released), ("l05_multi_key_descending", table("orders").count()), ("l07_depth_order", table("part").count())):
         assert [r.place for r in rows(name)] == list(range(1, n + 1)), name
-    for name, of, key in (("t13_whole_upsert", "sequence_entries", ["accession"]), ("r15_whole_metadata_upsert", "sequence_entries_preprocessed_data", ["accession", "version"])):
+    for name, of, key in (("t13_upsert", "sequence_entries", ["accession"]), ("r15_metadata_upsert", "sequence_entries_preprocessed_data", ["accession", "version"])):
         got = [tuple(r[k] for k in key) for r in rows(name)]
         assert sorted(got) == sorted(tuple(r) for r in table(of).select(*key).distinct().collect()), name
 
