@@ -278,9 +278,11 @@ def _compare(a: dict, b: dict, found: dict[tuple[int, int], tuple[str, int]]) ->
         found[pair] = (how, osa(a["inst"], b["inst"], 2))
 
 
-def sorted_neighbours(rows: DataFrame, passes: tuple[Pass, ...], *, window: int = WINDOW) -> DataFrame:
+def sorted_neighbours(rows: DataFrame, passes: tuple[Pass, ...], *, window: int = WINDOW, lacking: bool = False) -> DataFrame:
     """(a, b, how, inst_distance) of the matches within the window of any sort order.
 
+    With ``lacking`` two records that both have number and street are not compared.
+
     Each row stands once in each pass; the passes are sorted together, the
     number of the pass being the first part of the key.  Rows are
     range-partitioned by the part of the key that lets windows grow, or, where
@@ -322,8 +324,10 @@ def sorted_neighbours(rows: DataFrame, passes: tuple[Pass, ...], *, window: int
                 g = r["__grow"]
                 if len(near) > window and (not g or near[0]["__grow"] != g):
                     near = [x for x in near[:-window] if g and x["__grow"] == g] + near[-window:]
+                whole = lacking and bool(r["number"] and r["street"])
                 for x in near:
-                    _compare(x, r, found)
+                    if not (whole and x["number"] and x["street"]):
+                        _compare(x, r, found)
                 if at < window:
                     head.append((part, at, r))
                 near.append(r)
@@ -354,8 +358,9 @@ def sorted_neighbours(rows: DataFrame, passes: tuple[Pass, ...], *, window: int
             found: dict = {}
             for r in batch.to_pylist():
                 near = [x for x in near if x["bucket"] == r["bucket"] and r["rank"] - x["rank"] <= window]
+                whole = lacking and bool(r["number"] and r["street"])
                 for x in near:
-                    if x["part"] != r["part"]:
+                    if x["part"] != r["part"] and not (whole and x["number"] and x["street"]):
                         _compare(x, r, found)
                 near.append(r)
             if found:
@@ -426,7 +431,7 @@ def match_addresses(df: DataFrame, **columns: str) -> DataFrame:
     place_of = connected_components(sorted_neighbours(streets, STREET_PASSES).select("a", "b").distinct())
     # records that lack number or street: the buildings of their institution.  An address stands once for each of its institutions
     reps = cut_lineage(named.unionByName(weak).withColumn("row", F.xxhash64("is_full", *_FIELDS)))
-    met = sorted_neighbours(reps.select(F.col("row").alias("id"), *_FIELDS, F.reverse("street").alias("rstreet"), F.reverse("inst").alias("rinst")), INSTITUTION_PASSES)
+    met = sorted_neighbours(reps.select(F.col("row").alias("id"), *_FIELDS, F.reverse("street").alias("rstreet"), F.reverse("inst").alias("rinst")), INSTITUTION_PASSES, lacking=True)
     met = cut_lineage(met.filter("how = 'inst'").select("a", "b", "inst_distance").distinct())
     met = met.unionAll(met.select(F.col("b").alias("a"), F.col("a").alias("b"), "inst_distance"))
     one = reps.filter("not is_full").select(F.col("row").alias("a"), F.col("id").alias("a_id"))
