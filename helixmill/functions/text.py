@@ -261,6 +261,17 @@ def content_hash(fields: dict[str, Column], sequence_hash: Column) -> Column:
     return F.md5(F.concat(F.lit("{"), F.array_join(F.array_compact(F.array(*parts)), ", "), F.lit("}"), sequence_hash))
 
 
-def file_url(base_url: str, acc: Column, version: Column, category: str, name: Column) -> Column:
-    """Address of a file; the name is encoded for a path."""
-    return F.concat_ws("/", F.lit(base_url), acc, version.cast("string"), F.lit(category), F.replace(F.url_encode(name), F.lit("+"), F.lit("%20")))
+#: How file addresses are given: by the site that serves them, or by the place where they are stored.
+URL_MODES = ("website", "storage")
+
+
+def file_url(base_url: str, acc: Column, version: Column, category: str, name: Column, *, mode: str = "website", file_id: Column | None = None) -> Column:
+    """Address of a file; the name is encoded for a path.  Stored files are addressed by their id."""
+    if mode not in URL_MODES:
+        raise ValueError(f"no mode of addresses: {mode}")
+    encoded = F.replace(F.url_encode(name), F.lit("+"), F.lit("%20"))
+    if mode == "storage":
+        if file_id is None:
+            raise ValueError("stored files are addressed by their id")
+        return F.concat_ws("/", F.lit(base_url), F.lit("files"), file_id)
+    return F.concat_ws("/", F.lit(base_url), acc, version.cast("string"), F.lit(category), encoded)

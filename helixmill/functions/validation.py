@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -168,6 +169,12 @@ def set_record_errors(records: DataFrame, sets: DataFrame, released: DataFrame,
     return empty.unionByName(twice).unionByName(closed)
 
 
+def set_update_error(name: Column, fields: Mapping[str, tuple[Column, Column]]) -> Column:
+    """Why an update of a set is refused: a blank name, or no field (old, new) that changes."""
+    same = reduce(lambda a, b: a & b, (old.eqNullSafe(new) for old, new in fields.values()))
+    return F.when(F.trim(F.coalesce(name, F.lit(""))) == "", "blank_name").when(same, "nothing_changed")
+
+
 def segment_of(header: Column, segments: Sequence[str]) -> Column:
     """The segment named by the last part of a header after ``_``, or by all of it, in any case."""
     last = F.lower(F.substring_index(header, "_", -1))

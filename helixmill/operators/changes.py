@@ -89,12 +89,13 @@ def nearest_earlier(rows: DataFrame, known: DataFrame, base: str, version: str,
     return given.unionByName(marked).withColumn(value, F.last("__known", ignorenulls=True).over(w)).filter("__row").select(base, version, value)
 
 
-def field_diff(a: DataFrame, b: DataFrame, key: str, field: str, value: str, noisy: tuple[str, ...] = ()) -> DataFrame:
-    """(key, field, change): added, removed, changed, unchanged or noisy for each field of two versions."""
+def field_diff(a: DataFrame, b: DataFrame, key: str, field: str, value: str, noisy: tuple[str, ...] = (), hidden: tuple[str, ...] = ()) -> DataFrame:
+    """(key, field, change): added, removed, changed, unchanged, noisy or hidden for each field of two versions."""
     x, y = a.select(key, field, F.col(value).alias("va")), b.select(key, field, F.col(value).alias("vb"))
     change = F.when(F.col("va").isNull() & F.col("vb").isNotNull(), "added").when(F.col("va").isNotNull() & F.col("vb").isNull(), "removed").when(F.col("va").eqNullSafe(F.col("vb")), "unchanged")
     change = change.when(F.col(field).isin(*noisy), "noisy") if noisy else change
-    return x.join(y, [key, field], "full_outer").select(key, field, change.otherwise("changed").alias("change"))
+    change = F.when(F.col(field).isin(*hidden), "hidden").otherwise(change.otherwise("changed")) if hidden else change.otherwise("changed")
+    return x.join(y, [key, field], "full_outer").select(key, field, change.alias("change"))
 
 
 def key_differences(a: DataFrame, b: DataFrame, key: str, most: int = 10) -> DataFrame:

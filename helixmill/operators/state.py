@@ -60,3 +60,24 @@ def unique_ids(df: DataFrame, name: str, order: str) -> DataFrame:
     number = F.col("__k") + F.coalesce("__skip", F.lit(0))
     named = F.when(F.col("__k") == 0, F.col(name)).otherwise(F.concat_ws("_", F.col(name), number.cast("string")))
     return rows.join(skipped, [name, "__k"], "left").select(*df.columns, named.alias("unique_id"))
+
+
+def refreshed(candidate: DataFrame, last_good: DataFrame, key: list[str], expected: int) -> DataFrame:
+    """The new snapshot if it has the rows that are expected, each key once; else the last good one.
+
+    Both are read lazily; the check is two counts in one pass over the keys.
+    """
+    n, keys = candidate.agg(F.count("*").alias("n"), F.count_distinct(*key).alias("keys")).first()
+    return candidate if n == keys == expected else last_good
+
+
+def shared_records(existing: DataFrame, asked: DataFrame, key: list[str], record_id: str) -> tuple[DataFrame, DataFrame]:
+    """(new records, links): records of a set that stand already are used again, the others get the next ids.
+
+    ``asked`` has (set, *key), ``existing`` (*key, id).
+    """
+    missing = asked.select(*key).distinct().join(existing.select(*key), key, "left_anti")
+    top = existing.agg(F.coalesce(F.max(record_id), F.lit(0)).cast("bigint").alias("__top"))
+    new = placed(missing, *key, place="__place").join(F.broadcast(top)).select(*key, (F.col("__place") + F.col("__top")).alias(record_id))  # one row
+    links = asked.join(existing.select(*key, F.col(record_id).cast("bigint").alias(record_id)).unionByName(new), key)
+    return new, links

@@ -120,11 +120,6 @@ def a08(spark, root):
     return rows.groupBy("biosample_accession").agg(F.array_join(F.array_sort(F.collect_set(F.concat("segment", F.lit(":"), F.coalesce("hash", F.lit(""))))), ",").alias("segments"))
 
 
-@query("a27_assembly_counter", f"WITH {META} SELECT segment, count(*) AS n, count(DISTINCT insdc_accession_base) AS assemblies FROM m WHERE segment IS NOT NULL GROUP BY segment")
-def a27(spark, root):
-    return _m(spark, root).filter("segment is not null").groupBy("segment").agg(F.count("*").alias("n"), F.count_distinct("insdc_accession_base").alias("assemblies"))
-
-
 @query("a29_lineage_values", f"WITH {META} SELECT array_to_string(list_sort(list(DISTINCT segment) FILTER (segment IS NOT NULL)), ',') AS segments, count(DISTINCT host_taxon_id) AS hosts FROM m")
 def a29(spark, root):
     return _m(spark, root).agg(F.array_join(F.array_sort(F.collect_set("segment")), ",").alias("segments"), F.count_distinct("host_taxon_id").alias("hosts"))
@@ -227,16 +222,6 @@ def x41(spark, root):
     return table(spark, root, "part").select(F.regexp_replace(F.concat("p_brand", F.lit("|CDS"), F.col("p_size").cast("string")), r"\|CDS\d+$", "").alias("id")).distinct()
 
 
-@query("x62_file_urls", f"WITH {REL} SELECT accession, version, '/files/get/' || accession || '/' || version || '/raw/' || url_encode(submission_id || ' 1.fq') AS url FROM r".replace("url_encode(submission_id || ' 1.fq')", "submission_id || '%201.fq'"))
-def x62(spark, root):
-    return _r(spark, root).select("accession", "version", X.file_url("/files/get", F.col("accession"), F.col("version"), "raw", F.concat("submission_id", F.lit(" 1.fq"))).alias("url"))
-
-
-@query("x66_taxon_alias", "SELECT host_taxon_id, scientific_name || '; ' || common_name || ' [Taxon ' || host_taxon_id || ']' AS alias FROM ref_hosts")
-def x66(spark, root):
-    return table(spark, root, "ref_hosts").select("host_taxon_id", F.format_string("%s; %s [Taxon %d]", "scientific_name", "common_name", "host_taxon_id").alias("alias"))
-
-
 # ---------------------------------------------------------------- validation
 
 
@@ -279,11 +264,6 @@ def v17(spark, root):
     return V.read_file_errors(files, "p_brand", "name")
 
 
-@query("v19_set_names", f"WITH {GRP} SELECT group_id, coalesce(trim(group_name, ' '), '') = '' AS blank FROM g")
-def v19(spark, root):
-    return _g(spark, root).select("group_id", (F.coalesce(F.trim("group_name"), F.lit("")) == "").alias("blank"))
-
-
 # ----------------------------------------------------------- sequence queries
 
 
@@ -347,11 +327,6 @@ def r10(spark, root):
     return _objects(spark, root).select("accession", "version", F.explode(keys).alias("segment")).filter(F.startswith("segment", F.lit("m"))).distinct()
 
 
-@query("r11_set_records", f"WITH {E} SELECT accession, min(version) AS version, count(*) > 1 AS shared FROM e GROUP BY accession")
-def r11(spark, root):
-    return _e(spark, root).groupBy("accession").agg(F.min("version").alias("version"), (F.count("*") > 1).alias("shared"))
-
-
 # ------------------------------------------------- counters, order, smaller steps
 
 
@@ -413,13 +388,6 @@ def t14(spark, root):
     return state.audit_lines(_r(spark, root), F.col("approver"), "approved").select("line")
 
 
-@query("t16_snapshot", f"WITH {P}, c AS (SELECT pipeline_version, count(*) AS n, count(*) FILTER (processing_status = 'PROCESSED') AS done FROM p GROUP BY 1) SELECT max(pipeline_version) AS pipeline_version FROM c WHERE done * 10 >= n * 9")
-def t16(spark, root):
-    done = F.count_if(F.col("processing_status") == "PROCESSED")
-    versions = _p(spark, root).groupBy("pipeline_version").agg(F.count("*").alias("n"), done.alias("done"))
-    return versions.filter("done * 10 >= n * 9").agg(F.max("pipeline_version").alias("pipeline_version"))
-
-
 @query("u03_recursive_union", "WITH RECURSIVE t AS (SELECT p_partkey AS id, p_partkey // 10 AS parent FROM part), c(id) AS (SELECT id FROM t WHERE id > 150 UNION SELECT t.parent FROM c JOIN t ON t.id = c.id WHERE t.parent <> t.id) SELECT id FROM c")
 def u03(spark, root):
     from helixmill.operators import hierarchy

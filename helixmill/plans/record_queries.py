@@ -9,7 +9,7 @@ from helixmill.functions import specification as S
 from helixmill.functions import text as X
 from helixmill.functions import validation as V
 from helixmill.functions.payloads import elements, members
-from helixmill.operators import changes, counts, entries, filters, hierarchy
+from helixmill.operators import changes, counts, entries, filters, hierarchy, state
 from helixmill.plans.aligned_queries import OBJ, _payloads
 from helixmill.plans.reference_queries import _PAD, GRP, META, REL, SUB, VIEW, E, _e, _e_rows, _g, _m, _r, _s, _v
 from helixmill.registry import Registry
@@ -345,6 +345,68 @@ def x56(spark, root):
     return table(spark, root, "part").select("p_partkey", F.initcap("p_type").alias("name"))
 
 
+# ------------------------------------------------- snapshots, sets, addresses
+
+
+@query("x62_file_urls", f"WITH {REL} SELECT accession, version, '/files/get/' || accession || '/' || version || '/raw/' || submission_id || '%20%231.fq' AS site, 's3/files/' || md5(submission_id) AS stored FROM r WHERE submission_id IS NOT NULL")
+def x62(spark, root):
+    site = X.file_url("/files/get", F.col("accession"), F.col("version"), "raw", F.concat("submission_id", F.lit(" #1.fq")))
+    stored = X.file_url("s3", F.col("accession"), F.col("version"), "raw", F.col("submission_id"), mode="storage", file_id=F.md5("submission_id"))
+    return _r(spark, root).filter("submission_id is not null").select("accession", "version", site.alias("site"), stored.alias("stored"))
+
+
+@query("x66_taxon_alias", "SELECT host_taxon_id, scientific_name || CASE WHEN host_taxon_id % 3 <> 0 THEN '; ' || common_name ELSE '' END || ' [Taxon ' || host_taxon_id || ']' AS alias FROM ref_hosts")
+def x66(spark, root):
+    common = F.when(F.col("host_taxon_id") % 3 != 0, F.col("common_name"))
+    return table(spark, root, "ref_hosts").select("host_taxon_id", F.concat(F.concat_ws("; ", "scientific_name", common), F.format_string(" [Taxon %d]", "host_taxon_id")).alias("alias"))
+
+
+@query("a27_assembly_counter", f"WITH {META}, c AS (SELECT insdc_accession_base AS assembly, segment, count(*) AS n FROM m WHERE insdc_accession_base <> '' AND segment IS NOT NULL GROUP BY ALL) SELECT segment, CAST(sum(n) AS BIGINT) AS n, count(*) AS assemblies, count(*) FILTER (n > 1) AS duplicated FROM c GROUP BY segment")
+def a27(spark, root):
+    once = _m(spark, root).filter("insdc_accession_base <> '' and segment is not null").groupBy("insdc_accession_base", "segment").agg(F.count("*").alias("n"))
+    return once.groupBy("segment").agg(F.sum("n").alias("n"), F.count("*").alias("assemblies"), F.count_if(F.col("n") > 1).alias("duplicated"))
+
+
+@query("r11_set_records", f"WITH {E}, x AS (SELECT DISTINCT accession, organism FROM e WHERE version = 1), k AS (SELECT accession, row_number() OVER (ORDER BY accession) AS id FROM (SELECT DISTINCT accession FROM x WHERE organism = 'cchf')), a AS (SELECT DISTINCT group_id, accession FROM documents WHERE accession IS NOT NULL), w AS (SELECT accession, row_number() OVER (ORDER BY accession) + (SELECT max(id) FROM k) AS id FROM (SELECT DISTINCT accession FROM a WHERE accession NOT IN (SELECT accession FROM k))) SELECT group_id, a.accession, coalesce(k.id, w.id) AS id, k.id IS NOT NULL AS shared FROM a LEFT JOIN k USING (accession) LEFT JOIN w USING (accession)")
+def r11(spark, root):
+    cchf = _e_rows(spark, root).filter("version = 1 and organism = 'cchf'").select("accession").distinct()
+    existing = filters.placed(cchf, "accession", place="id")
+    asked = table(spark, root, "documents").filter("accession is not null").select("group_id", "accession").distinct()
+    new, links = state.shared_records(existing, asked, ["accession"], "id")
+    return links.join(new.select("accession", F.lit(True).alias("fresh")), "accession", "left").select("group_id", "accession", "id", F.col("fresh").isNull().alias("shared"))
+
+
+@query("v19_set_updates", f"WITH {GRP} SELECT group_id, CASE WHEN coalesce(trim(institution, ' '), '') = '' THEN 'blank_name' WHEN institution IS NOT DISTINCT FROM group_name AND address_line_1 IS NOT DISTINCT FROM address_line_2 THEN 'nothing_changed' END AS error FROM g")
+def v19(spark, root):
+    # the institution and first line as the new name and text, the group's name and second line as the old ones
+    error = V.set_update_error(F.col("institution"), {"name": (F.col("group_name"), F.col("institution")), "text": (F.col("address_line_2"), F.col("address_line_1"))})
+    return _g(spark, root).select("group_id", error.alias("error"))
+
+
+@query("t16_snapshot", f"WITH {E} SELECT accession, version FROM e WHERE released_at IS NOT NULL")
+def t16(spark, root):
+    whole = _r(spark, root).select("accession", "version")
+    broken = _e_rows(spark, root).filter("released_at is not null").select("accession", "version")  # rows that came twice
+    expected = whole.count()
+    good = state.refreshed(whole, broken, ["accession", "version"], expected)
+    return state.refreshed(broken.unionAll(broken.limit(1)), good, ["accession", "version"], expected)
+
+
+@query("u06_field_classes", f"WITH {E}, f AS (SELECT accession, version, unnest(['submitter', 'approver', 'organism', 'data']) AS field, unnest([submitter, approver, organism, original_data]) AS value FROM e), a AS (SELECT * FROM f WHERE version = 1), b AS (SELECT * FROM f WHERE version = 2) SELECT a.accession, a.field, CASE WHEN a.field = 'organism' THEN 'hidden' WHEN a.value IS NULL AND b.value IS NOT NULL THEN 'added' WHEN a.value IS NOT NULL AND b.value IS NULL THEN 'removed' WHEN a.value IS NOT DISTINCT FROM b.value THEN 'unchanged' WHEN a.field = 'approver' THEN 'noisy' ELSE 'changed' END AS change FROM a JOIN b USING (accession, field)")
+def u06h(spark, root):
+    long = _e(spark, root).filter("version in (1, 2)").select("accession", "version", F.expr("stack(4, 'submitter', submitter, 'approver', approver, 'organism', organism, 'data', original_data) as (field, value)"))
+    a, b = long.filter("version = 1"), long.filter("version = 2")
+    keep = lambda x, y: x.join(y.select("accession").distinct(), "accession", "left_semi")
+    return changes.field_diff(keep(a, b), keep(b, a), "accession", "field", "value", noisy=("approver",), hidden=("organism",))
+
+
+@query("s10_report_columns", "SELECT DISTINCT accession, version, json_extract_string(original_data, '$.metadata.hash') AS hash, json_extract_string(original_data, '$.metadata.segments') AS segments, CASE WHEN original_data IS NOT NULL THEN '2024' END AS year, 'a,b' AS names, CAST(NULL AS VARCHAR) AS nothing FROM sequence_entries WHERE original_data IS NOT NULL")
+def s10(spark, root):
+    rows = _e_rows(spark, root).filter("original_data is not null").select("accession", "version", F.concat(F.lit('{"report":'), "original_data", F.lit(',"year":2023.6,"names":["a","b"]}')).alias("d")).distinct()
+    mapping = {"hash": "report.metadata.hash", "segments": "report.metadata.segments", "year": "year", "names": "names", "nothing": "report.none"}
+    return rows.select("accession", "version", *readers.report_columns(F.col("d"), mapping, lists=["names"], numbers=["year"]))
+
+
 # ------------------------------------------------------------ written tables
 
 

@@ -147,12 +147,6 @@ def s17(spark, root):
     return table(spark, root, "sequence_entries").filter("organism = 'cchf'").select("accession", "version", "organism", "submission_id", "submitted_at").distinct().select("accession", "version", "submission_id")
 
 
-@query("s10_report_columns", "SELECT DISTINCT accession, version, json_extract_string(original_data, '$.metadata.hash') AS hash, json_extract_string(original_data, '$.metadata.segments') AS segments FROM sequence_entries WHERE original_data IS NOT NULL")
-def s10(spark, root):
-    rows = table(spark, root, "sequence_entries").filter("original_data is not null")
-    return rows.select("accession", "version", *readers.report_columns(F.col("original_data"), {"hash": "metadata.hash", "segments": "metadata.segments"})).distinct()
-
-
 # --------------------------------------------------------------------- sinks
 
 

@@ -95,14 +95,17 @@ def read_ndjson(spark: SparkSession, path: str, schema: T.StructType | str) -> D
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
-def report_columns(json_col: Column, mapping: Mapping[str, str], lists: Sequence[str] = ()) -> list[Column]:
-    """Columns out of a nested report: dotted path by name; listed names are joined by commas."""
+def report_columns(json_col: Column, mapping: Mapping[str, str], lists: Sequence[str] = (), numbers: Sequence[str] = ()) -> list[Column]:
+    """Columns out of a nested report: dotted path by name; listed names are joined by commas, numbers have no decimals."""
     out = []
     for name, path in mapping.items():
         v = F.get_json_object(json_col, f"$.{path}")
         if name in lists:
             v = F.array_join(F.from_json(v, "array<string>"), ",")
-        out.append(F.coalesce(v).alias(name))
+        elif name in numbers:
+            v = F.format_string("%.0f", v.try_cast("double"))
+            v = F.when(F.get_json_object(json_col, f"$.{path}").try_cast("double").isNotNull(), v)
+        out.append(v.alias(name))
     return out
 
 

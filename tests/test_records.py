@@ -175,3 +175,28 @@ def test_file_cells(spark):
     cells = [f"a.fq:{one} b:c.fq:{one}", f"a.fq:{one} a.fq:{one}", "a.fq:no", f":{one}", "  ", None]
     got = [r[0] for r in spark.createDataFrame([(c,) for c in cells], "c string").select(readers.file_cell_error(F.col("c"))).collect()]
     assert got == [None, "repeated_name", "invalid_file", "invalid_file", None, None]
+
+
+def test_snapshots_and_shared_records(spark):
+    from helixmill.operators import state
+
+    good = spark.createDataFrame([(1,), (2,)], "k int")
+    worse = spark.createDataFrame([(1,), (1,)], "k int")
+    assert rows(state.refreshed(good, worse, ["k"], 2)) == [(1,), (2,)] and rows(state.refreshed(worse, good, ["k"], 2)) == [(1,), (2,)] and rows(state.refreshed(good, worse, ["k"], 3)) == [(1,), (1,)]
+    existing = spark.createDataFrame([("a", 4), ("b", 7)], "acc string, id long")
+    asked = spark.createDataFrame([(1, "a"), (1, "c"), (2, "c"), (2, "d")], "s int, acc string")
+    new, links = state.shared_records(existing, asked, ["acc"], "id")
+    assert rows(new) == [("c", 8), ("d", 9)] and rows(links.select("s", "acc", "id")) == [(1, "a", 4), (1, "c", 8), (2, "c", 8), (2, "d", 9)]
+    assert rows(state.shared_records(existing.limit(0), asked, ["acc"], "id")[0]) == [("a", 1), ("c", 2), ("d", 3)]
+
+
+def test_set_updates_and_addresses(spark):
+    from helixmill.functions import text as X
+
+    df = spark.createDataFrame([("n", "n", "t", "t"), ("n", "m", "t", "t"), ("n", " ", "t", "u"), (None, "n", None, None)], "a string, b string, c string, d string")
+    got = [r[0] for r in df.select(V.set_update_error(F.col("b"), {"name": (F.col("a"), F.col("b")), "text": (F.col("c"), F.col("d"))})).collect()]
+    assert got == ["nothing_changed", None, "blank_name", None]
+    with pytest.raises(ValueError, match="mode"):
+        X.file_url("x", F.lit("a"), F.lit(1), "raw", F.lit("n"), mode="other")
+    with pytest.raises(ValueError, match="id"):
+        X.file_url("x", F.lit("a"), F.lit(1), "raw", F.lit("n"), mode="storage")
