@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixmill.session import cut_lineage
+from helixmill.session import cut_lineage, spread
 
 #: Encodings that are considered as the true or the wrong one.
 MULTI_BYTE = "utf-8"
@@ -374,7 +374,7 @@ def learn_mappings(df: DataFrame, text: str) -> tuple[list[tuple[str, str, int]]
         return pd.Series([sorted("\t".join(m) for m in explain_pair(g, c)) for g, c in zip(garbled, clean, strict=True)])
 
     clean = words.filter(~F.col("odd")).select("skeleton", "place", F.col("word").alias("clean"))
-    read_as = words.filter("odd").select("skeleton", "place", "word", F.explode(read("word")).alias("clean"))
+    read_as = spread(words.filter("odd").select("skeleton", "place", "word")).select("skeleton", "place", "word", F.explode(read("word")).alias("clean"))
     pairs = read_as.join(clean, ["skeleton", "place", "clean"], "left_semi").select("word", "clean").distinct()
     votes = cut_lineage(pairs.select(explain("word", "clean").alias("mappings")).filter("size(mappings) > 0").groupBy("mappings").agg(F.count("*").alias("n")))
     # one row a letter that clean words hold
