@@ -11,7 +11,7 @@ ENCODED = 3
 
 def json_object(c: Column) -> Column:
     """The text of a JSON object, from which string encoding is removed; null where there is none."""
-    for _ in range(ENCODED + 1):
+    for _ in range(ENCODED):
         c = F.when(F.startswith(F.ltrim(c), F.lit('"')), F.get(F.from_json(F.concat(F.lit("["), c, F.lit("]")), "array<string>"), 0)).otherwise(c)
     return F.when(F.startswith(F.ltrim(c), F.lit("{")) & F.try_parse_json(c).isNotNull(), c)
 
